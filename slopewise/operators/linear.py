@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .folds import assign_folds, fold_of
+from .folds import fold_of, per_seed
 from .longitudinal import shrunken, training_params
 from .ranks import cumulate
 
@@ -66,6 +66,7 @@ class Design:
     k: int
     inner_k: int
     rep: str | None = None
+    fold_cols: dict[int, str] = field(default_factory=dict)
     center: dict[str, float] = field(default_factory=dict)
     gappy: list[str] = field(default_factory=list)
     fill: dict[tuple[int, int, str], float] = field(default_factory=dict)
@@ -75,33 +76,46 @@ class Design:
     def width(self) -> int:
         return 1 + len(self.features) + len(self.gappy)
 
+    def fold(self, seed: int) -> Column:
+        """Outer fold of a row: a given column (0..k-1) or the hash of its key."""
+        if self.fold_cols:
+            return F.col(self.fold_cols[seed]).cast("int")
+        return fold_of(self.subject, seed, self.k)
+
+    def folded(self, df: DataFrame) -> DataFrame:
+        """One row per (row, seed) with its fold."""
+        out = per_seed(df, self.seeds)
+        fold = F.lit(None).cast("int")
+        for s in self.seeds if self.fold_cols else []:
+            fold = F.when(F.col("seed") == s, self.fold(s)).otherwise(fold)
+        return out.withColumn("fold", fold if self.fold_cols else fold_of(self.subject, F.col("seed"), self.k))
+
 
 def prepare(df: DataFrame, subject: str, features: list[str], outcome: Outcome, seeds: list[int],
-            k: int, inner_k: int, rep: str | None = None) -> Design:
+            k: int, inner_k: int, rep: str | None = None, fold_cols: dict[int, str] | None = None) -> Design:
     """Column centres and gaps, training medians of gappy columns, and per-training-set shrinkage."""
-    d = Design(subject, list(features), outcome, list(seeds), k, inner_k, rep)
+    d = Design(subject, list(features), outcome, list(seeds), k, inner_k, rep, dict(fold_cols or {}))
     row = df.agg(*[F.avg(c).alias(f"m{i}") for i, c in enumerate(features)],
                  *[F.count_if(F.col(c).isNull()).alias(f"g{i}") for i, c in enumerate(features)]).first()
     d.center = {c: float(row[f"m{i}"] or 0.0) for i, c in enumerate(features)}
     d.gappy = [c for i, c in enumerate(features) if row[f"g{i}"] > 0]
     once = df.filter(F.col(rep) == F.lit(df.agg(F.min(rep)).first()[0])) if rep else df
     if d.gappy:
-        d.fill = training_medians(once, subject, d.gappy, d.seeds, k)
+        d.fill = training_medians(once, d, d.gappy)
     if outcome.variance:
-        folded = assign_folds(once.select(subject, F.col(outcome.column).alias("ols_slope"),
-                                          F.col(outcome.variance).alias("slope_var")), subject, k, d.seeds)
+        folded = d.folded(once.dropna(subset=outcome.columns)).select(
+            "seed", "fold", F.col(outcome.column).alias("ols_slope"), F.col(outcome.variance).alias("slope_var"))
         d.params = {(r.seed, r.fold): (r.mu, r.tau2) for r in training_params(folded).collect()}
     return d
 
 
-def training_medians(df: DataFrame, subject: str, columns: list[str], seeds: list[int], k: int
-                     ) -> dict[tuple[int, int, str], float]:
+def training_medians(df: DataFrame, d: Design, columns: list[str]) -> dict[tuple[int, int, str], float]:
     """Exact median of each column over each training set, from one distributed sort of the values."""
-    sets = [(s, f) for s in seeds for f in range(k)]
-    long = df.select(subject, F.explode(F.array(*[
+    sets = [(s, f) for s in d.seeds for f in range(d.k)]
+    folds = [f"__f{s}" for s in d.seeds]
+    long = df.withColumns({f"__f{s}": d.fold(s) for s in d.seeds}).select(*folds, F.explode(F.array(*[
         F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value")) for c in columns])).alias("e")
-    ).select(subject, "e.feature", "e.value")
-    long = long.withColumns({f"__f{s}": fold_of(subject, s, k) for s in seeds})
+    ).select(*folds, "e.feature", "e.value")
     c = cumulate(long, ["feature"], "value",
                  {f"t{s}_{f}": (F.col(f"__f{s}") != f).cast("long") for s, f in sets})
     aggs = []
@@ -138,7 +152,7 @@ def _design_rows(df: DataFrame, d: Design) -> DataFrame:
     keep = ([F.col(d.rep).cast("int").alias("__rep")] if d.rep else [F.lit(0).alias("__rep")])
     keep += [F.col(c).cast("double").alias(c) for c in [*d.features, *d.outcome.columns]]
     for s in d.seeds:
-        keep += [fold_of(d.subject, s, d.k).alias(f"__o{s}"), fold_of(d.subject, s, d.inner_k, "inner").alias(f"__g{s}")]
+        keep += [d.fold(s).alias(f"__o{s}"), fold_of(d.subject, s, d.inner_k, "inner").alias(f"__g{s}")]
     return df.dropna(subset=d.outcome.columns).select(*keep)
 
 
@@ -404,7 +418,7 @@ def predict_folds(df: DataFrame, d: Design, arms: list[Arm], fits: list[dict], c
     The join side has seeds x folds (x reps) rows by construction, so it is broadcast.
     """
     table = fits_table(df.sparkSession, d, arms, fits)
-    rows = assign_folds(df.dropna(subset=d.outcome.columns), d.subject, d.k, d.seeds)
+    rows = d.folded(df.dropna(subset=d.outcome.columns))
     on = ["seed", "fold"]
     if d.rep:
         rows, on = rows.withColumn("rep", F.col(d.rep).cast("int")), ["rep", *on]
@@ -426,14 +440,15 @@ def _score(arm: Arm) -> Column:
 
 
 def nested_cv(df: DataFrame, subject: str, outcome: Outcome, arms: list[Arm], *, k: int = 5, inner_k: int = 5,
-              seeds: list[int] | None = None, carry: list[str] | None = None, rep: str | None = None) -> DataFrame:
+              seeds: list[int] | None = None, carry: list[str] | None = None, rep: str | None = None,
+              fold_cols: dict[int, str] | None = None) -> DataFrame:
     """Repeated nested cross-validation of all arms on identical folds and rows.
 
     Fold-dependent outcomes (shrunken slopes) are refitted on each training
     set; filling, scaling and penalty choice see training rows only.
     """
     features = sorted({c for a in arms for c in a.columns})
-    d = prepare(df, subject, features, outcome, seeds or [0], k, inner_k, rep)
+    d = prepare(df, subject, features, outcome, seeds or [0], k, inner_k, rep, fold_cols)
     return predict_folds(df, d, arms, fit_folds(df, d, arms), carry)
 
 
