@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from .ranks import running_total
 
 # Prior probabilities and prior effect sizes.
@@ -85,8 +86,8 @@ def signal_counts(instruments: DataFrame, keys: list[str]) -> DataFrame:
 def credible_sets(variants: DataFrame, keys: list[str], ident: str, beta: str, se: str, sd_prior: float = SD_QUANT,
                   level: float = 0.95) -> DataFrame:
     """Smallest set of variants per locus whose posterior weights reach `level` (one signal per locus)."""
-    rows = variants.dropna(subset=[beta, se]).filter(F.col(se) > 0).select(
-        *keys, ident, log_abf(F.col(beta), F.col(se), sd_prior).alias("l"))
+    rows = cut_lineage(variants.dropna(subset=[beta, se]).filter(F.col(se) > 0).select(
+        *keys, ident, log_abf(F.col(beta), F.col(se), sd_prior).alias("l")))
     top = rows.groupBy(*keys).agg(F.max("l").alias("m"))
     e = rows.join(top, keys).withColumn("e", F.exp(F.col("l") - F.col("m")))
     total = e.groupBy(*keys).agg(F.sum("e").alias("t"))

@@ -45,16 +45,18 @@ def join_with_fallback(exposure: DataFrame, outcome: DataFrame, route: list[str]
     names columns present on both sides (such as the outcome source) that must agree too.
     """
     on = list(route or [])
-    by_id = exposure.join(outcome, [exposure["rsid"] == outcome["rsid_out"]] + [exposure[c] == outcome[c] for c in on])
-    for c in on:
-        by_id = by_id.drop(outcome[c])
+    side = outcome.withColumnsRenamed({c: f"__{c}" for c in on})
+
+    def agree(left: DataFrame) -> list[Column]:
+        return [left[c] == side[f"__{c}"] for c in on]
+
+    extra = [f"__{c}" for c in on]
+    by_id = exposure.join(side, [exposure["rsid"] == side["rsid_out"], *agree(exposure)]).drop(*extra)
     known = outcome.select(F.col("rsid_out").alias("rsid"), *on).dropna()
     rest = exposure.join(known, ["rsid", *on], "left_anti").withColumn("__c", numeric_chrom("chrom"))
-    placed = outcome.withColumn("__c", numeric_chrom("chrom_out"))
-    by_pos = rest.join(placed, [rest["__c"] == placed["__c"], rest["pos"] == placed["pos_out"]] + [rest[c] == placed[c] for c in on])
-    by_pos = by_pos.drop(placed["__c"]).drop(rest["__c"])
-    for c in on:
-        by_pos = by_pos.drop(placed[c])
+    placed = side.withColumn("__d", numeric_chrom("chrom_out"))
+    at = [F.col("__c") == F.col("__d"), F.col("pos") == F.col("pos_out")] + [F.col(c) == F.col(f"__{c}") for c in on]
+    by_pos = rest.join(placed, at).drop("__c", "__d", *extra)
     return (by_id.withColumn("matched_by", F.lit("rsid"))
             .unionByName(by_pos.withColumn("matched_by", F.lit("position"))))
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import hash_word
 from ..functions.probability import normal_two_sided_p, t_two_sided_p
+from ..session import cut_lineage
 from .ranks import running_total
 
 GROUP = ["protein", "platform"]
@@ -132,6 +133,7 @@ def weighted_median(pairs: DataFrame, keys: list[str] | None = None, ident: str
     keys = keys or GROUP
     rows = pairs.select(*keys, ident, (F.col("beta_out") / F.col("beta_exp")).alias("ratio"),
                         ((F.col("beta_exp") / F.col("se_out")) * (F.col("beta_exp") / F.col("se_out"))).alias("w"))
+    rows = cut_lineage(rows)
     total = rows.groupBy(*keys).agg(F.sum("w").alias("tw"), F.count(F.lit(1)).alias("n"))
     run = running_total(rows, keys, "ratio", [ident], F.col("w"), "cum").join(total, keys)
     g = run.filter((F.col("cum") / F.col("tw") >= 0.5) & (F.col("n") >= min_n)).groupBy(*keys).agg(
@@ -151,13 +153,14 @@ def weighted_median_se(pairs: DataFrame, keys: list[str] | None = None, ident: s
     keys = keys or GROUP
     rows = pairs.select(*keys, ident, (F.col("beta_out") / F.col("beta_exp")).alias("ratio"),
                         ((F.col("beta_exp") / F.col("se_out")) * (F.col("beta_exp") / F.col("se_out"))).alias("w"))
+    rows = cut_lineage(rows)
     sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_n)
-    numbered = number_rows(rows.join(sizes, keys), keys, "ratio", [ident], "d")
+    numbered = cut_lineage(number_rows(rows.join(sizes, keys), keys, "ratio", [ident], "d"))
     draws = (numbered.select(*keys, "d", "n", F.explode(F.sequence(F.lit(1), F.lit(reps))).alias("rep"))
              .select(*keys, "rep", (F.pmod(hash_word(*keys, F.col("rep"), F.col("d"), F.lit("wm")), F.col("n")) + 1).alias("d"))
              .groupBy(*keys, "rep", "d").agg(F.count(F.lit(1)).alias("times")))
     picked = draws.join(numbered.select(*keys, "d", ident, "ratio", "w"), [*keys, "d"])
-    picked = picked.withColumn("w", F.col("w") * F.col("times"))
+    picked = cut_lineage(picked.withColumn("w", F.col("w") * F.col("times")))
     total = picked.groupBy(*keys, "rep").agg(F.sum("w").alias("tw"))
     run = running_total(picked, [*keys, "rep"], "ratio", [ident], F.col("w"), "cum").join(total, [*keys, "rep"])
     med = run.filter(F.col("cum") / F.col("tw") >= 0.5).groupBy(*keys, "rep").agg(F.min("ratio").alias("theta"))

@@ -20,6 +20,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 ROWS_PER_BIN = 50_000
 MAX_BINS = 1_000_000
 
@@ -79,10 +81,16 @@ def cumulate(df: DataFrame, keys: list[str], value: str, measures: dict[str, Col
 
 
 def running_total(df: DataFrame, keys: list[str], value: str, ties: list[str], measure: Column, name: str, *,
-                  rows_per_bin: int = ROWS_PER_BIN,
-                  spread: Callable[[Column], Column] | None = None) -> DataFrame:
-    """Row-level inclusive running sum of `measure` by (value, ties) inside the keys."""
+                  rows_per_bin: int = ROWS_PER_BIN, spread: Callable[[Column], Column] | None = None,
+                  materialise: bool = False) -> DataFrame:
+    """Row-level inclusive running sum of `measure` by (value, ties) inside the keys.
+
+    The input is read three times (ranges, bin totals, rows). Where it is more than a cheap
+    scan, `materialise` writes it once to the checkpoint folder instead.
+    """
     rows = df.filter(F.col(value).isNotNull()).withColumn("__m", measure)
+    if materialise:
+        rows = cut_lineage(rows)
     binned = _with_bins(rows, keys, value, {}, rows_per_bin, spread)
     offsets = _offsets(binned, keys, {"t": F.sum("__m")})
     inside = (Window.partitionBy(*keys, _BIN).orderBy(value, *ties)
@@ -93,11 +101,11 @@ def running_total(df: DataFrame, keys: list[str], value: str, ties: list[str], m
 
 
 def number_rows(df: DataFrame, keys: list[str], value: str, ties: list[str], name: str = "rank", *,
-                rows_per_bin: int = ROWS_PER_BIN,
-                spread: Callable[[Column], Column] | None = None) -> DataFrame:
+                rows_per_bin: int = ROWS_PER_BIN, spread: Callable[[Column], Column] | None = None,
+                materialise: bool = False) -> DataFrame:
     """Row number 1..n by (value, ties) inside the keys."""
     return running_total(df, keys, value, ties, F.lit(1).cast("long"), name,
-                         rows_per_bin=rows_per_bin, spread=spread)
+                         rows_per_bin=rows_per_bin, spread=spread, materialise=materialise)
 
 
 def average_ranks(df: DataFrame, keys: list[str], value: str, name: str = "avg_rank", *,

@@ -15,10 +15,10 @@ POISSON_CDF = (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.98
 
 def poisson_weight(u: Column) -> Column:
     """Poisson(1) draw by inversion of a uniform."""
-    out = F.lit(0)
-    for p in POISSON_CDF:
-        out = out + (u > p).cast("int")
-    return out
+    out = F.when(u <= POISSON_CDF[0], 0)
+    for k, p in enumerate(POISSON_CDF[1:], 1):
+        out = out.when(u <= p, k)
+    return out.otherwise(len(POISSON_CDF))
 
 
 def with_replicates(df: DataFrame, subject: str, reps: int) -> DataFrame:
@@ -28,13 +28,12 @@ def with_replicates(df: DataFrame, subject: str, reps: int) -> DataFrame:
     the task only; the aggregates that follow combine them before any shuffle.
     """
     blocks = F.array(*[F.lit(i) for i in range((reps + 3) // 4)])
-    b = df.withColumn("__blk", F.explode(blocks))
-    four = F.array(*[F.struct((F.col("__blk") * 4 + w).alias("rep"),
-                              poisson_weight(hash_uniform(subject, F.col("__blk"), F.lit("boot"), word=w)).alias("w"))
+    # The uniforms are columns of their own, so each is computed once and not per comparison.
+    b = df.withColumn("__blk", F.explode(blocks)).withColumns(
+        {f"__u{w}": hash_uniform(subject, F.col("__blk"), F.lit("boot"), word=w) for w in range(4)})
+    four = F.array(*[F.struct((F.col("__blk") * 4 + w).alias("rep"), poisson_weight(F.col(f"__u{w}")).alias("w"))
                      for w in range(4)])
-    return (b.withColumn("__e", F.explode(four)).drop("__blk")
-            .withColumns({"rep": F.col("__e.rep"), "w": F.col("__e.w")}).drop("__e")
-            .filter((F.col("w") > 0) & (F.col("rep") < reps)))
+    return b.select(*df.columns, F.inline(four)).filter((F.col("w") > 0) & (F.col("rep") < reps))
 
 
 def bootstrap_increment(oof: DataFrame, subject: str, base: str, aug: str, reps: int) -> DataFrame:

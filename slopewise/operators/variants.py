@@ -89,7 +89,7 @@ def pseudo_p(df: DataFrame, keys: list[str], p: str, strength: str, pos: str, id
              ) -> DataFrame:
     """p as is, and rank * 1e-300 for the underflowed zeros, strongest first."""
     zero = df.filter(F.col(p) == 0).withColumns({"__neg": -F.col(strength), "__pos": -F.col(pos)})
-    ranked = number_rows(zero, keys, "__neg", ["__pos", ident], "__r")
+    ranked = number_rows(zero, keys, "__neg", ["__pos", ident], "__r", materialise=True)
     done = ranked.withColumn(name, F.col("__r") * F.lit(1e-300)).drop("__r", "__neg", "__pos")
     return df.filter((F.col(p) != 0) | F.col(p).isNull()).withColumn(name, F.col(p)).unionByName(done)
 

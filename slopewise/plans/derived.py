@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -118,7 +120,15 @@ CUSTOMERS = f"""cust AS (
                       FROM orders GROUP BY o_custkey) o ON c_custkey = o_custkey)"""
 
 # ---- association tables -----------------------------------------------------------
-# One variant per part; platform a / b by line status. Exposure: price on quantity. Outcome: discounted price on quantity.
+# One variant per part; platform a / b by line status. Exposure: a part-specific multiple of the quantity plus the price as
+# noise, on quantity. Outcome: a smaller multiple plus the discount as noise, on quantity.
+EXP_Y = ("l_quantity * 0.01 * (l_partkey % 7 + 3) * CASE WHEN l_partkey % 3 = 0 THEN -1.0 ELSE 1.0 END + l_extendedprice / 100000.0")
+OUT_Y = ("l_quantity * 0.002 * (l_partkey % 5 - 2) * CASE WHEN l_partkey % 3 = 0 THEN -1.0 ELSE 1.0 END + l_discount * 10.0")
+
+
+def _as_double(text: str) -> str:
+    """Decimal literals as doubles, so that both engines compute in floating point."""
+    return re.sub(r"(?<![\w.])(\d+\.\d+)", r"CAST(\1 AS DOUBLE)", text)
 
 
 def _allele(k: Column, first: bool) -> Column:
@@ -144,7 +154,7 @@ def _se_sql() -> str:
 
 def exposures(t: Tables) -> DataFrame:
     """Summary statistics with the columns of an instrument table, before any filter."""
-    g = _regression(t, F.col("l_extendedprice") / 10000.0, ["l_partkey", "l_linestatus"])
+    g = _regression(t, F.expr(_as_double(EXP_Y)), ["l_partkey", "l_linestatus"])
     h, h2, h3 = (hash_word("l_partkey", F.lit(s)) for s in ("al", "ef", "id"))
     g = g.select("l_partkey", "l_linestatus", "n", F.col("b").alias("beta"), _se().alias("se"))
     p = t.part.select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("protein"))
@@ -173,7 +183,7 @@ EXPOSURES = f"""exposures AS (
                {hw("l_partkey", "'id'")} AS h3
         FROM (SELECT l_partkey, l_linestatus, count(*) AS n, regr_slope(y, x) AS b, regr_sxx(y, x) AS sxx, regr_syy(y, x) AS syy,
                      regr_sxy(y, x) AS sxy
-              FROM (SELECT l_partkey, l_linestatus, l_quantity AS x, l_extendedprice / 10000.0::DOUBLE AS y FROM lineitem)
+              FROM (SELECT l_partkey, l_linestatus, l_quantity AS x, {_as_double(EXP_Y)} AS y FROM lineitem)
               GROUP BY l_partkey, l_linestatus)) JOIN part ON p_partkey = l_partkey)
   WHERE se > 0)"""
 
@@ -195,7 +205,7 @@ INSTRUMENTS = EXPOSURES + f""", instruments AS (
 
 def outcomes(t: Tables) -> DataFrame:
     """Outcome associations: some swapped, some in lower case, some mismatched, some without rsid, some missing."""
-    g = _regression(t, F.col("l_extendedprice") * F.col("l_discount") / 10000.0, ["l_partkey"])
+    g = _regression(t, F.expr(_as_double(OUT_Y)), ["l_partkey"])
     g = g.select("l_partkey", F.col("b").alias("b"), _se().alias("se"))
     al, hf, h = (hash_word("l_partkey", F.lit(s)) for s in ("al", "ef", "out"))
     first, second = _allele(al, True), _allele(al, False)
@@ -225,7 +235,7 @@ OUTCOMES = f"""outcomes AS (
   FROM (SELECT l_partkey, b, {_se_sql()} AS se, ['AC','AG','CT','GT','AT','CG'][({hw("l_partkey", "'al'")}) % 6 + 1] AS al,
                {hw("l_partkey", "'ef'")} AS hf, {hw("l_partkey", "'out'")} AS h
         FROM (SELECT l_partkey, count(*) AS n, regr_slope(y, x) AS b, regr_sxx(y, x) AS sxx, regr_syy(y, x) AS syy, regr_sxy(y, x) AS sxy
-              FROM (SELECT l_partkey, l_quantity AS x, l_extendedprice * l_discount / 10000.0::DOUBLE AS y FROM lineitem) GROUP BY l_partkey)))
+              FROM (SELECT l_partkey, l_quantity AS x, {_as_double(OUT_Y)} AS y FROM lineitem) GROUP BY l_partkey)))
   WHERE h % 17 <> 0 AND se > 0)"""
 
 
