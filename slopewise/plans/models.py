@@ -1 +1,187 @@
-"""Queries."""
+"""Cross-validated models, controls, ablations, site validation, nulls."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions.exprs import hash_uniform
+from ..operators import evaluate, folds, linear, logistic, meta, metrics
+from ..operators.linear import Arm, Outcome
+from . import derived as dv
+from .registry import hw, query
+
+EB = Outcome("slope", "var")
+BASE, AUG = ["avg_price"], ["acctbal"]
+
+# Ridge with one and two standardised columns in closed form: folds, training shrinkage, scaling, inner penalty choice.
+_GRID = ", ".join(f"{a!r}::DOUBLE" for a in linear.RIDGE_GRID)
+RIDGE = f"""WITH {dv.CUSTOMERS}, seeds AS (SELECT unnest([0, 1]) AS seed),
+  x AS (SELECT c_custkey AS id, slope AS b, var AS v, avg_price AS p, acctbal AS q, seed, {hw("c_custkey", "seed")} % 5 AS o, {hw("c_custkey", "seed", "'inner'")} % 5 AS g FROM cust, seeds),
+  ff AS (SELECT unnest(range(5)) AS f),
+  pr AS (SELECT seed, f, avg(b) AS mu, greatest(0, var_samp(b) - avg(v)) AS tau2, avg(p) AS mp, stddev_pop(p) AS sp, avg(q) AS mq, stddev_pop(q) AS sq FROM x, ff WHERE o <> f GROUP BY seed, f),
+  z AS (SELECT id, seed, f, o, g, o = f AS test, mu + tau2 / (tau2 + v) * (b - mu) AS y, (p - mp) / sp AS a, (q - mq) / sq AS c FROM x JOIN pr USING (seed)),
+  gr AS (SELECT unnest([{_GRID}]) AS alpha, unnest(range(7)) AS ai),
+  sets AS (SELECT seed, f, h, count(*) AS n, avg(y) AS my, avg(a) AS ma, avg(c) AS mc, var_pop(a) * count(*) AS saa, var_pop(c) * count(*) AS scc, covar_pop(a, c) * count(*) AS sac,
+             covar_pop(a, y) * count(*) AS say, covar_pop(c, y) * count(*) AS scy FROM z, (SELECT unnest(range(6)) AS h) WHERE NOT test AND g <> h GROUP BY seed, f, h),
+  fit AS (SELECT seed, f, h, ai, my, ma, mc, say / (saa + alpha) AS b1, ((scc + alpha) * say - sac * scy) / ((saa + alpha) * (scc + alpha) - sac^2) AS a1, ((saa + alpha) * scy - sac * say) / ((saa + alpha) * (scc + alpha) - sac^2) AS a2 FROM sets, gr),
+  sc AS (SELECT z.seed, z.f, h, ai, 1 - sum((y - (my + b1 * (a - ma)))^2) / regr_syy(y, y) AS rb, 1 - sum((y - (my + a1 * (a - ma) + a2 * (c - mc)))^2) / regr_syy(y, y) AS ra
+         FROM z JOIN fit ON z.seed = fit.seed AND z.f = fit.f AND z.g = fit.h WHERE NOT test AND h < 5 GROUP BY z.seed, z.f, h, ai),
+  av AS (SELECT seed, f, ai, avg(rb) AS rb, avg(ra) AS ra FROM sc GROUP BY seed, f, ai),
+  pick AS (SELECT seed, f, min(ai) FILTER (WHERE rb >= tb - 1e-12) AS ib, min(ai) FILTER (WHERE ra >= ta - 1e-12) AS ia FROM (SELECT *, max(rb) OVER w AS tb, max(ra) OVER w AS ta FROM av WINDOW w AS (PARTITION BY seed, f)) GROUP BY seed, f),
+  oof AS (SELECT z.seed, z.f AS fold, id AS c_custkey, y, m.my + m.b1 * (a - m.ma) AS pred_base, k.my + k.a1 * (a - k.ma) + k.a2 * (c - k.mc) AS pred_aug
+          FROM z JOIN pick USING (seed, f) JOIN fit m ON m.seed = z.seed AND m.f = z.f AND m.h = 5 AND m.ai = ib JOIN fit k ON k.seed = z.seed AND k.f = z.f AND k.h = 5 AND k.ai = ia WHERE test)"""
+
+
+@query("nested_cv_ridge", "seed:i fold:i c_custkey:i y:d pred_base:d pred_aug:d", f"{RIDGE} SELECT * FROM oof")
+def _(t):
+    return evaluate.paired_increment_cv(dv.customer_features(t), "c_custkey", EB, BASE, AUG, seeds=[0, 1])
+
+
+@query("paired_increment_cv", "n:i r2_base:d r2_aug:d dr2:d dr2_lo:d dr2_hi:d",
+       f"""{RIDGE}, s AS (SELECT seed, count(*) AS n, 1 - sum((y - pred_base)^2) / regr_syy(y, y) AS b, 1 - sum((y - pred_aug)^2) / regr_syy(y, y) AS a FROM oof GROUP BY seed)
+           SELECT max(n) FILTER (WHERE seed = 0) AS n, max(b) FILTER (WHERE seed = 0) AS r2_base, max(a) FILTER (WHERE seed = 0) AS r2_aug, max(a - b) FILTER (WHERE seed = 0) AS dr2,
+                  min(a - b) AS dr2_lo, max(a - b) AS dr2_hi FROM s""")
+def _(t):
+    oof = evaluate.paired_increment_cv(dv.customer_features(t), "c_custkey", EB, BASE, AUG, seeds=[0, 1])
+    return metrics.increment_range(metrics.paired_increment(oof, "pred_base", "pred_aug", ["seed"]), 0)
+
+
+@query("paired_increment_unshrunken", "n:i r2_base:d r2_aug:d dr2:d dr2_lo:d dr2_hi:d")
+def _(t):
+    oof = evaluate.paired_increment_cv(dv.customer_features(t), "c_custkey", Outcome("slope"), BASE, AUG, seeds=[0, 1])
+    return metrics.increment_range(metrics.paired_increment(oof, "pred_base", "pred_aug", ["seed"]), 0)
+
+
+FEATURES = ["avg_price", "max_price", "share_f", "n_orders", "acctbal", "gappy"]
+ARMS = [Arm("established_ridge", ("avg_price", "n_orders")), Arm("rich_elastic_net", tuple(FEATURES), kind="elastic_net", grid=linear.ELASTIC_GRID),
+        Arm("rich_ridge", tuple(FEATURES)), Arm("rich_ridge_loo", tuple(FEATURES), grid=linear.LOO_GRID, tune="loo")]
+
+
+@query("benchmark_arms", "arm:s r2:d repeat_lo:d repeat_hi:d n_repeats:i n:i r2_fold_mean:d")
+def _(t):
+    oof = linear.nested_cv(dv.customer_features(t), "c_custkey", EB, ARMS, seeds=[0, 1])
+    return metrics.repeat_summary(linear.long_predictions(oof, [a.name for a in ARMS], ["seed", "fold"]), ["arm"], 0)
+
+
+@query("embedding_ridge", "arm:s r2:d repeat_lo:d repeat_hi:d n_repeats:i n:i r2_fold_mean:d")
+def _(t):
+    """A wide arm (every dimension) against a narrow one, on the vectors' label."""
+    width = 64
+    e = t.embeddings.select("vec_id", F.col("label").cast("double").alias("label"), *[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(width)])
+    arms = [Arm("narrow", tuple(f"e{i}" for i in range(10))), Arm("wide", tuple(f"e{i}" for i in range(width)))]
+    oof = linear.nested_cv(e, "vec_id", Outcome("label"), arms, seeds=[0, 1])
+    return metrics.repeat_summary(linear.long_predictions(oof, ["narrow", "wide"], ["seed", "fold"]), ["arm"], 0)
+
+
+@query("ridge_leave_one_out", "seed:i fold:i c_custkey:i pred_loo:d")
+def _(t):
+    return linear.nested_cv(dv.customer_features(t), "c_custkey", EB, [Arm("loo", ("avg_price", "acctbal"), grid=linear.LOO_GRID, tune="loo")])
+
+
+@query("elastic_net_cv", "seed:i fold:i c_custkey:i pred_net:d")
+def _(t):
+    return linear.nested_cv(dv.customer_features(t), "c_custkey", EB, [Arm("net", tuple(FEATURES), kind="elastic_net", grid=linear.ELASTIC_GRID)])
+
+
+@query("control_arms", "control:s n:i r2_base:d r2_aug:d dr2:d dr2_lo:d dr2_hi:d")
+def _(t):
+    f = dv.customer_features(t).withColumn("noise", hash_uniform("c_custkey", F.lit("control")))
+    return evaluate.control_arms(f, "c_custkey", EB, {
+        "anchor": (["avg_price"], ["acctbal"]), "negative": (["avg_price"], ["noise"]), "technical": (["avg_price"], ["n_orders"]),
+        "positive": (["acctbal"], ["avg_price"])}, seeds=[0, 1])
+
+
+@query("block_ablation", "subset:s n:i r2_base:d r2_aug:d dr2:d dr2_lo:d dr2_hi:d")
+def _(t):
+    return evaluate.ablation(dv.customer_features(t), "c_custkey", EB, ["n_orders"], ["avg_price", "acctbal", "share_f"], seeds=[0, 1])
+
+
+@query("permutation_null", "rep:i n:i r2_base:d r2_aug:d dr2:d")
+def _(t):
+    return evaluate.permutation_null(dv.customer_features(t), "c_custkey", EB, ["n_orders"], ["avg_price", "acctbal"], n_perm=20)
+
+
+@query("permutation_p", "observed:d n_perm:i null_mean:d null_sd:d p_raw:d p_corrected:d")
+def _(t):
+    null = evaluate.permutation_null(dv.customer_features(t), "c_custkey", EB, ["n_orders"], ["avg_price", "acctbal"], n_perm=20)
+    return evaluate.permutation_p(null)
+
+
+@query("noise_floor", "n_draws:i mean:d sd:d min:d max:d p95:d z:d")
+def _(t):
+    draws = evaluate.noise_floor(dv.customer_features(t), "c_custkey", EB, ["avg_price"], width=5, draws=list(range(20)))
+    return evaluate.noise_summary(draws, "dr2", F.lit(0.05))
+
+
+def _sites(t):
+    """Customers with their site (nation) and the site label shuffled over them with equal sizes."""
+    f = folds.cluster_folds(dv.customer_features(t), "c_custkey", "c_nationkey", 20).withColumnRenamed("fold", "site")
+    shuffled = folds.shuffled_labels(f.select("c_custkey", "site"), "c_custkey", ["site"], [1]).select("c_custkey", F.col("site").alias("random_site"))
+    return f.join(shuffled, "c_custkey")
+
+
+def _site_oof(t):
+    return evaluate.cluster_cv(_sites(t), "c_custkey", EB, ["avg_price"], ["acctbal"], {0: "site", 1: "random_site"}, inner_k=3)
+
+
+@query("site_validation", "cluster:i n:i r2_base:d r2_aug:d dr2:d cal_slope:d cal_slope_se:d")
+def _(t):
+    return evaluate.cluster_metrics(_site_oof(t).filter(F.col("seed") == 0), "cluster", 20)
+
+
+@query("site_against_random", "scheme:s n:i r2_base:d r2_aug:d dr2:d")
+def _(t):
+    oof = _site_oof(t).withColumn("scheme", F.when(F.col("seed") == 0, "site").otherwise("random"))
+    return metrics.paired_increment(oof, "pred_base", "pred_aug", ["scheme"])
+
+
+@query("site_calibration_pooling", "k:i estimate:d se:d ci_lo:d ci_hi:d tau2:d i2_percent:d pi_lo:d pi_hi:d")
+def _(t):
+    sites = evaluate.cluster_metrics(_site_oof(t).filter(F.col("seed") == 0), "cluster", 20).filter(F.col("cluster") != -1)
+    return meta.random_effects(sites, [], "cal_slope", "cal_slope_se")
+
+
+# ---- binary outcomes -----------------------------------------------------------------------
+
+
+@query("logistic_cv", "seed:i fold:i c_custkey:i y:i pred:d")
+def _(t):
+    return logistic.logistic_cv(dv.customer_features(t), "c_custkey", "label", ["avg_price", "acctbal", "n_orders"])
+
+
+@query("logistic_nested_auc", "auc:d auc_lo:d auc_hi:d")
+def _(t):
+    oof = logistic.logistic_cv(dv.customer_features(t), "c_custkey", "label", ["avg_price", "acctbal", "n_orders"], seeds=[0, 1], inner_k=3, grid=(0.01, 0.1, 1.0))
+    return logistic.repeated_auc(oof, [])
+
+
+@query("recalibrated_scores", "kind:s auc:d brier:d ece:d")
+def _(t):
+    oof = logistic.recalibrated_cv(dv.customer_features(t), "c_custkey", "label", ["avg_price", "acctbal", "n_orders"])
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(f"p_{k}").alias("p")) for k in ("raw", "platt", "isotonic")]))
+    long = oof.select("y", each.alias("e")).select("y", "e.kind", "e.p")
+    return (metrics.auc(long, ["kind"], "y", "p").join(metrics.brier(long, ["kind"], "y", "p"), "kind")
+            .join(metrics.ece(long, ["kind"], "y", "p").drop("n"), "kind"))
+
+
+@query("boosted_trees", "n:i r2:d mae:d rmse:d")
+def _(t):
+    oof = logistic.boosted_cv(dv.customer_features(t), "c_custkey", "slope", ["avg_price", "acctbal", "n_orders"], k=3, max_iter=10)
+    return metrics.regression_metrics(oof, [])
+
+
+@query("boosted_classifier", "n_pos:i n_neg:i auc:d")
+def _(t):
+    oof = logistic.boosted_cv(dv.customer_features(t), "c_custkey", "label", ["avg_price", "acctbal", "n_orders"], kind="binary", k=3, max_iter=5)
+    return metrics.auc(oof, [], "y", "pred")
+
+
+@query("item_sensitivity", "item:s auc:d auc_lo:d auc_hi:d")
+def _(t):
+    """The same questionnaire model under alternative items for one question."""
+    f = dv.customer_features(t)
+    parts = None
+    for item in ("share_f", "n_orders", "max_price"):
+        oof = logistic.logistic_cv(f, "c_custkey", "label", ["acctbal", item], seeds=[0, 1]).withColumn("item", F.lit(item))
+        parts = oof if parts is None else parts.unionByName(oof)
+    return logistic.repeated_auc(parts, ["item"])
