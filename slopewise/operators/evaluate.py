@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.exprs import hash_uniform
 from . import metrics
 from .folds import shuffled_labels
-from .linear import Arm, Outcome, fit_folds, long_predictions, nested_cv, predict_folds, prepare
+from .linear import Arm, Design, Outcome, nested_cv, pooled_scores, prepare
 from .ranks import join_on_keys
 
 MARGIN = 0.02
@@ -77,11 +77,21 @@ def permutation_null(df: DataFrame, subject: str, outcome: Outcome, base: list[s
     rest = df.drop(*block)
     permuted = rest.join(shuffled, subject).select("rep", subject, *outcome.columns, *base, *block)
     observed = df.select(F.lit(0).alias("rep"), subject, *outcome.columns, *base, *block)
-    data = observed.unionByName(permuted)
-    arms = [Arm("base", tuple(base), grid=(alpha,)), Arm("aug", tuple([*base, *block]), grid=(alpha,))]
-    d = prepare(data, subject, [*base, *block], outcome, [seed], k, 1, rep="rep")
-    oof = predict_folds(data, d, arms, fit_folds(data, d, arms))
-    return metrics.paired_increment(oof, "pred_base", "pred_aug", ["rep"])
+    # Shuffling moves whole values, so centres, medians and shrinkage of the observed table hold for every rep.
+    d = prepare(observed, subject, [*base, *block], outcome, [seed], k, 1, rep="rep")
+    return _score_pairs(observed.unionByName(permuted), d, base, block, alpha)
+
+
+def _score_pairs(data: DataFrame, d: Design, base: list[str], added: list[str], alpha: float) -> DataFrame:
+    """R2 with and without the added columns per rep, at one fixed penalty, in one pass."""
+    arms = [Arm("base", tuple(base), grid=(alpha,)), Arm("aug", tuple([*base, *added]), grid=(alpha,))]
+    return _pair_up(pooled_scores(data, d, arms), ["rep"])
+
+
+def _pair_up(scores: DataFrame, keys: list[str]) -> DataFrame:
+    g = scores.groupBy(*keys).agg(F.max("n").alias("n"), *[
+        F.max(F.when(F.col("arm") == a, F.col("r2"))).alias(f"r2_{a}") for a in ("base", "aug")])
+    return g.withColumn("dr2", F.col("r2_aug") - F.col("r2_base"))
 
 
 def permutation_p(null: DataFrame, value: str = "dr2", rep: str = "rep") -> DataFrame:
@@ -113,10 +123,8 @@ def noise_floor(df: DataFrame, subject: str, outcome: Outcome, base: list[str],
     """Increment of columns of pure noise, one row per draw."""
     noise = [f"noise{i}" for i in range(width)]
     data = gaussian_block(df.select(subject, *outcome.columns, *base), subject, width, draws)
-    arms = [Arm("base", tuple(base), grid=(alpha,)), Arm("aug", tuple([*base, *noise]), grid=(alpha,))]
     d = prepare(data, subject, [*base, *noise], outcome, [seed], k, 1, rep="rep")
-    oof = predict_folds(data, d, arms, fit_folds(data, d, arms))
-    return metrics.paired_increment(oof, "pred_base", "pred_aug", ["rep"])
+    return _score_pairs(data, d, base, noise, alpha)
 
 
 def noise_summary(draws: DataFrame, value: str, observed: Column) -> DataFrame:
@@ -136,14 +144,11 @@ def control_arms(df: DataFrame, subject: str, outcome: Outcome, specs: dict[str,
     arms = []
     for name, (base, added) in specs.items():
         arms += [Arm(f"{name}__base", tuple(base)), Arm(f"{name}__aug", tuple([*base, *added]))]
-    oof = nested_cv(df, subject, outcome, arms, k=k, inner_k=inner_k, seeds=seeds)
-    long = long_predictions(oof, [a.name for a in arms], ["seed"])
-    r2 = metrics.regression_metrics(long, ["arm", "seed"]).withColumns(
-        {"control": F.substring_index("arm", "__", 1), "role": F.substring_index("arm", "__", -1)})
-    per = r2.groupBy("control", "seed").agg(
-        F.max("n").alias("n"), F.max(F.when(F.col("role") == "base", F.col("r2"))).alias("r2_base"),
-        F.max(F.when(F.col("role") == "aug", F.col("r2"))).alias("r2_aug"))
-    return metrics.increment_range(per.withColumn("dr2", F.col("r2_aug") - F.col("r2_base")), seeds[0], ["control"])
+    features = sorted({c for a in arms for c in a.columns})
+    d = prepare(df, subject, features, outcome, seeds, k, inner_k)
+    r2 = pooled_scores(df, d, arms).select(
+        F.substring_index("arm", "__", 1).alias("control"), F.substring_index("arm", "__", -1).alias("arm"), "seed", "n", "r2")
+    return metrics.increment_range(_pair_up(r2, ["control", "seed"]), seeds[0], ["control"])
 
 
 def check_anchor(found: DataFrame, expected: float, tol: float, column: str = "dr2") -> DataFrame:

@@ -6,11 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import is_palindrome, numeric_chrom
+from ..session import cut_lineage
 
 # Allele-frequency band and margin for palindromic variants.
 BAND_LO, BAND_HI, MARGIN = 0.42, 0.58, 0.05
 
-EXPOSURE = ["protein", "platform", "rsid", "chrom", "pos", "effectAllele", "otherAllele", "eaf", "beta", "se", "palindromic"]
 HARMONISED = ["protein", "platform", "rsid", "chrom", "pos", "effectAllele", "otherAllele", "eaf_exp", "eaf_out",
               "beta_exp", "se_exp", "beta_out", "se_out", "aligned", "palindromic", "strand_resolved", "outcome_source"]
 
@@ -123,8 +123,19 @@ def resolve_palindromes(aligned: DataFrame, eaf: str = "eaf", lo: float = BAND_L
         "eaf_out": F.when(F.col("__turn"), 1.0 - F.col("eaf_out")).otherwise(F.col("eaf_out"))}).drop("__turn")
 
 
+def prepared_sides(exposure: DataFrame, outcome: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both sides written once: the exposures, and the outcome rows any of them asks for.
+
+    The outcome table is by far the largest input. It is scanned once here, by `prune_outcome`; the joins
+    by rsid, by position and for the unmatched then read the pruned rows only.
+    """
+    small = cut_lineage(exposure)
+    return small, cut_lineage(prune_outcome(outcome, small))
+
+
 def harmonise(exposure: DataFrame, outcome: DataFrame, route: list[str] | None = None) -> DataFrame:
     """Join with fallback, align, resolve strands; the fixed column list of harmonised pairs."""
+    exposure, outcome = prepared_sides(exposure, outcome)
     done = resolve_palindromes(align_alleles(join_with_fallback(exposure, outcome, route)))
     done = done.withColumnsRenamed({"eaf": "eaf_exp", "beta": "beta_exp", "se": "se_exp"})
     if "outcome_source" not in done.columns:

@@ -29,7 +29,7 @@ from .ranks import cumulate
 # Penalty grids.
 RIDGE_GRID = (0.001, 0.01, 0.1, 1.0, 10.0, 100.0, 1000.0)
 ELASTIC_GRID = tuple((a, l1) for a in (0.001, 0.01, 0.1, 1.0, 10.0) for l1 in (0.1, 0.5, 0.9))
-LOO_GRID = tuple(10.0 ** e for e in np.linspace(-3.0, 3.0, 25))
+LOO_GRID = tuple(float(10.0 ** e) for e in np.linspace(-3.0, 3.0, 25))
 
 
 @dataclass(frozen=True)
@@ -175,8 +175,8 @@ def _emit(acc: dict[tuple[int, int, int, int, int], np.ndarray]) -> Iterator[pa.
             names=["rep", "seed", "kind", "a", "g", "pos", "val"])
 
 
-def fold_sums(df: DataFrame, d: Design) -> dict[tuple[int, int, int, int, int], np.ndarray]:
-    """Cross products per cell, summed over all partitions.
+def fold_sums(df: DataFrame, d: Design, held_out: bool = False) -> dict[tuple[int, int, int, int, int], np.ndarray]:
+    """Cross products per cell, summed over all partitions; with `held_out` also the test folds' outcome sums.
 
     Each task folds its rows into one small array per cell; only those leave
     the task, and Spark adds them up by (cell, position). What reaches the
@@ -209,6 +209,9 @@ def fold_sums(df: DataFrame, d: Design) -> dict[tuple[int, int, int, int, int],
                             if m.any():
                                 ym = y[m]
                                 add((int(rep), s, 1, f, b), np.concatenate([ym @ z[m], [ym @ ym]]))
+                        if held_out and (o == f).any():
+                            yt = y[o == f]
+                            add((int(rep), s, 2, f, 0), np.concatenate([yt @ z[o == f], [yt @ yt]]))
         yield from _emit(acc)
 
     sums = (_design_rows(df, d).mapInArrow(partial, CELL)
@@ -235,6 +238,7 @@ class _Train:
     mean: np.ndarray
     scale: np.ndarray
     fill: np.ndarray      # raw units
+    basis: np.ndarray     # stored columns -> intercept and standardised columns
 
 
 def _training_set(sums, d: Design, arm: Arm, rep: int, seed: int, fold: int) -> _Train | None:
@@ -268,7 +272,7 @@ def _training_set(sums, d: Design, arm: Arm, rep: int, seed: int, fold: int) ->
     std[0, 1:] = -mean / scale
     std[1:, 1:] = np.diag(1.0 / scale)
     m = to_filled @ std
-    return _Train(m.T @ raw @ m, cross @ m, yy, mean, scale, fill)
+    return _Train(m.T @ raw @ m, cross @ m, yy, mean, scale, fill, m)
 
 
 def _fit(gram: np.ndarray, cross: np.ndarray, kind: str, grid: tuple) -> np.ndarray:
@@ -324,6 +328,34 @@ def _choose_inner(t: _Train, arm: Arm) -> int:
     return int(np.flatnonzero(mean >= mean.max() - 1e-12)[0])
 
 
+def pooled_scores(df: DataFrame, d: Design, arms: list[Arm]) -> DataFrame:
+    """Pooled out-of-fold R2 per (rep, arm, seed) from the sums alone: one pass over the rows.
+
+    A test fold's squared error is y'y - 2 b'X'y + b'X'Xb, so no row is predicted. Meant for the many runs
+    (permutations, noise draws, control arms, subsets) of which only the score is wanted.
+    """
+    sums = fold_sums(df, d, held_out=True)
+    q = d.width
+    out = []
+    for rep in sorted({key[0] for key in sums}):
+        for seed in d.seeds:
+            for arm in arms:
+                n = sy = syy = sse = 0.0
+                for f in range(d.k):
+                    held = sums.get((rep, seed, 2, f, 0))
+                    t = _training_set(sums, d, arm, rep, seed, f)
+                    if held is None or t is None:
+                        continue
+                    pick = _choose_inner(t, arm) if len(arm.grid) > 1 else 0
+                    coef = _fit(t.gram.sum(0), t.cross.sum(0), arm.kind, (arm.grid[pick],))[0]
+                    gram = sum(sums[rep, seed, 0, f, b] for b in range(d.inner_k) if (rep, seed, 0, f, b) in sums)
+                    sse += _sse(t.basis.T @ gram @ t.basis, held[:q] @ t.basis, held[q], coef)
+                    n, sy, syy = n + gram[0, 0], sy + held[0], syy + held[q]
+                sst = syy - sy * sy / n if n else 0.0
+                out.append((rep, arm.name, seed, int(n), float(1.0 - sse / sst) if sst > 0 else None))
+    return df.sparkSession.createDataFrame(out, "rep int, arm string, seed int, n long, r2 double")
+
+
 def fit_folds(df: DataFrame, d: Design, arms: list[Arm]) -> list[dict]:
     """Coefficients of every (rep, arm, seed, fold) in raw units."""
     sums = fold_sums(df, d)

@@ -138,9 +138,9 @@ def _allele(k: Column, first: bool) -> Column:
 
 def _regression(t: Tables, y: Column, keys: list[str]) -> DataFrame:
     rows = t.lineitem.select("l_partkey", "l_linestatus", F.col("l_quantity").alias("x"), y.alias("y"))
-    return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.regr_slope("y", "x").alias("b"),
-                                   F.regr_sxx("y", "x").alias("sxx"), F.regr_syy("y", "x").alias("syy"),
-                                   F.regr_sxy("y", "x").alias("sxy"))
+    g = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.regr_sxx("y", "x").alias("sxx"), F.regr_syy("y", "x").alias("syy"),
+                                F.regr_sxy("y", "x").alias("sxy"))
+    return g.withColumn("b", F.when(F.col("sxx") > 0, F.col("sxy") / F.col("sxx")))
 
 
 def _se() -> Column:
@@ -155,8 +155,9 @@ def _se_sql() -> str:
 def exposures(t: Tables) -> DataFrame:
     """Summary statistics with the columns of an instrument table, before any filter."""
     g = _regression(t, F.expr(_as_double(EXP_Y)), ["l_partkey", "l_linestatus"])
-    h, h2, h3 = (hash_word("l_partkey", F.lit(s)) for s in ("al", "ef", "id"))
-    g = g.select("l_partkey", "l_linestatus", "n", F.col("b").alias("beta"), _se().alias("se"))
+    g = g.select("l_partkey", "l_linestatus", "n", F.col("b").alias("beta"), _se().alias("se"),
+                 *[hash_word("l_partkey", F.lit(s)).alias(f"h_{s}") for s in ("al", "ef", "id")])
+    h, h2, h3 = F.col("h_al"), F.col("h_ef"), F.col("h_id")
     p = t.part.select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("protein"))
     chrom = F.pmod(F.col("l_partkey"), F.lit(22)) + 1
     rows = g.join(p, "l_partkey").select(
@@ -206,8 +207,8 @@ INSTRUMENTS = EXPOSURES + f""", instruments AS (
 def outcomes(t: Tables) -> DataFrame:
     """Outcome associations: some swapped, some in lower case, some mismatched, some without rsid, some missing."""
     g = _regression(t, F.expr(_as_double(OUT_Y)), ["l_partkey"])
-    g = g.select("l_partkey", F.col("b").alias("b"), _se().alias("se"))
-    al, hf, h = (hash_word("l_partkey", F.lit(s)) for s in ("al", "ef", "out"))
+    g = g.select("l_partkey", "b", _se().alias("se"), *[hash_word("l_partkey", F.lit(s)).alias(f"h_{s}") for s in ("al", "ef", "out")])
+    al, hf, h = F.col("h_al"), F.col("h_ef"), F.col("h_out")
     first, second = _allele(al, True), _allele(al, False)
     eaf = 0.02 + 0.96 * (hf % 1000) / 1000.0
     near = F.greatest(F.lit(0.01), F.least(F.lit(0.99), eaf + (h % 100 - 50) / 1000.0))

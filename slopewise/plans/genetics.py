@@ -153,7 +153,7 @@ def _(t):
 
 @query("join_with_fallback", "protein:s platform:s Name:s rsid:s rsid_out:s pos_out:i matched_by:s", f"WITH {dv.JOINED} SELECT * FROM joined")
 def _(t):
-    return hz.join_with_fallback(dv.instruments(t), dv.outcomes(t))
+    return hz.join_with_fallback(*hz.prepared_sides(dv.instruments(t), dv.outcomes(t)))
 
 
 ROUTE = dv.INSTRUMENTS + ", " + dv.OUTCOMES + """, routed AS (SELECT *, CASE WHEN protein = 'Brand#1' THEN 'x_study' ELSE 'main' END AS src FROM instruments),
@@ -168,21 +168,21 @@ def _(t):
     routed = hz.route_outcomes(dv.instruments(t), {"Brand#1": "x_study"}, "main")
     o = dv.outcomes(t)
     tagged = o.withColumn("outcome_source", F.lit("main")).unionByName(o.filter(F.col("pos_out") % 3000 == 1000).withColumn("outcome_source", F.lit("x_study")))
-    return hz.join_with_fallback(routed, tagged, ["outcome_source"])
+    return hz.join_with_fallback(*hz.prepared_sides(routed, tagged), ["outcome_source"])
 
 
 @query("absent_instruments", "protein:s platform:s n_absent:i",
        f"""WITH {dv.INSTRUMENTS}, {dv.OUTCOMES} SELECT protein, platform, count(*) AS n_absent FROM instruments i WHERE NOT EXISTS (SELECT 1 FROM outcomes o WHERE o.rsid_out = i.rsid)
              AND NOT EXISTS (SELECT 1 FROM outcomes o WHERE CASE WHEN i.chrom = 'X' THEN '23' ELSE i.chrom END = o.chrom_out AND i.pos = o.pos_out) GROUP BY protein, platform""")
 def _(t):
-    return hz.absent_instruments(dv.instruments(t), dv.outcomes(t), ["protein", "platform"])
+    return hz.absent_instruments(*hz.prepared_sides(dv.instruments(t), dv.outcomes(t)), ["protein", "platform"])
 
 
 @query("alignment_counts", "protein:s platform:s n_direct:i n_swapped:i n_incompatible:i",
        f"""WITH {dv.ALIGNED} SELECT protein, platform, count(*) FILTER (WHERE m = 'direct') AS n_direct, count(*) FILTER (WHERE m = 'swapped') AS n_swapped,
            count(*) FILTER (WHERE m = 'incompatible') AS n_incompatible FROM matched GROUP BY protein, platform""")
 def _(t):
-    return hz.alignment_counts(hz.join_with_fallback(dv.instruments(t), dv.outcomes(t)), ["protein", "platform"])
+    return hz.alignment_counts(hz.join_with_fallback(*hz.prepared_sides(dv.instruments(t), dv.outcomes(t))), ["protein", "platform"])
 
 
 @query("harmonised_pairs", "protein:s platform:s rsid:s pos:i eaf_exp:d eaf_out:d beta_exp:d beta_out:d8 se_out:d8 palindromic:b strand_resolved:b",
@@ -352,7 +352,7 @@ def _(t):
 
 
 def _coloc_pairs(t):
-    j = hz.align_alleles(hz.join_with_fallback(dv.instruments(t).filter(F.col("rsid").isNotNull()), dv.outcomes(t)).filter(F.col("matched_by") == "rsid"),
+    j = hz.align_alleles(hz.join_with_fallback(*hz.prepared_sides(dv.instruments(t).filter(F.col("rsid").isNotNull()), dv.outcomes(t))).filter(F.col("matched_by") == "rsid"),
                          drop_palindromic=True)
     return j.withColumnsRenamed({"beta": "b0", "se": "s0"}).withColumns({"beta_exp": F.col("b0") / 10, "se_exp": F.col("s0") / 3, "se_out": F.col("se_out") * 2})
 
@@ -388,7 +388,7 @@ def _(t):
 def _(t):
     keys, i = ["protein", "platform"], dv.instruments(t)
     sg = coloc.signal_counts(i.filter(F.col("pval") < 1e-9), keys)
-    h = hz.align_alleles(hz.join_with_fallback(i, dv.outcomes(t))).groupBy(*keys).agg(F.count(F.lit(1)).alias("nh"))
+    h = hz.align_alleles(hz.join_with_fallback(*hz.prepared_sides(i, dv.outcomes(t)))).groupBy(*keys).agg(F.count(F.lit(1)).alias("nh"))
     pn = i.filter(F.col("chrom").isin("1", "2", "3")).groupBy(*keys).agg(F.count(F.lit(1)).alias("np"))
     return coloc.route_method(sg.join(h, keys, "left").join(pn, keys, "left"), "n_signals", "nh", "np")
 

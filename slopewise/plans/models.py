@@ -8,28 +8,53 @@ from ..functions.exprs import hash_uniform
 from ..operators import evaluate, folds, linear, logistic, meta, metrics
 from ..operators.linear import Arm, Outcome
 from . import derived as dv
-from .registry import hw, query
+from .registry import hu, hw, query
 
 EB = Outcome("slope", "var")
 BASE, AUG = ["avg_price"], ["acctbal"]
 
-# Ridge with one and two standardised columns in closed form: folds, training shrinkage, scaling, inner penalty choice.
 _GRID = ", ".join(f"{a!r}::DOUBLE" for a in linear.RIDGE_GRID)
-RIDGE = f"""WITH {dv.CUSTOMERS}, seeds AS (SELECT unnest([0, 1]) AS seed),
-  x AS (SELECT c_custkey AS id, slope AS b, var AS v, avg_price AS p, acctbal AS q, seed, {hw("c_custkey", "seed")} % 5 AS o, {hw("c_custkey", "seed", "'inner'")} % 5 AS g FROM cust, seeds),
-  ff AS (SELECT unnest(range(5)) AS f),
-  pr AS (SELECT seed, f, avg(b) AS mu, greatest(0, var_samp(b) - avg(v)) AS tau2, avg(p) AS mp, stddev_pop(p) AS sp, avg(q) AS mq, stddev_pop(q) AS sq FROM x, ff WHERE o <> f GROUP BY seed, f),
-  z AS (SELECT id, seed, f, o, g, o = f AS test, mu + tau2 / (tau2 + v) * (b - mu) AS y, (p - mp) / sp AS a, (q - mq) / sq AS c FROM x JOIN pr USING (seed)),
-  gr AS (SELECT unnest([{_GRID}]) AS alpha, unnest(range(7)) AS ai),
+
+
+def ridge_sql(rows: str, grid: str = _GRID, inner_k: int = 5, y: str = "mu + tau2 / (tau2 + v) * (b - mu)") -> str:
+    """Cross-validated ridge on one (p) and two (p, q) columns in closed form: training shrinkage, scaling, inner penalty choice.
+
+    `rows` is SQL text that ends in a table x(id, seed, b, v, p, q, o, g); seed may be any run label.
+    """
+    n_grid = grid.count("::DOUBLE")
+    pick = """SELECT seed, f, min(ai) FILTER (WHERE rb >= tb - 1e-12) AS ib, min(ai) FILTER (WHERE ra >= ta - 1e-12) AS ia
+              FROM (SELECT *, max(rb) OVER w AS tb, max(ra) OVER w AS ta FROM av WINDOW w AS (PARTITION BY seed, f)) GROUP BY seed, f"""
+    if n_grid == 1:
+        pick = "SELECT DISTINCT seed, f, 0 AS ib, 0 AS ia FROM sets"
+    return f"""{rows}, ff AS (SELECT DISTINCT seed, o AS f FROM x),
+  pr AS (SELECT x.seed, f, avg(b) AS mu, greatest(0, var_samp(b) - avg(v)) AS tau2, avg(p) AS mp, stddev_pop(p) AS sp, avg(q) AS mq, stddev_pop(q) AS sq FROM x JOIN ff ON x.seed = ff.seed AND o <> f GROUP BY x.seed, f),
+  z AS (SELECT id, seed, f, o, g, o = f AS test, {y} AS y, (p - mp) / sp AS a, (q - mq) / sq AS c FROM x JOIN pr USING (seed)),
+  gr AS (SELECT unnest([{grid}]) AS alpha, unnest(range({n_grid})) AS ai),
   sets AS (SELECT seed, f, h, count(*) AS n, avg(y) AS my, avg(a) AS ma, avg(c) AS mc, var_pop(a) * count(*) AS saa, var_pop(c) * count(*) AS scc, covar_pop(a, c) * count(*) AS sac,
-             covar_pop(a, y) * count(*) AS say, covar_pop(c, y) * count(*) AS scy FROM z, (SELECT unnest(range(6)) AS h) WHERE NOT test AND g <> h GROUP BY seed, f, h),
+             covar_pop(a, y) * count(*) AS say, covar_pop(c, y) * count(*) AS scy FROM z, (SELECT unnest(range({inner_k + 1})) AS h) WHERE NOT test AND g <> h GROUP BY seed, f, h),
   fit AS (SELECT seed, f, h, ai, my, ma, mc, say / (saa + alpha) AS b1, ((scc + alpha) * say - sac * scy) / ((saa + alpha) * (scc + alpha) - sac^2) AS a1, ((saa + alpha) * scy - sac * say) / ((saa + alpha) * (scc + alpha) - sac^2) AS a2 FROM sets, gr),
   sc AS (SELECT z.seed, z.f, h, ai, 1 - sum((y - (my + b1 * (a - ma)))^2) / regr_syy(y, y) AS rb, 1 - sum((y - (my + a1 * (a - ma) + a2 * (c - mc)))^2) / regr_syy(y, y) AS ra
-         FROM z JOIN fit ON z.seed = fit.seed AND z.f = fit.f AND z.g = fit.h WHERE NOT test AND h < 5 GROUP BY z.seed, z.f, h, ai),
+         FROM z JOIN fit ON z.seed = fit.seed AND z.f = fit.f AND z.g = fit.h WHERE NOT test AND h < {inner_k} GROUP BY z.seed, z.f, h, ai),
   av AS (SELECT seed, f, ai, avg(rb) AS rb, avg(ra) AS ra FROM sc GROUP BY seed, f, ai),
-  pick AS (SELECT seed, f, min(ai) FILTER (WHERE rb >= tb - 1e-12) AS ib, min(ai) FILTER (WHERE ra >= ta - 1e-12) AS ia FROM (SELECT *, max(rb) OVER w AS tb, max(ra) OVER w AS ta FROM av WINDOW w AS (PARTITION BY seed, f)) GROUP BY seed, f),
+  pick AS ({pick}),
   oof AS (SELECT z.seed, z.f AS fold, id AS c_custkey, y, m.my + m.b1 * (a - m.ma) AS pred_base, k.my + k.a1 * (a - k.ma) + k.a2 * (c - k.mc) AS pred_aug
-          FROM z JOIN pick USING (seed, f) JOIN fit m ON m.seed = z.seed AND m.f = z.f AND m.h = 5 AND m.ai = ib JOIN fit k ON k.seed = z.seed AND k.f = z.f AND k.h = 5 AND k.ai = ia WHERE test)"""
+          FROM z JOIN pick USING (seed, f) JOIN fit m ON m.seed = z.seed AND m.f = z.f AND m.h = {inner_k} AND m.ai = ib JOIN fit k ON k.seed = z.seed AND k.f = z.f AND k.h = {inner_k} AND k.ai = ia WHERE test)"""
+
+
+def _rows_sql(p: str = "avg_price", q: str = "acctbal") -> str:
+    return f"""WITH {dv.CUSTOMERS}, x AS (SELECT c_custkey AS id, slope AS b, var AS v, {p} AS p, {q} AS q, seed, {hw("c_custkey", "seed")} % 5 AS o,
+      {hw("c_custkey", "seed", "'inner'")} % 5 AS g FROM cust, (SELECT unnest([0, 1]) AS seed))"""
+
+
+RIDGE = ridge_sql(_rows_sql())
+R2 = "count(*) AS n, 1 - sum((y - pred_base)^2) / regr_syy(y, y) AS r2_base, 1 - sum((y - pred_aug)^2) / regr_syy(y, y) AS r2_aug, (sum((y - pred_base)^2) - sum((y - pred_aug)^2)) / regr_syy(y, y) AS dr2"
+
+
+def _range_sql(ridge: str, key: str = "") -> str:
+    lead = f"{key}, " if key else ""
+    return f"""{ridge}, s AS (SELECT {lead}seed, {R2} FROM oof GROUP BY {lead}seed)
+           SELECT {lead}max(n) FILTER (WHERE seed = 0) AS n, max(r2_base) FILTER (WHERE seed = 0) AS r2_base, max(r2_aug) FILTER (WHERE seed = 0) AS r2_aug,
+                  max(dr2) FILTER (WHERE seed = 0) AS dr2, min(dr2) AS dr2_lo, max(dr2) AS dr2_hi FROM s {f"GROUP BY {key}" if key else ""}"""
 
 
 @query("nested_cv_ridge", "seed:i fold:i c_custkey:i y:d pred_base:d pred_aug:d", f"{RIDGE} SELECT * FROM oof")
@@ -37,16 +62,13 @@ def _(t):
     return evaluate.paired_increment_cv(dv.customer_features(t), "c_custkey", EB, BASE, AUG, seeds=[0, 1])
 
 
-@query("paired_increment_cv", "n:i r2_base:d r2_aug:d dr2:d dr2_lo:d dr2_hi:d",
-       f"""{RIDGE}, s AS (SELECT seed, count(*) AS n, 1 - sum((y - pred_base)^2) / regr_syy(y, y) AS b, 1 - sum((y - pred_aug)^2) / regr_syy(y, y) AS a FROM oof GROUP BY seed)
-           SELECT max(n) FILTER (WHERE seed = 0) AS n, max(b) FILTER (WHERE seed = 0) AS r2_base, max(a) FILTER (WHERE seed = 0) AS r2_aug, max(a - b) FILTER (WHERE seed = 0) AS dr2,
-                  min(a - b) AS dr2_lo, max(a - b) AS dr2_hi FROM s""")
+@query("paired_increment_cv", "n:i r2_base:d r2_aug:d dr2:d dr2_lo:d dr2_hi:d", _range_sql(RIDGE))
 def _(t):
     oof = evaluate.paired_increment_cv(dv.customer_features(t), "c_custkey", EB, BASE, AUG, seeds=[0, 1])
     return metrics.increment_range(metrics.paired_increment(oof, "pred_base", "pred_aug", ["seed"]), 0)
 
 
-@query("paired_increment_unshrunken", "n:i r2_base:d r2_aug:d dr2:d dr2_lo:d dr2_hi:d")
+@query("paired_increment_unshrunken", "n:i r2_base:d r2_aug:d dr2:d dr2_lo:d dr2_hi:d", _range_sql(ridge_sql(_rows_sql(), y="b")))
 def _(t):
     oof = evaluate.paired_increment_cv(dv.customer_features(t), "c_custkey", Outcome("slope"), BASE, AUG, seeds=[0, 1])
     return metrics.increment_range(metrics.paired_increment(oof, "pred_base", "pred_aug", ["seed"]), 0)
@@ -73,7 +95,19 @@ def _(t):
     return metrics.repeat_summary(linear.long_predictions(oof, ["narrow", "wide"], ["seed", "fold"]), ["arm"], 0)
 
 
-@query("ridge_leave_one_out", "seed:i fold:i c_custkey:i pred_loo:d")
+_LOO = ", ".join(f"{a!r}::DOUBLE" for a in linear.LOO_GRID)
+LOO = f"""WITH {dv.CUSTOMERS}, x AS (SELECT c_custkey AS id, slope AS b, var AS v, avg_price AS p, acctbal AS q, {hw("c_custkey", "0")} % 5 AS o FROM cust),
+  pr AS (SELECT f, avg(b) AS mu, greatest(0, var_samp(b) - avg(v)) AS tau2, avg(p) AS mp, stddev_pop(p) AS sp, avg(q) AS mq, stddev_pop(q) AS sq FROM x, (SELECT unnest(range(5)) AS f) WHERE o <> f GROUP BY f),
+  z AS (SELECT id, f, o = f AS test, mu + tau2 / (tau2 + v) * (b - mu) AS y, (p - mp) / sp AS a, (q - mq) / sq AS c FROM x, pr),
+  s AS (SELECT f, count(*) AS n, avg(y) AS my, sum(a * a) AS saa, sum(c * c) AS scc, sum(a * c) AS sac, sum(a * y) AS say, sum(c * y) AS scy FROM z WHERE NOT test GROUP BY f),
+  fit AS (SELECT *, (saa + alpha) * (scc + alpha) - sac^2 AS det, ((scc + alpha) * say - sac * scy) / ((saa + alpha) * (scc + alpha) - sac^2) AS b1, ((saa + alpha) * scy - sac * say) / ((saa + alpha) * (scc + alpha) - sac^2) AS b2
+          FROM s, (SELECT unnest([{_LOO}]) AS alpha, unnest(range(25)) AS ai)),
+  e AS (SELECT z.f, ai, sum(((y - my - b1 * a - b2 * c) / (1 - 1.0::DOUBLE / n - ((scc + alpha) * a^2 - 2 * sac * a * c + (saa + alpha) * c^2) / det))^2) AS sse FROM z JOIN fit ON z.f = fit.f WHERE NOT test GROUP BY z.f, ai),
+  best AS (SELECT f, arg_min(ai, sse) AS ai FROM e GROUP BY f)"""
+
+
+@query("ridge_leave_one_out", "seed:i fold:i c_custkey:i pred_loo:d",
+       f"{LOO} SELECT 0 AS seed, z.f AS fold, id AS c_custkey, my + b1 * a + b2 * c AS pred_loo FROM z JOIN best ON best.f = z.f JOIN fit ON fit.f = z.f AND fit.ai = best.ai WHERE test")
 def _(t):
     return linear.nested_cv(dv.customer_features(t), "c_custkey", EB, [Arm("loo", ("avg_price", "acctbal"), grid=linear.LOO_GRID, tune="loo")])
 
@@ -83,12 +117,30 @@ def _(t):
     return linear.nested_cv(dv.customer_features(t), "c_custkey", EB, [Arm("net", tuple(FEATURES), kind="elastic_net", grid=linear.ELASTIC_GRID)])
 
 
-@query("control_arms", "control:s n:i r2_base:d r2_aug:d dr2:d dr2_lo:d dr2_hi:d")
+CONTROLS = {"anchor": ("avg_price", "acctbal"), "negative": ("avg_price", "noise"), "technical": ("avg_price", "n_orders"), "positive": ("acctbal", "avg_price")}
+
+
+def _controls_sql() -> str:
+    noise = hu("c_custkey", "'control'")
+    parts = " UNION ALL ".join(
+        f"""SELECT c_custkey AS id, slope AS b, var AS v, {p} AS p, {q if q != "noise" else noise} AS q, '{name}:' || seed AS seed, {hw("c_custkey", "seed")} % 5 AS o,
+            {hw("c_custkey", "seed", "'inner'")} % 5 AS g FROM cust, (SELECT unnest([0, 1]) AS seed)""" for name, (p, q) in CONTROLS.items())
+    ridge = ridge_sql(f"WITH {dv.CUSTOMERS}, x AS ({parts})")
+    split = ridge + ", oof2 AS (SELECT * REPLACE (CAST(split_part(seed, ':', 2) AS INT) AS seed), split_part(seed, ':', 1) AS control FROM oof)"
+    return _range_sql(split, "control").replace("FROM oof GROUP BY control", "FROM oof2 GROUP BY control")
+
+
+@query("control_arms", "control:s n:i r2_base:d r2_aug:d dr2:d dr2_lo:d dr2_hi:d", _controls_sql())
 def _(t):
     f = dv.customer_features(t).withColumn("noise", hash_uniform("c_custkey", F.lit("control")))
-    return evaluate.control_arms(f, "c_custkey", EB, {
-        "anchor": (["avg_price"], ["acctbal"]), "negative": (["avg_price"], ["noise"]), "technical": (["avg_price"], ["n_orders"]),
-        "positive": (["acctbal"], ["avg_price"])}, seeds=[0, 1])
+    return evaluate.control_arms(f, "c_custkey", EB, {k: ([p], [q]) for k, (p, q) in CONTROLS.items()}, seeds=[0, 1])
+
+
+@query("anchored_control", "control:s n:i dr2:d", f"SELECT control, n, dr2 FROM ({_controls_sql()}) WHERE control = 'anchor'")
+def _(t):
+    f = dv.customer_features(t)
+    got = evaluate.control_arms(f, "c_custkey", EB, {"anchor": (["avg_price"], ["acctbal"])})
+    return evaluate.check_anchor(got, 0.0, 1.0)
 
 
 @query("block_ablation", "subset:s n:i r2_base:d r2_aug:d dr2:d dr2_lo:d dr2_hi:d")
@@ -96,18 +148,50 @@ def _(t):
     return evaluate.ablation(dv.customer_features(t), "c_custkey", EB, ["n_orders"], ["avg_price", "acctbal", "share_f"], seeds=[0, 1])
 
 
-@query("permutation_null", "rep:i n:i r2_base:d r2_aug:d dr2:d")
+N_PERM = 20
+PERM = ridge_sql(f"""WITH {dv.CUSTOMERS}, d AS (SELECT avg_price, row_number() OVER (ORDER BY c_custkey) AS pos FROM cust),
+  k AS (SELECT rep, c_custkey, row_number() OVER (PARTITION BY rep ORDER BY {hu("c_custkey", "rep", "'perm'")}, c_custkey) AS pos FROM cust, (SELECT unnest(range(1, {N_PERM + 1})) AS rep)),
+  sh AS (SELECT rep, k.c_custkey, avg_price FROM k JOIN d USING (pos) UNION ALL SELECT 0, c_custkey, avg_price FROM cust),
+  x AS (SELECT c.c_custkey AS id, slope AS b, var AS v, n_orders AS p, sh.avg_price AS q, rep AS seed, {hw("c.c_custkey", "0")} % 5 AS o, 0 AS g FROM cust c JOIN sh ON sh.c_custkey = c.c_custkey)""",
+                 "1.0::DOUBLE", 1)
+
+
+def _null(t):
+    return evaluate.permutation_null(dv.customer_features(t), "c_custkey", EB, ["n_orders"], ["avg_price"], n_perm=N_PERM)
+
+
+@query("permutation_null", "rep:i n:i r2_base:d r2_aug:d dr2:d", f"{PERM} SELECT seed AS rep, {R2} FROM oof GROUP BY seed")
+def _(t):
+    return _null(t)
+
+
+@query("permutation_p", "observed:d n_perm:i null_mean:d null_sd:d p_raw:d p_corrected:d",
+       f"""{PERM}, r AS (SELECT seed AS rep, {R2} FROM oof GROUP BY seed), o AS (SELECT dr2 AS observed FROM r WHERE rep = 0)
+           SELECT max(observed) AS observed, count(*) AS n_perm, avg(dr2) AS null_mean, stddev_pop(dr2) AS null_sd, avg(CASE WHEN dr2 >= observed THEN 1.0::DOUBLE ELSE 0 END) AS p_raw,
+                  (count(*) FILTER (WHERE dr2 >= observed) + 1) / (count(*) + 1) AS p_corrected FROM r, o WHERE rep > 0""")
 def _(t):
-    return evaluate.permutation_null(dv.customer_features(t), "c_custkey", EB, ["n_orders"], ["avg_price", "acctbal"], n_perm=20)
+    return evaluate.permutation_p(_null(t))
 
 
-@query("permutation_p", "observed:d n_perm:i null_mean:d null_sd:d p_raw:d p_corrected:d")
+NOISE = ridge_sql(f"""WITH {dv.CUSTOMERS}, x AS (SELECT c_custkey AS id, slope AS b, var AS v, avg_price AS p,
+    sqrt(-2 * ln({hu("c_custkey", "rep", "'noise0'")})) * cos(6.283185307179586::DOUBLE * {hu("c_custkey", "rep", "'noise0'", word=1)}) AS q, rep AS seed, {hw("c_custkey", "0")} % 5 AS o, 0 AS g
+  FROM cust, (SELECT unnest(range(20)) AS rep))""", "1.0::DOUBLE", 1)
+
+
+@query("noise_draws", "rep:i n:i r2_base:d r2_aug:d dr2:d", f"{NOISE} SELECT seed AS rep, {R2} FROM oof GROUP BY seed")
+def _(t):
+    return evaluate.noise_floor(dv.customer_features(t), "c_custkey", EB, ["avg_price"], width=1, draws=list(range(20)))
+
+
+@query("noise_summary", "n_draws:i mean:d sd:d min:d max:d p95:d z:d3",
+       f"""{NOISE}, r AS (SELECT seed, {R2} FROM oof GROUP BY seed) SELECT count(*) AS n_draws, avg(dr2) AS mean, stddev_samp(dr2) AS sd, min(dr2) AS min, max(dr2) AS max,
+           quantile_cont(dr2, 0.95) AS p95, (0.05 - avg(dr2)) / stddev_samp(dr2) AS z FROM r""")
 def _(t):
-    null = evaluate.permutation_null(dv.customer_features(t), "c_custkey", EB, ["n_orders"], ["avg_price", "acctbal"], n_perm=20)
-    return evaluate.permutation_p(null)
+    draws = evaluate.noise_floor(dv.customer_features(t), "c_custkey", EB, ["avg_price"], width=1, draws=list(range(20)))
+    return evaluate.noise_summary(draws, "dr2", F.lit(0.05))
 
 
-@query("noise_floor", "n_draws:i mean:d sd:d min:d max:d p95:d z:d")
+@query("noise_floor_five_columns", "n_draws:i mean:d sd:d min:d max:d p95:d z:d")
 def _(t):
     draws = evaluate.noise_floor(dv.customer_features(t), "c_custkey", EB, ["avg_price"], width=5, draws=list(range(20)))
     return evaluate.noise_summary(draws, "dr2", F.lit(0.05))
@@ -124,18 +208,33 @@ def _site_oof(t):
     return evaluate.cluster_cv(_sites(t), "c_custkey", EB, ["avg_price"], ["acctbal"], {0: "site", 1: "random_site"}, inner_k=3)
 
 
-@query("site_validation", "cluster:i n:i r2_base:d r2_aug:d dr2:d cal_slope:d cal_slope_se:d")
+SITE = ridge_sql(f"""WITH {dv.CUSTOMERS}, st AS (SELECT *, CASE WHEN count(*) OVER (PARTITION BY c_nationkey) >= 20 THEN c_nationkey ELSE -1 END AS site, row_number() OVER (ORDER BY c_custkey) AS pos FROM cust),
+  k AS (SELECT c_custkey, row_number() OVER (ORDER BY {hu("c_custkey", "1", "'perm'")}, c_custkey) AS pos FROM cust),
+  r AS (SELECT k.c_custkey, site AS random_site FROM k JOIN st USING (pos)),
+  x AS (SELECT st.c_custkey AS id, slope AS b, var AS v, avg_price AS p, acctbal AS q, seed, CASE WHEN seed = 0 THEN site ELSE random_site END AS o, {hw("st.c_custkey", "seed", "'inner'")} % 3 AS g
+        FROM st JOIN r ON r.c_custkey = st.c_custkey, (SELECT unnest([0, 1]) AS seed))""", inner_k=3)
+CELLS = f"""{SITE}, cells AS (SELECT fold AS cluster, {R2}, regr_slope(y, pred_aug) AS cal_slope,
+  sqrt(greatest(0, regr_syy(y, pred_aug) - regr_slope(y, pred_aug) * regr_sxy(y, pred_aug)) / (count(*) - 2) / regr_sxx(y, pred_aug)) AS cal_slope_se FROM oof WHERE seed = 0 GROUP BY fold HAVING count(*) >= 20)"""
+
+
+@query("site_validation", "cluster:i n:i r2_base:d r2_aug:d dr2:d cal_slope:d cal_slope_se:d", f"{CELLS} SELECT * FROM cells")
 def _(t):
     return evaluate.cluster_metrics(_site_oof(t).filter(F.col("seed") == 0), "cluster", 20)
 
 
-@query("site_against_random", "scheme:s n:i r2_base:d r2_aug:d dr2:d")
+@query("site_against_random", "scheme:s n:i r2_base:d r2_aug:d dr2:d",
+       f"{SITE} SELECT CASE WHEN seed = 0 THEN 'site' ELSE 'random' END AS scheme, {R2} FROM oof GROUP BY seed")
 def _(t):
     oof = _site_oof(t).withColumn("scheme", F.when(F.col("seed") == 0, "site").otherwise("random"))
     return metrics.paired_increment(oof, "pred_base", "pred_aug", ["scheme"])
 
 
-@query("site_calibration_pooling", "k:i estimate:d se:d ci_lo:d ci_hi:d tau2:d i2_percent:d pi_lo:d pi_hi:d")
+@query("site_calibration_pooling", "k:i estimate:d se:d ci_lo:d ci_hi:d tau2:d i2_percent:d",
+       f"""{CELLS}, c AS (SELECT cal_slope AS e, 1 / cal_slope_se^2 AS w FROM cells WHERE cluster <> -1), q AS (SELECT count(*) AS k, sum(w) AS sw, sum(w * w) AS sww, sum(w * e) / sum(w) AS fx FROM c),
+           q2 AS (SELECT max(k) AS k, max(sw) AS sw, max(sww) AS sww, sum(w * (e - fx)^2) AS q FROM c, q),
+           h AS (SELECT k, greatest(0, (q - (k - 1)) / (sw - sww / sw)) AS tau2, CASE WHEN q > 0 THEN greatest(0, (q - (k - 1)) / q) * 100 ELSE 0 END AS i2_percent FROM q2),
+           p AS (SELECT max(k) AS k, max(tau2) AS tau2, max(i2_percent) AS i2_percent, sum(e / (1 / w + tau2)) / sum(1 / (1 / w + tau2)) AS estimate, sqrt(1 / sum(1 / (1 / w + tau2))) AS se FROM c, h)
+           SELECT *, estimate - 1.96 * se AS ci_lo, estimate + 1.96 * se AS ci_hi FROM p""")
 def _(t):
     sites = evaluate.cluster_metrics(_site_oof(t).filter(F.col("seed") == 0), "cluster", 20).filter(F.col("cluster") != -1)
     return meta.random_effects(sites, [], "cal_slope", "cal_slope_se")

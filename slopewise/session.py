@@ -43,9 +43,14 @@ def checkpoint_folder(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: survives executor loss and stops a plan from growing per round."""
-    checkpoint_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write the rows once to the shared checkpoint folder and go on from there.
+
+    Survives executor loss, stops a plan from growing per round, and, unlike a checkpointed RDD, keeps
+    later reads columnar and their size known, so small sides are broadcast by Spark's own size check.
+    """
+    path = scratch_path(df.sparkSession, "stage")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
