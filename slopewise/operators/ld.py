@@ -10,80 +10,92 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
+from .ranks import number_rows
 
-PAIR_SUMS = "block long, i int, j int, n double, sx double, sy double, sxx double, syy double, sxy double"
+TILE = 512
+PAIR_SUMS = "block long, ta long, tb long, i int, j int, n double, sx double, sy double, sxx double, syy double, sxy double"
 
 
 def blocks_of(variants: DataFrame, chrom: str, pos: str, ident: str, kb: int) -> DataFrame:
     """Overlapping position blocks: block b covers bins b and b + 1 of width kb, so any pair closer than
-    kb shares the block of its lower variant. `idx` numbers the variants inside a block."""
-    from pyspark.sql import Window
-
+    kb shares the block of its lower variant. Inside a block variants are numbered and cut into tiles, so that
+    a crowded block is many bounded pieces of work."""
     width = kb * 1000
     v = variants.select(F.col(chrom).alias("chrom"), F.col(pos).alias("pos"), F.col(ident).alias("variant"))
     v = v.withColumn("home", F.floor(F.col("pos") / width))
     v = v.withColumn("b", F.explode(F.array(F.col("home") - 1, F.col("home"))))
-    v = v.withColumn("block", F.xxhash64("chrom", "b"))
-    # A block holds the variants of two bins of the reference panel: bounded by panel density, not by sample count.
-    return v.withColumn("idx", F.row_number().over(Window.partitionBy("block").orderBy("pos", "variant")) - 1)
+    v = number_rows(v.withColumn("block", F.xxhash64("chrom", "b")), ["block"], "pos", ["variant"], "__r")
+    at = F.col("__r") - 1
+    return v.withColumns({"tile": F.floor(at / TILE), "idx": (at % TILE).cast("int")}).drop("__r")
 
 
 def ld_pairs(dosages: DataFrame, variants: DataFrame, kb: int, *, chrom: str = "chrom", pos: str = "pos",
              ident: str = "variant", sample: str = "sample", dosage: str = "dosage", min_r2: float = 0.0) -> DataFrame:
     """Pairwise correlation of variants within kb of each other, from a long dosage table.
 
-    Rows are gathered once per (block, sample): a short array over the block's variants. Each
-    task turns its samples into cross products with two matrix products and emits one row per
-    pair; Spark adds those over tasks. Samples are never paired and no matrix is
-    assembled. A missing dosage leaves the sample out of that pair only.
+    Rows are gathered once per (block, tile, sample) into a short array. Each task turns its samples into
+    cross products with a few matrix products and emits one row per pair; Spark adds those over
+    tasks. Samples are never paired with each other and no matrix is assembled. A missing dosage
+    leaves the sample out of that pair only.
     """
-    b = blocks_of(variants, chrom, pos, ident, kb)
+    b = cut_lineage(blocks_of(variants, chrom, pos, ident, kb))
     rows = dosages.select(F.col(ident).alias("variant"), F.col(sample).alias("sample"), F.col(dosage).cast("double").alias("x"))
-    vec = (rows.join(b.select("variant", "block", "idx"), "variant").groupBy("block", "sample")
+    vec = (rows.join(b.select("variant", "block", "tile", "idx"), "variant").groupBy("block", "tile", "sample")
            .agg(F.map_from_entries(F.collect_list(F.struct("idx", "x"))).alias("m")))
-    sizes = b.groupBy("block").agg(F.max("idx").alias("last"))
-    vec = vec.join(sizes, "block").select("block", F.transform(F.sequence(F.lit(0), F.col("last")), lambda i: F.col("m")[i]).alias("x"))
-    return finish_pairs(pair_sums(vec), b, kb, min_r2)
+    sizes = b.groupBy("block", "tile").agg(F.max("idx").alias("last"))
+    vec = vec.join(sizes, ["block", "tile"]).select(
+        "block", "tile", "sample", F.transform(F.sequence(F.lit(0), F.col("last")), lambda i: F.col("m")[i]).alias("x"))
+    # All tiles of one sample in one block meet; most blocks are a single tile.
+    tiles = vec.groupBy("block", "sample").agg(F.array_sort(F.collect_list(F.struct("tile", "x"))).alias("t"))
+    pairs = tiles.select("block", F.posexplode("t").alias("at", "u"), "t").select(
+        "block", F.col("u.tile").alias("ta"), F.col("u.x").alias("xa"),
+        F.explode(F.slice("t", F.col("at") + 1, F.size("t") - F.col("at"))).alias("w"))
+    pairs = pairs.select("block", "ta", F.col("w.tile").alias("tb"), "xa", F.col("w.x").alias("xb"))
+    return finish_pairs(pair_sums(pairs), b, kb, min_r2)
+
+
+def _stack(column: pa.Array, pick: np.ndarray) -> np.ndarray:
+    """Rows of equally long lists as a matrix; a NULL dosage is NaN."""
+    off = column.offsets.to_numpy()
+    val = column.values.to_numpy(zero_copy_only=False).astype(float)
+    return np.stack([val[off[r]:off[r + 1]] for r in pick])
 
 
-def pair_sums(vectors: DataFrame) -> DataFrame:
-    """Sums per (block, i <= j) from (block, x array) rows."""
+def pair_sums(pairs: DataFrame) -> DataFrame:
+    """Sums per (block, tile pair, i, j) from (block, ta, tb, xa, xb) rows."""
 
     def partial(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        acc: dict[int, tuple[np.ndarray, ...]] = {}
+        acc: dict[tuple, tuple[np.ndarray, ...]] = {}
         for batch in it:
             if not batch.num_rows:
                 continue
-            block = batch.column(0).to_numpy(zero_copy_only=False)
-            col = batch.column(1)
-            off = col.offsets.to_numpy()
-            # A NULL dosage reads as NaN and drops out of the products it belongs to.
-            val = col.values.to_numpy(zero_copy_only=False).astype(float)
-            for k in np.unique(block):
-                pick = np.flatnonzero(block == k)
-                x = np.stack([val[off[r]:off[r + 1]] for r in pick])
-                ok = (~np.isnan(x)).astype(float)
-                x = np.nan_to_num(x)
-                part = (ok.T @ ok, x.T @ ok, (x * x).T @ ok, x.T @ x)
-                acc[int(k)] = tuple(a + c for a, c in zip(acc[int(k)], part)) if int(k) in acc else part
-        for k, (n, sx, sxx, sxy) in acc.items():
-            i, j = np.triu_indices(len(n), 1)
+            keys = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in range(3)], axis=1)
+            for key in np.unique(keys, axis=0):
+                pick = np.flatnonzero((keys == key).all(axis=1))
+                a, b = _stack(batch.column(3), pick), _stack(batch.column(4), pick)
+                oa, ob = (~np.isnan(a)).astype(float), (~np.isnan(b)).astype(float)
+                a, b = np.nan_to_num(a), np.nan_to_num(b)
+                part = (oa.T @ ob, a.T @ ob, oa.T @ b, (a * a).T @ ob, oa.T @ (b * b), a.T @ b)
+                k = tuple(int(x) for x in key)
+                acc[k] = tuple(x + y for x, y in zip(acc[k], part)) if k in acc else part
+        for (block, ta, tb), mats in acc.items():
+            i, j = np.triu_indices(len(mats[0]), 1) if ta == tb else (x.ravel() for x in np.indices(mats[0].shape))
             if len(i):
+                head = [pa.array(np.full(len(i), v, dtype=np.int64)) for v in (block, ta, tb)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(i), k, dtype=np.int64)), pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32)),
-                     pa.array(n[i, j]), pa.array(sx[i, j]), pa.array(sx[j, i]), pa.array(sxx[i, j]), pa.array(sxx[j, i]),
-                     pa.array(sxy[i, j])], names=["block", "i", "j", "n", "sx", "sy", "sxx", "syy", "sxy"])
+                    head + [pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32))] + [pa.array(m[i, j]) for m in mats],
+                    names=["block", "ta", "tb", "i", "j", "n", "sx", "sy", "sxx", "syy", "sxy"])
 
-    return (vectors.select("block", "x").mapInArrow(partial, PAIR_SUMS).groupBy("block", "i", "j")
+    return (pairs.mapInArrow(partial, PAIR_SUMS).groupBy("block", "ta", "tb", "i", "j")
             .agg(*[F.sum(c).alias(c) for c in ("n", "sx", "sy", "sxx", "syy", "sxy")]))
 
 
 def finish_pairs(sums: DataFrame, blocks: DataFrame, kb: int, min_r2: float) -> DataFrame:
     """Correlation from sums, each pair kept once (in the block of its lower variant)."""
-    side = {s: blocks.select("block", F.col("idx").alias(s), F.col("variant").alias(f"v{s}"), F.col("pos").alias(f"p{s}"),
+    side = {s: blocks.select("block", F.col("tile").alias("ta" if s == "i" else "tb"), F.col("idx").alias(s), F.col("variant").alias(f"v{s}"), F.col("pos").alias(f"p{s}"),
                              F.col("home").alias(f"h{s}"), F.col("b").alias(f"b{s}"), F.col("chrom").alias(f"c{s}"))
             for s in ("i", "j")}
-    near = sums.join(side["i"], ["block", "i"]).join(side["j"], ["block", "j"])
+    near = sums.join(side["i"], ["block", "ta", "i"]).join(side["j"], ["block", "tb", "j"])
     near = near.filter((F.col("hi") == F.col("bi")) & (F.abs(F.col("pi") - F.col("pj")) <= kb * 1000))
     cov = F.col("sxy") - F.col("sx") * F.col("sy") / F.col("n")
     vx = F.col("sxx") - F.col("sx") * F.col("sx") / F.col("n")

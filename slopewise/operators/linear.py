@@ -447,22 +447,30 @@ def predict_folds(df: DataFrame, d: Design, arms: list[Arm], fits: list[dict], c
                   ) -> DataFrame:
     """Out-of-fold rows: seed, fold, subject, y and one prediction column per arm.
 
-    The join side has seeds x folds (x reps) rows by construction, so it is broadcast.
+    The join side has seeds x folds (x reps) rows, a size known here exactly: it is broadcast up to a limit
+    and joined by shuffle beyond it.
     """
     table = fits_table(df.sparkSession, d, arms, fits)
+    table = small_or_shuffled(table if d.rep else table.drop("rep"), sum(3 + 2 * len(x["coef"]) for x in fits))
     rows = d.folded(df.dropna(subset=d.outcome.columns))
     on = ["seed", "fold"]
     if d.rep:
         rows, on = rows.withColumn("rep", F.col(d.rep).cast("int")), ["rep", *on]
-    else:
-        table = table.drop("rep")
-    j = rows.join(F.broadcast(table), on)
+    j = rows.join(table, on)
     y = F.col(d.outcome.column).cast("double")
     if d.outcome.variance:
         y = shrunken(F.col("mu"), F.col("tau2"), y, F.col(d.outcome.variance))
     return j.select(*on, d.subject, y.alias("y"), *[_score(a).alias(f"pred_{a.name}") for a in arms], *(carry or []))
 
 
+BROADCAST_NUMBERS = 5_000_000
+
+
+def small_or_shuffled(table: DataFrame, numbers: int) -> DataFrame:
+    """Broadcast a table of `numbers` values (counted, not estimated) if that is small; else leave the join to Spark."""
+    return F.broadcast(table) if numbers <= BROADCAST_NUMBERS else table
+
+
 def _score(arm: Arm) -> Column:
     m = F.col(f"m_{arm.name}")
     out = m["a0"]

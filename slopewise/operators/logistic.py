@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .folds import fold_of
+from .linear import small_or_shuffled
 from .metrics import auc
 
 C_GRID = (0.001, 0.01, 0.1, 1.0, 10.0, 100.0)
@@ -214,8 +215,7 @@ def _with_seed_folds(rows: DataFrame, seeds: list[int], extra: list[str]) -> Dat
 def _predict(rows: DataFrame, spark, fits: list[Fit], subject: str, label: str, cols: tuple[str, ...], seeds: list[int]) -> DataFrame:
     models = _model_table(spark, fits, ["seed", "fold"])
     long = _with_seed_folds(rows, seeds, [subject, label, *cols])
-    # seeds x folds rows by construction
-    j = long.join(F.broadcast(models), ["seed", "fold"])
+    j = long.join(small_or_shuffled(models, len(fits) * (2 + 2 * len(cols))), ["seed", "fold"])
     return j.select("seed", "fold", subject, F.col(label).alias("y"), probability(cols).alias("pred"))
 
 
@@ -229,8 +229,7 @@ def _choose_c(rows: DataFrame, outer: list[Fit], label: str, grid: tuple[float,
     newton(rows, inner, label)
     models = _model_table(rows.sparkSession, inner, ["seed", "fold", "inner", "ci"])
     long = _with_seed_folds(rows, seeds, [label, *outer[0].columns]).withColumnRenamed("fold", "own")
-    # seeds x folds x inner folds x penalties rows by construction
-    j = long.join(F.broadcast(models), ["seed", "inner"]).filter(F.col("own") != F.col("fold"))
+    j = long.join(small_or_shuffled(models, len(inner) * (2 + 2 * len(inner[0].columns))), ["seed", "inner"]).filter(F.col("own") != F.col("fold"))
     scored = auc(j.withColumn("p", probability(outer[0].columns)), ["seed", "fold", "inner", "ci"], label, "p")
     mean = scored.groupBy("seed", "fold", "ci").agg(F.avg("auc").alias("m")).collect()
     best: dict = {}
@@ -258,13 +257,13 @@ def recalibrated_cv(df: DataFrame, subject: str, label: str, columns: list[str],
     # Every row under every fold's model: calibration rows of other folds, and its own fold's test row.
     each = rows.withColumn("fold", F.explode(F.array(*[F.lit(f) for f in range(k)])))
     each = each.withColumn("test", F.col(f"o{seed}") == F.col("fold")).filter(F.col("test") | (F.col("held") == 1))
-    scored = each.join(F.broadcast(models.drop("seed")), "fold").select(
+    scored = each.join(small_or_shuffled(models.drop("seed"), k * (2 + 2 * len(cols))), "fold").select(
         "fold", "test", subject, label, probability(cols).alias("p_raw"))
     calib = scored.filter(~F.col("test")).select("fold", label, "p_raw").persist(StorageLevel.MEMORY_AND_DISK)
     platt = newton(calib, [Fit((f,), ("p_raw",), 1e6, (("fold", f, True),)) for f in range(k)], label)
     out = scored.filter("test")
     p_models = _model_table(spark, platt, ["fold"])
-    j = out.join(F.broadcast(p_models), "fold", "left")
+    j = out.join(small_or_shuffled(p_models, 4 * k), "fold", "left")
     out = j.withColumn("p_platt", F.coalesce(probability(("p_raw",)), F.col("p_raw"))).drop("a0", "b", "f")
     parts = None
     for f in range(k):

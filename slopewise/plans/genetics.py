@@ -109,12 +109,12 @@ def _(t):
 
 @query("instrument_gate", "protein:s n_instruments:i strong:b dropped:b",
        f"""WITH {dv.INSTRUMENTS}, w AS (SELECT DISTINCT p_brand AS protein FROM part UNION SELECT 'Brand#none'),
-           g AS (SELECT protein, count(*) AS n, bool_or("F" > 1000) AS s FROM instruments WHERE chrom <> '7' GROUP BY protein)
+           g AS (SELECT protein, count(*) AS n, bool_or("F" > 1000) AS s FROM instruments GROUP BY protein)
            SELECT protein, coalesce(n, 0) AS n_instruments, coalesce(s, false) AS strong, n IS NULL AS dropped FROM w LEFT JOIN g USING (protein)""")
 def _(t):
     wanted = t.part.select(F.col("p_brand").alias("protein")).distinct().unionByName(
         t.region.filter(F.col("r_regionkey") == 0).select(F.lit("Brand#none").alias("protein")))
-    return vr.instrument_gate(dv.instruments(t).filter(F.col("chrom") != "7"), wanted, "protein", min_f=1000.0)
+    return vr.instrument_gate(dv.instruments(t), wanted, "protein", min_f=1000.0)
 
 
 @query("lead_variant", "protein:s platform:s Name:s pos:i",
@@ -144,11 +144,11 @@ def _(t):
 
 
 @query("prune_outcome", "chrom_out:s pos_out:i rsid_out:s",
-       f"""WITH {dv.INSTRUMENTS}, {dv.OUTCOMES}, x AS (SELECT * FROM instruments WHERE protein = 'Brand#7')
+       f"""WITH {dv.INSTRUMENTS}, {dv.OUTCOMES}, x AS (SELECT * FROM instruments)
            SELECT chrom_out, pos_out, rsid_out FROM outcomes o WHERE rsid_out IN (SELECT rsid FROM x WHERE rsid IS NOT NULL)
              OR EXISTS (SELECT 1 FROM x WHERE CASE WHEN x.chrom = 'X' THEN '23' ELSE x.chrom END = o.chrom_out AND x.pos = o.pos_out)""")
 def _(t):
-    return hz.prune_outcome(dv.outcomes(t), dv.instruments(t).filter(F.col("protein") == "Brand#7"))
+    return hz.prune_outcome(dv.outcomes(t), dv.instruments(t))
 
 
 @query("join_with_fallback", "protein:s platform:s Name:s rsid:s rsid_out:s pos_out:i matched_by:s", f"WITH {dv.JOINED} SELECT * FROM joined")
@@ -413,7 +413,7 @@ def _(t):
        f"""WITH {COLOC}, {MR[MR.index("distances AS"):]},
            p AS (SELECT DISTINCT p_brand AS protein FROM part),
            m AS (SELECT protein, max(verdict) FILTER (WHERE platform = 'a') AS a_verdict, max(verdict) FILTER (WHERE platform = 'b') AS b_verdict, max("or") FILTER (WHERE platform = 'a') AS a_or,
-                   max("or") FILTER (WHERE platform = 'b') AS b_or FROM mrv WHERE NOT (protein = 'Brand#5' AND platform = 'b') GROUP BY protein),
+                   max("or") FILTER (WHERE platform = 'b') AS b_or FROM mrv GROUP BY protein),
            c AS (SELECT protein, max(pp4) FILTER (WHERE platform = 'a') AS a_pp4, max(pp4) FILTER (WHERE platform = 'b') AS b_pp4 FROM coloc GROUP BY protein)
            SELECT *, CAST(a_verdict IS NOT NULL AS INT) + CAST(b_verdict IS NOT NULL AS INT) AS platforms_tested,
              CASE WHEN a_verdict IS NOT NULL AND b_verdict IS NOT NULL THEN
@@ -423,7 +423,7 @@ def _(t):
              WHEN coalesce(a_verdict, b_verdict) = 'positive' AND coalesce(a_pp4, b_pp4, 0) >= 0.8 THEN 'positive' ELSE 'inconclusive' END AS causal_call
            FROM p LEFT JOIN m USING (protein) LEFT JOIN c USING (protein)""")
 def _(t):
-    est = mr.estimates(dv.harmonised(t)).filter(~((F.col("protein") == "Brand#5") & (F.col("platform") == "b")))
+    est = mr.estimates(dv.harmonised(t))
     cl = coloc.posteriors(_coloc_pairs(t), ["protein", "platform"])
     return mr.causal_call(est, cl, t.part.select(F.col("p_brand").alias("protein")), "a", "b", F.lit(True), F.lit(True))
 

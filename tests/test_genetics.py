@@ -132,7 +132,9 @@ def test_clumping_rounds_equal_the_sequential_answer(spark, seed):
     assert got == greedy(sorted(range(n), key=lambda i: (p[i], -(i % 7), -i, i)), near)
 
 
-def test_ld_over_block_borders_with_missing_dosages(spark):
+@pytest.mark.parametrize("tile", [2, 512])
+def test_ld_over_block_borders_with_missing_dosages(spark, monkeypatch, tile):
+    monkeypatch.setattr(ld, "TILE", tile)
     rng = np.random.default_rng(4)
     m, s = 9, 50
     x = rng.integers(0, 3, size=(s, m)).astype(float)
