@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
@@ -24,41 +24,46 @@ def log_abf(beta: Column, se: Column, sd_prior: float) -> Column:
     return 0.5 * (F.log(1 - r) + r * z * z)
 
 
-def usable(pairs: DataFrame) -> DataFrame:
-    """Rows with both effects and positive standard errors."""
-    return pairs.dropna(subset=["beta_exp", "se_exp", "beta_out", "se_out"]).filter(
-        (F.col("se_exp") > 0) & (F.col("se_out") > 0))
+BAND = 500.0
+
+
+def log_sum_exp(rows: DataFrame, keys: list[str], logs: dict[str, Column]) -> DataFrame:
+    """Per key: log of the summed exponentials of each column, and how many rows had it, in one aggregation.
+
+    Rows are summed inside bands of 500 log units, where exponentials are safe, and the few bands of a
+    key are put together at the end. No maximum has to be known first, so the rows are read once and a
+    crowded key is combined map-side. NULL logs count for nothing; a key of NULLs only still appears.
+    """
+    each = F.explode(F.array(*[F.struct(F.lit(name).alias("kind"), c.alias("l")) for name, c in logs.items()]))
+    r = rows.select(*keys, each.alias("e")).select(*keys, "e.kind", "e.l").withColumn("band", F.floor(F.col("l") / BAND))
+    per = r.groupBy(*keys, "kind", "band").agg(F.count("l").alias("n"), F.sum(F.exp(F.col("l") - F.col("band") * BAND)).alias("s"))
+    of_key = Window.partitionBy(*keys, "kind")           # bands of a key: the spread of its logs / 500
+    per = per.withColumn("top", F.max("band").over(of_key))
+    g = per.groupBy(*keys, "kind").agg(
+        F.sum("n").alias("n"), F.max("top").alias("top"), F.sum(F.col("s") * F.exp((F.col("band") - F.col("top")) * BAND)).alias("s"))
+    value = F.col("top") * BAND + F.log(F.col("s"))
+    return g.groupBy(*keys).agg(F.max("n").alias("n"), *[F.max(F.when(F.col("kind") == k, value)).alias(f"lse_{k}") for k in logs])
 
 
 def posteriors(pairs: DataFrame, keys: list[str], sd_y: float = 1.0) -> DataFrame:
     """PP0..PP4 per locus. Exposure quantitative, outcome case-control.
 
-    Two aggregations: per-locus maxima of the log factors, then sums of exponentials below those
-    maxima, so z^2 in the thousands neither overflows nor vanishes. Loci with too few usable
-    rows come out as not estimable, with a placeholder 0 for pp4.
+    One aggregation over the rows (`log_sum_exp`), so z^2 in the thousands neither overflows nor vanishes. Loci
+    with too few usable rows come out as not estimable, with a placeholder 0 for pp4.
     """
-    rows = usable(pairs).select(*keys, log_abf(F.col("beta_exp"), F.col("se_exp"), SD_QUANT * sd_y).alias("l1"),
-                                log_abf(F.col("beta_out"), F.col("se_out"), SD_BINARY).alias("l2"))
-    rows = rows.withColumn("l3", F.col("l1") + F.col("l2"))
-    top = rows.groupBy(*keys).agg(*[F.max(f"l{i}").alias(f"m{i}") for i in (1, 2, 3)])
-    s = rows.join(top, keys).groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"), *[F.max(f"m{i}").alias(f"m{i}") for i in (1, 2, 3)],
-        *[F.sum(F.exp(F.col(f"l{i}") - F.col(f"m{i}"))).alias(f"s{i}") for i in (1, 2, 3)])
-    lse = {i: F.col(f"m{i}") + F.log(F.col(f"s{i}")) for i in (1, 2, 3)}
-    s = s.select(*keys, "n", *[lse[i].alias(f"a{i}") for i in (1, 2, 3)])
-    a1, a2, a3 = F.col("a1"), F.col("a2"), F.col("a3")
+    ok = (F.col("se_exp") > 0) & (F.col("se_out") > 0) & F.col("beta_exp").isNotNull() & F.col("beta_out").isNotNull()
+    rows = pairs.select(*keys, F.when(ok, log_abf(F.col("beta_exp"), F.col("se_exp"), SD_QUANT * sd_y)).alias("l1"),
+                        F.when(ok, log_abf(F.col("beta_out"), F.col("se_out"), SD_BINARY)).alias("l2"))
+    s = log_sum_exp(rows, keys, {"1": F.col("l1"), "2": F.col("l2"), "12": F.col("l1") + F.col("l2")})
+    a1, a2, a3 = F.col("lse_1"), F.col("lse_2"), F.col("lse_12")
     peak = F.greatest(F.lit(0.0), a1, a2, a1 + a2, a3)
     w = {0: F.exp(-peak), 1: P1 * F.exp(a1 - peak), 2: P2 * F.exp(a2 - peak),
          3: P1 * P2 * F.greatest(F.lit(0.0), F.exp(a1 + a2 - peak) - F.exp(a3 - peak)), 4: P12 * F.exp(a3 - peak)}
     total = w[0] + w[1] + w[2] + w[3] + w[4]
-    ok = F.col("n") >= MIN_VARIANTS
-    out = s.select(*keys, F.col("n").alias("n_variants"), ok.alias("pp4_estimable"),
-                   *[F.when(ok, w[i] / total).alias(f"pp{i}") for i in range(4)],
-                   F.when(ok, w[4] / total).otherwise(0.0).alias("pp4"))
-    loci = pairs.select(*keys).distinct()
-    return loci.join(out, keys, "left").select(
-        *keys, F.coalesce("n_variants", F.lit(0)).alias("n_variants"), F.coalesce("pp4_estimable", F.lit(False)).alias("pp4_estimable"),
-        "pp0", "pp1", "pp2", "pp3", F.coalesce("pp4", F.lit(0.0)).alias("pp4"))
+    enough = F.col("n") >= MIN_VARIANTS
+    return s.select(*keys, F.col("n").alias("n_variants"), enough.alias("pp4_estimable"),
+                    *[F.when(enough, w[i] / total).alias(f"pp{i}") for i in range(4)],
+                    F.when(enough, w[4] / total).otherwise(0.0).alias("pp4"))
 
 
 def route_method(loci: DataFrame, n_signals: str, n_harmonised: str, n_panel: str) -> DataFrame:
@@ -88,10 +93,8 @@ def credible_sets(variants: DataFrame, keys: list[str], ident: str, beta: str, s
     """Smallest set of variants per locus whose posterior weights reach `level` (one signal per locus)."""
     rows = cut_lineage(variants.dropna(subset=[beta, se]).filter(F.col(se) > 0).select(
         *keys, ident, log_abf(F.col(beta), F.col(se), sd_prior).alias("l")))
-    top = rows.groupBy(*keys).agg(F.max("l").alias("m"))
-    e = rows.join(top, keys).withColumn("e", F.exp(F.col("l") - F.col("m")))
-    total = e.groupBy(*keys).agg(F.sum("e").alias("t"))
-    pp = e.join(total, keys).select(*keys, ident, (F.col("e") / F.col("t")).alias("pp"), (-F.col("l")).alias("__down"))
+    total = log_sum_exp(rows, keys, {"l": F.col("l")}).select(*keys, "lse_l")
+    pp = rows.join(total, keys).select(*keys, ident, F.exp(F.col("l") - F.col("lse_l")).alias("pp"), (-F.col("l")).alias("__down"))
     run = running_total(pp, keys, "__down", [ident], F.col("pp"), "cum_pp")
     return run.filter(F.col("cum_pp") - F.col("pp") < level).drop("__down")
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ranks import join_on_keys, number_rows
+from ..session import cut_lineage
+from .ranks import average_ranks, join_on_keys, number_rows
 
 
 def _moments(subject: str, time: str, score: str) -> list[Column]:
@@ -154,8 +155,7 @@ def split_half_slopes(visits: DataFrame, subject: str, time: str, score: str, ev
 
 def split_half_reliability(halves: DataFrame, subject: str) -> DataFrame:
     """Pearson and Spearman correlation of the half slopes, and Spearman-Brown 2r / (1 + r)."""
-    from .ranks import average_ranks
-
+    halves = cut_lineage(halves)
     ranked = halves
     for h in ("odd", "even"):
         r = average_ranks(halves, [], f"slope_{h}", f"rank_{h}").select(f"slope_{h}", f"rank_{h}")
