@@ -107,9 +107,10 @@ def _(t):
                       count(*) OVER (PARTITION BY status) AS n FROM scored),
            h AS (SELECT *, (n - 2) * least(1.0::DOUBLE, ceil(round(n * 0.9::DOUBLE, 9)) / (n - 1)) AS h FROM r),
            k AS (SELECT *, floor(h) AS j, least(floor(h) + 1, n - 2) AS j2, h - floor(h) AS g FROM h),
-           q AS (SELECT k.status, k.n, k.res, a.res + k.g * (b.res - a.res) AS q FROM k
-                 JOIN r a ON a.status = k.status AND a.i = CASE WHEN k.i > k.j + 1 THEN k.j + 1 ELSE k.j + 2 END
-                 JOIN r b ON b.status = k.status AND b.i = CASE WHEN k.i > k.j2 + 1 THEN k.j2 + 1 ELSE k.j2 + 2 END)
+           st AS (SELECT status, max(CASE WHEN i = j + 1 THEN res END) AS a1, max(CASE WHEN i = j + 2 THEN res END) AS a2, max(CASE WHEN i = j2 + 1 THEN res END) AS b1,
+                         max(CASE WHEN i = j2 + 2 THEN res END) AS b2 FROM k GROUP BY status),
+           ab AS (SELECT k.*, CASE WHEN i > j + 1 THEN a1 ELSE a2 END AS a, CASE WHEN i > j2 + 1 THEN b1 ELSE b2 END AS b FROM k JOIN st USING (status)),
+           q AS (SELECT status, n, res, a + g * (b - a) AS q FROM ab)
            SELECT status, max(n) AS n, avg(CASE WHEN res <= q THEN 1.0::DOUBLE ELSE 0 END) AS coverage, avg(2 * q) AS mean_width FROM q GROUP BY status""")
 def _(t):
     return metrics.conformal_loo(dv.scored(t), ["status"], pred="pred_aug")
