@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .lines import line_classes
 from .near import near_classes
+from .quality import repetition
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -35,3 +36,28 @@ def line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_near_dedup")
 def near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_classes(_table(spark, sf_dir, "documents")).select("doc_id", "class_id", "copies", "kept")
+
+
+_QUALITY_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+w AS (SELECT doc_id, len(w) AS n, unnest(range(len(w))) AS i, w FROM d),
+runs AS (SELECT doc_id, i, k, count(*) OVER (PARTITION BY doc_id, k, array_to_string(w[i + 1:i + k], ' ')) AS times
+         FROM w, (VALUES (5), (8), (51)) AS sizes(k) WHERE i + k <= n),
+hit AS (SELECT DISTINCT doc_id, k, unnest(range(i, i + k)) AS i FROM runs WHERE times > 1),
+cover AS (SELECT doc_id, count(*) FILTER (k = 5) AS five, count(*) FILTER (k = 8) AS eight, count(*) FILTER (k = 51) AS long FROM hit GROUP BY doc_id),
+l AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d),
+dup AS (SELECT doc_id, sum(n - 1) AS dups FROM (SELECT doc_id, line, count(*) AS n FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY ALL) GROUP BY doc_id),
+m AS (SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
+             length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, coalesce(dups, 0)::BIGINT AS n_dup_lines,
+             coalesce(eight, 0)::BIGINT AS n_repeat_words, coalesce(five, 0)::BIGINT AS covered_words, coalesce(long, 0) AS long
+      FROM d LEFT JOIN cover USING (doc_id) LEFT JOIN dup USING (doc_id)),
+b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND covered_words <= 0.4 * n_words AND long = 0 AS kept, covered_words FROM b
+"""
+
+
+@query("op5_quality_rules", _QUALITY_SQL)
+def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repetition(_table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "covered_words")
