@@ -81,7 +81,11 @@ def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             pairs = pairs.withColumn(f"s{k}", shingle_hashes(f"octets_{k}", characters))
         return pairs.filter(F.size(F.array_intersect("sa", "sb")) >= similar * F.size(F.array_union("sa", "sb")))
 
-    roots = classes(scratch, members, verify)
+    def elements(ids: DataFrame) -> DataFrame:
+        hashes = found.join(ids, "id").withColumn("hashes", shingle_hashes("octets", characters))
+        return hashes.select("id", F.explode(F.array_distinct("hashes")).alias("element"))
+
+    roots = classes(scratch, members, verify, elements, similar)
     ids = wanted.join(roots, "id")
     merged = ids.select("key", F.col("root").alias("r")).join(wanted.select(F.col("id").alias("r"), F.col("key").alias("class")), "r").select("key", "class")
     merged = scratch.table(merged, "merged")

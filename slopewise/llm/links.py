@@ -3,8 +3,10 @@
 A bucket may hold a third of all rows. In each round it names a few pivots; every member of another component is
 paired with them, the pairs are verified, and components merge. A pivot has then met everyone it could still add
 something to, and leaves the bucket; a bucket whose members all lie in one component is done. So each pair that shares
-a bucket is either verified or found to be connected already: no link between components is lost. Pivots come from
-small components first, and their number doubles each round.
+a bucket is either verified or found to be connected already: no link between components is lost. In the first rounds
+pivots come from large components, so that stragglers meet a few of the many they may be linked to. Then they come from
+small ones, in growing numbers, and meet all of the rest but those that counting rules out: two sets of a given Jaccard
+similarity have a least number of elements in common, and elements that no other live member has are in common with none.
 """
 
 from __future__ import annotations
@@ -16,7 +18,8 @@ from pyspark.sql import functions as F
 
 from .scratch import Scratch
 
-PIVOTS = 8
+PIVOTS, GATHER, GROWTH = 4, 2, 8  # pivots of a bucket in the first rounds, and how many rounds those are; growth after that
+ONE_TASK = 50_000  # counted rows up to which a step is not dealt over more tasks
 
 
 def shared(members: DataFrame) -> DataFrame:
@@ -25,30 +28,34 @@ def shared(members: DataFrame) -> DataFrame:
     return members.join(several, "bucket")
 
 
-def classes(scratch: Scratch, members: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def classes(scratch: Scratch, members: DataFrame, verify: Callable[[DataFrame], DataFrame],
+            elements: Callable[[DataFrame], DataFrame], similar: float) -> DataFrame:
     """`id`, `root` for each id that has a link; the root is the least id of its component.
 
     `members`: `bucket`, `id` (long), without repeats. `verify` takes pairs `a`, `b`, `ca`, `cb` with a < b and
-    returns those that are links, same columns.
+    returns those that are links, same columns. `elements` gives `id`, `element` for each of a member's distinct
+    elements, for some ids; a link is a Jaccard similarity of at least `similar` between those.
     """
-    live, pivots, found, spent = members.withColumn("comp", F.col("id")), PIVOTS, [], []
-    first = True
+    live, pivots, found, spent, turn = members.withColumn("comp", F.col("id")), PIVOTS, [], [], 0
     while True:
         several = live.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("bucket")
-        now = live.join(several, "bucket")
-        now = scratch.table(now, "live")
+        now = _few(scratch.table(live.join(several, "bucket"), "live"))
         if now.isEmpty():
             scratch.drop(now, *spent)
             break
-        size = F.lit(1).cast("long")
-        ranked = now
-        if not first:
-            ranked, size = now.join(now.groupBy("comp").agg(F.count("*").alias("size")), "comp"), F.col("size")
-        ranked = ranked.select("bucket", F.pmod(F.xxhash64("id", "bucket", F.lit(pivots)), F.lit(pivots)).alias("slot"),
-                               F.struct(size.alias("size"), F.xxhash64("id"), F.col("id"), F.col("comp")).alias("p"))
+        turn += 1
+        if turn == GATHER + 1:
+            now = _counted(scratch, now, elements)
+        ranked, size = now, F.lit(1).cast("long")
+        if turn > 1:
+            ranked, size = now.join(now.groupBy("comp").agg(F.count("*").alias("rows")), "comp"), F.col("rows")
+        ranked = ranked.select("bucket", F.pmod(F.xxhash64("id", F.lit(turn)), F.lit(pivots)).alias("slot"),
+                               F.struct((-size if turn <= GATHER else size).alias("rows"), F.xxhash64("id"), F.struct(now.columns[1:]).alias("own")).alias("p"))
         chosen = ranked.groupBy("bucket", "slot").agg(F.min("p").alias("p"))
-        chosen = scratch.table(chosen.select("bucket", F.col("p.id").alias("pid"), F.col("p.comp").alias("pcomp")), "pivots")
+        chosen = _few(scratch.table(chosen.select("bucket", *(F.col(f"p.own.{c}").alias(f"p{c}") for c in now.columns[1:])), "pivots"))
         pairs = now.join(chosen, "bucket").filter("comp <> pcomp")
+        if turn > GATHER:
+            pairs = pairs.filter(F.least("common", "pcommon") * (1 + similar) >= similar * (F.col("size") + F.col("psize")) - 1e-6)
         pairs = pairs.select(F.least("id", "pid").alias("a"), F.greatest("id", "pid").alias("b"),
                              F.expr("if(id < pid, comp, pcomp)").alias("ca"), F.expr("if(id < pid, pcomp, comp)").alias("cb"))
         links = scratch.table(verify(pairs.distinct()).select("ca", "cb").distinct(), "links")
@@ -56,10 +63,10 @@ def classes(scratch: Scratch, members: DataFrame, verify: Callable[[DataFrame],
         found.append(merged)
         left = now.join(chosen.select("bucket", F.col("pid").alias("id")), ["bucket", "id"], "left_anti")
         left = left.join(merged.withColumnRenamed("id", "comp"), "comp", "left")
-        live = left.select("bucket", "id", F.coalesce("root", "comp").alias("comp"))
+        live = left.select("bucket", "id", F.coalesce("root", "comp").alias("comp"), *now.columns[3:])
         scratch.drop(links, *spent)
         spent = [now, chosen]
-        pivots, first = 2 * pivots, False
+        pivots *= 1 if turn < GATHER else GROWTH
     if not found:
         return members.select("id", F.col("id").alias("root")).limit(0)
     edges = found[0]
@@ -77,7 +84,7 @@ def components(scratch: Scratch, edges: DataFrame) -> DataFrame:
     Alternates between linking a node's larger neighbours to its least one and its smaller neighbours to their least,
     until nothing changes. Only minima are gathered, so a hub with very many edges is a pre-summed row.
     """
-    now = scratch.table(_down(edges.filter("a <> b")).distinct(), "edges")
+    now = _few(scratch.table(_down(edges.filter("a <> b")).distinct(), "edges"))
     seen = _digest(now)
     while seen[0]:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -85,7 +92,7 @@ def components(scratch: Scratch, edges: DataFrame) -> DataFrame:
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         floor = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(floor, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        new = scratch.table(small.unionByName(floor.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        new = _few(scratch.table(small.unionByName(floor.select("u", F.col("m").alias("v"))).distinct(), "edges"))
         was, seen = seen, _digest(new)
         scratch.drop(now)
         now = new
@@ -97,6 +104,24 @@ def components(scratch: Scratch, edges: DataFrame) -> DataFrame:
     return out
 
 
+def _counted(scratch: Scratch, live: DataFrame, elements: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Live rows with `size` (elements of the member) and `common` (those that another live member has too)."""
+    parts = elements(live.select("id").distinct())
+    own = parts.groupBy("element").agg(F.min("id").alias("id"), F.count("*").alias("n")).filter("n = 1").groupBy("id").agg(F.count("*").alias("own"))
+    sizes = parts.groupBy("id").agg(F.count("*").alias("size")).join(own, "id", "left")
+    sizes = sizes.select("id", "size", (F.col("size") - F.coalesce("own", F.lit(0))).alias("common"))
+    return _few(scratch.table(live.join(sizes, "id").select("bucket", "id", "comp", "size", "common"), "counted"))
+
+
+def _few(table: DataFrame) -> DataFrame:
+    """A written table; in one partition, which needs no exchange, if its counted rows are few."""
+    if table.count() > ONE_TASK:
+        return table
+    out = table.coalesce(1)
+    out._scratch_path = table._scratch_path
+    return out
+
+
 def _down(edges: DataFrame) -> DataFrame:
     return edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
 

@@ -134,7 +134,10 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         both = F.size(F.array_intersect("sa", "sb"))
         return pairs.join(x, "a").join(y, "b").filter(both >= similar * (F.size("sa") + F.size("sb") - both))
 
-    roots = classes(scratch, members, verify)
+    def elements(ids: DataFrame) -> DataFrame:
+        return sets.join(ids, "id").select("id", F.explode("shingles").alias("element"))
+
+    roots = classes(scratch, members, verify, elements, similar)
     label = nodes.select("id", "digest").join(roots, "id", "left").select("digest", F.coalesce("root", "id").alias("class"))
     rows = scratch.table(signed_rows.select("row", "doc_id", "digest").join(label, "digest").select("row", "doc_id", "class"), "rows")
     best = rows.groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("row"))).alias("best"), F.count("*").alias("copies"))
