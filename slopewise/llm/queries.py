@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .contamination import contamination
+from .counts import count_tokens
+from .likelihood import score_texts
 from .lines import line_classes
 from .near import near_classes
 from .packing import pack
@@ -104,3 +106,13 @@ def decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op2_packing")
 def packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+
+
+@query("op9_token_counts")
+def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_tokens(_table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
+@query("op8_lm_scores")
+def lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(_table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
