@@ -8,8 +8,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .archive import archived
 from .contamination import contamination
 from .counts import count_tokens
+from .language import languages
 from .likelihood import score_texts
 from .lines import line_classes
 from .near import near_classes
@@ -116,3 +118,23 @@ def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_lm_scores")
 def lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_texts(_table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
+@query("op7_language_id")
+def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return languages(_table(spark, sf_dir, "documents"))
+
+
+_ARCHIVE_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+b AS (SELECT page_id, strlen(h) AS payload_bytes, sha1(h) AS hex, max(page_id) OVER (PARTITION BY h) AS first FROM p),
+d AS (SELECT *, list_reduce(list_transform(range(32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                 1 + (('0x' || substr(hex, 1 + 5 * (k // 4), 5))::INT // (32 ** (3 - k % 4))::INT) % 32, 1)), lambda x, y: x || y) AS digest FROM b)
+SELECT page_id, payload_bytes, digest AS payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first THEN first END AS refers_to FROM d
+"""
+
+
+@query("op4_warc", _ARCHIVE_SQL)
+def warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archived(_table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
