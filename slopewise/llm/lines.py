@@ -121,18 +121,17 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         gone = gone.join(sized(repeated), _same(gone, repeated), "left").filter("first is null or row = first").select(gone["*"])
     gone = gone.groupBy(*same).agg(F.collect_list("line_no").alias("_gone"))
     gone = scratch.table(gone.withColumnsRenamed({"doc_id": "_id", "digest": "_print"}), "gone")
-    names = docs.columns
-    out = docs.withColumns({"_doc": F.col(id_col).cast("long"), "_key": F.unhex(F.md5(text_col))})
+    out = docs.select(F.struct("*").alias("_own"), F.col(id_col).cast("long").alias("_doc"), F.unhex(F.md5(text_col)).alias("_key"), F.col(text_col).alias("_text"))
     if again:
-        plain = ~F.coalesce(F.col(text_col), F.lit("")).rlike(NOT_BLANK)
+        plain = ~F.coalesce(F.col("_text"), F.lit("")).rlike(NOT_BLANK)
         out = out.filter(plain).unionByName(out.filter(~plain).dropDuplicates(["_doc", "_key"]))
     out = out.join(sized(gone), F.col("_doc").eqNullSafe(F.col("_id")) & F.col("_key").eqNullSafe(F.col("_print")), "left")
-    out = out.withColumn("_lines", F.split(text_col, "\n", -1))
+    out = out.withColumn("_lines", F.split("_text", "\n", -1))
     out = out.withColumn("_rest", F.expr("array_except(sequence(0, size(_lines) - 1), _gone)"))
-    out = out.withColumn("_text", F.expr("array_join(transform(_rest, i -> _lines[i]), '\n')"))
-    text = F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(F.col("_text"))
-    out = out.filter(F.col("_gone").isNull() | F.col("_text").rlike(NOT_BLANK))
-    return out.withColumn(text_col, text).select(*(F.col(f"`{c}`") for c in names))
+    out = out.withColumn("_left", F.expr("array_join(transform(_rest, i -> _lines[i]), '\n')"))
+    out = out.filter(F.col("_gone").isNull() | F.col("_left").rlike(NOT_BLANK))
+    text = F.when(F.col("_gone").isNull(), F.col("_text")).otherwise(F.col("_left")).alias(text_col)
+    return out.select(*(text if c == text_col else F.col(f"_own.`{c}`") for c in docs.columns))
 
 
 def _same(x: DataFrame, y: DataFrame) -> Column:

@@ -111,7 +111,7 @@ def _setter(words: int):
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS,
                  similar: float = SIMILAR, bands: int = BANDS, in_band: int = IN_BAND) -> DataFrame:
     """One row for each document: `doc_id`, `class_id` (least doc_id of its class), `copies` (documents in the class),
-    `kept` (true for one document of each class) and `row` (a number of its own).
+    `kept` (true for one document of each class), `digest` (of the text) and `row` (a number of its own).
 
     A class holds equal texts and texts that a chain of links joins. The rows are read from a written table.
     """
@@ -139,8 +139,25 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     roots = classes(scratch, members, verify, elements, similar)
     label = nodes.select("id", "digest").join(roots, "id", "left").select("digest", F.coalesce("root", "id").alias("class"))
-    rows = scratch.table(signed_rows.select("row", "doc_id", "digest").join(label, "digest").select("row", "doc_id", "class"), "rows")
+    rows = scratch.table(signed_rows.select("row", "doc_id", "digest").join(label, "digest").select("row", "doc_id", "digest", "class"), "rows")
     best = rows.groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("row"))).alias("best"), F.count("*").alias("copies"))
-    out = rows.join(best, "class").select("doc_id", F.col("best.doc_id").alias("class_id"), "copies", (F.col("row") == F.col("best.row")).alias("kept"), "row")
+    out = rows.join(best, "class").select("doc_id", F.col("best.doc_id").alias("class_id"), "copies", (F.col("row") == F.col("best.row")).alias("kept"), "digest", "row")
     scratch.drop(signed, nodes, members, wanted, sets, roots)
     return out
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """One document of each class, same columns. Rows are found again by doc_id and digest; of rows that have both the same one stays."""
+    scratch = Scratch(docs.sparkSession)
+    rows = scratch.table(near_classes(docs, id_col, text_col, **options).select(F.col("doc_id").alias("_id"), F.col("digest").alias("_print"), "kept"), "classes")
+    keys = rows.groupBy("_id", "_print").agg(F.max("kept").alias("any"), F.count("*").alias("n"))
+    gone = scratch.table(keys.filter("not any").select("_id", "_print"), "gone")
+    again = scratch.table(keys.filter("any and n > 1").select("_id", "_print"), "again")
+    same = F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_print"))
+    key = F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit(""))))
+    out = docs.select(F.struct("*").alias("_own"), F.col(id_col).cast("long").alias("_doc"), key.alias("_key"))
+    out = out.join(sized(gone), same, "left_anti")
+    if not again.isEmpty():
+        twice = out.join(sized(again), same, "left_semi").dropDuplicates(["_doc", "_key"])
+        out = out.join(sized(again), same, "left_anti").unionByName(twice)
+    return out.select("_own.*")
