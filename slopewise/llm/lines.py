@@ -1,6 +1,6 @@
 """Line deduplication: fuzzy copies of lines across all documents, one line of each component kept.
 
-Built of DataFrame functions only. A line's shingles are its runs of eight characters (UTF-16 units). Each shingle is
+Built of DataFrame functions only. A line's shingles are its runs of eight characters. Each shingle is
 hashed once; the hash range is cut into 40 bins, and the least hash of each bin is a coordinate of the line's MinHash
 signature. Four neighbouring bins are a band; ten bands catch a pair of Jaccard similarity 0.8 with probability 0.995.
 Candidates are verified by the exact Jaccard similarity of their shingles, and components follow from the links.
@@ -26,9 +26,9 @@ NOT_BLANK = r"[^\s]"
 
 
 def shingle_hashes(octets: str, characters: int) -> Column:
-    """One hash for each run of characters of a line given as UTF-16 octets."""
-    last = f"greatest(octet_length({octets}) - {2 * characters - 1}, 1)"
-    return F.expr(f"transform(sequence(1, {last}, 2), i -> xxhash64(substring({octets}, i, {2 * characters})))")
+    """One hash for each run of characters of a line given as UTF-32 octets, four for each character."""
+    last = f"greatest(octet_length({octets}) - {4 * characters - 1}, 1)"
+    return F.expr(f"transform(sequence(1, {last}, 4), i -> xxhash64(substring({octets}, i, {4 * characters})))")
 
 
 def signature_bands(lines: DataFrame, characters: int, bands: int, in_band: int) -> DataFrame:
@@ -42,7 +42,7 @@ def signature_bands(lines: DataFrame, characters: int, bands: int, in_band: int)
     filled = f"transform(sequence(1, {bins - in_band + 1}, {in_band}), k -> xxhash64(slice(least, k, {in_band})))"
     partly = (f"transform(filter(transform(sequence({low}, {low + bands - 1}), k -> filter(least, x -> {cell('x', bands)} = k)),"
               " a -> size(a) > 0), a -> xxhash64(a))")
-    out = lines.withColumn("octets", F.encode("line", "UTF-16BE"))
+    out = lines.withColumn("octets", F.encode("line", "UTF-32"))
     out = out.withColumn("sorted", F.sort_array(shingle_hashes("octets", characters)))
     out = out.withColumn("least", F.expr(f"filter(sorted, (x, i) -> i = 0 or {cell('x', bins)} <> {cell('sorted[i - 1]', bins)})"))
     return out.withColumn("bands", F.expr(f"if(size(least) = {bins}, {filled}, {partly})")).drop("octets", "sorted", "least")
@@ -72,7 +72,7 @@ def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     members = scratch.table(shared(nodes.select("id", F.explode("bands").alias("bucket"))), "members")
     wanted = scratch.table(nodes.select("id", "key").join(members.select("id").distinct(), "id", "left_semi"), "wanted")
     found = texts.withColumn("key", _key()).join(sized(wanted), "key").select("id", "line").dropDuplicates(["id"])
-    found = scratch.table(found.withColumn("octets", F.encode("line", "UTF-16BE")).select("id", "octets"), "texts")
+    found = scratch.table(found.withColumn("octets", F.encode("line", "UTF-32")).select("id", "octets"), "texts")
 
     def verify(pairs: DataFrame) -> DataFrame:
         for k in "ab":

@@ -1,0 +1,55 @@
+"""Registered corpus queries against SQL, and the pipeline's stages against brute force."""
+
+import brute
+import duckdb
+import pytest
+
+import corpus_pipeline
+from slopewise.llm.queries import ORACLES, QUERIES
+
+
+@pytest.mark.parametrize("name", sorted(ORACLES))
+def test_query_matches_sql(spark, folder, name):
+    con = duckdb.connect()
+    for t in ("documents", "benchmark", "pages", "conversations"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet'")
+    df = QUERIES[name](spark, folder)
+    rel = con.execute(ORACLES[name])
+    names = [c[0] for c in rel.description]
+    want = sorted(rel.fetchall(), key=repr)
+    assert sorted(names) == sorted(df.columns)
+    assert sorted((tuple(r) for r in df.select(*names).collect()), key=repr) == want
+
+
+def test_each_operator_has_one_query():
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+
+
+def test_pipeline_stages(spark, folder, tmp_path):
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    columns = docs.columns
+    items = [tuple(r) for r in spark.read.parquet(f"{folder}/benchmark.parquet").collect()]
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        before = sorted((r.doc_id, r.text) for r in docs.collect())
+        stage(spark, docs, folder).write.parquet(str(tmp_path / str(k)))
+        docs = spark.read.parquet(str(tmp_path / str(k)))
+        if name == "packing":
+            assert {r.doc_id for r in docs.collect()} == {i for i, _ in before}
+            continue
+        assert docs.columns == columns
+        after = sorted((r.doc_id, r.text) for r in docs.collect())
+        if name == "quality_rules":
+            assert after == [r for r in before if brute.repetition(r[1])[-1]]
+        elif name == "line_dedup":
+            gone = {p for c in brute.line_places(before) for p in c[1:]}
+            want = [(i, "\n".join(x for n, x in enumerate(t.split("\n")) if (j, n) not in gone)) for j, (i, t) in enumerate(before)]
+            assert after == [r for r in want if r[1].strip()]
+        elif name == "near_dedup":
+            assert after == sorted(before[c[0]] for c in brute.near(before))
+        else:
+            assert after == [r for r in before if not brute.contaminated(r[1], items)[1]]
+
+
+def test_run_returns_packed_pieces(spark, folder):
+    got = corpus_pipeline.run(spark, folder)
+    assert {"doc_id", "sequence_id", "offset", "length"} <= set(got.columns) and got.count() > 0
