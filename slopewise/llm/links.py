@@ -4,21 +4,24 @@ A bucket may hold a third of all rows. In each round it names a few pivots; ever
 paired with them, the pairs are verified, and components merge. A pivot has then met everyone it could still add
 something to, and leaves the bucket; a bucket whose members all lie in one component is done. So each pair that shares
 a bucket is either verified or found to be connected already: no link between components is lost. In the first rounds
-pivots come from large components, so that stragglers meet a few of the many they may be linked to. Then they come from
+pivots come from large components and from the middle of a group, so that stragglers meet a few of the many they may be
+linked to. Then they come from
 small ones, in growing numbers, and meet all of the rest but those that counting rules out: two sets of a given Jaccard
-similarity have a least number of elements in common, and elements that no other live member has are in common with none.
+similarity have a least number of elements in common, elements that no other live member has are in common with none, and
+a bit set for an element of one member but for none of the other's is an element they do not share.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import Scratch
 
 PIVOTS, GATHER, GROWTH = 4, 2, 8  # pivots of a bucket in the first rounds, and how many rounds those are; growth after that
+WORDS_OF_BITS = 16  # 64 bits each
 ONE_TASK = 50_000  # counted rows up to which a step is not dealt over more tasks
 
 
@@ -36,7 +39,7 @@ def classes(scratch: Scratch, members: DataFrame, verify: Callable[[DataFrame],
     returns those that are links, same columns. `elements` gives `id`, `element` for each of a member's distinct
     elements, for some ids; a link is a Jaccard similarity of at least `similar` between those.
     """
-    live, pivots, found, spent, turn = members.withColumn("comp", F.col("id")), PIVOTS, [], [], 0
+    live, pivots, found, spent, turn = _weighted(members), PIVOTS, [], [], 0
     while True:
         several = live.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("bucket")
         now = _few(scratch.table(live.join(several, "bucket"), "live"))
@@ -50,12 +53,12 @@ def classes(scratch: Scratch, members: DataFrame, verify: Callable[[DataFrame],
         if turn > 1:
             ranked, size = now.join(now.groupBy("comp").agg(F.count("*").alias("rows")), "comp"), F.col("rows")
         ranked = ranked.select("bucket", F.pmod(F.xxhash64("id", F.lit(turn)), F.lit(pivots)).alias("slot"),
-                               F.struct((-size if turn <= GATHER else size).alias("rows"), F.xxhash64("id"), F.struct(now.columns[1:]).alias("own")).alias("p"))
+                               F.struct((-size if turn <= GATHER else size).alias("rows"), -F.col("weight"), F.xxhash64("id"), F.struct(now.columns[1:]).alias("own")).alias("p"))
         chosen = ranked.groupBy("bucket", "slot").agg(F.min("p").alias("p"))
         chosen = _few(scratch.table(chosen.select("bucket", *(F.col(f"p.own.{c}").alias(f"p{c}") for c in now.columns[1:])), "pivots"))
         pairs = now.join(chosen, "bucket").filter("comp <> pcomp")
         if turn > GATHER:
-            pairs = pairs.filter(F.least("common", "pcommon") * (1 + similar) >= similar * (F.col("size") + F.col("psize")) - 1e-6)
+            pairs = pairs.filter(_possible(similar))
         pairs = pairs.select(F.least("id", "pid").alias("a"), F.greatest("id", "pid").alias("b"),
                              F.expr("if(id < pid, comp, pcomp)").alias("ca"), F.expr("if(id < pid, pcomp, comp)").alias("cb"))
         links = scratch.table(verify(pairs.distinct()).select("ca", "cb").distinct(), "links")
@@ -104,13 +107,30 @@ def components(scratch: Scratch, edges: DataFrame) -> DataFrame:
     return out
 
 
+def _weighted(members: DataFrame) -> DataFrame:
+    """`bucket`, `id`, `comp` (the id itself), `weight` (how many members its buckets have: most for the middle of a group)."""
+    sizes = members.groupBy("bucket").agg(F.count("*").alias("n"))
+    weight = members.join(sizes, "bucket").groupBy("id").agg(F.sum("n").alias("weight"))
+    return members.join(weight, "id").select("bucket", "id", F.col("id").alias("comp"), "weight")
+
+
 def _counted(scratch: Scratch, live: DataFrame, elements: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Live rows with `size` (elements of the member) and `common` (those that another live member has too)."""
     parts = elements(live.select("id").distinct())
     own = parts.groupBy("element").agg(F.min("id").alias("id"), F.count("*").alias("n")).filter("n = 1").groupBy("id").agg(F.count("*").alias("own"))
-    sizes = parts.groupBy("id").agg(F.count("*").alias("size")).join(own, "id", "left")
-    sizes = sizes.select("id", "size", (F.col("size") - F.coalesce("own", F.lit(0))).alias("common"))
-    return _few(scratch.table(live.join(sizes, "id").select("bucket", "id", "comp", "size", "common"), "counted"))
+    cell = f"shiftright(element, 6) & {WORDS_OF_BITS - 1}"
+    bits = [F.expr(f"bit_or(if({cell} = {k}, shiftleft(1L, cast(element & 63 as int)), 0L))").alias(f"bits{k}") for k in range(WORDS_OF_BITS)]
+    sizes = parts.groupBy("id").agg(F.count("*").alias("size"), *bits).join(own, "id", "left")
+    sizes = sizes.select("id", "size", (F.col("size") - F.coalesce("own", F.lit(0))).alias("common"), F.array(*(f"bits{k}" for k in range(WORDS_OF_BITS))).alias("bits"))
+    return _few(scratch.table(live.join(sizes, "id").select("bucket", "id", "comp", "weight", "size", "common", "bits"), "counted"))
+
+
+def _possible(similar: float) -> Column:
+    """Whether counts leave room for a link: enough elements in common, and few enough bits of one side alone."""
+    needed = similar / (1 + similar) * (F.col("size") + F.col("psize")) - 1e-6
+    alone = lambda x, y: F.expr(" + ".join(f"bit_count({x}[{k}] & ~{y}[{k}])" for k in range(WORDS_OF_BITS)))
+    return ((F.least("common", "pcommon") >= needed) & (F.col("size") - alone("bits", "pbits") >= needed)
+            & (F.col("psize") - alone("pbits", "bits") >= needed))
 
 
 def _few(table: DataFrame) -> DataFrame:
