@@ -1,8 +1,9 @@
 """Line deduplication: fuzzy copies of lines across all documents, one line of each component kept.
 
 Built of DataFrame functions only. A line's shingles are its runs of eight characters. Each shingle is
-hashed once; the hash range is cut into 40 bins, and the least hash of each bin is a coordinate of the line's MinHash
-signature. Four neighbouring bins are a band; ten bands catch a pair of Jaccard similarity 0.8 with probability 0.995.
+hashed once; the hash range is cut into 64 bins, and the least hash of each bin is a coordinate of the line's MinHash
+signature. Four neighbouring bins are a band; the ten bands in use catch a pair of Jaccard similarity 0.8 with probability
+0.995.
 Candidates are verified by the exact Jaccard similarity of their shingles, and components follow from the links.
 Equal lines are one candidate from the start.
 
@@ -21,31 +22,32 @@ from .links import classes, shared
 from .scratch import Scratch, sized
 
 CHARACTERS, SIMILAR = 8, 0.8
-BANDS, IN_BAND = 10, 4
+BANDS, IN_BAND = 10, 4  # of the sixteen bands of four bins that the hash range has
 NOT_BLANK = r"[^\s]"
 
 
 def shingle_hashes(octets: str, characters: int) -> Column:
-    """One hash for each run of characters of a line given as UTF-32 octets, four for each character."""
-    last = f"greatest(octet_length({octets}) - {4 * characters - 1}, 1)"
-    return F.expr(f"transform(sequence(1, {last}, 4), i -> xxhash64(substring({octets}, i, {4 * characters})))")
+    """One hash for each run of characters of a line given as UTF-32 octets, four for each character. (The octets are an
+    element of an outer array, so that they are read from their row once.)"""
+    each = f"xxhash64(substring(b, i, {4 * characters}))"
+    return F.expr(f"element_at(transform(array({octets}), b -> transform(sequence(1, greatest(octet_length(b) - {4 * characters - 1}, 1), 4), i -> {each})), 1)")
 
 
-def signature_bands(lines: DataFrame, characters: int, bands: int, in_band: int) -> DataFrame:
-    """`lines` (with `line`) and `bands`: a key for each band that has a shingle. Each step is read twice, so that it is computed once."""
-    bins = bands * in_band
+def signature_bands(lines: DataFrame, characters: int, bands: int) -> DataFrame:
+    """`lines` (with `line`) and `bands`: a key for each band that has a shingle.
 
-    def cell(x: str, cells: int) -> str:
-        return f"shiftright(shiftright({x}, 32) * {cells}L, 32)"
-
-    low = -(bands // 2)
-    filled = f"transform(sequence(1, {bins - in_band + 1}, {in_band}), k -> xxhash64(slice(least, k, {in_band})))"
-    partly = (f"transform(filter(transform(sequence({low}, {low + bands - 1}), k -> filter(least, x -> {cell('x', bands)} = k)),"
-              " a -> size(a) > 0), a -> xxhash64(a))")
+    The upper six bits of a hash are its bin, the upper four its band; hashes are signed and sorted, so the first
+    `bands` of sixteen bands are the lowest. Each step is read twice by the next, so that it is computed once.
+    """
     out = lines.withColumn("octets", F.encode("line", "UTF-32"))
     out = out.withColumn("sorted", F.sort_array(shingle_hashes("octets", characters)))
-    out = out.withColumn("least", F.expr(f"filter(sorted, (x, i) -> i = 0 or {cell('x', bins)} <> {cell('sorted[i - 1]', bins)})"))
-    return out.withColumn("bands", F.expr(f"if(size(least) = {bins}, {filled}, {partly})")).drop("octets", "sorted", "least")
+    end = (bands - 8) << 60
+    first = f"element_at(transform(array(sorted), s -> filter(s, (x, i) -> x < {end}L and (i = 0 or shiftright(x, 58) <> shiftright(s[i - 1], 58)))), 1)"
+    out = out.withColumn("least", F.expr(f"if(size(sorted) > 0, {first}, array())"))
+    filled = f"transform(sequence(1, {bands * IN_BAND - IN_BAND + 1}, {IN_BAND}), k -> xxhash64(slice(least, k, {IN_BAND})))"
+    partly = (f"transform(filter(transform(sequence(-8, {bands - 9}), k -> filter(least, x -> shiftright(x, 60) = k)),"
+              " a -> size(a) > 0), a -> xxhash64(a))")
+    return out.withColumn("bands", F.expr(f"if(size(least) = {bands * IN_BAND}, {filled}, {partly})")).drop("octets", "sorted", "least")
 
 
 def _split(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -60,14 +62,14 @@ def _key(line: str = "line") -> Column:
 
 
 def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", characters: int = CHARACTERS,
-                 similar: float = SIMILAR, bands: int = BANDS, in_band: int = IN_BAND) -> DataFrame:
+                 similar: float = SIMILAR, bands: int = BANDS) -> DataFrame:
     """One row for each line: `doc_id`, `row`, `digest` (of its document), `line_no`, `class_doc` and `class_line` (the kept line of its class), `copies`, `kept`."""
     scratch = Scratch(docs.sparkSession)
     full = F.col("line").rlike(NOT_BLANK)
     places = _split(docs, id_col, text_col)
     places = scratch.table(places.select("doc_id", "row", "digest", "line_no", F.when(full, _key()).alias("key")), "lines")
     texts = docs.select(F.explode(F.split(text_col, "\n", -1)).alias("line")).filter(full)
-    nodes = signature_bands(texts.distinct(), characters, bands, in_band).select(_key().alias("key"), "bands")
+    nodes = signature_bands(texts.distinct(), characters, bands).select(_key().alias("key"), "bands")
     nodes = scratch.table(nodes.withColumn("id", F.monotonically_increasing_id()), "nodes")
     members = scratch.table(shared(nodes.select("id", F.explode("bands").alias("bucket"))), "members")
     wanted = scratch.table(nodes.select("id", "key").join(members.select("id").distinct(), "id", "left_semi"), "wanted")
