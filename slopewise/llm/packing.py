@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .scratch import Scratch, sized
 from .spans import blocks
-from .tokens import texts_of, word_ids
+from .tokens import word_ids
 
 LENGTH, END = 2048, 1
 PER_SHARD = 100_000  # rests ranked by one task
@@ -98,7 +98,7 @@ def best_fit(counts: dict[int, int], length: int = LENGTH) -> tuple[list[tuple[i
 def _cutter(path: str, length: int, end: int, with_ids: bool):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in blocks(batches, "text"):
-            ids, counts = word_ids(path).encode(texts_of(part.column("text")))
+            ids, counts = word_ids(path).encode(part.column("text"))
             starts = np.cumsum(counts) - counts
             of, begin, size, crc, pieces = [], [], [], [], []
             for k, (at, n) in enumerate(zip(starts.tolist(), counts.tolist(), strict=True)):
