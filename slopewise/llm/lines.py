@@ -1,9 +1,9 @@
 """Line deduplication: fuzzy copies of lines across all documents, one line of each component kept.
 
 Built of DataFrame functions only. A line's shingles are its runs of eight characters. Each shingle is
-hashed once; the hash range is cut into 64 bins, and the least hash of each bin is a coordinate of the line's MinHash
-signature. Four neighbouring bins are a band; the ten bands in use catch a pair of Jaccard similarity 0.8 with probability
-0.995.
+hashed once; the hash range is cut into sixteen parts, and the four least hashes of a part are a band of the line's MinHash
+signature: two lines agree in all four with the fourth power of their Jaccard similarity. The ten bands in use catch a
+pair of similarity 0.8 with probability 0.995.
 Candidates are verified by the exact Jaccard similarity of their shingles, and components follow from the links.
 Equal lines are one candidate from the start.
 
@@ -22,7 +22,7 @@ from .links import classes, shared
 from .scratch import Scratch, sized
 
 CHARACTERS, SIMILAR = 8, 0.8
-BANDS, IN_BAND = 10, 4  # of the sixteen bands of four bins that the hash range has
+BANDS, IN_BAND = 10, 4  # of the sixteen that the hash range has; least hashes in each
 NOT_BLANK = r"[^\s]"
 
 
@@ -36,18 +36,15 @@ def shingle_hashes(octets: str, characters: int) -> Column:
 def signature_bands(lines: DataFrame, characters: int, bands: int) -> DataFrame:
     """`lines` (with `line`) and `bands`: a key for each band that has a shingle.
 
-    The upper six bits of a hash are its bin, the upper four its band; hashes are signed and sorted, so the first
-    `bands` of sixteen bands are the lowest. Each step is read twice by the next, so that it is computed once.
+    The hash range is cut into sixteen bands, of which the lowest `bands` are in use (hashes are signed). The lower bounds
+    of the bands are sorted in among the hashes; the four least hashes of a band are what follows its bound.
     """
+    bounds = [f"shiftleft({k - 8}L, 60)" for k in range(bands + 1)]
     out = lines.withColumn("octets", F.encode("line", "UTF-32"))
-    out = out.withColumn("sorted", F.sort_array(shingle_hashes("octets", characters)))
-    end = (bands - 8) << 60
-    first = f"element_at(transform(array(sorted), s -> filter(s, (x, i) -> x < {end}L and (i = 0 or shiftright(x, 58) <> shiftright(s[i - 1], 58)))), 1)"
-    out = out.withColumn("least", F.expr(f"if(size(sorted) > 0, {first}, array())"))
-    filled = f"transform(sequence(1, {bands * IN_BAND - IN_BAND + 1}, {IN_BAND}), k -> xxhash64(slice(least, k, {IN_BAND})))"
-    partly = (f"transform(filter(transform(sequence(-8, {bands - 9}), k -> filter(least, x -> shiftright(x, 60) = k)),"
-              " a -> size(a) > 0), a -> xxhash64(a))")
-    return out.withColumn("bands", F.expr(f"if(size(least) = {bands * IN_BAND}, {filled}, {partly})")).drop("octets", "sorted", "least")
+    out = out.withColumn("sorted", F.sort_array(F.concat(shingle_hashes("octets", characters), F.expr(f"array({', '.join(bounds)})"))))
+    out = out.withColumn("at", F.expr(f"array({', '.join(f'cast(array_position(sorted, {x}) as int)' for x in bounds[:-1])})"))
+    some = "filter(at, p -> sorted[p] & (shiftleft(1L, 60) - 1L) <> 0)"
+    return out.select(*lines.columns, F.expr(f"transform({some}, p -> xxhash64(slice(sorted, p + 1, {IN_BAND})))").alias("bands"))
 
 
 def _split(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
