@@ -107,7 +107,7 @@ def finish_pairs(sums: DataFrame, blocks: DataFrame, kb: int, min_r2: float) ->
 
 
 def clump(assoc: DataFrame, edges: DataFrame, locus: str, ident: str, order: Column, *, p: str, p1: float = 5e-8,
-          r2: float = 0.001, max_rounds: int = 1000) -> DataFrame:
+          r2: float = 0.001) -> DataFrame:
     """Index variants of greedy clumping, per locus.
 
     Going down the list in `order`, a variant still alive becomes an index and takes its
@@ -123,11 +123,13 @@ def clump(assoc: DataFrame, edges: DataFrame, locus: str, ident: str, order: Col
     vb = live.select("locus", F.col("v").alias("b"), F.col("o").alias("ob"))
     links = cut_lineage(both.join(va, "a").join(vb, ["locus", "b"]).select("locus", "a", "oa", "b", "ob"))
     chosen = None
-    for _ in range(max_rounds):
+    while True:  # each round takes at least one variant of every locus out
         first = links.groupBy("locus", "a").agg(F.min("ob").alias("best"))
         lead = (live.join(first.withColumnRenamed("a", "v"), ["locus", "v"], "left")
                 .filter(F.col("best").isNull() | (F.col("o") < F.col("best"))).select("locus", "v", "o"))
         lead = cut_lineage(lead)
+        if lead.isEmpty() and not live.isEmpty():
+            raise ValueError("clumping needs an order without ties and NULLs among linked variants")
         chosen = lead if chosen is None else chosen.unionByName(lead)
         taken = links.join(lead.select("locus", F.col("v").alias("a")), ["locus", "a"], "left_semi").select(
             "locus", F.col("b").alias("v"))

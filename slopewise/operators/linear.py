@@ -132,7 +132,7 @@ def _outcome_array(d: Design, cols: dict[str, np.ndarray], seed: int, fold: int)
     y = cols[d.outcome.column]
     if not d.outcome.variance:
         return y
-    mu, tau2 = d.params[seed, fold]
+    mu, tau2 = d.params.get((seed, fold), (0.0, 0.0))  # a fold whose training set has no rows
     v = cols[d.outcome.variance]
     w = np.divide(tau2, tau2 + v, out=np.zeros_like(v), where=(tau2 + v) > 0)
     return mu + w * (y - mu)

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .folds import fold_of
-from .linear import small_or_shuffled
+from .linear import Design, Outcome, small_or_shuffled, training_medians
 from .metrics import auc
 
 C_GRID = (0.001, 0.01, 0.1, 1.0, 10.0, 100.0)
@@ -161,8 +161,8 @@ def raw_coefficients(f: Fit) -> tuple[float, list[float], list[float]]:
 def _model_table(spark, fits: list[Fit], keys: list[str]) -> DataFrame:
     schema = T.StructType([T.StructField(k, T.IntegerType()) for k in keys] + [
         T.StructField("a0", T.DoubleType()), T.StructField("b", T.ArrayType(T.DoubleType())),
-        T.StructField("f", T.ArrayType(T.DoubleType()))])
-    rows = [tuple(int(x) for x in f.name) + raw_coefficients(f) for f in fits if f.classes == 2]
+        T.StructField("f", T.ArrayType(T.DoubleType())), T.StructField("converged", T.BooleanType())])
+    rows = [tuple(int(x) for x in f.name) + raw_coefficients(f) + (f.converged,) for f in fits if f.classes == 2]
     return spark.createDataFrame(rows, schema)
 
 
@@ -183,19 +183,30 @@ def _rows(df: DataFrame, subject: str, columns: list[str], label: str, seeds: li
     return df.dropna(subset=[label]).select(subject, *cols)
 
 
+def training_fill(rows: DataFrame, subject: str, columns: list[str], seeds: list[int], k: int) -> dict:
+    """(seed, fold, column) -> median of a gappy column over the rows outside the fold (columns o<seed>)."""
+    gaps = rows.agg(*[F.count_if(F.col(c).isNull()).alias(f"g{i}") for i, c in enumerate(columns)]).first()
+    gappy = [c for i, c in enumerate(columns) if gaps[f"g{i}"]]
+    if not gappy:
+        return {}
+    return training_medians(rows, Design(subject, gappy, Outcome(subject), seeds, k, 1, fold_cols={s: f"o{s}" for s in seeds}), gappy)
+
+
 def logistic_cv(df: DataFrame, subject: str, label: str, columns: list[str], *, seeds: list[int] | None = None, k: int = 5,
                 inner_k: int = 5, grid: tuple[float, ...] = (1.0,), fill: dict | None = None,
                 fold_cols: dict[int, str] | None = None) -> DataFrame:
     """Out-of-fold probabilities; with more than one grid value the penalty is chosen per fold by mean inner AUC.
 
-    `fill` maps (seed, fold, column) to the training median of a gappy column.
+    Gaps are filled with the training median of each fold; `fill`, which maps (seed, fold, column) to a value, overrides it.
+    Every row comes back: where the training rows are all of one class `pred` is NULL, and `status` says so, as it does
+    where the fit did not settle.
     """
     seeds, cols = seeds or [0], tuple(columns)
     spark = df.sparkSession
     rows = _rows(df, subject, columns, label, seeds, k, inner_k, fold_cols).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         outer = [Fit((s, f), cols, grid[0], ((f"o{s}", f, False),)) for s in seeds for f in range(k)]
-        standardise_fits(rows, outer, fill)
+        standardise_fits(rows, outer, training_fill(rows, subject, columns, seeds, k) if fill is None else fill)
         if len(grid) > 1:
             best = _choose_c(rows, outer, label, grid, inner_k, seeds)
             for f in outer:
@@ -215,8 +226,9 @@ def _with_seed_folds(rows: DataFrame, seeds: list[int], extra: list[str]) -> Dat
 def _predict(rows: DataFrame, spark, fits: list[Fit], subject: str, label: str, cols: tuple[str, ...], seeds: list[int]) -> DataFrame:
     models = _model_table(spark, fits, ["seed", "fold"])
     long = _with_seed_folds(rows, seeds, [subject, label, *cols])
-    j = long.join(small_or_shuffled(models, len(fits) * (2 + 2 * len(cols))), ["seed", "fold"])
-    return j.select("seed", "fold", subject, F.col(label).alias("y"), probability(cols).alias("pred"))
+    j = long.join(small_or_shuffled(models, len(fits) * (2 + 2 * len(cols))), ["seed", "fold"], "left")
+    status = F.when(F.col("a0").isNull(), "one_class").when(~F.col("converged"), "not_converged").otherwise("ok")
+    return j.select("seed", "fold", subject, F.col(label).alias("y"), probability(cols).alias("pred"), status.alias("status"))
 
 
 def _choose_c(rows: DataFrame, outer: list[Fit], label: str, grid: tuple[float, ...], inner_k: int, seeds: list[int]) -> dict:
@@ -245,26 +257,28 @@ def recalibrated_cv(df: DataFrame, subject: str, label: str, columns: list[str],
     """Out-of-fold raw, Platt and isotonic probabilities.
 
     Inside each training set a hashed share is held back: the model never sees it, and both
-    recalibrations see nothing else. Test rows are in neither. Where the share has one class only, the raw probability stands.
+    recalibrations see nothing else. Test rows are in neither. Where the share has one class only, the raw probability stands; where the
+    model's own training rows have, all three are NULL.
     """
     cols, spark = tuple(columns), df.sparkSession
     held = (fold_of(subject, seed, 1000, "calib") < int(1000 * calib_share)).cast("int")
     rows = _rows(df, subject, columns, label, [seed], k, 1).withColumn("held", held).persist(StorageLevel.MEMORY_AND_DISK)
     base = [Fit((seed, f), cols, c, ((f"o{seed}", f, False), ("held", 1, False))) for f in range(k)]
-    standardise_fits(rows, base)
+    standardise_fits(rows, base, training_fill(rows.filter("held = 0"), subject, columns, [seed], k))
     newton(rows, base, label)
     models = _model_table(spark, base, ["seed", "fold"])
     # Every row under every fold's model: calibration rows of other folds, and its own fold's test row.
     each = rows.withColumn("fold", F.explode(F.array(*[F.lit(f) for f in range(k)])))
     each = each.withColumn("test", F.col(f"o{seed}") == F.col("fold")).filter(F.col("test") | (F.col("held") == 1))
-    scored = each.join(small_or_shuffled(models.drop("seed"), k * (2 + 2 * len(cols))), "fold").select(
+    scored = each.join(small_or_shuffled(models.drop("seed"), k * (2 + 2 * len(cols))), "fold", "left").select(
         "fold", "test", subject, label, probability(cols).alias("p_raw"))
-    calib = scored.filter(~F.col("test")).select("fold", label, "p_raw").persist(StorageLevel.MEMORY_AND_DISK)
+    calib = scored.filter(~F.col("test") & F.col("p_raw").isNotNull()).select("fold", label, "p_raw").persist(StorageLevel.MEMORY_AND_DISK)
     platt = newton(calib, [Fit((f,), ("p_raw",), 1e6, (("fold", f, True),)) for f in range(k)], label)
     out = scored.filter("test")
     p_models = _model_table(spark, platt, ["fold"])
     j = out.join(small_or_shuffled(p_models, 4 * k), "fold", "left")
-    out = j.withColumn("p_platt", F.coalesce(probability(("p_raw",)), F.col("p_raw"))).drop("a0", "b", "f")
+    platted = F.when(F.col("p_raw").isNotNull(), F.coalesce(probability(("p_raw",)), F.col("p_raw")))
+    out = j.withColumn("p_platt", platted).drop("a0", "b", "f", "converged")
     parts = None
     for f in range(k):
         mine = out.filter(F.col("fold") == f)
@@ -315,6 +329,6 @@ def boosted_cv(df: DataFrame, subject: str, label: str, columns: list[str], *, k
 
 
 def repeated_auc(oof: DataFrame, keys: list[str]) -> DataFrame:
-    """Mean and range over seeds of the pooled out-of-fold AUC."""
-    per = auc(oof, [*keys, "seed"], "y", "pred")
+    """Mean and range over seeds of the pooled out-of-fold AUC of the rows that have a prediction."""
+    per = auc(oof.filter(F.col("pred").isNotNull()), [*keys, "seed"], "y", "pred")
     return per.groupBy(*keys).agg(F.avg("auc").alias("auc"), F.min("auc").alias("auc_lo"), F.max("auc").alias("auc_hi"))

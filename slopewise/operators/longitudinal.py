@@ -26,18 +26,20 @@ def _slope_var(n: Column, sxx: Column, sxy: Column, syy: Column) -> Column:
 
 def subject_slopes(visits: DataFrame, subject: str, time: str, score: str, event: str) -> DataFrame:
     """One row per subject: least-squares slope, its sampling variance, and the
-    slope without the earliest visit. One aggregation, one shuffle.
+    slope without the earliest visit.
 
-    The earliest visit is taken back out of the second moments (an exact
+    Sums are combined map-side, so a subject's rows are not shuffled; only distinct (subject, event) pairs are, to be
+    counted. The earliest visit is taken back out of the second moments (an exact
     down-date), so no window over a subject's visits is needed and a subject
     with very many visits is still combined map-side.
     """
     rows = visits.filter(F.col(time).isNotNull() & F.col(score).isNotNull())
     g = rows.groupBy(subject).agg(
         *_moments(subject, time, score),
-        F.count_distinct(event).alias("n_events"),
         (F.max(time) - F.min(time)).alias("span"),
         F.min(F.struct(F.col(time).alias("t"), F.col(event).alias("e"), F.col(score).alias("y"))).alias("first"))
+    events = rows.select(F.col(subject).alias("__s"), F.col(event).alias("__e")).distinct().groupBy("__s").agg(F.count("__e").alias("n_events"))
+    g = g.join(events, F.col(subject).eqNullSafe(F.col("__s"))).drop("__s")
     n, t0, y0 = F.col("n_visits"), F.col("first.t"), F.col("first.y")
     mt = (n * F.col("mean_t") - t0) / F.nullif(n - 1, F.lit(0))
     my = (n * F.col("mean_y") - y0) / F.nullif(n - 1, F.lit(0))

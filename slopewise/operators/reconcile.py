@@ -8,31 +8,31 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import cut_lineage
+
 # Verdicts from best to worst.
 VERDICTS = ("PASS", "ROUNDED", "FAIL")
 
 
-def flatten_json(df: DataFrame, keys: list[str], json_col: str, max_depth: int = 8) -> DataFrame:
-    """(keys..., path, value text) for every leaf of a JSON text column, whatever its shape.
+def flatten_json(df: DataFrame, keys: list[str], json_col: str) -> DataFrame:
+    """(keys..., path, value text) for every leaf of a JSON text column, whatever its shape and depth.
 
-    Objects and arrays are opened level by level with the variant explode; each
-    level is a narrow generator, so nothing is shuffled.
+    Objects and arrays are opened level by level with the variant explode until no nested value is left. Each level is a
+    narrow generator over the one before, which is written once, so nothing is shuffled and no text is parsed again.
     """
     level = df.select(*keys, F.lit("").alias("path"), F.try_parse_json(json_col).alias("v"))
+    kind = F.schema_of_variant("v")
+    nested = kind.startswith("OBJECT") | kind.startswith("ARRAY")
+    sep = F.when(F.col("path") == "", F.lit("")).otherwise(F.lit("."))
     leaves = []
-    for depth in range(max_depth):
-        kind = F.schema_of_variant("v")
-        nested = kind.startswith("OBJECT") | kind.startswith("ARRAY")
+    while True:
         leaves.append(level.filter(~nested).select(*keys, "path", F.to_json("v").alias("value")))
-        if depth == max_depth - 1:
-            break
-        sep = F.when(F.col("path") == "", F.lit("")).otherwise(F.lit("."))
-        view = level.filter(nested)
-        opened = view.lateralJoin(df.sparkSession.tvf.variant_explode(F.col("v").outer()).select(
+        if leaves[1:] and level.filter(nested).isEmpty():
+            return reduce(DataFrame.unionByName, leaves)
+        opened = level.filter(nested).lateralJoin(df.sparkSession.tvf.variant_explode(F.col("v").outer()).select(
             F.col("pos").alias("p"), F.col("key").alias("k"), F.col("value").alias("child")))
-        level = opened.select(*keys, F.concat("path", sep, F.coalesce(F.col("k"), F.col("p").cast("string"))).alias("path"),
-                              F.col("child").alias("v"))
-    return reduce(DataFrame.unionByName, leaves)
+        level = cut_lineage(opened.select(*keys, F.concat("path", sep, F.coalesce(F.col("k"), F.col("p").cast("string"))).alias("path"),
+                                          F.col("child").alias("v")))
 
 
 def numeric_leaves(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:

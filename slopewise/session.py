@@ -30,14 +30,16 @@ def build_session(app: str = "slopewise", master: str | None = None, **conf: str
 def checkpoint_folder(spark: SparkSession) -> str:
     """The folder reliable checkpoints go to: the session's `spark.checkpoint.dir`.
 
-    Only where neither the setting nor a context folder exists (tests on one
-    machine) is a fresh local folder taken.
+    Only a session on one machine (a local master) takes a fresh local folder where none is set; elsewhere executors
+    would not find each other's files, and that is an error.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
     wanted = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    if not wanted and not sc.master.split("[")[0] == "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     sc.setCheckpointDir(wanted or tempfile.mkdtemp(prefix="slopewise-ckpt-"))
     return sc.getCheckpointDir()
 

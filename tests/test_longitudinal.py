@@ -123,5 +123,10 @@ def test_visit_order_and_first_value(spark):
 def test_hot_subject_is_combined_before_the_shuffle(visits):
     _, df = visits
     plan = lg.subject_slopes(df, "id", "t", "y", "ev")._jdf.queryExecution().executedPlan().toString()
-    assert "partial_regr" in plan or "partial_" in plan
-    assert "Window" not in plan
+    assert "partial_regr" in plan and "Window" not in plan
+    exchanges = [x for x in plan.split("\n") if "hashpartitioning" in x]
+    assert exchanges and all("ev#" not in x.split("hashpartitioning")[1] or "__e#" in x for x in exchanges)
+    for k, line in enumerate(plan.split("\n")):  # what is dealt by the event is (subject, event) pairs alone
+        if "hashpartitioning" in line and "__e#" in line:
+            below = next(x for x in plan.split("\n")[k + 1 :] if "HashAggregate" in x)
+            assert "functions=[]" in below
