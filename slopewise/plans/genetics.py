@@ -293,44 +293,44 @@ def _studies(t):
 
 def _scan_sql(source: str) -> str:
     return dv.INSTRUMENTS + ", " + dv.OUTCOMES + f""", lead AS ({source}),
-      st AS (SELECT disease, i.protein, i.beta AS bx, o.se_out, CASE WHEN upper(i."effectAllele") = upper(ea_out) AND upper(i."otherAllele") = upper(oa_out) THEN 1
+      st AS (SELECT disease, i.protein, i.platform, i.beta AS bx, o.se_out, CASE WHEN upper(i."effectAllele") = upper(ea_out) AND upper(i."otherAllele") = upper(oa_out) THEN 1
                WHEN upper(i."effectAllele") = upper(oa_out) AND upper(i."otherAllele") = upper(ea_out) THEN -1 END * beta_out * m0 AS by_
              FROM lead i JOIN outcomes o ON i.rsid = o.rsid_out, (VALUES ('cognitive', 1.0::DOUBLE), ('motor', -0.5), ('composite', 0.25)) v(disease, m0)),
-      scan AS (SELECT protein, disease, count(*) AS n_snp, sum(bx * by_ / se_out^2) / sum(bx^2 / se_out^2) AS beta, sqrt(1 / sum(bx^2 / se_out^2)) AS se FROM st WHERE by_ IS NOT NULL GROUP BY protein, disease),
+      scan AS (SELECT protein, platform, disease, count(*) AS n_snp, sum(bx * by_ / se_out^2) / sum(bx^2 / se_out^2) AS beta, sqrt(1 / sum(bx^2 / se_out^2)) AS se FROM st WHERE by_ IS NOT NULL GROUP BY protein, platform, disease),
       scanp AS (SELECT *, exp(beta) AS "or", {normal_two_sided_p_sql("beta / se")} AS p FROM scan)"""
 
 
-ALL_INST = "SELECT * FROM instruments WHERE platform = 'a'"
-LEAD = "SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY protein ORDER BY pval, -\"F\", -pos, \"Name\") AS rn FROM instruments WHERE platform = 'a' AND rsid IS NOT NULL) WHERE rn = 1"
+ALL_INST = "SELECT * FROM instruments"
+LEAD = "SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY protein, platform ORDER BY pval, -\"F\", -pos, \"Name\") AS rn FROM instruments WHERE rsid IS NOT NULL) WHERE rn = 1"
 
 
-@query("two_sample_scan", "protein:s disease:s n_snp:i beta:d se:d p:d8", f"WITH {_scan_sql(ALL_INST)} SELECT * FROM scanp")
+@query("two_sample_scan", "protein:s platform:s disease:s n_snp:i beta:d se:d p:d8", f"WITH {_scan_sql(ALL_INST)} SELECT * FROM scanp")
 def _(t):
-    return mr.wald_scan(dv.instruments(t).filter(F.col("platform") == "a"), _studies(t), ["protein", "disease"])
+    return mr.wald_scan(dv.instruments(t), _studies(t), ["protein", "platform", "disease"])
 
 
 def _lead(t):
-    i = dv.instruments(t).filter((F.col("platform") == "a") & F.col("rsid").isNotNull())
-    return vr.strongest(i, ["protein"], vr.clump_order("pval", "F", "pos", "Name"), ["rsid", "beta", "se", "effectAllele", "otherAllele"])
+    i = dv.instruments(t).filter(F.col("rsid").isNotNull())
+    return vr.strongest(i, ["protein", "platform"], vr.clump_order("pval", "F", "pos", "Name"), ["rsid", "beta", "se", "effectAllele", "otherAllele"])
 
 
 def _phewas(t):
-    return mr.wald_scan(_lead(t), _studies(t), ["protein", "disease"], n_tests=F.lit(3 * 2))
+    return mr.wald_scan(_lead(t), _studies(t), ["protein", "platform", "disease"], n_tests=F.lit(3 * 2))
 
 
-@query("phewas_scan", "protein:s disease:s or:d p:d8 hit:b", f"WITH {_scan_sql(LEAD)} SELECT *, p < 0.05 / 6 AS hit FROM scanp")
+@query("phewas_scan", "protein:s platform:s disease:s or:d p:d8 hit:b", f"WITH {_scan_sql(LEAD)} SELECT *, p < 0.05 / 6 AS hit FROM scanp")
 def _(t):
     return _phewas(t)
 
 
 @query("pleiotropy_flags", "protein:s pleiotropy_flag:b pleiotropy_notes:s",
        f"""WITH {_scan_sql(LEAD)}, g AS (SELECT protein, bool_or(p < 0.05) AS f,
-             string_agg(CASE WHEN p < 0.05 THEN printf('%s (OR=%.3f, p=%.4f)', disease, "or", p) END, '; ' ORDER BY disease) AS notes FROM scanp GROUP BY protein)
+             string_agg(CASE WHEN p < 0.05 THEN printf('%s (OR=%.3f, p=%.4f)', disease, "or", p) END, '; ' ORDER BY disease) AS notes FROM scanp WHERE platform = 'a' GROUP BY protein)
            SELECT protein, f AS pleiotropy_flag, CASE WHEN f IS NULL THEN 'not in scan' WHEN f THEN notes ELSE 'no significant hits' END AS pleiotropy_notes
            FROM (SELECT DISTINCT p_brand AS protein FROM part UNION SELECT DISTINCT p_type FROM part) LEFT JOIN g USING (protein)""")
 def _(t):
     wanted = t.part.select(F.col("p_brand").alias("protein")).unionByName(t.part.select(F.col("p_type").alias("protein")))
-    return mr.pleiotropy(_phewas(t), wanted)
+    return mr.pleiotropy(_phewas(t).filter("platform = 'a'"), wanted)
 
 
 @query("power_bounds", "protein:s platform:s mde_or:d excludes_control_scale:s",
@@ -414,18 +414,23 @@ def _(t):
            p AS (SELECT DISTINCT p_brand AS protein FROM part),
            m AS (SELECT protein, max(verdict) FILTER (WHERE platform = 'a') AS a_verdict, max(verdict) FILTER (WHERE platform = 'b') AS b_verdict, max("or") FILTER (WHERE platform = 'a') AS a_or,
                    max("or") FILTER (WHERE platform = 'b') AS b_or FROM mrv GROUP BY protein),
-           c AS (SELECT protein, max(pp4) FILTER (WHERE platform = 'a') AS a_pp4, max(pp4) FILTER (WHERE platform = 'b') AS b_pp4 FROM coloc GROUP BY protein)
+           c AS (SELECT protein, max(pp4) FILTER (WHERE platform = 'a') AS a_pp4, max(pp4) FILTER (WHERE platform = 'b') AS b_pp4 FROM coloc GROUP BY protein),
+           gates AS (SELECT (SELECT coalesce(bool_or("or" > 1 AND ci_low > 1), false) FROM mrv WHERE protein = 'Brand#3' AND platform = 'a')
+                            AND (SELECT coalesce(bool_or(pp4 >= 0.8), false) FROM coloc WHERE protein = 'Brand#3') AS ok)
            SELECT *, CAST(a_verdict IS NOT NULL AS INT) + CAST(b_verdict IS NOT NULL AS INT) AS platforms_tested,
              CASE WHEN a_verdict IS NOT NULL AND b_verdict IS NOT NULL THEN
-               CASE WHEN a_verdict = 'null' AND b_verdict = 'null' THEN CASE WHEN coalesce(a_pp4, 0) < 0.8 AND coalesce(b_pp4, 0) < 0.8 THEN 'null' ELSE 'inconclusive' END
+               CASE WHEN a_verdict = 'null' AND b_verdict = 'null' THEN CASE WHEN coalesce(a_pp4, 0) < 0.8 AND coalesce(b_pp4, 0) < 0.8 AND gates.ok THEN 'null' ELSE 'inconclusive' END
                     WHEN a_verdict = b_verdict THEN CASE WHEN a_verdict = 'positive' AND greatest(coalesce(a_pp4, 0), coalesce(b_pp4, 0)) >= 0.8 THEN 'positive' ELSE 'inconclusive' END
                     ELSE 'discordant' END
              WHEN coalesce(a_verdict, b_verdict) = 'positive' AND coalesce(a_pp4, b_pp4, 0) >= 0.8 THEN 'positive' ELSE 'inconclusive' END AS causal_call
-           FROM p LEFT JOIN m USING (protein) LEFT JOIN c USING (protein)""")
+           FROM (p LEFT JOIN m USING (protein) LEFT JOIN c USING (protein)), gates""")
 def _(t):
     est = mr.estimates(dv.harmonised(t))
     cl = coloc.posteriors(_coloc_pairs(t), ["protein", "platform"])
-    return mr.causal_call(est, cl, t.part.select(F.col("p_brand").alias("protein")), "a", "b", F.lit(True), F.lit(True))
+    control = F.col("protein") == "Brand#3"
+    recovered = mr.control_gate(est.filter(control), "a", ["a", "b"]).select("gate_applied").scalar()
+    shared = cl.filter(control).agg(F.coalesce(F.bool_or(F.col("pp4") >= 0.8), F.lit(False))).scalar()
+    return mr.causal_call(est, cl, t.part.select(F.col("p_brand").alias("protein")), "a", "b", recovered, shared)
 
 
 # ---- linkage disequilibrium: embedding dimensions as variants, vectors as samples -----------------------
@@ -526,13 +531,14 @@ def _annotation(t):
     """Annotation table from the event log: an event's variant, its transcripts and their consequence terms."""
     terms = F.array(*[F.lit(x) for x in ("intron_variant", "missense_variant", "stop_gained", "synonymous_variant", "upstream_gene_variant")])
     term = F.element_at(terms, (F.floor("value") % 5 + 1).cast("int"))
-    rows = t.events.filter(F.col("event_type") == "click").select((F.col("user_id") % 64).alias("variant"), F.col("event_id") % 4, term.alias("term"))
+    width = t.embeddings.agg(F.max(F.size("embedding"))).scalar()
+    rows = t.events.select((F.col("user_id") % width).alias("variant"), F.col("event_id") % 4, term.alias("term"))
     tr = rows.groupBy("variant", "(event_id % 4)").agg(F.array_sort(F.collect_set("term")).alias("terms"))
     return tr.groupBy("variant").agg(F.collect_list(F.struct("terms")).alias("transcripts"))
 
 
-ANN = """an AS (SELECT user_id % 64 AS variant, array_to_string(list_sort(list(DISTINCT ['intron_variant', 'missense_variant', 'stop_gained', 'synonymous_variant', 'upstream_gene_variant'][CAST(floor(value) AS BIGINT) % 5 + 1])), ',') AS terms,
-    bool_or(CAST(floor(value) AS BIGINT) % 5 IN (1, 2)) AS coding FROM events WHERE event_type = 'click' GROUP BY 1)"""
+ANN = """an AS (SELECT user_id % (SELECT max(len(embedding)) FROM embeddings) AS variant, array_to_string(list_sort(list(DISTINCT ['intron_variant', 'missense_variant', 'stop_gained', 'synonymous_variant', 'upstream_gene_variant'][CAST(floor(value) AS BIGINT) % 5 + 1])), ',') AS terms,
+    bool_or(CAST(floor(value) AS BIGINT) % 5 IN (1, 2)) AS coding FROM events GROUP BY 1)"""
 
 
 def _annotated(t):

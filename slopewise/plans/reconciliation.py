@@ -76,10 +76,10 @@ def _(t):
 
 
 @query("sumstats_round_trip", "Name:s Pos:i Beta:d SE:d",
-       f"""WITH {dv.EXPOSURES} SELECT "Name", pos AS "Pos", beta AS "Beta", se AS "SE" FROM exposures WHERE platform = 'a'""")
+       f"""WITH {dv.EXPOSURES} SELECT "Name", pos AS "Pos", beta AS "Beta", se AS "SE" FROM exposures""")
 def _(t):
     """Write summary statistics as text, read them under the fixed schema, ingest by chromosome and position, read back."""
-    e = dv.exposures(t).filter(F.col("platform") == "a")
+    e = dv.exposures(t)
     text = e.select(F.concat(F.lit("chr"), "chrom").alias("Chrom"), F.col("pos").alias("Pos"), "Name", "rsids", "effectAllele", "otherAllele", F.col("beta").alias("Beta"),
                     F.col("pval").alias("Pval"), (-F.log10("pval")).alias("minus_log10_pval"), F.col("se").alias("SE"), F.col("n").alias("N"), F.col("eaf").alias("ImpMAF"))
     raw, table = scratch_path(t.spark, "sumstats-text"), scratch_path(t.spark, "sumstats")
@@ -89,10 +89,10 @@ def _(t):
 
 
 @query("regenie_round_trip", "Name:s chrom:s pos:i effectAllele:s otherAllele:s beta:d8 se:d8 n_raw:s",
-       f"""WITH {dv.EXPOSURES} SELECT "Name", chrom, pos, "effectAllele", "otherAllele", CASE WHEN l_partkey % 5 <> 0 THEN beta END AS beta, se, CAST(n AS VARCHAR) AS n_raw FROM exposures WHERE platform = 'b'""")
+       f"""WITH {dv.EXPOSURES} SELECT "Name", chrom, pos, "effectAllele", "otherAllele", CASE WHEN l_partkey % 5 <> 0 THEN beta END AS beta, se, CAST(n AS VARCHAR) AS n_raw FROM exposures""")
 def _(t):
     """Write space-separated association output, read it back with its header checked and numbers coerced."""
-    e = dv.exposures(t).filter(F.col("platform") == "b")
+    e = dv.exposures(t)
     chrom = F.when(F.col("chrom") == "X", "23").otherwise(F.col("chrom"))
     beta = F.when(F.col("l_partkey") % 5 == 0, "NA").otherwise(F.col("beta").cast("string"))
     line = F.concat_ws(" ", chrom, "pos", "Name", "otherAllele", "effectAllele", "eaf", F.lit("1"), "n", F.lit("ADD"), beta, "se", F.lit("1"), F.lit("8.5"), F.lit("NA"))
