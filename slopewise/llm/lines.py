@@ -23,7 +23,7 @@ from .scratch import Scratch, sized
 
 CHARACTERS, SIMILAR = 8, 0.8
 BANDS, IN_BAND = 10, 4  # of the sixteen that the hash range has; least hashes in each
-NOT_BLANK = r"[^\s]"
+BLANK = " \t\n\r\x0b\x0c"
 
 
 def shingle_hashes(octets: str, characters: int) -> Column:
@@ -54,6 +54,11 @@ def _split(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.select("doc_id", "row", "digest", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
 
 
+def _full(line: str) -> Column:
+    """Whether a line has a character that is not white space."""
+    return F.ltrim(F.col(line), F.lit(BLANK)) != ""
+
+
 def _key(line: str = "line") -> Column:
     return F.unhex(F.md5(line))
 
@@ -62,7 +67,7 @@ def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                  similar: float = SIMILAR, bands: int = BANDS) -> DataFrame:
     """One row for each line: `doc_id`, `row`, `digest` (of its document), `line_no`, `class_doc` and `class_line` (the kept line of its class), `copies`, `kept`."""
     scratch = Scratch(docs.sparkSession)
-    full = F.col("line").rlike(NOT_BLANK)
+    full = _full("line")
     places = _split(docs, id_col, text_col)
     places = scratch.table(places.select("doc_id", "row", "digest", "line_no", F.when(full, _key()).alias("key")), "lines")
     texts = docs.select(F.explode(F.split(text_col, "\n", -1)).alias("line")).filter(full)
@@ -71,17 +76,19 @@ def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     members = scratch.table(shared(nodes.select("id", F.explode("bands").alias("bucket"))), "members")
     wanted = scratch.table(nodes.select("id", "key").join(members.select("id").distinct(), "id", "left_semi"), "wanted")
     found = texts.withColumn("key", _key()).join(sized(wanted), "key").select("id", "line").dropDuplicates(["id"])
-    found = scratch.table(found.withColumn("octets", F.encode("line", "UTF-32")).select("id", "octets"), "texts")
+    wide = "encode(line, 'UTF-32')"
+    found = scratch.table(found.select("id", "line", F.size(F.array_distinct(shingle_hashes(wide, characters))).alias("n")), "texts")
 
     def verify(pairs: DataFrame) -> DataFrame:
         for k in "ab":
-            pairs = pairs.join(found.select(F.col("id").alias(k), F.col("octets").alias(f"octets_{k}")), k)
+            pairs = pairs.join(found.select(F.col("id").alias(k), F.col("line").alias(f"line_{k}"), F.col("n").alias(f"n{k}")), k)
         for k in "ab":
-            pairs = pairs.withColumn(f"s{k}", shingle_hashes(f"octets_{k}", characters))
-        return pairs.filter(F.size(F.array_intersect("sa", "sb")) >= similar * F.size(F.array_union("sa", "sb")))
+            pairs = pairs.withColumn(f"s{k}", shingle_hashes(f"encode(line_{k}, 'UTF-32')", characters))
+        both = pairs.withColumn("both", F.size(F.array_intersect("sa", "sb")))
+        return both.filter(F.col("both") >= similar * (F.col("na") + F.col("nb") - F.col("both")))
 
     def elements(ids: DataFrame) -> DataFrame:
-        hashes = found.join(ids, "id").withColumn("hashes", shingle_hashes("octets", characters))
+        hashes = found.join(ids, "id").withColumn("hashes", shingle_hashes(wide, characters))
         return hashes.select("id", F.explode(F.array_distinct("hashes")).alias("element"))
 
     roots = classes(scratch, members, verify, elements, similar)
@@ -122,13 +129,13 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     gone = scratch.table(gone.withColumnsRenamed({"doc_id": "_id", "digest": "_print"}), "gone")
     out = docs.select(F.struct("*").alias("_own"), F.col(id_col).cast("long").alias("_doc"), F.unhex(F.md5(text_col)).alias("_key"), F.col(text_col).alias("_text"))
     if again:
-        plain = ~F.coalesce(F.col("_text"), F.lit("")).rlike(NOT_BLANK)
+        plain = ~F.coalesce(_full("_text"), F.lit(False))
         out = out.filter(plain).unionByName(out.filter(~plain).dropDuplicates(["_doc", "_key"]))
     out = out.join(sized(gone), F.col("_doc").eqNullSafe(F.col("_id")) & F.col("_key").eqNullSafe(F.col("_print")), "left")
     out = out.withColumn("_lines", F.split("_text", "\n", -1))
     out = out.withColumn("_rest", F.expr("array_except(sequence(0, size(_lines) - 1), _gone)"))
     out = out.withColumn("_left", F.expr("array_join(transform(_rest, i -> _lines[i]), '\n')"))
-    out = out.filter(F.col("_gone").isNull() | F.col("_left").rlike(NOT_BLANK))
+    out = out.filter(F.col("_gone").isNull() | _full("_left"))
     text = F.when(F.col("_gone").isNull(), F.col("_text")).otherwise(F.col("_left")).alias(text_col)
     return out.select(*(text if c == text_col else F.col(f"_own.`{c}`") for c in docs.columns))
 

@@ -6,7 +6,7 @@ something to, and leaves the bucket; a bucket whose members all lie in one compo
 a bucket is either verified or found to be connected already: no link between components is lost. In the first rounds
 pivots come from large components and from the middle of a group, so that stragglers meet a few of the many they may be
 linked to. Then they come from
-small ones, in growing numbers, and meet all of the rest but those that counting rules out: two sets of a given Jaccard
+small ones, in growing numbers, and meet all of the rest. From the second round on counting rules pairs out: two sets of a given Jaccard
 similarity have a least number of elements in common, elements that no other live member has are in common with none, and
 a bit set for an element of one member but for none of the other's is an element they do not share.
 """
@@ -20,7 +20,8 @@ from pyspark.sql import functions as F
 
 from .scratch import Scratch
 
-PIVOTS, GATHER, GROWTH = 4, 2, 8  # pivots of a bucket in the first rounds, and how many rounds those are; growth after that
+PIVOTS, GATHER, GROWTH = (1, 4), 2, 8  # pivots of a bucket in the first rounds; how many rounds those are; growth after that
+COUNTED = 2  # the round from which counts rule pairs out
 WORDS_OF_BITS = 16  # 64 bits each
 ONE_TASK = 50_000  # counted rows up to which a step is not dealt over more tasks
 
@@ -28,26 +29,28 @@ ONE_TASK = 50_000  # counted rows up to which a step is not dealt over more task
 def shared(members: DataFrame) -> DataFrame:
     """The (bucket, id) rows whose bucket has more than one id."""
     several = members.groupBy("bucket").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo < hi").select("bucket")
-    return members.join(several, "bucket")
+    return members.join(several.hint("shuffle_hash"), "bucket")
 
 
 def classes(scratch: Scratch, members: DataFrame, verify: Callable[[DataFrame], DataFrame],
             elements: Callable[[DataFrame], DataFrame], similar: float) -> DataFrame:
     """`id`, `root` for each id that has a link; the root is the least id of its component.
 
-    `members`: `bucket`, `id` (long), without repeats. `verify` takes pairs `a`, `b`, `ca`, `cb` with a < b and
+    `members`: `bucket`, `id` (long), without repeats, at least two in a bucket. `verify` takes pairs `a`, `b`, `ca`, `cb` with a < b and
     returns those that are links, same columns. `elements` gives `id`, `element` for each of a member's distinct
     elements, for some ids; a link is a Jaccard similarity of at least `similar` between those.
     """
-    live, pivots, found, spent, turn = _weighted(members), PIVOTS, [], [], 0
+    live, pivots, found, spent, turn = _weighted(members), PIVOTS[0], [], [], 0
     while True:
-        several = live.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("bucket")
-        now = _few(scratch.table(live.join(several, "bucket"), "live"))
+        if turn:  # at first each member is a component, and `members` has no bucket of one
+            several = live.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("bucket")
+            live = live.join(several.hint("shuffle_hash"), "bucket")
+        now = _few(scratch.table(live, "live"))
         if now.isEmpty():
             scratch.drop(now, *spent)
             break
         turn += 1
-        if turn == GATHER + 1:
+        if turn == COUNTED:
             now = _counted(scratch, now, elements)
         ranked, size = now, F.lit(1).cast("long")
         if turn > 1:
@@ -57,7 +60,7 @@ def classes(scratch: Scratch, members: DataFrame, verify: Callable[[DataFrame],
         chosen = ranked.groupBy("bucket", "slot").agg(F.min("p").alias("p"))
         chosen = _few(scratch.table(chosen.select("bucket", *(F.col(f"p.own.{c}").alias(f"p{c}") for c in now.columns[1:])), "pivots"))
         pairs = now.join(chosen, "bucket").filter("comp <> pcomp")
-        if turn > GATHER:
+        if turn >= COUNTED:
             pairs = pairs.filter(_possible(similar))
         pairs = pairs.select(F.least("id", "pid").alias("a"), F.greatest("id", "pid").alias("b"),
                              F.expr("if(id < pid, comp, pcomp)").alias("ca"), F.expr("if(id < pid, pcomp, comp)").alias("cb"))
@@ -69,7 +72,7 @@ def classes(scratch: Scratch, members: DataFrame, verify: Callable[[DataFrame],
         live = left.select("bucket", "id", F.coalesce("root", "comp").alias("comp"), *now.columns[3:])
         scratch.drop(links, *spent)
         spent = [now, chosen]
-        pivots *= 1 if turn < GATHER else GROWTH
+        pivots = PIVOTS[turn] if turn < GATHER else pivots * GROWTH
     if not found:
         return members.select("id", F.col("id").alias("root")).limit(0)
     edges = found[0]
