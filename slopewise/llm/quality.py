@@ -99,7 +99,8 @@ def passing(docs: DataFrame, text_col: str = "text", least: int = LEAST, share:
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in blocks(batches, text_col):
             plain = pa.RecordBatch.from_arrays([pa.array(range(part.num_rows), pa.int64()), part.column(text_col)], ["doc_id", "text"])
-            m = {c: x.to_numpy(zero_copy_only=False) for out in _measure(least)(iter([plain])) for c, x in zip(out.schema.names, out.columns, strict=True) if c != "repeats"}
+            outs = list(_measure(least)(iter([plain])))  # blocks of blocks: one or more
+            m = {c: np.concatenate([x.column(c).to_numpy() for x in outs]) for c in outs[0].schema.names[1:-1]}
             good = (m["n_words"] >= FEW_WORDS) & (100 * m["n_repeat_words"] <= BASE_PERCENT * m["n_words"])
             good &= (m["covered_words"] <= share * m["n_words"]) & (m["longest_repeat"] <= longest)
             yield part.filter(pa.array(good))

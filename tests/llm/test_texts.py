@@ -48,6 +48,15 @@ def test_repetition(odd_docs, odd_rows):
     assert repetition(odd_docs.limit(0)).count() == 0
 
 
+def test_passing_agrees_over_several_blocks_of_a_batch(spark):
+    pick = random.Random(3)
+    rows = [(k, " ".join(pick.choice(["again and again it goes on"] if k % 3 == 0 else [str(pick.random()) for _ in range(9)]) for _ in range(4000 + 997 * (k % 11)))) for k in range(180)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).cache()
+    assert sum(len(t) for _, t in rows) > 8 << 20
+    kept = {r.doc_id for r in repetition(docs).filter("kept").collect()}
+    assert {r.doc_id for r in passing(docs).collect()} == kept and 0 < len(kept) < 180
+
+
 def test_contamination(spark, odd_docs, odd_rows):
     texts = dict(r for r in odd_rows if r[1])
     items = [(1, texts[10][5:200]), (2, "nothing here is in any of the texts at all, is it"), (3, None), (4, ""), (5, "WORD"), (5, "one TWO"), (None, texts[60][:90]),
