@@ -57,9 +57,9 @@ def write_archive(pages: DataFrame, path: str, id_col: str = "page_id", url_col:
     headers = rows.join(best, "address").select("page_id", block.cast("binary").alias("header"), "address")
     headers.write.mode("overwrite").parquet(f"{path}/headers")
 
-    own = best.select(F.col("address").alias("of"), "first_id")
-    stored = plain.join(own, (F.col("address") == F.col("of")) & F.col("page_id").eqNullSafe(F.col("first_id"))).select("address", "payload")
-    stored.dropDuplicates(["address"]).write.mode("overwrite").parquet(f"{path}/payloads")
+    # Rows of one address have one payload, so any of them will do.
+    stored = plain.select("address", "payload").dropDuplicates(["address"])
+    stored.write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/payloads")
     scratch.drop(rows, best)
 
 
