@@ -37,11 +37,12 @@ def signature_bands(lines: DataFrame, characters: int, bands: int) -> DataFrame:
     """`lines` (with `line`) and `bands`: a key for each band that has a shingle.
 
     The hash range is cut into sixteen bands, of which the lowest `bands` are in use (hashes are signed). The lower bounds
-    of the bands are sorted in among the hashes; the four least hashes of a band are what follows its bound.
+    of the bands are sorted in among the distinct hashes; the four least hashes of a band are what follows its bound.
+    How often a line repeats a shingle does not matter, as it does not in verification.
     """
     bounds = [f"shiftleft({k - 8}L, 60)" for k in range(bands + 1)]
     out = lines.withColumn("octets", F.encode("line", "UTF-32"))
-    out = out.withColumn("sorted", F.sort_array(F.concat(shingle_hashes("octets", characters), F.expr(f"array({', '.join(bounds)})"))))
+    out = out.withColumn("sorted", F.sort_array(F.concat(F.array_distinct(shingle_hashes("octets", characters)), F.expr(f"array({', '.join(bounds)})"))))
     out = out.withColumn("at", F.expr(f"array({', '.join(f'cast(array_position(sorted, {x}) as int)' for x in bounds[:-1])})"))
     some = "filter(at, p -> sorted[p] & (shiftleft(1L, 60) - 1L) <> 0)"
     return out.select(*lines.columns, F.expr(f"transform({some}, p -> xxhash64(slice(sorted, p + 1, {IN_BAND})))").alias("bands"))

@@ -104,3 +104,18 @@ def test_fingerprints_and_words():
     begin, end, row = texts.words(~spans.SPACE)
     prints = texts.prints(begin, end)
     assert row.tolist() == [0, 0, 2, 2] and prints[0] == prints[3] and prints[1] == prints[2] and prints[0] != prints[1]
+
+
+def test_lines_that_repeat_a_phrase_are_copies_of_lines_that_have_it_once_more(spark):
+    """Their sets of shingles are alike or equal, however often each shingle is there."""
+    import random
+
+    pick = random.Random(11)
+    phrase = lambda: " ".join("".join(pick.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(pick.randrange(2, 9))) for _ in range(12)) + ". "
+    phrases = [phrase() for _ in range(60)]
+    lines = [["Buy now! " * 2, "Buy now! " * 3], *([p * k, p * (k + 1)] for k in (1, 2, 3) for p in phrases[20 * k - 20 : 20 * k])]
+    rows = [(2 * k + n, line) for k, pair in enumerate(lines) for n, line in enumerate(pair)]
+    got = {r.doc_id: r.class_doc for r in line_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    root = brute.joined([t for _, t in rows], {t: brute.runs(t, 8) for _, t in rows}, 0.8)
+    copies = [k for k in range(len(lines)) if root[lines[k][0]] == root[lines[k][1]]]
+    assert len(copies) > 40 and [k for k in copies if got[2 * k + 1] != 2 * k] == []
