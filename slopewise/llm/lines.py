@@ -3,7 +3,8 @@
 Built of DataFrame functions only. A line's shingles are its runs of eight characters. Each shingle is
 hashed once; the hash range is cut into sixteen parts, and the four least hashes of a part are a band of the line's MinHash
 signature: two lines agree in all four with the fourth power of their Jaccard similarity. The ten bands in use catch a
-pair of similarity 0.8 with probability 0.995.
+pair of similarity 0.8 with probability 0.995. Lines of few shingles leave bands empty; those of at most fourteen (21
+characters without repeats) have further keys, by which no pair of two such lines is missed.
 Candidates are verified by the exact Jaccard similarity of their shingles, and components follow from the links.
 Equal lines are one candidate from the start.
 
@@ -23,6 +24,7 @@ from .scratch import Scratch, sized
 
 CHARACTERS, SIMILAR = 8, 0.8
 BANDS, IN_BAND = 10, 4  # of the sixteen that the hash range has; least hashes in each
+FEW = 14  # distinct shingles up to which a line has keys that leave no pair out
 BLANK = " \t\n\r\x0b\x0c"
 
 
@@ -34,7 +36,7 @@ def shingle_hashes(octets: str, characters: int) -> Column:
 
 
 def signature_bands(lines: DataFrame, characters: int, bands: int) -> DataFrame:
-    """`lines` (with `line`) and `bands`: a key for each band that has a shingle.
+    """`lines` (with `line`) and `bands`: a key for each band that has a shingle, and more for lines of few shingles.
 
     The hash range is cut into sixteen bands, of which the lowest `bands` are in use (hashes are signed). The lower bounds
     of the bands are sorted in among the distinct hashes; the four least hashes of a band are what follows its bound.
@@ -42,10 +44,24 @@ def signature_bands(lines: DataFrame, characters: int, bands: int) -> DataFrame:
     """
     bounds = [f"shiftleft({k - 8}L, 60)" for k in range(bands + 1)]
     out = lines.withColumn("octets", F.encode("line", "UTF-32"))
-    out = out.withColumn("sorted", F.sort_array(F.concat(F.array_distinct(shingle_hashes("octets", characters)), F.expr(f"array({', '.join(bounds)})"))))
+    out = out.withColumn("hashes", F.array_distinct(shingle_hashes("octets", characters)))
+    out = out.withColumn("sorted", F.sort_array(F.concat("hashes", F.expr(f"array({', '.join(bounds)})"))))
     out = out.withColumn("at", F.expr(f"array({', '.join(f'cast(array_position(sorted, {x}) as int)' for x in bounds[:-1])})"))
     some = "filter(at, p -> sorted[p] & (shiftleft(1L, 60) - 1L) <> 0)"
-    return out.select(*lines.columns, F.expr(f"transform({some}, p -> xxhash64(slice(sorted, p + 1, {IN_BAND})))").alias("bands"))
+    keys = f"transform({some}, p -> xxhash64(slice(sorted, p + 1, {IN_BAND})))"
+    return out.select(*lines.columns, F.expr(f"if(size(hashes) > {FEW}, {keys}, concat({keys}, {_few_keys('hashes')}))").alias("bands"))
+
+
+def _few_keys(hashes: str) -> str:
+    """Keys of a line of at most FEW distinct shingles; two such lines of Jaccard similarity 0.8 always have one in common.
+
+    Of n and m shingles they share at least four fifths of the larger number, so among the n - 4n/5 + 4 least hashes (rounded
+    down) of the one and as many of the other are four that both have: a key for each four of them. Up to three are one key.
+    """
+    least = f"slice(sort_array({hashes}), 1, {IN_BAND} + size({hashes}) div 5)"
+    one = "transform(s, x -> xxhash64(array_remove(s, x)))"
+    two = "flatten(transform(s, x -> transform(filter(s, y -> y > x), y -> xxhash64(array_except(s, array(x, y))))))"
+    return f"element_at(transform(array({least}), s -> if(size({hashes}) < 5, array(xxhash64(s)), if(size({hashes}) < 10, {one}, {two}))), 1)"
 
 
 def _split(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:

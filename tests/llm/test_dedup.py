@@ -119,3 +119,15 @@ def test_lines_that_repeat_a_phrase_are_copies_of_lines_that_have_it_once_more(s
     root = brute.joined([t for _, t in rows], {t: brute.runs(t, 8) for _, t in rows}, 0.8)
     copies = [k for k in range(len(lines)) if root[lines[k][0]] == root[lines[k][1]]]
     assert len(copies) > 40 and [k for k in copies if got[2 * k + 1] != 2 * k] == []
+
+
+def test_no_pair_of_short_lines_is_missed(spark):
+    import random
+
+    pick = random.Random(12)
+    text = lambda n: "".join(pick.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n))
+    pairs = [(x := text(n), x + text(more)) for n, more in ((11, 1), (12, 1), (13, 1), (15, 2), (16, 1), (17, 2), (19, 2)) for _ in range(150)]
+    pairs = [p for p in pairs if brute.jaccard(*(brute.runs(x, 8) for x in p)) >= 0.8]
+    rows = [(2 * k + n, line) for k, p in enumerate(pairs) for n, line in enumerate(p)]
+    got = {r.doc_id: r.class_doc for r in line_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(pairs) > 900 and [p for k, p in enumerate(pairs) if got[2 * k + 1] != got[2 * k]] == []
