@@ -35,8 +35,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents (start and length in tokens, checksum of their ids) with their places in packed sequences."""
-    return pack(docs, tokenizer_path("word_bpe_49k.json"))
+    """Pieces of token ids (with start, length and checksum) with their places in packed sequences."""
+    return pack(docs, tokenizer_path("word_bpe_49k.json"), with_ids=True)
 
 
 #: Each writes its rows; the next one reads them.

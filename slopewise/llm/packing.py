@@ -22,11 +22,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .scratch import Scratch, sized
-from .spans import blocks
-from .tokens import word_ids
+from .spans import BLOCK_BYTES, blocks, ragged
+from .tokens import KEPT_WORDS, word_ids
 
 LENGTH, END = 2048, 1
 PER_SHARD = 100_000  # rests ranked by one task
+SENT = 256  # pieces in a batch that a task returns, at most half a million ids
 PIECE = "doc_id long, row long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
@@ -97,26 +98,25 @@ def best_fit(counts: dict[int, int], length: int = LENGTH) -> tuple[list[tuple[i
 
 def _cutter(path: str, length: int, end: int, with_ids: bool):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in blocks(batches, "text"):
-            ids, counts = word_ids(path).encode(part.column("text"))
-            starts = np.cumsum(counts) - counts
-            of, begin, size, crc, pieces = [], [], [], [], []
-            for k, (at, n) in enumerate(zip(starts.tolist(), counts.tolist(), strict=True)):
-                own = np.append(ids[at : at + n], np.uint32(end)).astype("<u4")
-                for lo in range(0, n + 1, length):
-                    piece = own[lo : lo + length]
-                    of.append(k)
-                    begin.append(lo)
-                    size.append(len(piece))
-                    crc.append(zlib.crc32(piece.tobytes()))
-                    if with_ids:
-                        pieces.append(piece)
-            of = np.array(of, np.int64)
-            numbers = (np.array(x, np.int64) for x in (begin, size, crc))
-            arrays = [*(part.column(c).take(pa.array(of)) for c in ("doc_id", "row")), *map(pa.array, numbers), pa.array(counts[of] + 1)]
-            if with_ids:
-                arrays.append(pa.array(pieces, pa.list_(pa.uint32())).cast(pa.list_(pa.int32())))
-            yield pa.RecordBatch.from_arrays(arrays, [x.split()[0] for x in PIECE.split(", ")] + ["ids"] * with_ids)
+        most, kept = (BLOCK_BYTES // 4, KEPT_WORDS // 2) if with_ids else (BLOCK_BYTES, KEPT_WORDS)
+        for part in blocks(batches, "text", most):
+            ids, counts = word_ids(path).encode(part.column("text"), kept)
+            own = np.insert(ids, np.cumsum(counts), np.uint32(end)).astype("<u4", copy=False)
+            counts = counts + 1
+            many = -(-counts // length)  # pieces of each text
+            of = np.repeat(np.arange(len(counts)), many)
+            begin = (np.arange(len(of)) - (np.cumsum(many) - many)[of]) * length
+            size = np.minimum(counts[of] - begin, length)
+            ends = np.cumsum(size)
+            for lo in range(0, len(of), SENT):
+                some = slice(lo, lo + SENT)
+                at = [int(ends[lo] - size[lo]), *ends[some].tolist()]
+                crc = [zlib.crc32(own[x:y]) for x, y in zip(at, at[1:], strict=False)]
+                numbers = (np.array(x, np.int64) for x in (begin[some], size[some], crc))
+                arrays = [*(part.column(c).take(pa.array(of[some])) for c in ("doc_id", "row")), *map(pa.array, numbers), pa.array(counts[of[some]])]
+                if with_ids:
+                    arrays.append(ragged(own[at[0] : at[-1]].view(np.int32), size[some], pa.int32()))
+                yield pa.RecordBatch.from_arrays(arrays, [x.split()[0] for x in PIECE.split(", ")] + ["ids"] * with_ids)
 
     return cut
 

@@ -68,13 +68,13 @@ class WordIds:
         self.count = np.append(self.count, np.fromiter(map(len, got), np.int64, len(got)))
         self.ids = np.append(self.ids, np.fromiter(chain.from_iterable(got), np.uint32))
 
-    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, texts: pa.Array, kept: int = KEPT_WORDS) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, one after another, and how many each text has."""
         texts = pc.fill_null(texts, "")
         parts = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
         words = pc.list_flatten(parts).dictionary_encode()
         distinct = words.dictionary.to_pylist()
-        if len(self.number) > KEPT_WORDS:
+        if len(self.number) > kept:
             self._reset()
         new = [x for x in distinct if x not in self.number]
         if new:

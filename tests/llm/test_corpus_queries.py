@@ -53,3 +53,17 @@ def test_pipeline_stages(spark, folder, tmp_path):
 def test_run_returns_packed_pieces(spark, folder):
     got = corpus_pipeline.run(spark, folder)
     assert {"doc_id", "sequence_id", "offset", "length"} <= set(got.columns) and got.count() > 0
+
+
+def test_pipeline_returns_the_ids_of_its_sequences(spark):
+    from tokenizers import Tokenizer
+
+    from slopewise.llm.queries import tokenizer_path
+
+    texts = ["some words here", "", None, "word " * 5000, *(f"text {k} " * (k + 1) for k in range(300))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    tokenizer, by = Tokenizer.from_file(tokenizer_path("word_bpe_49k.json")), {}
+    for r in sorted(corpus_pipeline.packing(spark, docs, "").collect(), key=lambda r: (r.doc_id, r.start)):
+        assert len(r.ids) == r.length <= 2048
+        by.setdefault(r.doc_id, []).extend(r.ids)
+    assert by == {k: [*tokenizer.encode(t or "", add_special_tokens=False).ids, 1] for k, t in enumerate(texts)}
