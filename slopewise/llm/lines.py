@@ -148,7 +148,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     if again:
         plain = ~F.coalesce(_full("_text"), F.lit(False))
         out = out.filter(plain).unionByName(out.filter(~plain).dropDuplicates(["_doc", "_key"]))
-    out = out.join(sized(gone), F.col("_doc").eqNullSafe(F.col("_id")) & F.col("_key").eqNullSafe(F.col("_print")), "left")
+    out = out.join(sized(gone, elements=F.size("_gone")), F.col("_doc").eqNullSafe(F.col("_id")) & F.col("_key").eqNullSafe(F.col("_print")), "left")
     out = out.withColumn("_lines", F.split("_text", "\n", -1))
     out = out.withColumn("_rest", F.expr("array_except(sequence(0, size(_lines) - 1), _gone)"))
     out = out.withColumn("_left", F.expr("array_join(transform(_rest, i -> _lines[i]), '\n')"))

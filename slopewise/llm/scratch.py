@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
@@ -11,9 +11,13 @@ from slopewise.session import scratch_path
 BROADCAST_ROWS = 1_000_000
 
 
-def sized(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
-    """A table of a few short columns, marked for broadcast if its counted rows are at most `most`; else left to Spark."""
-    return F.broadcast(df) if df.count() <= most else df
+def sized(df: DataFrame, most: int = BROADCAST_ROWS, elements: Column | None = None) -> DataFrame:
+    """A table of a few short columns, marked for broadcast if its counted rows are at most `most`; else left to Spark.
+
+    `elements`: how many a row's list has; rows and elements are counted then.
+    """
+    count = df.count() if elements is None else df.agg(F.count("*") + F.coalesce(F.sum(elements), F.lit(0))).first()[0]
+    return F.broadcast(df) if count <= most else df
 
 
 class Scratch:

@@ -131,3 +131,22 @@ def test_no_pair_of_short_lines_is_missed(spark):
     rows = [(2 * k + n, line) for k, p in enumerate(pairs) for n, line in enumerate(p)]
     got = {r.doc_id: r.class_doc for r in line_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert len(pairs) > 900 and [p for k, p in enumerate(pairs) if got[2 * k + 1] != got[2 * k]] == []
+
+
+def test_numbers_of_removed_lines_count_towards_a_broadcast(spark, monkeypatch):
+    """Two documents that lose a thousand lines each are two rows, but two thousand numbers."""
+    from slopewise.llm import lines, scratch
+
+    text = "\n".join(f"line number {k} of a long document" * 2 for k in range(1000))
+    rows = [(1, text), (2, "a first line of its own\n" + text), (3, "another line, of the third document\n" + text)]
+    marked = []
+
+    def watched(df, most=500, **options):
+        out = scratch.sized(df, most, **options)
+        if "_gone" in df.columns:
+            marked.append("broadcast" in out._jdf.queryExecution().analyzed().toString())
+        return out
+
+    monkeypatch.setattr(lines, "sized", watched)
+    before = {r.doc_id: r.text for r in dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert marked == [False] and before[2] == rows[1][1].split("\n")[0] and before[3] == rows[2][1].split("\n")[0]
