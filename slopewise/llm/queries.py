@@ -1,4 +1,4 @@
-"""The ten operators and the pipeline as queries on whole tables, and SQL where it can put the same question."""
+"""The operators as queries on whole tables, and SQL where it can put the same question."""
 
 from __future__ import annotations
 
@@ -12,12 +12,15 @@ from .archive import archived
 from .chat import format_chats, read_chats
 from .contamination import contamination
 from .counts import count_tokens
+from .interactions import document_interactions
 from .language import languages
 from .likelihood import score_texts
 from .lines import line_classes
 from .near import near_classes
 from .packing import pack
+from .phrases import repeated_passages
 from .quality import repetition
+from .repair import damaged, repair
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -161,3 +164,92 @@ def chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = F.expr(r"array_join(transform(turns, t -> concat(t.role, '\n', t.text, '\n')), '')")
     return back.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"), F.char_length("loss_text").cast("long").alias("loss_chars"),
                        F.sha2("loss_text", 256).alias("loss_sha256"), "formatted_chars")
+
+
+_REPAIR_SQL = r"""
+WITH RECURSIVE k AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+                     coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS key FROM conversations),
+m AS (SELECT *, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(length(key)), lambda i: ascii(substr(key, i + 1, 1))::BIGINT)),
+                lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, z: xor(x >> 1, (x & 1) * 3988292384))), 4294967295) % 20 AS fault FROM k),
+d AS (SELECT conv_id, turn, CASE WHEN fault = 4 THEN 'user' ELSE role END AS role,
+             CASE fault WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text
+      FROM m, range(2) AS copies(copy) WHERE fault <> 0 AND (copy = 0 OR fault = 3)),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM d),
+n AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) AS times,
+             substr(role, 1, 1) AS c, substr(lag(role) OVER w, 1, 1) AS b, lag(role) OVER w IS NOT NULL AS follows, regexp_replace(text, '[\x20\x09-\x0D]+$', '') AS body
+      FROM o WINDOW w AS (PARTITION BY conv_id ORDER BY i)),
+f AS (SELECT *, CASE WHEN body = '' THEN 'b' WHEN times > 1 THEN 'd' WHEN right(body, 1) NOT IN ('.', '!', '?') THEN 't' ELSE '' END AS fault FROM n),
+-- states: 0 nothing yet, 1 after the system turn, 2 an answer is due, 3 after an answer
+p(conv_id, i, q, cost, audit) AS (
+  SELECT DISTINCT conv_id, 0::BIGINT, 0, 0::BIGINT, '' FROM conversations
+  UNION ALL
+  SELECT conv_id, i, q, w.cost, w.audit FROM (
+    SELECT conv_id, i, q, min({'cost': cost, 'audit': audit}) AS w FROM (
+      SELECT o.conv_id, f.i, e.edit, o.cost + (CASE e.edit WHEN 'D' THEN 2 WHEN 'R' THEN 1 ELSE 0 END) + (CASE WHEN e.edit <> 'D' AND f.fault = 't' THEN 5 ELSE 0 END) AS cost, o.audit || e.edit AS audit,
+             CASE WHEN e.edit = 'D' THEN o.q WHEN e.edit = 'R' THEN CASE WHEN o.q = 2 THEN 3 ELSE 2 END
+                  WHEN o.q = 0 AND f.c = 's' THEN 1 WHEN o.q <> 2 AND f.c = 'u' THEN 2 WHEN o.q = 2 AND f.c = 'a' THEN 3 END AS q
+      FROM (SELECT conv_id, i, q, cost, audit FROM p UNION ALL SELECT conv_id, i, CASE WHEN q = 2 THEN 3 ELSE 2 END, cost + 5, audit || 'I' FROM p) AS o
+      JOIN f ON f.conv_id IS NOT DISTINCT FROM o.conv_id AND f.i = o.i + 1, (VALUES ('K'), ('R'), ('D')) AS e(edit)
+      WHERE e.edit = 'D' OR f.fault NOT IN ('b', 'd'))
+    WHERE q IS NOT NULL GROUP BY conv_id, i, q)),
+s AS (SELECT conv_id, count(i) AS rows, max(turn) - min(turn) + 1 - count(DISTINCT turn) AS gaps, count(*) FILTER (fault = 'b') AS blank, count(*) FILTER (fault = 'd') AS duplicate,
+             count(*) FILTER (fault = 't') AS truncated, count(*) FILTER (follows AND b || c NOT IN ('su', 'ua', 'au')) AS illegal
+      FROM (SELECT DISTINCT conv_id FROM conversations) AS every LEFT JOIN f USING (conv_id) GROUP BY conv_id),
+g AS (SELECT conv_id, min({'cost': cost, 'audit': audit}) AS w
+      FROM (SELECT conv_id, i, q, cost, audit FROM p UNION ALL SELECT conv_id, i, CASE WHEN q = 2 THEN 3 ELSE 2 END, cost + 5, audit || 'I' FROM p) JOIN s USING (conv_id)
+      WHERE i = rows AND q IN (0, 3) GROUP BY conv_id),
+a AS (SELECT conv_id, j, w.audit[j] AS edit, length(replace(w.audit[1:j], 'I', '')) AS i, length(replace(w.audit[1:j], 'D', '')) AS place
+      FROM (SELECT conv_id, w, unnest(range(1, length(w.audit) + 1)) AS j FROM g)),
+t AS (SELECT a.conv_id, place, edit, role, CASE WHEN edit = 'I' THEN '' ELSE text END AS text,
+             max(CASE WHEN place = 1 AND edit = 'K' AND c = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY a.conv_id) AS has_s
+      FROM a LEFT JOIN f ON f.conv_id = a.conv_id AND f.i = a.i WHERE edit <> 'D'),
+r AS (SELECT conv_id, string_agg((CASE WHEN edit = 'K' THEN role WHEN (place - has_s) % 2 = 1 THEN 'user' ELSE 'assistant' END) || ':' || text, chr(10) ORDER BY place) AS whole FROM t GROUP BY conv_id)
+SELECT conv_id, coalesce(gaps, 0)::BIGINT AS gaps, blank, duplicate, truncated, illegal, w.cost AS cost, w.audit AS audit, sha256(coalesce(whole, '')) AS repaired_sha256
+FROM s JOIN g USING (conv_id) LEFT JOIN r USING (conv_id)
+"""
+
+
+@query("op11_conversation_repair", _REPAIR_SQL)
+def conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair(damaged(_table(spark, sf_dir, "conversations")), present=F.col("present"))
+
+
+_PASSAGES_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+i AS (SELECT doc_id, w, unnest(range(len(w) - 34)) AS i FROM d WHERE len(w) >= 35),
+r AS (SELECT doc_id, i, array_to_string(w[i + 1:i + 35], ' ') AS run FROM i),
+h AS (SELECT DISTINCT doc_id, unnest(range(i, i + 35)) AS j FROM r SEMI JOIN (SELECT run FROM r GROUP BY run HAVING count(*) > 1) AS x USING (run)),
+k AS (SELECT doc_id, string_agg(word, ' ' ORDER BY j) AS kept, count(*) AS n FROM (SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS j FROM d) ANTI JOIN h USING (doc_id, j) GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k USING (doc_id)
+"""
+
+
+@query("op12_repeated_passages", _PASSAGES_SQL)
+def passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(_table(spark, sf_dir, "documents"))
+
+
+_INTERACTIONS_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+l AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+f AS (SELECT part, {'A': len(w) < 200, 'B': 100 * len(list_distinct(w)) < 50 * len(w), 'C': 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 2 * length(t),
+                    'D': regexp_matches(t, '[#$%&*|]'), 'E': coalesce(min(doc_id) OVER (PARTITION BY t) < doc_id, false)} AS x, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic
+      FROM d LEFT JOIN l USING (doc_id)),
+c AS (SELECT part, [x.A, x.B, x.C, x.D, x.E] AS x, good, toxic, count(*) AS n FROM f GROUP BY ALL),
+v(k) AS (VALUES (1), (2), (3), (4), (5)),
+o AS (SELECT [a.k, b.k, c.k, d.k, 15 - a.k - b.k - c.k - d.k] AS o FROM v AS a, v AS b, v AS c, v AS d
+      WHERE a.k <> b.k AND a.k <> c.k AND a.k <> d.k AND b.k <> c.k AND b.k <> d.k AND c.k <> d.k),
+s AS (SELECT part, o, step, o[step] AS filter, n, good, toxic, x[o[step]] AS fails, list_bool_or(list_transform(o[1:step - 1], lambda k: x[k])) AS before,
+             len(list_filter(x, lambda y: y)) = 1 AS alone FROM c, o, range(1, 6) AS steps(step)),
+r AS (SELECT part, list_aggregate(list_transform(o, lambda k: 'ABCDE'[k]), 'string_agg', '') AS filter_order, step, any_value(filter) AS filter,
+             coalesce(sum(n) FILTER (NOT fails AND NOT coalesce(before, false)), 0)::BIGINT AS kept, coalesce(sum(n) FILTER (fails AND NOT coalesce(before, false)), 0)::BIGINT AS removed,
+             coalesce(sum(n) FILTER (fails AND before), 0)::BIGINT AS redundant, coalesce(sum(n) FILTER (fails AND alone), 0)::BIGINT AS unique_fails,
+             coalesce(sum(n) FILTER (fails AND NOT coalesce(before, false) AND good), 0)::BIGINT AS good_lost, coalesce(sum(n) FILTER (fails AND NOT coalesce(before, false) AND toxic), 0)::BIGINT AS toxic_lost
+      FROM s GROUP BY part, o, step)
+SELECT part, filter_order, step::INT AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) OVER (PARTITION BY part, filter))::BIGINT AS shapley FROM r
+"""
+
+
+@query("op13_filter_interactions", _INTERACTIONS_SQL)
+def filter_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return document_interactions(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
