@@ -4,8 +4,9 @@ A passage is a window of consecutive words whose sequence also starts somewhere
 
 * Candidates: the least fingerprint of the shorter runs inside a window is its anchor. Equal windows have equal anchors, so a window
   whose anchor is met once in the whole corpus needs no second look, and neighbouring windows mostly share their anchor.
-* Confirmation: stretches of neighbouring windows with one recurring anchor are brought together by it. Their windows are compared
-  word by word; those met twice become the patterns of an automaton. A shard holds the anchors of a few megabytes of stretches.
+* Confirmation: stretches of neighbouring windows with one recurring anchor are brought together by it. A stretch met twice is a
+  passage as it is; the windows of the others are compared word by word, and those met again are passages. Passages become
+  the patterns of an automaton. A shard holds the anchors of a few megabytes of stretches.
 * Search: the stretches of all documents stream through the automaton of their shard, which locates every occurrence.
 
 An anchor with very many stretches is not brought together. Its windows are counted by 16-byte digests, which are summed in each
@@ -23,6 +24,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import chain
 
 import ahocorasick
 import numpy as np
@@ -137,8 +139,8 @@ def _stretches(window: int, anchor: int):
     return cut
 
 
-def _searched(patterns: list[bytes], ids: np.ndarray, offsets: np.ndarray, window: int) -> np.ndarray:
-    """The places in `ids` where a pattern (the bytes of its word numbers) begins; `offsets` bound the stretches, which no match crosses."""
+def _searched(patterns: list[bytes], ids: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Which places of `ids` lie in an occurrence of a pattern (the bytes of its word numbers); `offsets` bound the stretches, which no match crosses."""
     automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH, ahocorasick.KEY_SEQUENCE)
     for p in patterns:
         automaton.add_word(tuple(np.frombuffer(p, np.int32).tolist()))
@@ -147,10 +149,8 @@ def _searched(patterns: list[bytes], ids: np.ndarray, offsets: np.ndarray, windo
     apart = np.full(len(ids) + len(lengths), int(ids.max()) + 1, np.int64)  # a number of no word after each stretch
     slot = np.arange(len(ids)) + np.repeat(np.arange(len(lengths)), lengths)
     apart[slot] = ids
-    ends = np.array([end for end, _ in automaton.iter(tuple(apart.tolist()))], np.int64)
-    back = np.zeros(len(apart), np.int64)
-    back[slot] = np.arange(len(ids))
-    return back[ends] - window + 1
+    found = np.fromiter(chain.from_iterable(automaton.iter(tuple(apart.tolist()))), np.int64).reshape(-1, 2)
+    return covered(found[:, 0] - found[:, 1] + 1, found[:, 1], len(apart))[slot]
 
 
 def _numbered(text: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
@@ -167,12 +167,12 @@ def _windows_of(offsets: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarra
     return offsets[:-1][of] + np.arange(len(of)) - np.repeat(np.cumsum(sizes) - sizes, sizes), of
 
 
-def _spans(rows: pa.RecordBatch, offsets: np.ndarray, found: np.ndarray, window: int) -> pa.RecordBatch:
-    """Runs of windows that begin one after another, as spans of words of their texts."""
-    found = np.sort(found)
+def _spans(rows: pa.RecordBatch, offsets: np.ndarray, hit: np.ndarray) -> pa.RecordBatch:
+    """Runs of hit words inside stretches, as spans of words of their texts."""
+    found = np.flatnonzero(hit)
     of = np.searchsorted(offsets, found, "right") - 1
     new = np.flatnonzero((np.diff(found, prepend=-2) > 1) | (np.diff(of, prepend=-1) != 0))
-    length = np.diff(new, append=len(found)) + window - 1
+    length = np.diff(new, append=len(found))
     of, take = of[new], pa.array(of[new])
     start = rows.column("start").to_numpy()[of] + found[new] - offsets[of]
     return pa.RecordBatch.from_arrays([rows.column("print").take(take), pa.array(start.astype(np.int32)), pa.array(length.astype(np.int32))], ["print", "start", "length"])
@@ -197,23 +197,37 @@ def _shards(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordB
         yield from pa.Table.from_batches(held).combine_chunks().to_batches()
 
 
+def _confirmed(ids: np.ndarray, offsets: np.ndarray, twice: list[bool], window: int) -> list[bytes]:
+    """The passages of a shard: stretches met twice, and windows of the others that are met again anywhere."""
+    raw, times = ids.tobytes(), {}
+    bounds = (4 * offsets).tolist()
+    for lo, hi, two in zip(bounds, bounds[1:], twice, strict=False):
+        key = raw[lo:hi]
+        times[key] = times.get(key, 0) + 1 + two
+    size = 4 * window
+    whole = [key for key, n in times.items() if n > 1]
+    known = {key[lo : lo + size] for key in whole for lo in range(0, len(key) - size + 4, 4)}
+    met, again = set(), set()
+    for key, n in times.items():
+        if n == 1:
+            for lo in range(0, len(key) - size + 4, 4):
+                x = key[lo : lo + size]
+                if x in known or x in met:
+                    again.add(x)
+                else:
+                    met.add(x)
+    return [*whole, *again]
+
+
 def _located(window: int, shard_bytes: int):
-    """Confirm the recurring windows of a shard, compile its automaton, stream its stretches."""
+    """Confirm the passages of a shard, compile its automaton, stream its stretches."""
 
     def locate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for shard in _shards(batches, shard_bytes):
             ids, offsets, _ = _numbered(shard.column("text"))
-            at, of = _windows_of(offsets, window)
-            twice = shard.column("twice").to_numpy(zero_copy_only=False)[of]
-            raw, met, again = ids.tobytes(), set(), set()
-            for lo, two in zip((4 * at).tolist(), twice.tolist(), strict=True):
-                key = raw[lo : lo + 4 * window]
-                if two or key in met:
-                    again.add(key)
-                met.add(key)
-            del met
-            if again:
-                yield _spans(shard, offsets, _searched(list(again), ids, offsets, window), window)
+            patterns = _confirmed(ids, offsets, shard.column("twice").to_pylist(), window)
+            if patterns:
+                yield _spans(shard, offsets, _searched(patterns, ids, offsets))
 
     return locate
 
@@ -247,13 +261,12 @@ def _dealt(window: int):
             frequent = np.array([d in often[k] for d, k in zip(digests, of.tolist(), strict=True)], bool)
             raw = ids.tobytes()
             patterns = {raw[4 * p : 4 * (p + window)] for p in at[frequent].tolist()}
-            found = _searched(list(patterns), ids, offsets, window) if patterns else np.zeros(0, np.int64)
-            if len(found):
-                s = _spans(part, offsets, found, window)
+            if patterns:
+                s = _spans(part, offsets, _searched(list(patterns), ids, offsets))
                 none = lambda kind: pa.nulls(s.num_rows, kind)
                 yield pa.RecordBatch.from_arrays([none(pa.int64()), s.column("print"), none(pa.bool_()), s.column("start"), s.column("length"), none(pa.string())],
                                                  [x.split()[0] for x in DEALT.split(", ")])
-            rest = np.flatnonzero(~np.isin(at, found))
+            rest = np.flatnonzero(~frequent)
             take = pa.array(of[rest])
             start = part.column("start").to_numpy()[of[rest]] + at[rest] - offsets[of[rest]]
             keys = np.array([int.from_bytes(digests[k][:8], "little", signed=True) for k in rest.tolist()], np.int64)
