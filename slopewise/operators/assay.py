@@ -85,9 +85,7 @@ def category_codes(df: DataFrame, column: str, name: str) -> DataFrame:
     from .ranks import number_rows
 
     cats = df.filter(F.col(column).isNotNull()).select(column).distinct()
-    # Sorting needs a number to bin on: the first characters as a base-65536 fraction.
-    cats = cats.withColumn("__v", F.ascii(F.substring(column, 1, 1)) + F.ascii(F.substring(column, 2, 1)) / F.lit(1e7))
-    codes = number_rows(cats, [], "__v", [column], "__r").select(column, (F.col("__r") - 1).alias(name))
+    codes = number_rows(cats, [], column, [], "__r").select(column, (F.col("__r") - 1).alias(name))
     return df.join(codes, column, "left").withColumn(name, F.coalesce(F.col(name), F.lit(-1)))
 
 

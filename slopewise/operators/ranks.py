@@ -1,31 +1,30 @@
 """Running totals, ranks and exact quantiles that do not put a group into one task.
 
-A plain `Window.partitionBy(key).orderBy(value)` moves a whole key into one
-task, and a global order moves the whole table. Here every key's value range is
-cut into equal-width bins, as many as its row count asks for. A window over
-the *bin totals* (few rows) gives each bin its offset; a second window, over
-(key, bin), finishes inside the bin. Bin edges come from count, min and max,
-which do not depend on the order rows are read in, so a recomputed task agrees
-with the first run.
-
-For heavy-tailed values pass `spread`, an increasing function of the value
-(such as a logarithm), to even the bins out. It moves only the work, never the
-result.
+A plain `Window.partitionBy(key).orderBy(value)` moves a whole key into one task, and a global order moves the whole
+table. Here the input is evaluated once and written. A key of few rows is one bin. The range of a larger key is cut
+at quantiles of a hashed sample of its rows, and a bin whose exact count is still over twice the asked size is cut again in
+the same way, so heavy tails, outliers and gaps only move the edges. Edges are (value, tie columns, row number) tuples: a
+value that most rows share is cut inside, by its ties. A window over the bin totals (few rows) gives each bin its
+offset; a second window, over (key, bin), finishes inside the bin.
+
+Samples are drawn by a hash of the written row number, so a recomputed task agrees with the first run. Edges move only the
+work, never the result. NULL values take no part; a NULL key is a key.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 
 ROWS_PER_BIN = 50_000
-MAX_BINS = 1_000_000
+FAN_OUT = 256  # bins that one cut can make of one
+SAMPLED = 64  # sampled rows for each bin asked for
+BROADCAST_EDGES = 1_000_000  # edges counted; beyond, only bins with a 2000th of all rows have theirs broadcast
+LARGE_SHARE = 2000
 
-_LO, _HI, _N, _BIN = "__lo", "__hi", "__n", "__bin"
+_BIN, _ROW, _CELL, _AT, _EDGES, _N = "__bin", "__row", "__cell", "__at", "__edges", "__n"
 
 
 def join_on_keys(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
@@ -37,75 +36,125 @@ def join_on_keys(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFram
             .select(*left.columns, *[F.col("__one")[c].alias(c) for c in right.columns]))
 
 
-def _with_bins(df: DataFrame, keys: list[str], value: str, totals: dict[str, Column],
-               rows_per_bin: int, spread: Callable[[Column], Column] | None) -> DataFrame:
-    """Bin number per row, and each measure's total over the key as `tot_<m>`."""
-    v = spread(F.col(value)) if spread else F.col(value).cast("double")
-    span = (df.withColumn("__v", v).groupBy(*keys)
-            .agg(F.min("__v").alias(_LO), F.max("__v").alias(_HI), F.count(F.lit(1)).alias(_N),
-                 *[c.alias(f"tot_{m}") for m, c in totals.items()]))
-    bins = F.least(F.lit(float(MAX_BINS)), F.ceil(F.col(_N) / F.lit(float(rows_per_bin))).cast("double"))
-    at = F.floor((v - F.col(_LO)) / (F.col(_HI) - F.col(_LO)) * bins)
-    cut = F.when((F.col(_HI) > F.col(_LO)) & (bins > 1), F.least(at, (bins - 1).cast("long"))).otherwise(F.lit(0))
-    return join_on_keys(df, span, keys).withColumn(_BIN, cut.cast("long")).drop(_LO, _HI, _N)
+def _by_key(keys: list[str], *more: str):
+    return Window.partitionBy(*keys, *more) if keys or more else Window.partitionBy(F.lit(0))
+
+
+def _written(df: DataFrame) -> tuple[DataFrame, int]:
+    """The rows as a written table, and how many there are."""
+    seen = Observation()
+    out = cut_lineage(df.observe(seen, F.count(F.lit(1)).alias("n")))
+    return out, seen.get["n"]
 
 
-def _offsets(binned: DataFrame, keys: list[str], totals: dict[str, Column]) -> DataFrame:
-    """Sum of each measure over the earlier bins of the key. One row per (key, bin)."""
-    per_bin = binned.groupBy(*keys, _BIN).agg(*[c.alias(f"__off_{m}") for m, c in totals.items()])
-    part = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
+def bins(rows: DataFrame, count: int, keys: list[str], order: list[str], totals: dict[str, Column],
+         rows_per_bin: int = ROWS_PER_BIN) -> tuple[DataFrame, DataFrame] | None:
+    """`rows` with a bin number that rises with `order` inside the keys, and (keys, bin) with its count `__n` and `totals`.
+
+    `order` must tell any two rows of a key apart. No bin has more than twice `rows_per_bin` rows. None if no key
+    needs more than one bin.
+    """
+    if count <= rows_per_bin:
+        return None
+    out = rows.withColumn(_BIN, F.lit(0).cast("long"))
+    sums = [F.count(F.lit(1)).alias(_N), *[c.alias(m) for m, c in totals.items()]]
+    most, level = rows_per_bin, 0
+    while True:
+        cells = cut_lineage(out.groupBy(*keys, _BIN).agg(*sums))
+        large = cells.filter(F.col(_N) > most)
+        wanted = large.agg(F.sum(_wanted(rows_per_bin)).alias("edges")).first()["edges"]
+        if not wanted:
+            return (out, cells) if level else None
+        level += 1
+        out = _cut(out, large, wanted, count, keys, order, rows_per_bin, level)
+        most = 2 * rows_per_bin
+
+
+def _wanted(rows_per_bin: int) -> Column:
+    return F.least(F.lit(FAN_OUT), F.ceil(F.col(_N) / F.lit(float(rows_per_bin))).cast("int"))
+
+
+def _cut(rows: DataFrame, large: DataFrame, wanted: int, count: int, keys: list[str], order: list[str],
+         rows_per_bin: int, level: int) -> DataFrame:
+    """Cut each bin of `large` at quantiles of a sample of its rows."""
+    cell = F.struct(*keys, _BIN).alias(_CELL)
+    sizes = large.select(cell, _N, _wanted(rows_per_bin).alias("__bins"))
+    share = F.lit(float(SAMPLED)) * F.col("__bins") / F.col(_N)
+    draw = F.pmod(F.xxhash64(*order, F.lit(level)), F.lit(1 << 30)) < share * float(1 << 30)
+    inside = rows.select(cell, F.struct(*order).alias(_AT), *order)
+    drawn = _meet(inside, sizes, wanted, count, "inner").filter(draw)
+    drawn = drawn.groupBy(_CELL, "__bins", _N).agg(F.array_sort(F.collect_list(_AT)).alias("__s"))
+    at = "transform(sequence(1, __bins - 1), i -> __s[cast(i * size(__s) / __bins as int)])"
+    edges = cut_lineage(drawn.select(_CELL, _N, F.expr(at).alias(_EDGES)))
+    steps = ", ".join(str(1 << k) for k in reversed(range(FAN_OUT.bit_length() - 1)))
+    search = F.expr(f"aggregate(array({steps}), 0, (p, s) -> if(p + s <= size({_EDGES}) and element_at({_EDGES}, p + s) <= {_AT}, p + s, p))")
+    met = _meet(rows.withColumn(_CELL, cell).withColumn(_AT, F.struct(*order)), edges, wanted, count, "left")
+    new = F.col(_BIN) * FAN_OUT + F.when(F.col(_EDGES).isNull(), 0).otherwise(search)
+    return met.withColumn(_BIN, new.cast("long")).select(*rows.columns)
+
+
+def _meet(rows: DataFrame, cells: DataFrame, numbers: int, count: int, how: str) -> DataFrame:
+    """Join rows to one row a cell. Cells that hold much of the table are few and broadcast; the others are shuffled."""
+    if numbers <= BROADCAST_EDGES:
+        return rows.join(F.broadcast(cells), _CELL, how)
+    hot = F.col(_N) >= count / LARGE_SHARE
+    some, few = cells.filter(hot), cells.filter(~hot)
+    met = rows.join(F.broadcast(some), _CELL)
+    return met.unionByName(rows.join(F.broadcast(some.select(_CELL)), _CELL, "left_anti").join(few, _CELL, how))
+
+
+def _offsets(cells: DataFrame, keys: list[str], totals: list[str]) -> DataFrame:
+    """Sum of each measure over the earlier bins of the key (`__off_m`) and over all of them (`__tot_m`). One row per (key, bin)."""
+    part = _by_key(keys)
     before = part.orderBy(_BIN).rowsBetween(Window.unboundedPreceding, -1)
-    return per_bin.select(*keys, _BIN, *[F.coalesce(F.sum(f"__off_{m}").over(before), F.lit(0)).alias(f"__off_{m}")
-                                         for m in totals])
+    return cells.select(F.struct(*keys, _BIN).alias(_CELL), *[F.coalesce(F.sum(m).over(before), F.lit(0)).alias(f"__off_{m}") for m in totals],
+                        *[F.sum(m).over(part).alias(f"__tot_{m}") for m in totals])
 
 
 def cumulate(df: DataFrame, keys: list[str], value: str, measures: dict[str, Column], *,
-             rows_per_bin: int = ROWS_PER_BIN,
-             spread: Callable[[Column], Column] | None = None) -> DataFrame:
+             rows_per_bin: int = ROWS_PER_BIN) -> DataFrame:
     """One row per distinct (keys, value) with summed measures `m`, their running
     totals `cum_m` and the key's totals `tot_m`.
 
     Equal values are summed before anything is shuffled, so one value that holds
-    a third of all rows arrives as one row per map task. The input is evaluated
-    once; ranges, bin totals and the result all read the same shuffle.
+    a third of all rows arrives as one row per map task.
     """
     distinct = (df.filter(F.col(value).isNotNull()).groupBy(*keys, value)
                 .agg(*[F.sum(c).alias(m) for m, c in measures.items()]))
-    sums = {m: F.sum(m) for m in measures}
-    binned = _with_bins(distinct, keys, value, sums, rows_per_bin, spread)
-    offsets = _offsets(binned, keys, sums)
-    inside = Window.partitionBy(*keys, _BIN).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    return (binned.join(offsets, [*keys, _BIN])
-            .select(*keys, value, *measures, *[f"tot_{m}" for m in measures],
-                    *[(F.col(f"__off_{m}") + F.sum(m).over(inside)).alias(f"cum_{m}") for m in measures]))
+    rows, count = _written(distinct)
+    cut = bins(rows, count, keys, [value], {m: F.sum(m) for m in measures}, rows_per_bin)
+    up_to = lambda *more: _by_key(keys, *more).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    if cut is None:
+        return rows.select(*keys, value, *measures, *[F.sum(m).over(_by_key(keys)).alias(f"tot_{m}") for m in measures],
+                           *[F.sum(m).over(up_to()).alias(f"cum_{m}") for m in measures])
+    binned, cells = cut
+    offsets = _offsets(cells, keys, list(measures))
+    return (binned.withColumn(_CELL, F.struct(*keys, _BIN)).join(offsets, _CELL)
+            .select(*keys, value, *measures, *[F.col(f"__tot_{m}").alias(f"tot_{m}") for m in measures],
+                    *[(F.col(f"__off_{m}") + F.sum(m).over(Window.partitionBy(_CELL).orderBy(value).rowsBetween(Window.unboundedPreceding, 0))).alias(f"cum_{m}")
+                      for m in measures]))
 
 
 def running_total(df: DataFrame, keys: list[str], value: str, ties: list[str], measure: Column, name: str, *,
-                  rows_per_bin: int = ROWS_PER_BIN, spread: Callable[[Column], Column] | None = None,
-                  materialise: bool = False) -> DataFrame:
-    """Row-level inclusive running sum of `measure` by (value, ties) inside the keys.
-
-    The input is read three times (ranges, bin totals, rows). Where it is more than a cheap
-    scan, `materialise` writes it once to the checkpoint folder instead.
-    """
-    rows = df.filter(F.col(value).isNotNull()).withColumn("__m", measure)
-    if materialise:
-        rows = cut_lineage(rows)
-    binned = _with_bins(rows, keys, value, {}, rows_per_bin, spread)
-    offsets = _offsets(binned, keys, {"t": F.sum("__m")})
-    inside = (Window.partitionBy(*keys, _BIN).orderBy(value, *ties)
-              .rowsBetween(Window.unboundedPreceding, 0))
-    return (binned.join(offsets, [*keys, _BIN])
+                  rows_per_bin: int = ROWS_PER_BIN) -> DataFrame:
+    """Row-level inclusive running sum of `measure` by (value, ties) inside the keys; rows equal in both take any order."""
+    rows, count = _written(df.filter(F.col(value).isNotNull()).withColumn("__m", measure).withColumn(_ROW, F.monotonically_increasing_id()))
+    order = [value, *[t for t in ties if t != value], _ROW]
+    cut = bins(rows, count, keys, order, {"t": F.sum("__m")}, rows_per_bin)
+    if cut is None:
+        inside = _by_key(keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        return rows.withColumn(name, F.sum("__m").over(inside)).drop("__m", _ROW)
+    binned, cells = cut
+    inside = Window.partitionBy(_CELL).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    return (binned.withColumn(_CELL, F.struct(*keys, _BIN)).join(_offsets(cells, keys, ["t"]), _CELL)
             .withColumn(name, F.col("__off_t") + F.sum("__m").over(inside))
-            .drop(_BIN, "__off_t", "__m"))
+            .drop(_BIN, _CELL, "__off_t", "__tot_t", "__m", _ROW))
 
 
 def number_rows(df: DataFrame, keys: list[str], value: str, ties: list[str], name: str = "rank", *,
-                rows_per_bin: int = ROWS_PER_BIN, spread: Callable[[Column], Column] | None = None,
-                materialise: bool = False) -> DataFrame:
+                rows_per_bin: int = ROWS_PER_BIN) -> DataFrame:
     """Row number 1..n by (value, ties) inside the keys."""
-    return running_total(df, keys, value, ties, F.lit(1).cast("long"), name,
-                         rows_per_bin=rows_per_bin, spread=spread, materialise=materialise)
+    return running_total(df, keys, value, ties, F.lit(1).cast("long"), name, rows_per_bin=rows_per_bin)
 
 
 def average_ranks(df: DataFrame, keys: list[str], value: str, name: str = "avg_rank", *,
@@ -116,10 +165,9 @@ def average_ranks(df: DataFrame, keys: list[str], value: str, name: str = "avg_r
 
 
 def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float], *,
-                    rows_per_bin: int = ROWS_PER_BIN,
-                    spread: Callable[[Column], Column] | None = None) -> DataFrame:
+                    rows_per_bin: int = ROWS_PER_BIN) -> DataFrame:
     """Linear-interpolation quantiles, one column per entry of `probs`, and the count `n`."""
-    c = cumulate(df, keys, value, {"n": F.lit(1).cast("long")}, rows_per_bin=rows_per_bin, spread=spread)
+    c = cumulate(df, keys, value, {"n": F.lit(1).cast("long")}, rows_per_bin=rows_per_bin)
     return quantiles_from_cumulated(c, keys, value, "n", probs)
 
 
