@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -13,97 +14,125 @@ from ..session import cut_lineage
 from .ranks import number_rows
 
 TILE = 512
-PAIR_SUMS = "block long, ta long, tb long, i int, j int, n double, sx double, sy double, sxx double, syy double, sxy double"
+SLICES = 8
+PAIR_SUMS = "chrom string, ta long, tb long, i int, j int, n double, sx double, sy double, sxx double, syy double, sxy double"
 
 
-def blocks_of(variants: DataFrame, chrom: str, pos: str, ident: str, kb: int) -> DataFrame:
-    """Overlapping position blocks: block b covers bins b and b + 1 of width kb, so any pair closer than
-    kb shares the block of its lower variant. Inside a block variants are numbered and cut into tiles, so that
-    a crowded block is many bounded pieces of work."""
-    width = kb * 1000
-    v = variants.select(F.col(chrom).alias("chrom"), F.col(pos).alias("pos"), F.col(ident).alias("variant"))
-    v = v.withColumn("home", F.floor(F.col("pos") / width))
-    v = v.withColumn("b", F.explode(F.array(F.col("home") - 1, F.col("home"))))
-    v = number_rows(v.withColumn("block", F.xxhash64("chrom", "b")), ["block"], "pos", ["variant"], "__r")
+def tiles_of(variants: DataFrame, chrom: str, pos: str, ident: str) -> DataFrame:
+    """Variants of each chromosome numbered by position and cut into tiles of TILE: `chrom`, `pos`, `variant`, `tile`, `idx`. Written."""
+    v = variants.select(F.col(chrom).cast("string").alias("chrom"), F.col(pos).alias("pos"), F.col(ident).alias("variant"))
     at = F.col("__r") - 1
-    return v.withColumns({"tile": F.floor(at / TILE), "idx": (at % TILE).cast("int")}).drop("__r")
+    v = number_rows(v, ["chrom"], "pos", ["variant"], "__r")
+    return cut_lineage(v.withColumns({"tile": F.floor(at / TILE), "idx": (at % TILE).cast("int")}).drop("__r"))
+
+
+def tile_pairs(tiles: DataFrame, width: int) -> DataFrame:
+    """The work: pairs of tiles (`chrom`, `ta` <= `tb`) whose position ranges come within `width`, with the positions of their variants.
+
+    The lower end of the right tile lies in one bin of that width; the left one asks in the bins it can reach.
+    """
+    t = tiles.groupBy("chrom", "tile").agg(F.min("pos").alias("lo"), F.max("pos").alias("hi"),
+                                           F.transform(F.array_sort(F.collect_list(F.struct("idx", "pos"))), lambda x: x["pos"]).alias("p"))
+    t = cut_lineage(t)
+    bin_of = lambda c: F.floor(F.col(c) / width)
+    left = t.select("chrom", F.col("tile").alias("ta"), F.col("hi").alias("end"), F.col("p").alias("pa"), F.explode(F.sequence(bin_of("lo"), bin_of("hi") + 1)).alias("bin"))
+    right = t.select("chrom", F.col("tile").alias("tb"), F.col("lo").alias("begin"), F.col("p").alias("pb"), bin_of("lo").alias("bin"))
+    met = left.join(right, ["chrom", "bin"]).filter((F.col("ta") <= F.col("tb")) & (F.col("begin") - F.col("end") <= width))
+    return met.select("chrom", "ta", "tb", "pa", "pb")
 
 
 def ld_pairs(dosages: DataFrame, variants: DataFrame, kb: int, *, chrom: str = "chrom", pos: str = "pos",
-             ident: str = "variant", sample: str = "sample", dosage: str = "dosage", min_r2: float = 0.0) -> DataFrame:
-    """Pairwise correlation of variants within kb of each other, from a long dosage table.
+             ident: str = "variant", sample: str = "sample", dosage: str = "dosage", min_r2: float = 0.0, slices: int = SLICES) -> DataFrame:
+    """Pairwise correlation of variants of a chromosome within kb of each other, from a long dosage table.
 
-    Rows are gathered once per (block, tile, sample) into a short array. Each task turns its samples into
-    cross products with a few matrix products and emits one row per pair; Spark adds those over
-    tasks. Samples are never paired with each other and no matrix is assembled. A missing dosage
-    leaves the sample out of that pair only.
+    A banded product of blocks. Rows are gathered once per (tile, sample) into a short array; a work table names the
+    tile pairs of the band. The rows of a (tile pair, slice of samples) stream through one task, which adds them up by a few
+    matrix products, writes the sums of the pairs within kb when its key ends, and starts again, so its state is one tile
+    pair. Spark adds the slices. Each pair is computed once. A missing dosage leaves the sample out of that pair only.
     """
-    b = cut_lineage(blocks_of(variants, chrom, pos, ident, kb))
+    width = kb * 1000
+    v = tiles_of(variants, chrom, pos, ident)
     rows = dosages.select(F.col(ident).alias("variant"), F.col(sample).alias("sample"), F.col(dosage).cast("double").alias("x"))
-    vec = (rows.join(b.select("variant", "block", "tile", "idx"), "variant").groupBy("block", "tile", "sample")
+    vec = (rows.join(v.select("variant", "chrom", "tile", "idx"), "variant").groupBy("chrom", "tile", "sample")
            .agg(F.map_from_entries(F.collect_list(F.struct("idx", "x"))).alias("m")))
-    sizes = b.groupBy("block", "tile").agg(F.max("idx").alias("last"))
-    vec = vec.join(sizes, ["block", "tile"]).select(
-        "block", "tile", "sample", F.transform(F.sequence(F.lit(0), F.col("last")), lambda i: F.col("m")[i]).alias("x"))
-    # All tiles of one sample in one block meet; most blocks are a single tile.
-    tiles = vec.groupBy("block", "sample").agg(F.array_sort(F.collect_list(F.struct("tile", "x"))).alias("t"))
-    pairs = tiles.select("block", F.posexplode("t").alias("at", "u"), "t").select(
-        "block", F.col("u.tile").alias("ta"), F.col("u.x").alias("xa"),
-        F.explode(F.slice("t", F.col("at") + 1, F.size("t") - F.col("at"))).alias("w"))
-    pairs = pairs.select("block", "ta", F.col("w.tile").alias("tb"), "xa", F.col("w.x").alias("xb"))
-    return finish_pairs(pair_sums(pairs), b, kb, min_r2)
-
-
-def _stack(column: pa.Array, pick: np.ndarray) -> np.ndarray:
+    work = tile_pairs(v, width)
+    sizes = work.filter("ta = tb").select("chrom", F.col("ta").alias("tile"), F.size("pa").alias("n"))
+    vec = cut_lineage(vec.join(sizes, ["chrom", "tile"]).select(
+        "chrom", "tile", "sample", F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.col("m")[i]).alias("x")))
+    band = work.select("chrom", "ta", "tb")
+    a = vec.select("chrom", F.col("tile").alias("ta"), "sample", F.col("x").alias("xa"))
+    b = vec.select("chrom", F.col("tile").alias("tb"), "sample", F.col("x").alias("xb"))
+    met = a.join(band, ["chrom", "ta"]).join(b, ["chrom", "tb", "sample"])
+    met = met.select("chrom", "ta", "tb", F.pmod(F.xxhash64("sample"), F.lit(slices)).cast("int").alias("slice"), "xa", "xb")
+    heads = work.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
+    return finish_pairs(pair_sums(heads.unionByName(met, allowMissingColumns=True), width), v, min_r2)
+
+
+def _stack(column: pa.Array, lo: int, hi: int) -> np.ndarray:
     """Rows of equally long lists as a matrix; a NULL dosage is NaN."""
     off = column.offsets.to_numpy()
-    val = column.values.to_numpy(zero_copy_only=False).astype(float)
-    return np.stack([val[off[r]:off[r + 1]] for r in pick])
+    return column.values.to_numpy(zero_copy_only=False).astype(float)[off[lo]:off[hi]].reshape(hi - lo, -1)
+
+
+class _TilePair:
+    """Sums over the samples of one tile pair."""
+
+    def __init__(self, key: tuple, pa_: list, pb: list):
+        self.key, self.pos, self.sums = key, (np.array(pa_, float), np.array(pb, float)), None
+
+    def add(self, a: np.ndarray, b: np.ndarray) -> None:
+        oa, ob = (~np.isnan(a)).astype(float), (~np.isnan(b)).astype(float)
+        a, b = np.nan_to_num(a), np.nan_to_num(b)
+        part = np.stack([oa.T @ ob, a.T @ ob, oa.T @ b, (a * a).T @ ob, oa.T @ (b * b), a.T @ b])
+        self.sums = part if self.sums is None else self.sums + part
+
+    def batch(self, width: int) -> pa.RecordBatch:
+        chrom, ta, tb, _ = self.key
+        near = np.abs(self.pos[0][:, None] - self.pos[1][None, :]) <= width
+        i, j = np.nonzero(np.triu(near, 1) if ta == tb else near)
+        n = len(i)
+        return pa.RecordBatch.from_arrays(
+            [pa.array([chrom] * n, pa.string()), pa.array(np.full(n, ta, np.int64)), pa.array(np.full(n, tb, np.int64)), pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32)),
+             *(pa.array(m[i, j]) for m in self.sums)], names=[x.split()[0] for x in PAIR_SUMS.split(", ")])
 
 
-def pair_sums(pairs: DataFrame) -> DataFrame:
-    """Sums per (block, tile pair, i, j) from (block, ta, tb, xa, xb) rows."""
+def pair_sums(pairs: DataFrame, width: int) -> DataFrame:
+    """Sums per (chrom, tile pair, i, j). A key (chrom, ta, tb, slice) has a head row with the positions `pa`, `pb` and one row a sample with `xa`, `xb`."""
+    key = ["chrom", "ta", "tb", "slice"]
 
     def partial(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        acc: dict[tuple, tuple[np.ndarray, ...]] = {}
+        now = None
         for batch in it:
-            if not batch.num_rows:
-                continue
-            keys = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in range(3)], axis=1)
-            for key in np.unique(keys, axis=0):
-                pick = np.flatnonzero((keys == key).all(axis=1))
-                a, b = _stack(batch.column(3), pick), _stack(batch.column(4), pick)
-                oa, ob = (~np.isnan(a)).astype(float), (~np.isnan(b)).astype(float)
-                a, b = np.nan_to_num(a), np.nan_to_num(b)
-                part = (oa.T @ ob, a.T @ ob, oa.T @ b, (a * a).T @ ob, oa.T @ (b * b), a.T @ b)
-                k = tuple(int(x) for x in key)
-                acc[k] = tuple(x + y for x, y in zip(acc[k], part)) if k in acc else part
-        for (block, ta, tb), mats in acc.items():
-            i, j = np.triu_indices(len(mats[0]), 1) if ta == tb else (x.ravel() for x in np.indices(mats[0].shape))
-            if len(i):
-                head = [pa.array(np.full(len(i), v, dtype=np.int64)) for v in (block, ta, tb)]
-                yield pa.RecordBatch.from_arrays(
-                    head + [pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32))] + [pa.array(m[i, j]) for m in mats],
-                    names=["block", "ta", "tb", "i", "j", "n", "sx", "sy", "sxx", "syy", "sxy"])
-
-    return (pairs.mapInArrow(partial, PAIR_SUMS).groupBy("block", "ta", "tb", "i", "j")
+            keys = list(zip(*(batch.column(c).to_pylist() for c in key), strict=True))
+            lo = 0
+            for k, run in groupby(keys):
+                hi = lo + len(list(run))
+                if now is None or now.key != k:
+                    if now and now.sums is not None:
+                        yield now.batch(width)
+                    now = _TilePair(k, batch.column("pa")[lo].as_py(), batch.column("pb")[lo].as_py())
+                    lo += 1
+                if lo < hi:
+                    now.add(_stack(batch.column("xa"), lo, hi), _stack(batch.column("xb"), lo, hi))
+                lo = hi
+        if now and now.sums is not None:
+            yield now.batch(width)
+
+    head_first = F.col("pa").isNull()
+    return (pairs.repartition(*key).sortWithinPartitions(*key, head_first).mapInArrow(partial, PAIR_SUMS).groupBy("chrom", "ta", "tb", "i", "j")
             .agg(*[F.sum(c).alias(c) for c in ("n", "sx", "sy", "sxx", "syy", "sxy")]))
 
 
-def finish_pairs(sums: DataFrame, blocks: DataFrame, kb: int, min_r2: float) -> DataFrame:
-    """Correlation from sums, each pair kept once (in the block of its lower variant)."""
-    side = {s: blocks.select("block", F.col("tile").alias("ta" if s == "i" else "tb"), F.col("idx").alias(s), F.col("variant").alias(f"v{s}"), F.col("pos").alias(f"p{s}"),
-                             F.col("home").alias(f"h{s}"), F.col("b").alias(f"b{s}"), F.col("chrom").alias(f"c{s}"))
-            for s in ("i", "j")}
-    near = sums.join(side["i"], ["block", "ta", "i"]).join(side["j"], ["block", "tb", "j"])
-    near = near.filter((F.col("hi") == F.col("bi")) & (F.abs(F.col("pi") - F.col("pj")) <= kb * 1000))
+def finish_pairs(sums: DataFrame, tiles: DataFrame, min_r2: float) -> DataFrame:
+    """Correlation from sums, with the names of the variants."""
+    side = {s: tiles.select("chrom", F.col("tile").alias(t), F.col("idx").alias(s), F.col("variant").alias(n)) for s, t, n in (("i", "ta", "a"), ("j", "tb", "b"))}
     cov = F.col("sxy") - F.col("sx") * F.col("sy") / F.col("n")
     vx = F.col("sxx") - F.col("sx") * F.col("sx") / F.col("n")
     vy = F.col("syy") - F.col("sy") * F.col("sy") / F.col("n")
-    r = F.when((vx > 0) & (vy > 0), cov / F.sqrt(vx * vy))
-    out = near.select(F.col("ci").alias("chrom"), F.col("vi").alias("a"), F.col("vj").alias("b"), F.col("n").cast("long").alias("n"),
-                      r.alias("r"))
-    return out.withColumn("r2", F.col("r") * F.col("r")).filter(F.col("r2") >= min_r2)
+    r = F.when((F.col("n") > 0) & (vx > 0) & (vy > 0), cov / F.sqrt(vx * vy))
+    strong = sums.withColumn("r", r).withColumn("r2", F.col("r") * F.col("r")).filter(F.col("r2") >= min_r2)
+    return (strong.join(side["i"], ["chrom", "ta", "i"]).join(side["j"], ["chrom", "tb", "j"])
+            .select("chrom", "a", "b", F.col("n").cast("long").alias("n"), "r", "r2"))
 
 
 def clump(assoc: DataFrame, edges: DataFrame, locus: str, ident: str, order: Column, *, p: str, p1: float = 5e-8,
