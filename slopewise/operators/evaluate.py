@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import hash_uniform
+from ..session import cut_lineage
 from . import metrics
-from .folds import shuffled_labels
-from .linear import Arm, Design, Outcome, nested_cv, pooled_scores, prepare
+from .folds import permuted_blocks
+from .linear import Arm, Design, Outcome, narrow, nested_cv, pooled_scores, prepare, small_or_shuffled
 from .ranks import join_on_keys
 
 MARGIN = 0.02
@@ -68,14 +69,13 @@ def paired_increment_cv(df: DataFrame, subject: str, outcome: Outcome, base: lis
 
 def permutation_null(df: DataFrame, subject: str, outcome: Outcome, base: list[str], block: list[str], *,
                      n_perm: int, k: int = 5, seed: int = 0, alpha: float = 1.0) -> DataFrame:
-    """Null distribution of the increment when the added block is shuffled as a whole.
+    """Null distribution of the increment when the added block is shuffled as a whole, by a keyed permutation a repetition.
 
     Fixed penalty for every run, so observed (rep 0) and permuted increments compare
     like with like. One row per rep.
     """
-    shuffled = shuffled_labels(df, subject, block, list(range(1, n_perm + 1)))
-    rest = df.drop(*block)
-    permuted = rest.join(shuffled, subject).select("rep", subject, *outcome.columns, *base, *block)
+    df = narrow(df, subject, [*base, *block], outcome)
+    permuted = permuted_blocks(df, subject, block, list(range(1, n_perm + 1))).select("rep", subject, *outcome.columns, *base, *block)
     observed = df.select(F.lit(0).alias("rep"), subject, *outcome.columns, *base, *block)
     # Shuffling moves whole values, so centres, medians and shrinkage of the observed table hold for every rep.
     d = prepare(observed, subject, [*base, *block], outcome, [seed], k, 1, rep="rep")
@@ -122,7 +122,7 @@ def noise_floor(df: DataFrame, subject: str, outcome: Outcome, base: list[str],
                 k: int = 5, seed: int = 0, alpha: float = 1.0) -> DataFrame:
     """Increment of columns of pure noise, one row per draw."""
     noise = [f"noise{i}" for i in range(width)]
-    data = gaussian_block(df.select(subject, *outcome.columns, *base), subject, width, draws)
+    data = gaussian_block(narrow(df, subject, base, outcome), subject, width, draws)
     d = prepare(data, subject, [*base, *noise], outcome, [seed], k, 1, rep="rep")
     return _score_pairs(data, d, base, noise, alpha)
 
@@ -145,6 +145,7 @@ def control_arms(df: DataFrame, subject: str, outcome: Outcome, specs: dict[str,
     for name, (base, added) in specs.items():
         arms += [Arm(f"{name}__base", tuple(base)), Arm(f"{name}__aug", tuple([*base, *added]))]
     features = sorted({c for a in arms for c in a.columns})
+    df = narrow(df, subject, features, outcome)
     d = prepare(df, subject, features, outcome, seeds, k, inner_k)
     r2 = pooled_scores(df, d, arms).select(
         F.substring_index("arm", "__", 1).alias("control"), F.substring_index("arm", "__", -1).alias("arm"), "seed", "n", "r2")
@@ -173,21 +174,23 @@ def cluster_cv(df: DataFrame, subject: str, outcome: Outcome, base: list[str], a
     """Leave-one-cluster-out predictions of a base and an augmented model.
 
     `fold_cols` maps a seed to the column that holds its clusters, so real sites and
-    random clusters of the same sizes go through one pass. Cluster labels are numbered
-    here; there is one model per cluster, so their list is as small as the model list.
+    random clusters of the same sizes go through one pass. Labels are numbered in a table of
+    their own, as small as the model list since each cluster has a model, and joined.
     """
-    dense, out = {}, df
-    labels: set = set()
+    labels = None
     for c in fold_cols.values():
-        labels |= {r[0] for r in df.select(c).distinct().collect()}
-    order = sorted(labels)
+        some = df.select(F.col(c).alias("cluster")).distinct()
+        labels = some if labels is None else labels.unionByName(some)
+    numbered = Window.partitionBy(F.lit(0)).orderBy("cluster")
+    labels = cut_lineage(labels.filter("cluster is not null").distinct().withColumn("fold", F.row_number().over(numbered) - 1))
+    k, out = labels.count(), df
+    dense = {s: f"__dense{s}" for s in fold_cols}
     for s, c in fold_cols.items():
-        dense[s] = f"__dense{s}"
-        out = out.withColumn(dense[s], F.array_position(F.array(*[F.lit(x) for x in order]), F.col(c)).cast("int") - 1)
+        own = labels.select(F.col("cluster").alias(c), F.col("fold").alias(dense[s]))
+        out = out.join(small_or_shuffled(own, k), c)
     arms = [Arm("base", tuple(base)), Arm("aug", tuple([*base, *aug]))]
-    oof = nested_cv(out, subject, outcome, arms, k=len(order), inner_k=inner_k, seeds=list(fold_cols),
-                    fold_cols=dense, carry=carry)
-    return oof.withColumn("cluster", F.element_at(F.array(*[F.lit(x) for x in order]), F.col("fold") + 1)).drop("fold")
+    oof = nested_cv(out, subject, outcome, arms, k=k, inner_k=inner_k, seeds=list(fold_cols), fold_cols=dense, carry=carry)
+    return oof.join(small_or_shuffled(labels, k), "fold").drop("fold")
 
 
 def cluster_metrics(oof: DataFrame, cluster: str, min_n: int = 20) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import hash_uniform, hash_word
+from ..session import cut_lineage
 from .ranks import number_rows
 
 
@@ -63,6 +64,43 @@ def shuffled_labels(df: DataFrame, subject: str, columns: list[str], reps: list[
     return ranked.join(donors, "pos").drop("pos")
 
 
+WALK = 64  # steps along a cycle; each leaves the range with a chance under one half
+
+
+def permuted(at: Column, n: int, *key: Column | int | str) -> Column:
+    """Where a permutation of 0..n-1, one for each key, sends position `at`: computed for each row alone, nothing is sorted.
+
+    Four Feistel rounds over the two halves of the bits of the next power of two are a bijection of that range; the
+    cycle is followed until it is back below n, which keeps it a bijection of 0..n-1.
+    """
+    bits = max(2, (n - 1).bit_length())
+    low = bits // 2
+    low_mask, high_mask = F.lit((1 << low) - 1), F.lit((1 << (bits - low)) - 1)
+
+    def turn(x: Column, r: Column) -> Column:
+        odd = x.bitwiseXOR(F.shiftleft(hash_word(x.bitwiseAND(low_mask), *key, r, F.lit("feistel")).bitwiseAND(high_mask), low))
+        even = x.bitwiseXOR(hash_word(F.shiftright(x, low), *key, r, F.lit("feistel")).bitwiseAND(low_mask))
+        return F.when(r % 2 == 1, odd).otherwise(even)
+
+    def rounds(x: Column) -> Column:
+        return F.aggregate(F.array(*[F.lit(r).cast("long") for r in (1, 2, 3, 4)]), x, turn)
+
+    out = F.aggregate(F.sequence(F.lit(1), F.lit(WALK)), rounds(at.cast("long")), lambda x, _: F.when(x < n, x).otherwise(rounds(x)))
+    return F.when(out < n, out).otherwise(F.raise_error(F.lit("no end of a cycle found")).cast("long"))
+
+
+def permuted_blocks(df: DataFrame, subject: str, columns: list[str], reps: list[int]) -> DataFrame:
+    """All rows once a repetition, with `columns` as one block from another row: a keyed permutation of the rows' numbers.
+
+    Rows are numbered once by key. A repetition is one equi-join by computed position, without a sort of its own.
+    """
+    numbered = cut_lineage(number_rows(df, [], subject, [], "__pos").withColumn("__pos", F.col("__pos") - 1))
+    n = numbered.count()
+    donors = numbered.select(F.col("__pos").alias("__from"), *columns)
+    takers = numbered.drop(*columns).withColumn("rep", F.explode(F.array(*[F.lit(int(r)) for r in reps])))
+    return takers.withColumn("__from", permuted(F.col("__pos"), n, F.col("rep"))).join(donors, "__from").drop("__from", "__pos")
+
+
 def size_matched_clusters(folded: DataFrame, subject: str, seeds: list[int]) -> DataFrame:
     """Random clusters with exactly the sizes of the given ones: the labels, shuffled."""
     return shuffled_labels(folded, subject, ["fold"], seeds).withColumnRenamed("rep", "seed")

@@ -13,15 +13,18 @@ own median.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
+from ..session import cut_lineage
 from .folds import fold_of, per_seed
 from .longitudinal import shrunken, training_params
 from .ranks import cumulate
@@ -163,69 +166,102 @@ def _batches(it: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]:
             yield {n: b.column(i).to_numpy(zero_copy_only=False) for i, n in enumerate(b.schema.names)}
 
 
-CELL = "rep int, seed int, kind int, a int, g int, pos int, val double"
+SUMS = "rep int, seed int, slot int, sums array<double>"
+SLOTS = 32  # rows that carry a key's sums into its last merge, at most
 
 
-def _emit(acc: dict[tuple[int, int, int, int, int], np.ndarray]) -> Iterator[pa.RecordBatch]:
-    for key, flat in acc.items():
-        n = len(flat)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.full(n, v, dtype=np.int32)) for v in key]
-            + [pa.array(np.arange(n, dtype=np.int32)), pa.array(flat)],
-            names=["rep", "seed", "kind", "a", "g", "pos", "val"])
+def _layout(d: Design, held_out: bool) -> list[tuple[int, ...]]:
+    """Shapes of a key's parts: X'X by (outer, inner) fold; [X'y, y'y] of each training set by inner fold; the same of each test fold."""
+    q = d.width
+    return [(d.k, d.inner_k, q, q), (d.k, d.inner_k, q + 1), (d.k if held_out else 0, q + 1)]
 
 
-def fold_sums(df: DataFrame, d: Design, held_out: bool = False) -> dict[tuple[int, int, int, int, int], np.ndarray]:
-    """Cross products per cell, summed over all partitions; with `held_out` also the test folds' outcome sums.
+def _split(flat: np.ndarray, shapes: list[tuple[int, ...]]) -> list[np.ndarray]:
+    cuts = np.cumsum([int(np.prod(s)) for s in shapes])
+    return [x.reshape(s) for x, s in zip(np.split(flat, cuts[:-1]), shapes, strict=True)]
 
-    Each task folds its rows into one small array per cell; only those leave
-    the task, and Spark adds them up by (cell, position). What reaches the
-    driver is seeds x folds x inner folds x columns^2 numbers, whatever the row count.
-    """
-    q = d.width
 
-    def partial(it):
-        acc: dict = {}
+def _sum_batch(sums: dict[tuple[int, int], np.ndarray], slot: int) -> pa.RecordBatch:
+    size = len(next(iter(sums.values())))
+    lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sums) + 1, dtype=np.int32) * size), pa.array(np.concatenate(list(sums.values()))))
+    keys = np.array(list(sums), dtype=np.int32)
+    return pa.RecordBatch.from_arrays([pa.array(keys[:, 0]), pa.array(keys[:, 1]), pa.array(np.full(len(sums), slot, np.int32)), lists], ["rep", "seed", "slot", "sums"])
+
+
+def _added(it: Iterator[pa.RecordBatch]) -> dict[tuple[int, int], np.ndarray]:
+    """Sum of the arrays of each (rep, seed)."""
+    total: dict[tuple[int, int], np.ndarray] = {}
+    for b in it:
+        lists = b.column("sums")
+        for rep, seed, lo, hi in zip(b.column("rep").to_pylist(), b.column("seed").to_pylist(), lists.offsets.to_pylist(), lists.offsets.to_pylist()[1:]):
+            values = lists.values.to_numpy()[lo:hi]
+            if (rep, seed) in total:
+                total[rep, seed] += values
+            else:
+                total[rep, seed] = values.copy()
+    return total
+
+
+def _merged(partials: DataFrame) -> DataFrame:
+    """First level: the arrays of the tasks of a slot are added up. The second is `_added` by whoever takes the keys."""
+
+    def merge(it):
+        total = _added(it)
+        if total:
+            yield _sum_batch(total, 0)
+
+    return partials.repartition("rep", "seed", "slot").mapInArrow(merge, SUMS).repartition("rep", "seed")
+
 
-        def add(key, value):
-            flat = value.ravel()
-            acc[key] = acc[key] + flat if key in acc else flat.copy()
+def fold_sums(df: DataFrame, d: Design, held_out: bool = False) -> DataFrame:
+    """Cross products per fold cell, as one array for each (rep, seed), dealt by key for `_solved`.
 
+    Each task adds its rows up to one array a key, tasks are merged in two levels, and no number goes to the driver:
+    what is shuffled is seeds x folds x inner folds x columns^2 numbers a task, whatever the row count.
+    """
+    shapes = _layout(d, held_out)
+    size = sum(int(np.prod(s)) for s in shapes)
+
+    def partial(it):
+        slot = TaskContext.get().partitionId() % SLOTS
+        total: dict[tuple[int, int], np.ndarray] = {}
         for cols in _batches(it):
-            for rep in np.unique(cols["__rep"]):
-                part = {n: v[cols["__rep"] == rep] for n, v in cols.items()} if d.rep else cols
+            by = np.argsort(cols["__rep"], kind="stable")
+            reps, first = np.unique(cols["__rep"][by], return_index=True)
+            for rep, rows in zip(reps.tolist(), np.split(by, first[1:]), strict=True):
+                part = {n: v[rows] for n, v in cols.items()}
                 z = _matrix(d, part)
                 for s in d.seeds:
+                    gram, cross, held = _split(total.setdefault((rep, s), np.zeros(size)), shapes)
                     o, g = part[f"__o{s}"], part[f"__g{s}"]
+                    inner = [g == b for b in range(d.inner_k)]
                     for a in range(d.k):
+                        own = o == a
+                        y = _outcome_array(d, part, s, a)
                         for b in range(d.inner_k):
-                            zi = z[(o == a) & (g == b)]
-                            if len(zi):
-                                add((int(rep), s, 0, a, b), zi.T @ zi)
-                    for f in range(d.k):
-                        y = _outcome_array(d, part, s, f)
-                        for b in range(d.inner_k):
-                            m = (o != f) & (g == b)
-                            if m.any():
-                                ym = y[m]
-                                add((int(rep), s, 1, f, b), np.concatenate([ym @ z[m], [ym @ ym]]))
-                        if held_out and (o == f).any():
-                            yt = y[o == f]
-                            add((int(rep), s, 2, f, 0), np.concatenate([yt @ z[o == f], [yt @ yt]]))
-        yield from _emit(acc)
-
-    sums = (_design_rows(df, d).mapInArrow(partial, CELL)
-            .groupBy("rep", "seed", "kind", "a", "g", "pos").agg(F.sum("val").alias("val")).toArrow())
-    out: dict = {}
-    names = [sums.column(c).to_numpy() for c in ("rep", "seed", "kind", "a", "g", "pos", "val")]
-    order = np.lexsort(names[5::-1])
-    names = [x[order] for x in names]
-    head = np.stack(names[:5], axis=1)
-    cuts = np.flatnonzero(np.any(np.diff(head, axis=0) != 0, axis=1)) + 1
-    for lo, hi in zip([0, *cuts], [*cuts, len(head)]):
-        flat = names[6][lo:hi]
-        out[tuple(int(x) for x in head[lo])] = flat.reshape(q, q) if head[lo][2] == 0 else flat
-    return out
+                            zi = z[own & inner[b]]
+                            gram[a, b] += zi.T @ zi
+                            m = ~own & inner[b]
+                            cross[a, b] += np.append(y[m] @ z[m], y[m] @ y[m])
+                        if held_out:
+                            held[a] += np.append(y[own] @ z[own], y[own] @ y[own])
+        if total:
+            yield _sum_batch(total, slot)
+
+    return _merged(_design_rows(df, d).mapInArrow(partial, SUMS))
+
+
+def _solved(sums: DataFrame, solve: Callable[[int, int, np.ndarray], list[dict]], schema: str) -> DataFrame:
+    """Rows of `solve(rep, seed, sums)` for every key, in the tasks that hold the keys."""
+    kinds = to_arrow_schema(T.StructType.fromDDL(schema))
+
+    def run(it):
+        for (rep, seed), flat in _added(it).items():
+            rows = solve(rep, seed, flat)
+            if rows:
+                yield pa.RecordBatch.from_pylist(rows, kinds)
+
+    return sums.mapInArrow(run, schema)
 
 
 @dataclass
@@ -241,17 +277,11 @@ class _Train:
     basis: np.ndarray     # stored columns -> intercept and standardised columns
 
 
-def _training_set(sums, d: Design, arm: Arm, rep: int, seed: int, fold: int) -> _Train | None:
+def _training_set(gram: np.ndarray, crossed: np.ndarray, d: Design, arm: Arm, seed: int, fold: int) -> _Train | None:
+    """None if the training set has fewer than two rows."""
     q, p = d.width, len(arm.columns)
-    raw = np.zeros((d.inner_k, q, q))
-    cross, yy = np.zeros((d.inner_k, q)), np.zeros(d.inner_k)
-    for b in range(d.inner_k):
-        for a in range(d.k):
-            if a != fold and (rep, seed, 0, a, b) in sums:
-                raw[b] += sums[rep, seed, 0, a, b]
-        if (rep, seed, 1, fold, b) in sums:
-            v = sums[rep, seed, 1, fold, b]
-            cross[b], yy[b] = v[:q], v[q]
+    raw = gram[np.arange(d.k) != fold].sum(0)
+    cross, yy = crossed[fold, :, :q], crossed[fold, :, q]
     if raw[:, 0, 0].sum() < 2:
         return None
     fill = np.array([d.fill.get((seed, fold, c), d.center[c]) for c in arm.columns])
@@ -275,7 +305,7 @@ def _training_set(sums, d: Design, arm: Arm, rep: int, seed: int, fold: int) ->
     return _Train(m.T @ raw @ m, cross @ m, yy, mean, scale, fill, m)
 
 
-def _fit(gram: np.ndarray, cross: np.ndarray, kind: str, grid: tuple) -> np.ndarray:
+def _fit(gram: np.ndarray, cross: np.ndarray, yy: float, kind: str, grid: tuple) -> np.ndarray:
     """Coefficients (intercept first) for each grid point, intercept not penalised."""
     n = gram[0, 0]
     mx, my = gram[0, 1:] / n, cross[0] / n
@@ -287,22 +317,43 @@ def _fit(gram: np.ndarray, cross: np.ndarray, kind: str, grid: tuple) -> np.ndar
         # A grid value that a caller means as "no penalty" still needs a solvable system.
         betas = [vec @ (proj / np.maximum(lam + a, 1e-12)) for a in grid]
     else:
-        betas = [_elastic(sxx / n, sxy / n, a, l1) for a, l1 in grid]
+        betas = _elastic_path(sxx / n, sxy / n, max(yy / n - my * my, 0.0), grid)
     return np.array([np.concatenate([[my - mx @ b], b]) for b in betas])
 
 
-def _elastic(sxx: np.ndarray, sxy: np.ndarray, alpha: float, l1: float) -> np.ndarray:
-    """Coordinate descent for |y - Xb|^2 / 2n + alpha (l1 |b| + (1 - l1) |b|^2 / 2) on mean cross products."""
+def _elastic_path(sxx: np.ndarray, sxy: np.ndarray, syy: float, grid: tuple) -> list[np.ndarray]:
+    """Elastic-net coefficients for each (alpha, share of l1), each fit begun at the one with the next larger l1 penalty."""
+    out: dict[int, np.ndarray] = {}
     beta = np.zeros(len(sxy))
-    for _ in range(5000):
+    for i in sorted(range(len(grid)), key=lambda i: -grid[i][0] * grid[i][1]):
+        beta = out[i] = _elastic(sxx, sxy, *grid[i], syy, beta)
+    return [out[i] for i in range(len(grid))]
+
+
+def _elastic(sxx: np.ndarray, sxy: np.ndarray, alpha: float, l1: float, syy: float, start: np.ndarray | None = None) -> np.ndarray:
+    """Coordinate descent for |y - Xb|^2 / 2n + alpha (l1 |b| + (1 - l1) |b|^2 / 2) on mean cross products.
+
+    Ends when the duality gap is under 1e-13 of y's variance, or no coefficient moves any more in double precision.
+    """
+    beta = np.zeros(len(sxy)) if start is None else start.copy()
+    lasso, ridge = alpha * l1, alpha * (1 - l1)
+    while True:
         worst = 0.0
         for j in range(len(beta)):
             rest = sxy[j] - sxx[j] @ beta + sxx[j, j] * beta[j]
-            new = np.sign(rest) * max(abs(rest) - alpha * l1, 0.0) / (sxx[j, j] + alpha * (1 - l1) or 1.0)
+            new = np.sign(rest) * max(abs(rest) - lasso, 0.0) / (sxx[j, j] + ridge or 1.0)
             worst, beta[j] = max(worst, abs(new - beta[j])), new
-        if worst < 1e-10:
-            break
-    return beta
+        if worst <= 1e-15 * np.abs(beta).max(initial=0.0) or _gap(sxx, sxy, syy, beta, lasso, ridge) <= 1e-13 * syy:
+            return beta
+
+
+def _gap(sxx: np.ndarray, sxy: np.ndarray, syy: float, beta: np.ndarray, lasso: float, ridge: float) -> float:
+    """How far the objective can be above its minimum: primal less dual at the residuals, scaled to be dual feasible."""
+    fit = sxx @ beta
+    rss = syy - 2 * beta @ sxy + beta @ fit
+    steep = np.abs(sxy - fit - ridge * beta).max(initial=0.0)
+    c = 1.0 if steep <= lasso else lasso / steep
+    return 0.5 * rss * (1 + c * c) + lasso * np.abs(beta).sum() - c * (syy - beta @ sxy) + 0.5 * ridge * (1 + c * c) * (beta @ beta)
 
 
 def _sse(gram: np.ndarray, cross: np.ndarray, yy: float, coef: np.ndarray) -> float:
@@ -320,7 +371,7 @@ def _choose_inner(t: _Train, arm: Arm) -> int:
         sst = t.yy[b] - t.cross[b][0] ** 2 / n
         if sst <= 0:
             continue
-        fits = _fit(t.gram.sum(0) - held, t.cross.sum(0) - t.cross[b], arm.kind, arm.grid)
+        fits = _fit(t.gram.sum(0) - held, t.cross.sum(0) - t.cross[b], t.yy.sum() - t.yy[b], arm.kind, arm.grid)
         scores.append([1.0 - _sse(held, t.cross[b], t.yy[b], c) / sst for c in fits])
     if not scores:
         return 0
@@ -328,139 +379,153 @@ def _choose_inner(t: _Train, arm: Arm) -> int:
     return int(np.flatnonzero(mean >= mean.max() - 1e-12)[0])
 
 
+def _chosen(t: _Train, arm: Arm, pick: int | None = None) -> tuple[np.ndarray, int]:
+    """Coefficients at the chosen penalty, and its place in the grid."""
+    if pick is None:
+        pick = _choose_inner(t, arm) if len(arm.grid) > 1 else 0
+    return _fit(t.gram.sum(0), t.cross.sum(0), t.yy.sum(), arm.kind, (arm.grid[pick],))[0], pick
+
+
 def pooled_scores(df: DataFrame, d: Design, arms: list[Arm]) -> DataFrame:
-    """Pooled out-of-fold R2 per (rep, arm, seed) from the sums alone: one pass over the rows.
+    """Pooled out-of-fold R2 per (rep, arm, seed) from the sums alone: one pass over the rows. Lazy.
 
     A test fold's squared error is y'y - 2 b'X'y + b'X'Xb, so no row is predicted. Meant for the many runs
-    (permutations, noise draws, control arms, subsets) of which only the score is wanted.
+    (permutations, noise draws, control arms, subsets) of which only the score is wanted. `n` counts scored rows,
+    `unscored` those of folds whose training set has fewer than two rows.
     """
-    sums = fold_sums(df, d, held_out=True)
-    q = d.width
-    out = []
-    for rep in sorted({key[0] for key in sums}):
-        for seed in d.seeds:
-            for arm in arms:
-                n = sy = syy = sse = 0.0
-                for f in range(d.k):
-                    held = sums.get((rep, seed, 2, f, 0))
-                    t = _training_set(sums, d, arm, rep, seed, f)
-                    if held is None or t is None:
-                        continue
-                    pick = _choose_inner(t, arm) if len(arm.grid) > 1 else 0
-                    coef = _fit(t.gram.sum(0), t.cross.sum(0), arm.kind, (arm.grid[pick],))[0]
-                    gram = sum(sums[rep, seed, 0, f, b] for b in range(d.inner_k) if (rep, seed, 0, f, b) in sums)
-                    sse += _sse(t.basis.T @ gram @ t.basis, held[:q] @ t.basis, held[q], coef)
-                    n, sy, syy = n + gram[0, 0], sy + held[0], syy + held[q]
-                sst = syy - sy * sy / n if n else 0.0
-                out.append((rep, arm.name, seed, int(n), float(1.0 - sse / sst) if sst > 0 else None))
-    return df.sparkSession.createDataFrame(out, "rep int, arm string, seed int, n long, r2 double")
-
-
-def fit_folds(df: DataFrame, d: Design, arms: list[Arm]) -> list[dict]:
-    """Coefficients of every (rep, arm, seed, fold) in raw units."""
+    shapes, q = _layout(d, True), d.width
+
+    def solve(rep: int, seed: int, flat: np.ndarray) -> list[dict]:
+        gram, cross, held = _split(flat, shapes)
+        out = []
+        for arm in arms:
+            n = sy = syy = sse = unscored = 0.0
+            for f in range(d.k):
+                own = gram[f].sum(0)
+                if not own[0, 0]:
+                    continue
+                t = _training_set(gram, cross, d, arm, seed, f)
+                if t is None:
+                    unscored += own[0, 0]
+                    continue
+                coef, _ = _chosen(t, arm)
+                sse += _sse(t.basis.T @ own @ t.basis, held[f, :q] @ t.basis, held[f, q], coef)
+                n, sy, syy = n + own[0, 0], sy + held[f, 0], syy + held[f, q]
+            sst = syy - sy * sy / n if n else 0.0
+            out.append({"rep": rep, "arm": arm.name, "seed": seed, "n": int(n), "unscored": int(unscored), "r2": float(1.0 - sse / sst) if sst > 0 else None})
+        return out
+
+    return _solved(fold_sums(df, d, True), solve, "rep int, arm string, seed int, n long, unscored long, r2 double")
+
+
+def fit_folds(df: DataFrame, d: Design, arms: list[Arm]) -> DataFrame:
+    """One row per (rep, seed, fold): training `mu`, `tau2`, and per arm a struct `m_<arm>` of intercept `a0`, coefficients `b` and
+    fills `f` in raw units and the `penalty`'s place in the grid; NULL where the training set has fewer than two rows. Lazy but for leave-one-out tuning."""
+    shapes = _layout(d, False)
     sums = fold_sums(df, d)
-    reps = sorted({key[0] for key in sums})
-    trains = {(r, a.name, s, f): t for r in reps for a in arms for s in d.seeds for f in range(d.k)
-              if (t := _training_set(sums, d, a, r, s, f)) is not None}
-    loo = loo_choice(df, d, [a for a in arms if a.tune == "loo"], trains)
-    fits = []
-    for a in arms:
-        for (r, name, s, f), t in trains.items():
-            if name != a.name:
-                continue
-            pick = 0
-            if len(a.grid) > 1:
-                pick = loo[r, name, s, f] if a.tune == "loo" else _choose_inner(t, a)
-            coef = _fit(t.gram.sum(0), t.cross.sum(0), a.kind, (a.grid[pick],))[0]
-            slope = coef[1:] / t.scale
-            base = coef[0] - slope @ (t.mean + np.array([d.center[c] for c in a.columns]))
-            mu, tau2 = d.params.get((s, f), (0.0, 0.0))
-            fits.append({"rep": r, "arm": name, "seed": s, "fold": f, "intercept": float(base),
-                         "coef": {c: float(x) for c, x in zip(a.columns, slope)},
-                         "fill": {c: float(x) for c, x in zip(a.columns, t.fill)},
-                         "penalty": a.grid[pick], "mu": mu, "tau2": tau2})
-    return fits
-
-
-def loo_choice(df: DataFrame, d: Design, arms: list[Arm], trains: dict) -> dict:
-    """Penalty index by leave-one-out error (leverage form), one extra pass over the rows."""
-    if not arms:
-        return {}
-    work = {}
-    for (r, name, s, f), t in trains.items():
-        arm = next((a for a in arms if a.name == name), None)
-        if arm is None:
-            continue
-        g, c = t.gram.sum(0), t.cross.sum(0)
-        lam, vec = np.linalg.eigh(g[1:, 1:])
-        work[r, name, s, f] = (arm, t, lam, vec, vec.T @ c[1:], c[0] / g[0, 0], g[0, 0])
+    tuned = [a for a in arms if a.tune == "loo" and len(a.grid) > 1]
+    picks: dict = {}
+    if tuned:
+        sums = cut_lineage(sums).repartition("rep", "seed")
+        picks = loo_choice(df, d, tuned, sums)
+
+    def solve(rep: int, seed: int, flat: np.ndarray) -> list[dict]:
+        gram, cross, _ = _split(flat, shapes)
+        out = []
+        for f in range(d.k):
+            mu, tau2 = d.params.get((seed, f), (0.0, 0.0))
+            row = {"rep": rep, "seed": seed, "fold": f, "mu": mu, "tau2": tau2}
+            for a in arms:
+                t = _training_set(gram, cross, d, a, seed, f)
+                if t is not None:
+                    coef, pick = _chosen(t, a, picks.get((rep, seed, a.name, f)))
+                    slope = coef[1:] / t.scale
+                    base = coef[0] - slope @ (t.mean + np.array([d.center[c] for c in a.columns]))
+                    row[f"m_{a.name}"] = {"a0": float(base), "b": slope.tolist(), "f": t.fill.tolist(), "penalty": pick}
+                else:
+                    row[f"m_{a.name}"] = None
+            out.append(row)
+        return out
+
+    models = ", ".join(f"`m_{a.name}` struct<a0:double,b:array<double>,f:array<double>,penalty:int>" for a in arms)
+    return _solved(sums, solve, f"rep int, seed int, fold int, mu double, tau2 double, {models}")
+
+
+def loo_choice(df: DataFrame, d: Design, arms: list[Arm], sums: DataFrame) -> dict[tuple[int, int, str, int], int]:
+    """Penalty place by leave-one-out error (leverage form) for each (rep, seed, arm, fold), with one extra pass over the rows.
+
+    The driver gets the spectra of the training sets and then one number a model.
+    """
+    shapes = _layout(d, False)
+
+    def spectra(rep: int, seed: int, flat: np.ndarray) -> list[dict]:
+        gram, cross, _ = _split(flat, shapes)
+        out = []
+        for i, a in enumerate(arms):
+            for f in range(d.k):
+                t = _training_set(gram, cross, d, a, seed, f)
+                if t is not None:
+                    g, c = t.gram.sum(0), t.cross.sum(0)
+                    lam, vec = np.linalg.eigh(g[1:, 1:])
+                    out.append({"rep": rep, "seed": seed, "arm": i, "fold": f, "n": float(g[0, 0]), "ybar": float(c[0] / g[0, 0]), "lam": lam.tolist(), "vec": vec.ravel().tolist(),
+                                "proj": (vec.T @ c[1:]).tolist(), "mean": t.mean.tolist(), "scale": t.scale.tolist(), "fill": t.fill.tolist()})
+        return out
+
+    numbers = ", ".join(f"{c} array<double>" for c in ("lam", "vec", "proj", "mean", "scale", "fill"))
+    rows = _solved(sums, spectra, f"rep int, seed int, arm int, fold int, n double, ybar double, {numbers}").collect()
+    work = [(r.rep, r.seed, r.arm, r.fold, r.n, r.ybar, *(np.array(r[c]) for c in ("lam", "vec", "proj", "mean", "scale", "fill"))) for r in rows]
+    most = max(len(a.grid) for a in arms)
 
     def partial(it):
-        acc: dict = {}
+        slot = TaskContext.get().partitionId() % SLOTS
+        total: dict[tuple[int, int], np.ndarray] = {}
         for cols in _batches(it):
-            for (r, name, s, f), (arm, t, lam, vec, proj, ybar, n) in work.items():
-                m = (cols[f"__o{s}"] != f) & (cols["__rep"] == r)
+            for rep, s, i, f, n, ybar, lam, vec, proj, mean, scale, fill in work:
+                m = (cols[f"__o{s}"] != f) & (cols["__rep"] == rep)
                 if not m.any():
                     continue
+                arm, p = arms[i], len(lam)
                 y = _outcome_array(d, {k: v[m] for k, v in cols.items()}, s, f)
-                x = np.column_stack([np.where(np.isnan(cols[c][m]), t.fill[j], cols[c][m]) - d.center[c]
+                x = np.column_stack([np.where(np.isnan(cols[c][m]), fill[j], cols[c][m]) - d.center[c]
                                      for j, c in enumerate(arm.columns)])
-                u = ((x - t.mean) / t.scale) @ vec
-                errs = np.empty(len(arm.grid))
-                for i, a in enumerate(arm.grid):
+                u = ((x - mean) / scale) @ vec.reshape(p, p)
+                errs = total.setdefault((rep, s), np.zeros(len(arms) * d.k * most)).reshape(len(arms), d.k, most)
+                for g, a in enumerate(arm.grid):
                     h = 1.0 / n + (u ** 2) @ (1.0 / (lam + a))
                     e = (y - ybar - u @ (proj / (lam + a))) / (1.0 - h)
-                    errs[i] = e @ e
-                key = (r, s, next(i for i, a in enumerate(arms) if a.name == name), f, 0)
-                acc[key] = acc[key] + errs if key in acc else errs
-        yield from _emit(acc)
-
-    rows = (_design_rows(df, d).mapInArrow(partial, CELL)
-            .groupBy("rep", "seed", "kind", "a", "pos").agg(F.sum("val").alias("val")).collect())
-    best: dict = {}
-    for row in sorted(rows, key=lambda x: x.pos):
-        key = (row.rep, arms[row.kind].name, row.seed, row.a)
-        if key not in best or row.val < best[key][0]:
-            best[key] = (row.val, row.pos)
-    return {key: pos for key, (_, pos) in best.items()}
-
-
-def fits_table(spark, d: Design, arms: list[Arm], fits: list[dict]) -> DataFrame:
-    """One row per (rep, seed, fold): a struct of intercept, coefficients and fills per arm."""
-    model = T.StructType([T.StructField("a0", T.DoubleType()),
-                          T.StructField("b", T.ArrayType(T.DoubleType())),
-                          T.StructField("f", T.ArrayType(T.DoubleType()))])
-    schema = T.StructType([T.StructField("rep", T.IntegerType()), T.StructField("seed", T.IntegerType()),
-                           T.StructField("fold", T.IntegerType()), T.StructField("mu", T.DoubleType()),
-                           T.StructField("tau2", T.DoubleType())]
-                          + [T.StructField(f"m_{a.name}", model) for a in arms])
-    by_fold: dict = {}
-    for x in fits:
-        entry = by_fold.setdefault((x["rep"], x["seed"], x["fold"]), {"mu": x["mu"], "tau2": x["tau2"]})
-        cols = next(a.columns for a in arms if a.name == x["arm"])
-        entry[x["arm"]] = (x["intercept"], [x["coef"][c] for c in cols], [x["fill"][c] for c in cols])
-    rows = [(r, s, f, e["mu"], e["tau2"], *[e.get(a.name) for a in arms]) for (r, s, f), e in by_fold.items()]
-    return spark.createDataFrame(rows, schema)
-
-
-def predict_folds(df: DataFrame, d: Design, arms: list[Arm], fits: list[dict], carry: list[str] | None = None
-                  ) -> DataFrame:
-    """Out-of-fold rows: seed, fold, subject, y and one prediction column per arm.
-
-    The join side has seeds x folds (x reps) rows, a size known here exactly: it is broadcast up to a limit
-    and joined by shuffle beyond it.
+                    errs[i, f, g] += e @ e
+        if total:
+            yield _sum_batch(total, slot)
+
+    def choose(rep: int, seed: int, flat: np.ndarray) -> list[dict]:
+        errs = flat.reshape(len(arms), d.k, most)
+        return [{"rep": rep, "seed": seed, "arm": i, "fold": f, "pick": int(np.argmin(errs[i, f, :len(a.grid)]))} for i, a in enumerate(arms) for f in range(d.k)]
+
+    found = _solved(_merged(_design_rows(df, d).mapInArrow(partial, SUMS)), choose, "rep int, seed int, arm int, fold int, pick int").collect()
+    return {(r.rep, r.seed, arms[r.arm].name, r.fold): r.pick for r in found}
+
+
+def predict_folds(df: DataFrame, d: Design, arms: list[Arm], fits: DataFrame, carry: list[str] | None = None) -> DataFrame:
+    """Out-of-fold rows: seed, fold, subject, y, one prediction column per arm, and `status`: `ok`, or `no_fit` with NULL
+    predictions where a fold's training set has fewer than two rows. Every row comes out once a seed.
+
+    The join side has seeds x folds (x reps) rows; without reps its size is known and it is broadcast up to a limit.
     """
-    table = fits_table(df.sparkSession, d, arms, fits)
-    table = small_or_shuffled(table if d.rep else table.drop("rep"), sum(3 + 2 * len(x["coef"]) for x in fits))
+    numbers = len(d.seeds) * d.k * sum(3 + 2 * len(a.columns) for a in arms)
+    table = fits if d.rep else small_or_shuffled(fits.drop("rep"), numbers)
     rows = d.folded(df.dropna(subset=d.outcome.columns))
     on = ["seed", "fold"]
     if d.rep:
         rows, on = rows.withColumn("rep", F.col(d.rep).cast("int")), ["rep", *on]
-    j = rows.join(table, on)
+    j = rows.join(table, on, "left")
     y = F.col(d.outcome.column).cast("double")
     if d.outcome.variance:
         y = shrunken(F.col("mu"), F.col("tau2"), y, F.col(d.outcome.variance))
-    return j.select(*on, d.subject, y.alias("y"), *[_score(a).alias(f"pred_{a.name}") for a in arms], *(carry or []))
+    whole = F.lit(True)
+    for a in arms:
+        whole = whole & F.col(f"m_{a.name}").isNotNull()
+    return j.select(*on, d.subject, y.alias("y"), *[_score(a).alias(f"pred_{a.name}") for a in arms],
+                    F.when(whole, "ok").otherwise("no_fit").alias("status"), *(carry or []))
 
 
 BROADCAST_NUMBERS = 5_000_000
@@ -488,8 +553,14 @@ def nested_cv(df: DataFrame, subject: str, outcome: Outcome, arms: list[Arm], *,
     set; filling, scaling and penalty choice see training rows only.
     """
     features = sorted({c for a in arms for c in a.columns})
-    d = prepare(df, subject, features, outcome, seeds or [0], k, inner_k, rep, fold_cols)
-    return predict_folds(df, d, arms, fit_folds(df, d, arms), carry)
+    rows = narrow(df, subject, features, outcome, [*(carry or []), *([rep] if rep else []), *(fold_cols or {}).values()])
+    d = prepare(rows, subject, features, outcome, seeds or [0], k, inner_k, rep, fold_cols)
+    return predict_folds(rows, d, arms, fit_folds(rows, d, arms), carry)
+
+
+def narrow(df: DataFrame, subject: str, features: list[str], outcome: Outcome, more: list[str] | None = None) -> DataFrame:
+    """The columns that the passes over the rows need, evaluated once and written."""
+    return cut_lineage(df.select(*dict.fromkeys([subject, *outcome.columns, *features, *(more or [])])))
 
 
 def long_predictions(oof: DataFrame, arms: list[str], keys: list[str]) -> DataFrame:

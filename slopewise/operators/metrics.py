@@ -42,16 +42,17 @@ def repeat_summary(long_oof: DataFrame, keys: list[str], canonical: int) -> Data
 
 
 def paired_increment(oof: DataFrame, base: str, aug: str, keys: list[str]) -> DataFrame:
-    """R2 of both predictions on the same rows, and their difference."""
-    y = F.col("y")
+    """R2 of both predictions on the rows that have both, and their difference; `unscored` counts the other rows."""
+    scored = F.col(base).isNotNull() & F.col(aug).isNotNull()
+    y = F.when(scored, F.col("y"))
     g = oof.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"), F.regr_syy("y", "y").alias("sst"),
+        F.count(y).alias("n"), F.count_if(~scored).alias("unscored"), F.regr_syy(y, y).alias("sst"),
         F.sum((y - F.col(base)) * (y - F.col(base))).alias("sse_base"),
         F.sum((y - F.col(aug)) * (y - F.col(aug))).alias("sse_aug"))
     ok = F.col("sst") > 0
     return g.select(*keys, "n", F.when(ok, 1 - F.col("sse_base") / F.col("sst")).alias("r2_base"),
                     F.when(ok, 1 - F.col("sse_aug") / F.col("sst")).alias("r2_aug"),
-                    F.when(ok, (F.col("sse_base") - F.col("sse_aug")) / F.col("sst")).alias("dr2"))
+                    F.when(ok, (F.col("sse_base") - F.col("sse_aug")) / F.col("sst")).alias("dr2"), "unscored")
 
 
 def increment_range(per_seed: DataFrame, canonical: int, keys: list[str] | None = None) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from statistics import NormalDist
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import hash_word
@@ -141,12 +141,17 @@ def weighted_median(pairs: DataFrame, keys: list[str] | None = None, ident: str
     return g.select(*keys, "n", "wmedian_theta", F.exp("wmedian_theta").alias("wmedian_or"))
 
 
+DRAWS_PER_BIN = 512  # numbers of instruments in a bin
+
+
 def weighted_median_se(pairs: DataFrame, keys: list[str] | None = None, ident: str = "rsid", reps: int = 1000,
                        min_n: int = 3) -> DataFrame:
     """Bootstrap standard error of the weighted median: n draws with replacement per group and replicate.
 
-    Draw d of a replicate takes the instrument numbered hash(group, replicate, d) mod n, so draws are rows
-    that Spark spreads, and equal draws are counted before the running sum.
+    Draw d of a replicate takes the instrument numbered hash(group, replicate, d) mod n, where numbers follow the sorted
+    ratios. So bins of numbers are bins of ratios for all replicates at once: one aggregation leaves the weight of each
+    (replicate, bin), running totals over bins name the bin in which half the weight is reached, and only the draws of
+    that bin are looked at again. No replicate is sorted.
     """
     from .ranks import number_rows
 
@@ -156,14 +161,23 @@ def weighted_median_se(pairs: DataFrame, keys: list[str] | None = None, ident: s
     rows = cut_lineage(rows)
     sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_n)
     numbered = cut_lineage(number_rows(rows.join(sizes, keys), keys, "ratio", [ident], "d"))
-    draws = (numbered.select(*keys, "d", "n", F.explode(F.sequence(F.lit(1), F.lit(reps))).alias("rep"))
-             .select(*keys, "rep", (F.pmod(hash_word(*keys, F.col("rep"), F.col("d"), F.lit("wm")), F.col("n")) + 1).alias("d"))
-             .groupBy(*keys, "rep", "d").agg(F.count(F.lit(1)).alias("times")))
-    picked = draws.join(numbered.select(*keys, "d", ident, "ratio", "w"), [*keys, "d"])
-    picked = cut_lineage(picked.withColumn("w", F.col("w") * F.col("times")))
-    total = picked.groupBy(*keys, "rep").agg(F.sum("w").alias("tw"))
-    run = running_total(picked, [*keys, "rep"], "ratio", [ident], F.col("w"), "cum").join(total, [*keys, "rep"])
-    med = run.filter(F.col("cum") / F.col("tw") >= 0.5).groupBy(*keys, "rep").agg(F.min("ratio").alias("theta"))
+    drawn = numbered.select(*keys, "d", "n", F.explode(F.sequence(F.lit(1), F.lit(reps))).alias("rep"))
+    drawn = drawn.select(*keys, "rep", (F.pmod(hash_word(*keys, F.col("rep"), F.col("d"), F.lit("wm")), F.col("n")) + 1).alias("d"))
+    drawn = drawn.join(numbered.select(*keys, "d", "ratio", "w"), [*keys, "d"])
+    bins = drawn.groupBy(*keys, "rep", F.floor(F.col("d") / DRAWS_PER_BIN).alias("bin")).agg(F.sum("w").alias("w"))
+    part = Window.partitionBy(*keys, "rep")
+    before = F.coalesce(F.sum("w").over(part.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    bins = bins.select(*keys, "rep", "bin", "w", before.alias("before"), F.sum("w").over(part).alias("tw"))
+    half = F.col("before") / F.col("tw") < 0.5
+    # The last bin that begins below the half; rounding cannot leave a replicate without one.
+    crossing = bins.filter(half).groupBy(*keys, "rep").agg(F.max(F.struct("bin", "before", "tw")).alias("c"))
+    crossing = crossing.select(*keys, "rep", "c.bin", F.col("c.before").alias("before"), F.col("c.tw").alias("tw"))
+    inside = drawn.withColumn("bin", F.floor(F.col("d") / DRAWS_PER_BIN)).join(crossing, [*keys, "rep", "bin"])
+    inside = inside.groupBy(*keys, "rep", "d").agg(F.max("ratio").alias("ratio"), F.sum("w").alias("w"), F.max("before").alias("before"), F.max("tw").alias("tw"))
+    cum = F.col("before") + F.sum("w").over(Window.partitionBy(*keys, "rep").orderBy("d").rowsBetween(Window.unboundedPreceding, 0))
+    reached = inside.withColumn("cum", cum).groupBy(*keys, "rep").agg(
+        F.min(F.when(F.col("cum") / F.col("tw") >= 0.5, F.col("ratio"))).alias("theta"), F.max("ratio").alias("last"))
+    med = reached.select(*keys, F.coalesce("theta", "last").alias("theta"))
     return med.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_boot"), F.stddev_samp("theta").alias("wmedian_se"))
 
 

@@ -274,13 +274,13 @@ def _(t):
 @query("weighted_median_bootstrap", "protein:s platform:s n_boot:i wmedian_se:d8",
        f"""WITH {dv.HARMONISED}, x AS (SELECT protein, platform, beta_out / beta_exp AS ratio, (beta_exp / se_out)^2 AS w, count(*) OVER (PARTITION BY protein, platform) AS n,
              row_number() OVER (PARTITION BY protein, platform ORDER BY beta_out / beta_exp, pos) AS d FROM harmonised),
-           k AS (SELECT protein, platform, rep, {hw("protein", "platform", "rep", "d", "'wm'")} % n + 1 AS d, count(*) AS times FROM x, (SELECT unnest(range(1, 21)) AS rep) WHERE n >= 3 GROUP BY ALL),
+           k AS (SELECT protein, platform, rep, {hw("protein", "platform", "rep", "d", "'wm'")} % n + 1 AS d, count(*) AS times FROM x, (SELECT unnest(range(1, 1001)) AS rep) WHERE n >= 3 GROUP BY ALL),
            p AS (SELECT k.*, ratio, w * times AS w FROM k JOIN x USING (protein, platform, d)),
            c AS (SELECT *, sum(w) OVER (PARTITION BY protein, platform, rep ORDER BY d ROWS UNBOUNDED PRECEDING) / sum(w) OVER (PARTITION BY protein, platform, rep) AS cum FROM p),
            m AS (SELECT protein, platform, rep, min(ratio) AS theta FROM c WHERE cum >= 0.5 GROUP BY ALL)
            SELECT protein, platform, count(*) AS n_boot, stddev_samp(theta) AS wmedian_se FROM m GROUP BY protein, platform""")
 def _(t):
-    return mr.weighted_median_se(dv.harmonised(t), ident="pos", reps=20)
+    return mr.weighted_median_se(dv.harmonised(t), ident="pos", reps=1000)
 
 
 def _studies(t):
@@ -449,9 +449,9 @@ def _dosages(t):
     return t.embeddings.select(F.col("vec_id").alias("sample"), F.posexplode("embedding").alias("variant", "dosage"))
 
 
-def _edges(t):
+def _edges(t, min_r2=0.0):
     v = _variants(t).withColumn("pos", F.col("pos") % 16000)
-    return ld.ld_pairs(_dosages(t), v, KB)
+    return ld.ld_pairs(_dosages(t), v, KB, min_r2=min_r2)
 
 
 LD = f"""d AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, unnest(range(len(embedding))) AS dim FROM embeddings),
@@ -484,7 +484,7 @@ CLUMP = ASSOC.replace("d AS (", "RECURSIVE d AS (", 1) + f""", nb AS (SELECT v,
 
 
 def _clumped(t):
-    return ld.clump(_assoc(t), _edges(t), "locus", "variant", vr.clump_order("pval", "F", "pos", "variant"), p="pval", p1=0.9, r2=R2_CUT)
+    return ld.clump(_assoc(t), _edges(t, R2_CUT), "locus", "variant", vr.clump_order("pval", "F", "pos", "variant"), p="pval", p1=0.9, r2=R2_CUT)
 
 
 @query("ld_clump", "locus:i variant:i", f"WITH {CLUMP} SELECT variant // 16 AS locus, variant FROM idx")
@@ -497,7 +497,7 @@ def _(t):
            SELECT variant // 16 AS locus, variant, false AS fallback FROM idx UNION ALL SELECT 2, arg_max(dim, "F"), true FROM assoc WHERE locus = 2""")
 def _(t):
     panel = _variants(t).select(F.col("variant").cast("int").alias("variant")).filter(F.floor(F.col("variant") / 16) != 2)
-    return ld.clump_or_strongest(_assoc(t), _edges(t), panel, "locus", "variant", vr.clump_order("pval", "F", "pos", "variant"),
+    return ld.clump_or_strongest(_assoc(t), _edges(t, R2_CUT), panel, "locus", "variant", vr.clump_order("pval", "F", "pos", "variant"),
                                  p="pval", strength="F", p1=0.9, r2=R2_CUT)
 
 

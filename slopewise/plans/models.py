@@ -8,7 +8,7 @@ from ..functions.exprs import hash_uniform
 from ..operators import evaluate, folds, linear, logistic, meta, metrics
 from ..operators.linear import Arm, Outcome
 from . import derived as dv
-from .registry import hu, hw, query
+from .registry import hu, hw, permuted_sql, query
 
 EB = Outcome("slope", "var")
 BASE, AUG = ["avg_price"], ["acctbal"]
@@ -148,9 +148,9 @@ def _(t):
     return evaluate.ablation(dv.customer_features(t), "c_custkey", EB, ["n_orders"], ["avg_price", "acctbal", "share_f"], seeds=[0, 1])
 
 
-N_PERM = 20
-PERM = ridge_sql(f"""WITH {dv.CUSTOMERS}, d AS (SELECT avg_price, row_number() OVER (ORDER BY c_custkey) AS pos FROM cust),
-  k AS (SELECT rep, c_custkey, row_number() OVER (PARTITION BY rep ORDER BY {hu("c_custkey", "rep", "'perm'")}, c_custkey) AS pos FROM cust, (SELECT unnest(range(1, {N_PERM + 1})) AS rep)),
+N_PERM = 200
+PERM = ridge_sql(f"""WITH {dv.CUSTOMERS}, d AS (SELECT c_custkey, avg_price, row_number() OVER (ORDER BY c_custkey) - 1 AS pos, count(*) OVER () AS n FROM cust),
+  k AS (SELECT rep, c_custkey, {permuted_sql("pos", "n", "rep")} AS pos FROM d, (SELECT unnest(range(1, {N_PERM + 1})) AS rep)),
   sh AS (SELECT rep, k.c_custkey, avg_price FROM k JOIN d USING (pos) UNION ALL SELECT 0, c_custkey, avg_price FROM cust),
   x AS (SELECT c.c_custkey AS id, slope AS b, var AS v, n_orders AS p, sh.avg_price AS q, rep AS seed, {hw("c.c_custkey", "0")} % 5 AS o, 0 AS g FROM cust c JOIN sh ON sh.c_custkey = c.c_custkey)""",
                  "1.0::DOUBLE", 1)

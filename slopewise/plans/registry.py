@@ -71,3 +71,16 @@ def hw(*parts: object, word: int = 0) -> str:
 def hu(*parts: object, word: int = 0) -> str:
     """SQL for `hash_uniform`."""
     return f"(({hw(*parts, word=word)} + 0.5::DOUBLE) / 4294967296.0::DOUBLE)"
+
+
+def permuted_sql(at: str, n: str, *key: str) -> str:
+    """SQL for `permuted`: four Feistel rounds over the halves of the bits, walked along the cycle until below n."""
+    bits = f"greatest(2, length(bin({n} - 1)))"
+    low = f"({bits} // 2)"
+    low_mask, high_mask = f"((1::BIGINT << {low}::INT) - 1)", f"((1::BIGINT << ({bits} - {low})::INT) - 1)"
+
+    def rounds(x: str) -> str:
+        return f"""list_reduce([{x}, 1, 2, 3, 4], lambda x, r: CASE WHEN r % 2 = 1 THEN xor(x, ({hw(f"x & {low_mask}", *key, "r", "'feistel'")} & {high_mask}) << {low}::INT)
+                   ELSE xor(x, {hw(f"x >> {low}::INT", *key, "r", "'feistel'")} & {low_mask}) END)"""
+
+    return f"list_reduce(list_prepend({rounds(f'({at})::BIGINT')}, range(64)), lambda w, i: CASE WHEN w < {n} THEN w ELSE {rounds('w')} END)"

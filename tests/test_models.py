@@ -104,7 +104,7 @@ def test_elastic_net_meets_its_optimality_conditions():
     y = x @ np.array([1.0, 0.0, -0.5, 0.0, 0.2]) + rng.normal(size=300)
     x, y = x - x.mean(0), y - y.mean()
     a, l1 = 0.3, 0.9
-    beta = linear._elastic(x.T @ x / 300, x.T @ y / 300, a, l1)
+    beta = linear._elastic(x.T @ x / 300, x.T @ y / 300, a, l1, y @ y / 300)
     grad = -x.T @ (y - x @ beta) / 300 + a * (1 - l1) * beta
     on = beta != 0
     assert on.any() and (~on).any()

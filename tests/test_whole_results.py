@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from slopewise import session
-from slopewise.operators import ld, linear, logistic
+from slopewise.operators import ld, linear, logistic, metrics
 from slopewise.operators import reconcile as rc
 
 
@@ -59,8 +59,36 @@ def test_gaps_are_filled_with_the_training_median(spark):
 def test_more_folds_than_subjects(spark):
     rng = np.random.default_rng(1)
     df = spark.createDataFrame([(i, float(rng.normal()), float(rng.normal()), 0.1) for i in range(4)], "id long, x double, y double, v double")
-    got = linear.nested_cv(df, "id", linear.Outcome("y", "v"), [linear.Arm("a", ("x",), "ridge", (1.0,))], k=5, inner_k=2)
-    assert got.count() >= 0
+    arms = [linear.Arm("a", ("x",), "ridge", (1.0,))]
+    got = linear.nested_cv(df, "id", linear.Outcome("y", "v"), arms, k=5, inner_k=2, seeds=[0, 1]).toPandas()
+    assert sorted(zip(got.seed, got.id)) == [(s, i) for s in (0, 1) for i in range(4)]
+    assert set(got.status) == {"ok", "no_fit"}  # three of the four share a fold in one of the seeds
+    assert (got.pred_a.isna() == (got.status == "no_fit")).all()
+
+
+@pytest.mark.parametrize("rows", [1, 2, 3])
+def test_folds_without_a_fit_keep_their_rows(spark, rows):
+    df = spark.createDataFrame([(i, float(i), float(i * i), 0.1, i) for i in range(rows)], "id long, x double, y double, v double, f int")
+    arms = [linear.Arm("base", ("x",), "ridge", (1.0,)), linear.Arm("aug", ("x",), "elastic_net", ((0.1, 0.5), (1.0, 0.5)))]
+    got = linear.nested_cv(df, "id", linear.Outcome("y", "v"), arms, k=rows, inner_k=2, fold_cols={0: "f"})
+    out = got.toPandas()
+    fits = rows == 3
+    assert sorted(out.id) == list(range(rows)) and (out.status == ("ok" if fits else "no_fit")).all() and out.pred_aug.notna().all() == fits
+    score = metrics.paired_increment(got, "pred_base", "pred_aug", ["seed"]).first()
+    assert (score.n, score.unscored) == ((3, 0) if fits else (0, rows))
+
+
+def test_elastic_net_path_settles():
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(80, 6))
+    x[:, 5] = x[:, 4] + 1e-7 * rng.normal(size=80)  # nearly the same column twice
+    y = x @ np.array([1, -1, 0.5, 0, 0.3, 0.3]) + rng.normal(size=80)
+    x, y = (x - x.mean(0)) / x.std(0), y - y.mean()
+    sxx, sxy, syy = x.T @ x / 80, x.T @ y / 80, y @ y / 80
+    for (a, l1), b in zip(linear.ELASTIC_GRID, linear._elastic_path(sxx, sxy, syy, linear.ELASTIC_GRID), strict=True):
+        alone = linear._elastic(sxx, sxy, a, l1, syy)
+        worth = [0.5 * (syy - 2 * c @ sxy + c @ sxx @ c) + a * l1 * abs(c).sum() + 0.5 * a * (1 - l1) * c @ c for c in (b, alone)]
+        assert abs(worth[0] - worth[1]) < 1e-12 and linear._gap(sxx, sxy, syy, b, a * l1, a * (1 - l1)) <= 1e-12
 
 
 def test_checkpoint_folder_is_local_only_on_one_machine(monkeypatch):
