@@ -9,6 +9,7 @@ from ..operators import evaluate, folds, linear, logistic, meta, metrics
 from ..operators.linear import Arm, Outcome
 from . import derived as dv
 from .registry import hu, hw, permuted_sql, query
+from .solve_sql import linear_cv_sql
 
 EB = Outcome("slope", "var")
 BASE, AUG = ["avg_price"], ["acctbal"]
@@ -74,18 +75,41 @@ def _(t):
     return metrics.increment_range(metrics.paired_increment(oof, "pred_base", "pred_aug", ["seed"]), 0)
 
 
+def _list_rows(columns: list[str], seeds: str = "[0, 1]") -> str:
+    return f"""WITH {dv.CUSTOMERS}, x AS (SELECT c_custkey AS id, slope AS b, var AS v, [{", ".join(columns)}] AS x, seed, {hw("c_custkey", "seed")} % 5 AS o,
+      {hw("c_custkey", "seed", "'inner'")} % 5 AS g FROM cust, (SELECT unnest({seeds}) AS seed))"""
+
+
+def _summary_sql(cv: str, arms: list[str]) -> str:
+    """`repeat_summary` of each arm of an oof table."""
+    long = " UNION ALL ".join(f"SELECT '{a}' AS arm, seed, fold, y, pred_{a} AS pred FROM oof" for a in arms)
+    r2 = "1 - sum((y - pred)^2) / regr_syy(y, y)"
+    return f"""{cv}, l AS ({long}), s AS (SELECT arm, seed, count(*) AS n, {r2} AS r2 FROM l GROUP BY arm, seed), f AS (SELECT arm, fold, {r2} AS r2 FROM l WHERE seed = 0 GROUP BY arm, fold),
+      a AS (SELECT arm, max(r2) FILTER (WHERE seed = 0) AS r2, min(r2) AS repeat_lo, max(r2) AS repeat_hi, count(r2) AS n_repeats, max(n) FILTER (WHERE seed = 0) AS n FROM s GROUP BY arm)
+      SELECT * FROM a JOIN (SELECT arm, avg(r2) AS r2_fold_mean FROM f GROUP BY arm) USING (arm)"""
+
+
 FEATURES = ["avg_price", "max_price", "share_f", "n_orders", "acctbal", "gappy"]
 ARMS = [Arm("established_ridge", ("avg_price", "n_orders")), Arm("rich_elastic_net", tuple(FEATURES), kind="elastic_net", grid=linear.ELASTIC_GRID),
         Arm("rich_ridge", tuple(FEATURES)), Arm("rich_ridge_loo", tuple(FEATURES), grid=linear.LOO_GRID, tune="loo")]
 
 
-@query("benchmark_arms", "arm:s r2:d repeat_lo:d repeat_hi:d n_repeats:i n:i r2_fold_mean:d")
+_PLACES = [{"columns": [FEATURES.index(c) for c in a.columns], "grid": a.grid, "loo": a.tune == "loo"} for a in ARMS]
+
+
+@query("benchmark_arms", "arm:s r2:d repeat_lo:d repeat_hi:d n_repeats:i n:i r2_fold_mean:d",
+       _summary_sql(linear_cv_sql(_list_rows(FEATURES), len(FEATURES), {a.name: x for a, x in zip(ARMS, _PLACES, strict=True)}), [a.name for a in ARMS]))
 def _(t):
     oof = linear.nested_cv(dv.customer_features(t), "c_custkey", EB, ARMS, seeds=[0, 1])
     return metrics.repeat_summary(linear.long_predictions(oof, [a.name for a in ARMS], ["seed", "fold"]), ["arm"], 0)
 
 
-@query("embedding_ridge", "arm:s r2:d repeat_lo:d repeat_hi:d n_repeats:i n:i r2_fold_mean:d")
+_EMB = f"""WITH x AS (SELECT vec_id AS id, label::DOUBLE AS b, 0::DOUBLE AS v, embedding::DOUBLE[] AS x, seed, {hw("vec_id", "seed")} % 5 AS o, {hw("vec_id", "seed", "'inner'")} % 5 AS g
+  FROM embeddings, (SELECT unnest([0, 1]) AS seed))"""
+
+
+@query("embedding_ridge", "arm:s r2:d repeat_lo:d repeat_hi:d n_repeats:i n:i r2_fold_mean:d",
+       _summary_sql(linear_cv_sql(_EMB, 64, {"narrow": {"columns": range(10), "grid": linear.RIDGE_GRID}, "wide": {"columns": range(64), "grid": linear.RIDGE_GRID}}, y="b"), ["narrow", "wide"]))
 def _(t):
     """A wide arm (every dimension) against a narrow one, on the vectors' label."""
     width = 64
@@ -112,7 +136,8 @@ def _(t):
     return linear.nested_cv(dv.customer_features(t), "c_custkey", EB, [Arm("loo", ("avg_price", "acctbal"), grid=linear.LOO_GRID, tune="loo")])
 
 
-@query("elastic_net_cv", "seed:i fold:i c_custkey:i pred_net:d")
+@query("elastic_net_cv", "seed:i fold:i c_custkey:i pred_net:d",
+       linear_cv_sql(_list_rows(FEATURES, "[0]"), len(FEATURES), {"net": {"columns": range(len(FEATURES)), "grid": linear.ELASTIC_GRID}}) + " SELECT seed, fold, id AS c_custkey, pred_net FROM oof")
 def _(t):
     return linear.nested_cv(dv.customer_features(t), "c_custkey", EB, [Arm("net", tuple(FEATURES), kind="elastic_net", grid=linear.ELASTIC_GRID)])
 
@@ -143,7 +168,17 @@ def _(t):
     return evaluate.check_anchor(got, 0.0, 1.0)
 
 
-@query("block_ablation", "subset:s n:i r2_base:d r2_aug:d dr2:d dr2_lo:d dr2_hi:d")
+def _ablation_sql() -> str:
+    block = [1, 2, 3]
+    names = {1: "avg_price", 2: "acctbal", 3: "share_f"}
+    subsets = {"full": block} | {f"only_{names[c]}": [c] for c in block} | {f"drop_{names[c]}": [x for x in block if x != c] for c in block}
+    arms = {"base": {"columns": [0], "grid": linear.RIDGE_GRID}} | {k: {"columns": [0, *v], "grid": linear.RIDGE_GRID} for k, v in subsets.items()}
+    cv = linear_cv_sql(_list_rows(["n_orders", *names.values()]), 4, arms)
+    return _range_sql(cv + ", oof2 AS (" + " UNION ALL ".join(f"SELECT '{k}' AS subset, seed, y, pred_base, pred_{k} AS pred_aug FROM oof" for k in subsets) + ")", "subset").replace(
+        "FROM oof GROUP BY subset", "FROM oof2 GROUP BY subset")
+
+
+@query("block_ablation", "subset:s n:i r2_base:d r2_aug:d dr2:d dr2_lo:d dr2_hi:d", _ablation_sql())
 def _(t):
     return evaluate.ablation(dv.customer_features(t), "c_custkey", EB, ["n_orders"], ["avg_price", "acctbal", "share_f"], seeds=[0, 1])
 
@@ -191,7 +226,16 @@ def _(t):
     return evaluate.noise_summary(draws, "dr2", F.lit(0.05))
 
 
-@query("noise_floor_five_columns", "n_draws:i mean:d sd:d min:d max:d p95:d z:d")
+def _five_sql() -> str:
+    noise = [f"sqrt(-2 * ln({hu('c_custkey', 'rep', f'{chr(39)}noise{i}{chr(39)}')})) * cos(6.283185307179586::DOUBLE * {hu('c_custkey', 'rep', f'{chr(39)}noise{i}{chr(39)}', word=1)})" for i in range(5)]
+    rows = f"""WITH {dv.CUSTOMERS}, x AS (SELECT c_custkey AS id, slope AS b, var AS v, [avg_price, {", ".join(noise)}] AS x, rep AS seed, {hw("c_custkey", "0")} % 5 AS o, 0 AS g
+      FROM cust, (SELECT unnest(range(20)) AS rep))"""
+    return linear_cv_sql(rows, 6, {"base": {"columns": [0], "grid": (1.0,)}, "aug": {"columns": range(6), "grid": (1.0,)}}, inner_k=1)
+
+
+@query("noise_floor_five_columns", "n_draws:i mean:d sd:d min:d max:d p95:d z:d3",
+       f"""{_five_sql()}, r AS (SELECT seed, {R2} FROM oof GROUP BY seed) SELECT count(*) AS n_draws, avg(dr2) AS mean, stddev_samp(dr2) AS sd, min(dr2) AS min, max(dr2) AS max,
+           quantile_cont(dr2, 0.95) AS p95, (0.05 - avg(dr2)) / stddev_samp(dr2) AS z FROM r""")
 def _(t):
     draws = evaluate.noise_floor(dv.customer_features(t), "c_custkey", EB, ["avg_price"], width=5, draws=list(range(20)))
     return evaluate.noise_summary(draws, "dr2", F.lit(0.05))
