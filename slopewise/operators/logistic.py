@@ -10,18 +10,20 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import cut_lineage
 from .folds import fold_of
 from .linear import Design, Outcome, small_or_shuffled, training_medians
 from .metrics import auc
+from .ranks import ROWS_PER_BIN, bins, join_on_keys, written
 
 C_GRID = (0.001, 0.01, 0.1, 1.0, 10.0, 100.0)
-MAX_STEPS = 50
 TOLERANCE = 1e-9
 
 
@@ -113,39 +115,47 @@ def standardise_fits(rows: DataFrame, fits: list[Fit], fill: dict | None = None)
 
 
 def newton(rows: DataFrame, fits: list[Fit], label: str) -> list[Fit]:
-    """Fit all models in lock-step Newton passes. Finished models leave; a model whose rows are all of one
-    class, or that does not settle within the step limit, stays flagged as not converged."""
+    """Fit all models in lock-step Newton passes with step halving on the penalised deviance, until each has settled.
+
+    Each pass lowers a model's deviance, or halves its step. Penalised deviance has one minimum, so there is no limit of steps.
+    Finished models leave; a model whose rows are all of one class stays flagged as not converged.
+    """
 
     def part(fit, cols, m):
         z = _standard(fit, cols, m)
         y = cols[label][m].astype(float)
-        eta = np.clip(z @ fit.beta, -500, 500)
-        p = 1.0 / (1.0 + np.exp(-eta))
+        eta = z @ fit.beta
+        p = 1.0 / (1.0 + np.exp(-np.clip(eta, -500, 500)))
+        deviance = np.sum(np.logaddexp(0.0, eta) - y * eta)
         h = (z * (p * (1 - p))[:, None]).T @ z
-        return np.concatenate([[len(y), y.sum()], z.T @ (y - p), h.ravel()])
+        return np.concatenate([[len(y), y.sum(), deviance], z.T @ (y - p), h.ravel()])
 
     for f in fits:
         f.beta = np.zeros(len(f.columns) + 1)
+    base, lowest, steps = {}, {}, {}
     open_fits = list(fits)
-    for _ in range(MAX_STEPS):
+    while open_fits:
         still = []
         for f, s in zip(open_fits, _sum_over_rows(rows, open_fits, part)):
             if s is None or s[1] == 0 or s[1] == s[0]:
                 continue
-            q = len(f.beta)
+            q, k = len(f.beta), id(f)
             f.n, f.classes = s[0], 2
             pen = np.full(q, 1.0 / f.c)
             pen[0] = 0.0
-            step = np.linalg.solve(s[2 + q:].reshape(q, q) + np.diag(pen) + 1e-12 * np.eye(q), s[2:2 + q] - pen * f.beta)
-            size = np.abs(step).max()
-            f.beta = f.beta + step * min(1.0, 10.0 / max(size, 1e-12))
-            if size < TOLERANCE:
+            value = s[2] + 0.5 * pen @ (f.beta * f.beta)
+            if k in lowest and value > lowest[k] + 1e-13 * abs(lowest[k]):
+                steps[k] = steps[k] / 2
+            else:
+                base[k], lowest[k] = f.beta, min(value, lowest.get(k, np.inf))
+                steps[k] = np.linalg.solve(s[3 + q:].reshape(q, q) + np.diag(pen) + 1e-12 * np.eye(q), s[3:3 + q] - pen * f.beta)
+            size = np.abs(steps[k]).max()
+            f.beta = base[k] + steps[k]
+            if size < TOLERANCE * (1.0 + np.abs(base[k]).max()):
                 f.converged = True
             else:
                 still.append(f)
         open_fits = still
-        if not open_fits:
-            break
     return fits
 
 
@@ -262,7 +272,7 @@ def recalibrated_cv(df: DataFrame, subject: str, label: str, columns: list[str],
     """
     cols, spark = tuple(columns), df.sparkSession
     held = (fold_of(subject, seed, 1000, "calib") < int(1000 * calib_share)).cast("int")
-    rows = _rows(df, subject, columns, label, [seed], k, 1).withColumn("held", held).persist(StorageLevel.MEMORY_AND_DISK)
+    rows = cut_lineage(_rows(df, subject, columns, label, [seed], k, 1).withColumn("held", held))
     base = [Fit((seed, f), cols, c, ((f"o{seed}", f, False), ("held", 1, False))) for f in range(k)]
     standardise_fits(rows, base, training_fill(rows.filter("held = 0"), subject, columns, [seed], k))
     newton(rows, base, label)
@@ -272,34 +282,88 @@ def recalibrated_cv(df: DataFrame, subject: str, label: str, columns: list[str],
     each = each.withColumn("test", F.col(f"o{seed}") == F.col("fold")).filter(F.col("test") | (F.col("held") == 1))
     scored = each.join(small_or_shuffled(models.drop("seed"), k * (2 + 2 * len(cols))), "fold", "left").select(
         "fold", "test", subject, label, probability(cols).alias("p_raw"))
-    calib = scored.filter(~F.col("test") & F.col("p_raw").isNotNull()).select("fold", label, "p_raw").persist(StorageLevel.MEMORY_AND_DISK)
+    calib = cut_lineage(scored.filter(~F.col("test") & F.col("p_raw").isNotNull()).select("fold", label, "p_raw"))
     platt = newton(calib, [Fit((f,), ("p_raw",), 1e6, (("fold", f, True),)) for f in range(k)], label)
     out = scored.filter("test")
     p_models = _model_table(spark, platt, ["fold"])
     j = out.join(small_or_shuffled(p_models, 4 * k), "fold", "left")
     platted = F.when(F.col("p_raw").isNotNull(), F.coalesce(probability(("p_raw",)), F.col("p_raw")))
     out = j.withColumn("p_platt", platted).drop("a0", "b", "f", "converged")
-    parts = None
-    for f in range(k):
-        mine = out.filter(F.col("fold") == f)
-        fitted = next(x for x in platt if x.name == (f,))
-        got = isotonic(calib.filter(F.col("fold") == f), mine, label, "p_raw", "p_isotonic") if fitted.classes == 2 \
-            else mine.withColumn("p_isotonic", F.col("p_raw"))
-        parts = got if parts is None else parts.unionByName(got)
-    rows.unpersist()
-    calib.unpersist()
-    return parts.select("fold", subject, F.col(label).alias("y"), "p_raw", "p_platt", "p_isotonic")
+    two = [x.name[0] for x in platt if x.classes == 2]
+    knots = isotonic_blocks(calib.filter(F.col("fold").isin(two)), "fold", label, "p_raw")
+    stepped = F.when(F.col("fold").isin(two), isotonic_value(knots, "fold", "p_raw")).otherwise(F.col("p_raw"))
+    return out.select("fold", subject, F.col(label).alias("y"), "p_raw", "p_platt", stepped.alias("p_isotonic"))
+
+
+BLOCK = "lo double, hi double, total double, weight double"
 
 
-def isotonic(train: DataFrame, test: DataFrame, label: str, score: str, name: str) -> DataFrame:
-    """Isotonic fit on train, applied to test (linear between knots, clipped outside)."""
-    from pyspark.ml.regression import IsotonicRegression
-    from pyspark.ml.functions import array_to_vector
+def _pooled(keys: list[str]):
+    """Pool adjacent violators: a stack of blocks for each run of equal keys, as rows come in order."""
+
+    def pool(it):
+        now, stack = None, []
+        for batch in it:
+            names = batch.schema.names
+            own = list(zip(*(batch.column(names.index(c)).to_pylist() for c in keys), strict=True))
+            for key, row in zip(own, zip(*(batch.column(names.index(c)).to_pylist() for c in ("lo", "hi", "total", "weight")), strict=True), strict=True):
+                if key != now:
+                    if stack:
+                        yield _stack(now, stack)
+                    now, stack = key, []
+                lo, hi, total, weight = row
+                while stack and stack[-1][2] * weight >= total * stack[-1][3]:  # its mean is not below this one's
+                    lo, _, t, w = stack.pop()
+                    total, weight = total + t, weight + w
+                stack.append((lo, hi, total, weight))
+        if stack:
+            yield _stack(now, stack)
+
+    def _stack(key, stack):
+        columns = [pa.array([k] * len(stack)) for k in key] + [pa.array(c, pa.float64()) for c in zip(*stack, strict=True)]
+        return pa.RecordBatch.from_arrays(columns, names=[*keys, *(x.split()[0] for x in BLOCK.split(", "))])
+
+    return pool
+
+
+def isotonic_blocks(train: DataFrame, key: str, label: str, score: str, rows_per_bin: int = ROWS_PER_BIN) -> DataFrame:
+    """The blocks of the isotonic fit of `label` on `score` for every value of the integer `key`: `lo`, `hi` (scores), `total`, `weight`.
+
+    Pooling is done inside ranges of scores, which leaves a stack of blocks for each, and again over the stacks of a key in order:
+    pooling pooled blocks gives the blocks of the whole. Equal scores are summed before.
+    """
+    one = train.filter(F.col(score).isNotNull()).groupBy(F.col(key).cast("long").alias(key), F.col(score).cast("double").alias("lo")).agg(
+        F.sum(F.col(label).cast("double")).alias("total"), F.count(F.lit(1)).cast("double").alias("weight"))
+    rows, count = written(one.withColumn("hi", F.col("lo")))
+    cut = bins(rows, count, [key], ["lo"], {}, rows_per_bin)
+    ranges = (rows.withColumn("__bin", F.lit(0).cast("long")) if cut is None else cut[0])
+    inside = ranges.repartition(key, "__bin").sortWithinPartitions(key, "__bin", "lo").mapInArrow(_pooled([key, "__bin"]), f"{key} long, __bin long, {BLOCK}")
+    return inside.drop("__bin").repartition(key).sortWithinPartitions(key, "lo").mapInArrow(_pooled([key]), f"{key} long, {BLOCK}")
+
+
+def isotonic_value(blocks: DataFrame, key: str, score: str) -> Column:
+    """The fit at a score: a block's mean inside it, linear between blocks, the end blocks' means outside.
+
+    The blocks go to the tasks as two arrays a key. For 0/1 labels the means are distinct rising fractions, so n rows
+    leave at most some 2 n^(2/3) blocks.
+    """
+    found: dict = {}
+    for r in blocks.sort(key, "lo").toArrow().to_pylist():
+        x, y = found.setdefault(r[key], ([], []))
+        x += [r["lo"], r["hi"]]
+        y += [r["total"] / r["weight"]] * 2
+    arrays = {k: (np.array(x), np.array(y)) for k, (x, y) in found.items()}
+
+    @F.pandas_udf("double")
+    def value(k: pd.Series, s: pd.Series) -> pd.Series:
+        out = np.full(len(s), np.nan)
+        for one in k.dropna().unique():
+            if one in arrays:
+                at = (k == one).to_numpy()
+                out[at] = np.interp(s[at].to_numpy(dtype=float), *arrays[one])
+        return pd.Series(out).where(s.notna().to_numpy() & ~np.isnan(out), None)
 
-    model = IsotonicRegression(featuresCol="__x", labelCol="__y", predictionCol=name).fit(
-        train.select(F.col(score).alias("__x"), F.col(label).cast("double").alias("__y")))
-    done = model.transform(test.withColumn("__x", F.col(score)))
-    return done.drop("__x")
+    return value(F.col(key).cast("long"), F.col(score))
 
 
 def boosted_cv(df: DataFrame, subject: str, label: str, columns: list[str], *, kind: str = "regression", seed: int = 0, k: int = 5,
@@ -329,6 +393,7 @@ def boosted_cv(df: DataFrame, subject: str, label: str, columns: list[str], *, k
 
 
 def repeated_auc(oof: DataFrame, keys: list[str]) -> DataFrame:
-    """Mean and range over seeds of the pooled out-of-fold AUC of the rows that have a prediction."""
+    """Mean and range over seeds of the pooled out-of-fold AUC of the rows that have a prediction; `unscored` counts the others."""
     per = auc(oof.filter(F.col("pred").isNotNull()), [*keys, "seed"], "y", "pred")
-    return per.groupBy(*keys).agg(F.avg("auc").alias("auc"), F.min("auc").alias("auc_lo"), F.max("auc").alias("auc_hi"))
+    g = per.groupBy(*keys).agg(F.avg("auc").alias("auc"), F.min("auc").alias("auc_lo"), F.max("auc").alias("auc_hi"))
+    return join_on_keys(g, oof.groupBy(*keys).agg(F.count_if(F.col("pred").isNull()).alias("unscored")), keys)

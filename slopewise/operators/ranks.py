@@ -40,7 +40,7 @@ def _by_key(keys: list[str], *more: str):
     return Window.partitionBy(*keys, *more) if keys or more else Window.partitionBy(F.lit(0))
 
 
-def _written(df: DataFrame) -> tuple[DataFrame, int]:
+def written(df: DataFrame) -> tuple[DataFrame, int]:
     """The rows as a written table, and how many there are."""
     seen = Observation()
     out = cut_lineage(df.observe(seen, F.count(F.lit(1)).alias("n")))
@@ -121,7 +121,7 @@ def cumulate(df: DataFrame, keys: list[str], value: str, measures: dict[str, Col
     """
     distinct = (df.filter(F.col(value).isNotNull()).groupBy(*keys, value)
                 .agg(*[F.sum(c).alias(m) for m, c in measures.items()]))
-    rows, count = _written(distinct)
+    rows, count = written(distinct)
     cut = bins(rows, count, keys, [value], {m: F.sum(m) for m in measures}, rows_per_bin)
     up_to = lambda *more: _by_key(keys, *more).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
     if cut is None:
@@ -138,7 +138,7 @@ def cumulate(df: DataFrame, keys: list[str], value: str, measures: dict[str, Col
 def running_total(df: DataFrame, keys: list[str], value: str, ties: list[str], measure: Column, name: str, *,
                   rows_per_bin: int = ROWS_PER_BIN) -> DataFrame:
     """Row-level inclusive running sum of `measure` by (value, ties) inside the keys; rows equal in both take any order."""
-    rows, count = _written(df.filter(F.col(value).isNotNull()).withColumn("__m", measure).withColumn(_ROW, F.monotonically_increasing_id()))
+    rows, count = written(df.filter(F.col(value).isNotNull()).withColumn("__m", measure).withColumn(_ROW, F.monotonically_increasing_id()))
     order = [value, *[t for t in ties if t != value], _ROW]
     cut = bins(rows, count, keys, order, {"t": F.sum("__m")}, rows_per_bin)
     if cut is None:

@@ -9,7 +9,7 @@ from ..operators import evaluate, folds, linear, logistic, meta, metrics
 from ..operators.linear import Arm, Outcome
 from . import derived as dv
 from .registry import hu, hw, permuted_sql, query
-from .solve_sql import linear_cv_sql
+from .solve_sql import AUC, dot, linear_cv_sql, logistic_cv_sql, newton_sql, repeated_auc_sql
 
 EB = Outcome("slope", "var")
 BASE, AUG = ["avg_price"], ["acctbal"]
@@ -287,20 +287,60 @@ def _(t):
 # ---- binary outcomes -----------------------------------------------------------------------
 
 
-@query("logistic_cv", "seed:i fold:i c_custkey:i y:i pred:d")
+LABEL_COLUMNS = ["avg_price", "acctbal", "n_orders"]
+
+
+def _label_rows(columns: list[str], seeds: str = "[0]") -> str:
+    return f"""WITH RECURSIVE {dv.CUSTOMERS}, x AS (SELECT c_custkey AS id, label AS y, [{", ".join(columns)}]::DOUBLE[] AS x, seed, {hw("c_custkey", "seed")} % 5 AS o,
+      {hw("c_custkey", "seed", "'inner'")} % 5 AS g FROM cust, (SELECT unnest({seeds}) AS seed))"""
+
+
+@query("logistic_cv", "seed:i fold:i c_custkey:i y:i pred:d", logistic_cv_sql(_label_rows(LABEL_COLUMNS), 3) + " SELECT seed, fold, id AS c_custkey, y, pred FROM oof")
 def _(t):
-    return logistic.logistic_cv(dv.customer_features(t), "c_custkey", "label", ["avg_price", "acctbal", "n_orders"])
+    return logistic.logistic_cv(dv.customer_features(t), "c_custkey", "label", LABEL_COLUMNS)
 
 
-@query("logistic_nested_auc", "auc:d auc_lo:d auc_hi:d")
+@query("logistic_nested_auc", "auc:d auc_lo:d auc_hi:d", logistic_cv_sql(_label_rows(LABEL_COLUMNS, "[0, 1]"), 3, logistic.C_GRID) + " " + repeated_auc_sql("oof", ""))
 def _(t):
-    oof = logistic.logistic_cv(dv.customer_features(t), "c_custkey", "label", ["avg_price", "acctbal", "n_orders"], seeds=[0, 1], inner_k=3, grid=(0.01, 0.1, 1.0))
+    oof = logistic.logistic_cv(dv.customer_features(t), "c_custkey", "label", LABEL_COLUMNS, seeds=[0, 1], grid=logistic.C_GRID)
     return logistic.repeated_auc(oof, [])
 
 
-@query("recalibrated_scores", "kind:s auc:d brier:d ece:d")
+def _recalibrated_sql() -> str:
+    """Newton fits of the model and of Platt's line; the isotonic fit as the largest of least means of runs of scores."""
+    model = newton_sql("SELECT f AS k1, 0 AS k2, 0 AS k3, 0 AS k4, e, y FROM z WHERE NOT test AND held = 0", "SELECT f AS k1, 0 AS k2, 0 AS k3, 0 AS k4, 1.0::DOUBLE AS c FROM ff", 4, 12)
+    line = newton_sql("SELECT f AS k1, 0 AS k2, 0 AS k3, 0 AS k4, [1, p]::DOUBLE[] AS e, y FROM cal", "SELECT f AS k1, 0 AS k2, 0 AS k3, 0 AS k4, 1e6::DOUBLE AS c FROM ff", 2, 20)
+    for old in ("ft", "tr", "nt", "be"):
+        line = line.replace(f"{old} AS", f"p{old} AS").replace(f"{old}(k1", f"p{old}(k1").replace(f"FROM {old}", f"FROM p{old}").replace(f"JOIN {old} ", f"JOIN p{old} ").replace(f"SELECT {old}.", f"SELECT p{old}.")
+    return f"""{_label_rows(LABEL_COLUMNS)}, h AS (SELECT *, ({hw("id", "0", "'calib'")} % 1000 < 250)::INT AS held FROM x),
+  ff AS (SELECT DISTINCT o AS f FROM h),
+  lg AS (SELECT o, held, unnest(x) AS val, unnest(range(3)) AS i FROM h),
+  ms AS (SELECT f, i, avg(val) AS m, stddev_pop(val) AS s FROM lg JOIN ff ON o <> f AND held = 0 GROUP BY f, i),
+  sc AS (SELECT f, list(m ORDER BY i) AS m, list(s ORDER BY i) AS s FROM ms GROUP BY f),
+  z AS MATERIALIZED (SELECT id, f, o = f AS test, held, y, list_concat([1::DOUBLE], list_transform(range(3), lambda i: (h.x[i + 1] - m[i + 1]) / s[i + 1])) AS e FROM h, sc),
+  {model},
+  raw AS (SELECT id, f, test, held, y, 1 / (1 + exp(-{dot("beta", "e")})) AS p FROM z JOIN be ON k1 = f WHERE test OR held = 1),
+  cal AS MATERIALIZED (SELECT f, y, p FROM raw WHERE NOT test),
+  {line},
+  s AS (SELECT f, p, sum(y)::DOUBLE AS t, count(*)::DOUBLE AS w, row_number() OVER (PARTITION BY f ORDER BY p) AS i FROM cal GROUP BY f, p),
+  c AS (SELECT *, sum(t) OVER q AS ct, sum(w) OVER q AS cw FROM s WINDOW q AS (PARTITION BY f ORDER BY i)),
+  runs AS (SELECT a.f, a.i AS a, b.i AS b, (b.ct - a.ct + a.t) / (b.cw - a.cw + a.w) AS mean FROM c a JOIN c b ON a.f = b.f AND a.i <= b.i),
+  least AS (SELECT f, a, b, min(mean) OVER (PARTITION BY f, a ORDER BY b DESC) AS low FROM runs),
+  iso AS (SELECT l.f, b AS i, max(low) AS v, any_value(s.p) AS p FROM least l JOIN s ON s.f = l.f AND s.i = l.b GROUP BY l.f, b),
+  te AS (SELECT raw.f, raw.id, raw.y, raw.p, 1 / (1 + exp(-(pbe.beta[1] + pbe.beta[2] * raw.p))) AS platt FROM raw JOIN pbe ON k1 = f WHERE test),
+  lo AS (SELECT te.*, iso.p AS p0, iso.v AS v0 FROM te ASOF LEFT JOIN iso ON te.f = iso.f AND te.p >= iso.p),
+  both_ AS (SELECT lo.*, iso.p AS p1, iso.v AS v1 FROM lo ASOF LEFT JOIN iso ON lo.f = iso.f AND lo.p <= iso.p),
+  fin AS (SELECT f, y, p, platt, CASE WHEN p0 IS NULL THEN v1 WHEN p1 IS NULL OR p1 = p0 THEN v0 ELSE v0 + (v1 - v0) * (p - p0) / (p1 - p0) END AS iso FROM both_),
+  l AS (SELECT 'raw' AS kind, y, p AS pred FROM fin UNION ALL SELECT 'platt', y, platt FROM fin UNION ALL SELECT 'isotonic', y, iso FROM fin),
+  bn AS (SELECT kind, least(floor(pred * 10), 9) AS bin, count(*) AS n, avg(pred) AS mp, avg(y::DOUBLE) AS mt FROM l GROUP BY 1, 2),
+  ec AS (SELECT kind, sum(n * abs(mp - mt)) / sum(n) AS ece FROM bn GROUP BY kind),
+  au AS (SELECT kind, {AUC} AS auc, avg((pred - y)^2) AS brier FROM (SELECT *, rank() OVER (PARTITION BY kind ORDER BY pred) + (count(*) OVER (PARTITION BY kind, pred) - 1) / 2.0::DOUBLE AS r FROM l) GROUP BY kind)
+  SELECT kind, auc, brier, ece FROM au JOIN ec USING (kind)"""
+
+
+@query("recalibrated_scores", "kind:s auc:d5 brier:d5 ece:d5", _recalibrated_sql())
 def _(t):
-    oof = logistic.recalibrated_cv(dv.customer_features(t), "c_custkey", "label", ["avg_price", "acctbal", "n_orders"])
+    oof = logistic.recalibrated_cv(dv.customer_features(t), "c_custkey", "label", LABEL_COLUMNS)
     each = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(f"p_{k}").alias("p")) for k in ("raw", "platt", "isotonic")]))
     long = oof.select("y", each.alias("e")).select("y", "e.kind", "e.p")
     return (metrics.auc(long, ["kind"], "y", "p").join(metrics.brier(long, ["kind"], "y", "p"), "kind")
@@ -319,12 +359,23 @@ def _(t):
     return metrics.auc(oof, [], "y", "pred")
 
 
-@query("item_sensitivity", "item:s auc:d auc_lo:d auc_hi:d")
+ITEMS = ("share_f", "n_orders", "max_price")
+
+
+def _items_sql() -> str:
+    """The item's place among the alternatives is part of the seed's number, so that one text fits all."""
+    items = "[" + ", ".join(f"'{i}'" for i in ITEMS) + "]"
+    rows = f"""WITH RECURSIVE {dv.CUSTOMERS}, x AS (SELECT c_custkey AS id, label AS y, [acctbal, [{", ".join(ITEMS)}][k + 1]]::DOUBLE[] AS x, 10 * k + s AS seed, {hw("c_custkey", "s")} % 5 AS o,
+      {hw("c_custkey", "s", "'inner'")} % 5 AS g FROM cust, (SELECT unnest([0, 1]) AS s), (SELECT unnest(range({len(ITEMS)})) AS k))"""
+    return f"""{logistic_cv_sql(rows, 2)}, named AS (SELECT {items}[seed // 10 + 1] AS item, seed % 10 AS seed, y, pred FROM oof) {repeated_auc_sql("named", "item, ")}"""
+
+
+@query("item_sensitivity", "item:s auc:d auc_lo:d auc_hi:d", _items_sql())
 def _(t):
     """The same questionnaire model under alternative items for one question."""
     f = dv.customer_features(t)
     parts = None
-    for item in ("share_f", "n_orders", "max_price"):
+    for item in ITEMS:
         oof = logistic.logistic_cv(f, "c_custkey", "label", ["acctbal", item], seeds=[0, 1]).withColumn("item", F.lit(item))
         parts = oof if parts is None else parts.unionByName(oof)
     return logistic.repeated_auc(parts, ["item"])

@@ -22,6 +22,10 @@ def solve(system: str, p: int) -> str:
     return f"list_select({eliminated(system, p)}, [{', '.join(str((i + 1) * (p + 1)) for i in range(p))}])"
 
 
+def dot(a: str, b: str) -> str:
+    return f"list_sum(list_transform(range(len({a})), lambda i: {a}[i + 1] * {b}[i + 1]))"
+
+
 def linear_cv_sql(rows: str, p: int, arms: dict[str, dict], inner_k: int = 5, y: str = "mu + tau2 / (tau2 + v) * (b - mu)", sweeps: int = 400) -> str:
     """Cross-validated linear arms on the columns in list `x` (NULL: gap, filled with the training median), by sums.
 
@@ -86,3 +90,65 @@ def linear_cv_sql(rows: str, p: int, arms: dict[str, dict], inner_k: int = 5, y:
         preds += f", list_sum(list_transform(range({p + 1}), lambda i: e[i + 1] * md{n}.v[i + 1])) AS pred_{name}"
     return out + f""",
   oof AS (SELECT zz.seed, zz.f AS fold, id, y{preds} FROM zz{joins} WHERE test)"""
+
+
+def newton_sql(rows: str, fits: str, q: int, steps: int) -> str:
+    """Penalised logistic fits of all keys of `fits` (a select of key..., c: k1, k2, k3, k4, c) as table nt(k1, k2, k3, k4, c, step, beta).
+
+    `rows` is a select of (k1, k2, k3, k4, e, y) for the training rows of each key; e begins with 1, whose coefficient has no penalty.
+    """
+    w = q + 1
+    i, j = f"(pos // {w})", f"(pos % {w})"
+    term = f"""CASE WHEN {j} = {q} THEN sum(e[{i} + 1] * (y - p)) - CASE WHEN {i} > 0 THEN any_value(beta[{i} + 1]) / any_value(c) ELSE 0 END
+               ELSE sum(e[{i} + 1] * e[{j} + 1] * p * (1 - p)) + CASE WHEN {i} = {j} AND {i} > 0 THEN 1 / any_value(c) ELSE 0 END END"""
+    return f"""ft AS ({fits}), tr AS MATERIALIZED ({rows}),
+  nt(k1, k2, k3, k4, c, step, beta) AS (
+    SELECT k1, k2, k3, k4, c, 0, list_transform(range({q}), lambda i: 0::DOUBLE) FROM ft
+    UNION ALL
+    SELECT k1, k2, k3, k4, c, step + 1, list_transform(range({q}), lambda i: beta[i + 1] + d[i + 1]) FROM (
+      SELECT k1, k2, k3, k4, c, step, beta, {solve("w", q)} AS d FROM (
+        SELECT k1, k2, k3, k4, any_value(c) AS c, any_value(step) AS step, any_value(beta) AS beta, list(val ORDER BY pos) AS w FROM (
+          SELECT k1, k2, k3, k4, pos, any_value(c) AS c, any_value(step) AS step, any_value(beta) AS beta, {term} AS val
+          FROM (SELECT nt.*, e, y, 1 / (1 + exp(-{dot("beta", "e")})) AS p FROM nt JOIN tr USING (k1, k2, k3, k4)), (SELECT unnest(range({q * w})) AS pos)
+          GROUP BY k1, k2, k3, k4, pos) GROUP BY k1, k2, k3, k4) WHERE step < {steps})),
+  be AS (SELECT k1, k2, k3, k4, beta FROM nt WHERE step = {steps})"""
+
+
+def logistic_cv_sql(rows: str, p: int, grid: tuple[float, ...] = (1.0,), inner_k: int = 5, steps: int = 12) -> str:
+    """Cross-validated logistic fits on the columns in list `x` (no gaps), penalty by mean inner AUC.
+
+    `rows` is SQL text that begins with WITH RECURSIVE and ends in a table x(id, seed, y, x, o, g); the text ends in oof(seed, fold, id, y, pred).
+    """
+    ai = ", ".join(f"{c!r}::DOUBLE" for c in grid)
+    scored = f"1 / (1 + exp(-{dot('beta', 'e')}))"
+    tuned = len(grid) > 1
+    every = f"(SELECT unnest([{ai}]) AS c, unnest(range({len(grid)})) AS a)"
+    out = f"""{rows}, ff AS (SELECT DISTINCT seed, o AS f FROM x),
+  lg AS (SELECT seed, o, unnest(x) AS val, unnest(range({p})) AS i FROM x),
+  ms AS (SELECT lg.seed, f, i, avg(val) AS m, stddev_pop(val) AS s FROM lg JOIN ff ON lg.seed = ff.seed AND o <> f GROUP BY lg.seed, f, i),
+  sc AS (SELECT seed, f, list(m ORDER BY i) AS m, list(s ORDER BY i) AS s FROM ms GROUP BY seed, f),
+  z AS MATERIALIZED (SELECT id, x.seed, f, o = f AS test, g, y, list_concat([1::DOUBLE], list_transform(range({p}), lambda i: (x.x[i + 1] - m[i + 1]) / s[i + 1])) AS e FROM x JOIN sc USING (seed)),
+  {newton_sql(f"SELECT seed AS k1, f AS k2, h AS k3, a AS k4, e, y FROM z, (SELECT unnest(range({0 if tuned else inner_k}, {inner_k + 1})) AS h), {every} WHERE NOT test AND g <> h",
+              f"SELECT seed AS k1, f AS k2, h AS k3, a AS k4, c FROM ff, (SELECT unnest(range({0 if tuned else inner_k}, {inner_k + 1})) AS h), {every}", p + 1, steps)}"""
+    pick = "SELECT DISTINCT seed, f, 0 AS a FROM z"
+    if tuned:
+        out += f""",
+  hd AS (SELECT k1 AS seed, k2 AS f, k3 AS h, k4 AS a, y, {scored} AS p FROM be JOIN z ON z.seed = k1 AND z.f = k2 AND z.g = k3 WHERE NOT test),
+  rk AS (SELECT *, rank() OVER (PARTITION BY seed, f, h, a ORDER BY p) + (count(*) OVER (PARTITION BY seed, f, h, a, p) - 1) / 2.0::DOUBLE AS r FROM hd),
+  ha AS (SELECT seed, f, h, a, (sum(r) FILTER (WHERE y = 1) - sum(y) * (sum(y) + 1) / 2.0::DOUBLE) / (sum(y)::DOUBLE * sum(1 - y)) AS auc FROM rk GROUP BY seed, f, h, a),
+  mn AS (SELECT seed, f, a, avg(auc) AS m FROM ha GROUP BY seed, f, a)"""
+        pick = "SELECT seed, f, min(a) FILTER (WHERE m >= top - 1e-12) AS a FROM (SELECT *, max(m) OVER (PARTITION BY seed, f) AS top FROM mn) GROUP BY seed, f"
+    return out + f""",
+  pk AS ({pick}),
+  oof AS (SELECT z.seed, z.f AS fold, id, y, {scored} AS pred FROM z JOIN pk USING (seed, f) JOIN be ON k1 = z.seed AND k2 = z.f AND k3 = {inner_k} AND k4 = a WHERE test)"""
+
+
+AUC = "(sum(r) FILTER (WHERE y = 1) - sum(y) * (sum(y) + 1) / 2.0::DOUBLE) / (sum(y)::DOUBLE * sum(1 - y))"
+
+
+def repeated_auc_sql(oof: str, keys: str) -> str:
+    """Mean and range over seeds of the pooled AUC; `oof` names a table, `keys` its grouping columns with a comma after each."""
+    part = f"{keys}seed"
+    by = f"GROUP BY {keys.rstrip(', ')}" if keys else ""
+    return f"""SELECT {keys}avg(auc) AS auc, min(auc) AS auc_lo, max(auc) AS auc_hi FROM (SELECT {part}, {AUC} AS auc FROM (
+      SELECT *, rank() OVER (PARTITION BY {part} ORDER BY pred) + (count(*) OVER (PARTITION BY {part}, pred) - 1) / 2.0::DOUBLE AS r FROM {oof}) GROUP BY {part}) {by}"""

@@ -173,3 +173,34 @@ def test_cluster_cv_leaves_each_cluster_out(data):
     tau2 = max(0.0, b[tr].var(ddof=1) - v[tr].mean())
     got = oof[oof.cluster == -1].set_index("id").sort_index()
     assert np.allclose(got.y, b[tr].mean() + tau2 / (tau2 + v[~tr]) * (b[~tr] - b[tr].mean()))
+
+
+@pytest.mark.parametrize("per_bin", [7, 10_000])
+def test_isotonic_blocks_are_the_largest_of_least_means(spark, per_bin):
+    rng = np.random.default_rng(6)
+    pdf = pd.DataFrame({"f": rng.integers(0, 3, 260), "p": np.round(rng.random(260), 2)})
+    pdf["y"] = (rng.random(260) < pdf.p).astype(int)
+    pdf.loc[pdf.f == 2, "y"] = (pdf.p[pdf.f == 2] < 0.5).astype(int)  # falling: one block
+    df = spark.createDataFrame(pdf)
+    blocks = logistic.isotonic_blocks(df, "f", "y", "p", rows_per_bin=per_bin)
+    tests = spark.createDataFrame([(f, float(x)) for f in range(4) for x in np.linspace(-0.1, 1.1, 41)] + [(0, None)], "f int, p double")
+    got = tests.withColumn("v", logistic.isotonic_value(blocks, "f", "p")).toPandas()
+    assert got.v[(got.f == 3) | got.p.isna()].isna().all()
+    for f in range(3):
+        s = pdf[pdf.f == f].groupby("p")["y"].agg(["sum", "count"])
+        t, w = s["sum"].to_numpy(float), s["count"].to_numpy(float)
+        n = len(s)
+        mean = [[t[a:b + 1].sum() / w[a:b + 1].sum() if a <= b else np.inf for b in range(n)] for a in range(n)]
+        fit = [max(min(mean[a][i:]) for a in range(i + 1)) for i in range(n)]
+        own = got[(got.f == f) & got.p.notna()]
+        assert np.allclose(own.v, np.interp(own.p, s.index, fit))
+    assert blocks.filter("f = 2").count() == 1
+
+
+def test_newton_settles_on_separable_and_extreme_rows(spark):
+    rows = [(i, float(x), int(x > 0), 0 if i % 2 else 1) for i, x in enumerate([*np.linspace(-50, -0.01, 40), *np.linspace(0.01, 5000, 40)])]
+    df = spark.createDataFrame(rows, "id long, x double, lab int, f int")
+    for c in (1e-3, 1.0, 1e6):
+        got = logistic.logistic_cv(df, "id", "lab", ["x"], k=2, grid=(c,), fold_cols={0: "f"}).toPandas()
+        assert (got.status == "ok").all() and got.pred.between(0, 1).all()
+        assert all(g.sort_values("id").pred.is_monotonic_increasing for _, g in got.groupby("fold"))

@@ -65,7 +65,7 @@ def test_bins_hold_at_most_twice_what_was_asked(spark, monkeypatch, shape, limit
     n = 8_000
     pdf = pd.DataFrame({"k": np.where(rng.random(n) < 0.8, "hot", rng.choice(["a", "b"], n)), "x": SHAPES[shape](rng, n), "t": rng.integers(0, 50, n)})
     df = spark.createDataFrame(pdf).withColumn("k", F.when(F.col("k") != "b", F.col("k")))
-    table, count = ranks._written(df.withColumn("i", F.monotonically_increasing_id()))
+    table, count = ranks.written(df.withColumn("i", F.monotonically_increasing_id()))
     binned, cells = ranks.bins(table, count, ["k"], ["x", "t", "i"], {}, 40)
     sizes = [r["__n"] for r in cells.collect()]
     assert sum(sizes) == n and max(sizes) <= 80 and len(sizes) <= 2.5 * n / 40
