@@ -31,6 +31,28 @@ def coverage(df: DataFrame, columns: list[str], sparse_below: float = 50.0) -> D
     return g.select("variable", "n_present", pct.alias("pct"), (pct < sparse_below).alias("sparse"))
 
 
+MOST_BLOCKS = 16
+
+
+def joint_availability(df: DataFrame, blocks: dict[str, list[str]], count: str = "n") -> DataFrame:
+    """How many rows have every column of every block of a set, for all sets of blocks: `blocks` (names joined by +, the empty set is
+    `` and counts all rows), `n_blocks`, `n`.
+
+    One aggregation leaves a histogram of presence masks, at most 2 to the number of blocks; each mask then counts for the sets it contains.
+    """
+    names = list(blocks)
+    if len(names) > MOST_BLOCKS:
+        raise ValueError(f"at most {MOST_BLOCKS} blocks: there are 2 to their number of sets")
+    whole = [F.when(F.greatest(F.lit(False), *[F.col(c).isNull() for c in cols]), 0).otherwise(1 << i) for i, cols in enumerate(blocks.values())]
+    masks = df.select(sum(whole, F.lit(0)).alias("m")).groupBy("m").agg(F.count(F.lit(1)).alias("n"))
+    sets = F.filter(F.sequence(F.lit(0), F.lit((1 << len(names)) - 1)), lambda s: s.bitwiseAND(F.col("m")) == s)
+    each = masks.withColumn("s", F.explode(sets)).groupBy("s").agg(F.sum("n").alias(count))
+    # A set that no row has is reported with 0.
+    every = df.sparkSession.range(1 << len(names)).select(F.col("id").cast("int").alias("s"))
+    picked = [F.when(F.col("s").bitwiseAND(F.lit(1 << i)) != 0, n) for i, n in enumerate(names)]
+    return every.join(each, "s", "left").select(F.concat_ws("+", *picked).alias("blocks"), F.bit_count("s").alias("n_blocks"), F.coalesce(count, F.lit(0)).alias(count))
+
+
 def selection_table(df: DataFrame, retained: Column, columns: list[str]) -> DataFrame:
     """Mean of each column among retained and excluded rows."""
     rows = unpivoted(df.withColumn("__kept", retained), columns, ["__kept"])

@@ -309,6 +309,22 @@ def _(t):
     return profile.coverage(f, ["gappy", "high_share", "avg_price"])
 
 
+BLOCKS = {"clinical": ["acctbal", "n_orders"], "gappy": ["gappy"], "share": ["high_share"], "long": ["many_orders", "gappy"]}
+
+
+def _joint_sql() -> str:
+    sets = [[n for i, n in enumerate(BLOCKS) if k >> i & 1] for k in range(1 << len(BLOCKS))]
+    has = {n: " AND ".join(f"{c} IS NOT NULL" for c in cols) for n, cols in BLOCKS.items()}
+    rows = " UNION ALL ".join(f"SELECT '{'+'.join(s)}' AS blocks, {len(s)} AS n_blocks, count(*) FILTER ({' AND '.join(has[n] for n in s) or 'true'}) AS n FROM c" for s in sets)
+    return f"""WITH {dv.CUSTOMERS}, c AS (SELECT *, CASE WHEN share_f > 0.5 THEN share_f END AS high_share, CASE WHEN n_orders >= 12 THEN n_orders END AS many_orders FROM cust) {rows}"""
+
+
+@query("joint_availability", "blocks:s n_blocks:i n:i", _joint_sql())
+def _(t):
+    f = dv.customer_features(t).withColumns({"high_share": F.when(F.col("share_f") > 0.5, F.col("share_f")), "many_orders": F.when(F.col("n_orders") >= 12, F.col("n_orders"))})
+    return profile.joint_availability(f, BLOCKS)
+
+
 @query("selection_table", "variable:s retained_mean:d excluded_mean:d diff:d",
        f"""WITH {dv.CUSTOMERS}, l AS (SELECT n_orders >= 10 AS kept, 'acctbal' AS variable, acctbal AS x FROM cust UNION ALL
              SELECT n_orders >= 10, 'avg_price', avg_price FROM cust UNION ALL SELECT n_orders >= 10, 'gappy', gappy FROM cust)

@@ -217,14 +217,21 @@ def _(t):
 
 # ---- resampling ---------------------------------------------------------------------
 
-REPS = 40
-_DRAW = " + ".join(f"(u > {p!r}::DOUBLE)::INT" for p in resample.POISSON_CDF)
-BOOT = S + f""", w AS (
-  SELECT y, pred_base, pred_aug, blk * 4 + word AS rep, {_DRAW} AS w FROM (
-    {" UNION ALL ".join(f"SELECT y, pred_base, pred_aug, blk, {i} AS word, {hu('o_orderkey', 'blk', chr(39) + 'boot' + chr(39), word=i)} AS u FROM scored, (SELECT unnest(range({REPS // 4})) AS blk)" for i in range(4))})),
-  reps AS (SELECT rep, sum(w) AS n, (sum(w * (y - pred_base)^2) - sum(w * (y - pred_aug)^2)) / (sum(w * y * y) - sum(w * y)^2 / sum(w)) AS dr2,
-    1 - sum(w * (y - pred_base)^2) / (sum(w * y * y) - sum(w * y)^2 / sum(w)) AS r2_base,
-    1 - sum(w * (y - pred_aug)^2) / (sum(w * y * y) - sum(w * y)^2 / sum(w)) AS r2_aug FROM w WHERE w > 0 GROUP BY rep)"""
+REPS = 200
+
+
+def _scrambled(x: str) -> str:
+    """SQL for `scrambled`, as nested selects are not needed for one expression of 32-bit numbers in 64 bits."""
+    a = f"xor({x}, {x} >> 16) * 2246822507::UBIGINT & 4294967295"
+    return f"list_reduce([({a})::UBIGINT, 0, 1], lambda h, k: CASE WHEN k = 0 THEN xor(h, h >> 13) * 3266489909::UBIGINT & 4294967295 ELSE xor(h, h >> 16) END)"
+
+
+BOOT = S + f""", rw AS MATERIALIZED (SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS pos, count(*) OVER () AS n, y, pred_base, pred_aug FROM scored),
+  ky AS (SELECT rep, {_scrambled("inner_")} AS key FROM (SELECT rep, {_scrambled("rep")} AS inner_ FROM (SELECT unnest(range({REPS}))::UBIGINT AS rep))),
+  dr AS (SELECT rep, ({_scrambled("place_")} * n::UBIGINT >> 32)::BIGINT AS pos FROM (SELECT rep, (pos::UBIGINT + key) & 4294967295 AS place_, n FROM ky, (SELECT pos, n FROM rw))),
+  reps AS (SELECT rep::BIGINT AS rep, count(*) AS n, (sum((y - pred_base)^2) - sum((y - pred_aug)^2)) / (sum(y * y) - sum(y)^2 / count(*)) AS dr2,
+    1 - sum((y - pred_base)^2) / (sum(y * y) - sum(y)^2 / count(*)) AS r2_base,
+    1 - sum((y - pred_aug)^2) / (sum(y * y) - sum(y)^2 / count(*)) AS r2_aug FROM dr JOIN rw USING (pos) GROUP BY rep)"""
 
 
 @query("bootstrap_increment", "rep:i n:i r2_base:d r2_aug:d dr2:d", f"{BOOT} SELECT * FROM reps")

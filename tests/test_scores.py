@@ -117,3 +117,34 @@ def test_null_and_nan_rules(spark):
     r = df.select(ex.log1p_clipped(ex.nan_to_null("a")).alias("l"), ex.parse_number("s").alias("n"), ex.guarded_ratio("a", F.lit(2.0)).alias("q")).collect()
     assert [x.l for x in r] == [None, 0.0, None, math.log(2)] and [x.n for x in r] == [3.0, None, None, 2.5]
     assert r[1].q is None and r[3].q == 0.5
+
+
+@pytest.mark.parametrize("size", [7, 64, 1 << 16])
+def test_replicates_have_exactly_as_many_draws_as_rows(spark, size):
+    n, reps = 500, 30
+    x = np.random.default_rng(3).normal(size=n)
+    df = spark.createDataFrame([(i, float(v)) for i, v in enumerate(x)], "id long, x double").repartition(5)
+    got = resample.bootstrap_sums(df.withColumn("one", F.lit(1.0)), "id", ["x", "one"], reps, size).toPandas().set_index("rep").sort_index()
+    assert (got.n == n).all() and (got.one == n).all() and len(got) == reps
+    for rep in (0, 11, 29):
+        drawn = np.concatenate([b * size + resample.drawn_rows(rep, b, n, size) for b in range(-(-n // size))])
+        assert len(drawn) == n and np.isclose(got.x[rep], x[drawn].sum())
+    counts = np.array([[resample.draws_of_bucket(r, b, n, size) for b in range(-(-n // size))] for r in range(reps)])
+    assert (counts.sum(1) == n).all()
+    # Means of draws vary as they should: the standard error of a mean is the population's deviation over sqrt(n).
+    se = np.std([x[np.concatenate([b * size + resample.drawn_rows(r, b, n, size) for b in range(-(-n // size))])].mean() for r in range(400)])
+    assert 0.85 < se / (x.std() / np.sqrt(n)) < 1.15
+
+
+def test_joint_availability_counts_every_set(spark):
+    rng = np.random.default_rng(5)
+    pdf = pd.DataFrame({c: np.where(rng.random(200) < 0.3, np.nan, 1.0) for c in "abcd"})
+    df = spark.createDataFrame(pdf).select(*[F.when(~F.isnan(c), F.col(c)).alias(c) for c in "abcd"])
+    blocks = {"one": ["a"], "two": ["b", "c"], "three": ["a", "d"]}
+    got = {r.blocks: (r.n_blocks, r.n) for r in profile.joint_availability(df, blocks).collect()}
+    assert len(got) == 8
+    for k in range(8):
+        names = [n for i, n in enumerate(blocks) if k >> i & 1]
+        cols = [c for n in names for c in blocks[n]]
+        assert got["+".join(names)] == (len(names), int(pdf[cols].notna().all(axis=1).sum()))
+    assert {r.n for r in profile.joint_availability(df.limit(0), blocks).collect()} == {0}
