@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import groupby
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from ..session import cut_lineage, discard
 from .ranks import number_rows
 
 TILE = 512
@@ -135,41 +137,77 @@ def finish_pairs(sums: DataFrame, tiles: DataFrame, min_r2: float) -> DataFrame:
             .select("chrom", "a", "b", F.col("n").cast("long").alias("n"), "r", "r2"))
 
 
+IN_ONE_GROUP = 400_000  # live links (both directions) of a locus up to which one task finishes it
+
+
 def clump(assoc: DataFrame, edges: DataFrame, locus: str, ident: str, order: Column, *, p: str, p1: float = 5e-8,
-          r2: float = 0.001) -> DataFrame:
+          r2: float = 0.001, in_one_group: int = IN_ONE_GROUP) -> DataFrame:
     """Index variants of greedy clumping, per locus.
 
-    Going down the list in `order`, a variant still alive becomes an index and takes its
-    neighbours (r2 at or above the cut) out. Done in rounds: every live variant that comes first among
-    its live neighbours is an index at once, since nothing alive could take it out; its
-    neighbours go. With a strict total order this is the sequential answer. Each round is one join and one
-    aggregation over the edges still alive; state goes through a reliable checkpoint.
+    Going down the list in `order` (ties by the variant's name), a variant still alive becomes an index and takes its
+    neighbours (r2 at or above the cut) out. A locus whose live links fit a bound is finished by one task, whatever
+    the length of its chains. A larger one goes through a round for all its variants at once: every live variant that comes first among
+    its live neighbours is an index, since nothing alive could take it out; its neighbours go. Then its size is looked at again.
     """
-    live = cut_lineage(assoc.filter(F.col(p) <= p1).select(F.col(locus).alias("locus"), F.col(ident).alias("v"), order.alias("o")))
+    named = assoc.filter(F.col(p) <= p1).select(F.col(locus).alias("locus"), F.col(ident).alias("v"), F.struct(order.alias("o"), F.col(ident).alias("v")).alias("o"))
+    live = cut_lineage(named.groupBy("locus", "v").agg(F.min("o").alias("o")))
     e = edges.filter(F.col("r2") >= r2).select("a", "b")
-    both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct()
     va = live.select("locus", F.col("v").alias("a"), F.col("o").alias("oa"))
     vb = live.select("locus", F.col("v").alias("b"), F.col("o").alias("ob"))
     links = cut_lineage(both.join(va, "a").join(vb, ["locus", "b"]).select("locus", "a", "oa", "b", "ob"))
-    chosen = None
-    while True:  # each round takes at least one variant of every locus out
+    chosen = []
+    while True:
+        large = cut_lineage(links.groupBy("locus").count().filter(F.col("count") > in_one_group).select("locus"))
+        if large.isEmpty():
+            chosen.append(_finished(live, links))
+            discard(large)
+            break
+        chosen.append(cut_lineage(_finished(live.join(large, "locus", "left_anti"), links.join(large, "locus", "left_anti"))))
+        spent = [live, links, large]
+        live, links = live.join(large, "locus", "left_semi"), links.join(large, "locus", "left_semi")
         first = links.groupBy("locus", "a").agg(F.min("ob").alias("best"))
         lead = (live.join(first.withColumnRenamed("a", "v"), ["locus", "v"], "left")
-                .filter(F.col("best").isNull() | (F.col("o") < F.col("best"))).select("locus", "v", "o"))
+                .filter(F.col("best").isNull() | (F.col("o") < F.col("best"))).select("locus", "v"))
         lead = cut_lineage(lead)
-        if lead.isEmpty() and not live.isEmpty():
-            raise ValueError("clumping needs an order without ties and NULLs among linked variants")
-        chosen = lead if chosen is None else chosen.unionByName(lead)
+        chosen.append(lead)
         taken = links.join(lead.select("locus", F.col("v").alias("a")), ["locus", "a"], "left_semi").select(
             "locus", F.col("b").alias("v"))
-        gone = taken.unionByName(lead.select("locus", "v")).distinct()
+        gone = cut_lineage(taken.unionByName(lead).distinct())
         live = cut_lineage(live.join(gone, ["locus", "v"], "left_anti"))
-        if live.isEmpty():
-            break
         links = (links.join(gone.withColumnRenamed("v", "a"), ["locus", "a"], "left_anti")
                  .join(gone.withColumnRenamed("v", "b"), ["locus", "b"], "left_anti"))
         links = cut_lineage(links.select("locus", "a", "oa", "b", "ob"))
-    return chosen.select(F.col("locus").alias(locus), F.col("v").alias(ident))
+        discard(gone, *spent)
+    return reduce(DataFrame.unionByName, chosen).select(F.col("locus").alias(locus), F.col("v").alias(ident))
+
+
+def _finished(live: DataFrame, links: DataFrame) -> DataFrame:
+    """Index variants of loci with a bounded number of links: ranks within the locus, then the list is gone down once."""
+    ends = links.select("locus", F.col("a").alias("v"), F.col("oa").alias("o")).distinct()
+    ranked = ends.withColumn("r", F.row_number().over(Window.partitionBy("locus").orderBy("o")) - 1)
+    pairs = links.filter("oa < ob").join(ranked.select("locus", F.col("v").alias("a"), F.col("r").alias("ra")), ["locus", "a"])
+    pairs = pairs.join(ranked.select("locus", F.col("v").alias("b"), F.col("r").alias("rb")), ["locus", "b"])
+    packed = pairs.groupBy("locus").agg(F.collect_list("ra").alias("ra"), F.collect_list("rb").alias("rb"))
+
+    @F.pandas_udf("array<int>")
+    def indices(ra: pd.Series, rb: pd.Series) -> pd.Series:
+        return pd.Series([_go_down(np.asarray(a), np.asarray(b)) for a, b in zip(ra, rb, strict=True)])
+
+    kept = packed.select("locus", F.explode(indices("ra", "rb")).alias("r")).join(ranked, ["locus", "r"]).select("locus", "v")
+    return kept.unionByName(live.join(ends, ["locus", "v"], "left_anti").select("locus", "v"))
+
+
+def _go_down(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """Ranks that stay when, in rising order, each rank still alive takes its later neighbours out."""
+    n = int(second.max()) + 1
+    by = np.argsort(first, kind="stable")
+    cut, later = np.searchsorted(first[by], np.arange(n + 1)), second[by]
+    alive = np.ones(n, bool)
+    for r in range(n):
+        if alive[r]:
+            alive[later[cut[r]:cut[r + 1]]] = False
+    return np.flatnonzero(alive).astype(np.int32)
 
 
 def clump_or_strongest(assoc: DataFrame, edges: DataFrame, panel: DataFrame, locus: str, ident: str, order: Column, *,

@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,7 +26,9 @@ def build_session(app: str = "slopewise", master: str | None = None, **conf: str
         builder = builder.master(master)
     for key, value in {**DEFAULTS, **conf}.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    ship(spark)
+    return spark
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
@@ -52,7 +56,33 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """
     path = scratch_path(df.sparkSession, "stage")
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._stage_path = path
+    return out
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Remove tables of `cut_lineage` that no later result reads."""
+    for df in tables:
+        path = getattr(df, "_stage_path", None)
+        if path:
+            spark = df.sparkSession
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+            df._stage_path = None
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, so that a driver program that lies elsewhere needs no installation on them."""
+    sc, root = spark.sparkContext, Path(__file__).resolve().parent
+    if getattr(sc, "_slopewise_shipped", False):
+        return
+    target = Path(tempfile.mkdtemp(prefix="slopewise-ship-")) / "slopewise.zip"
+    with zipfile.ZipFile(target, "w") as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, str(f.relative_to(root.parent)))
+    sc.addPyFile(str(target))
+    sc._slopewise_shipped = True
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

@@ -21,14 +21,15 @@ def test_json_of_any_depth(spark):
     assert got == {(1, "a." + ".".join(path)): "7", (1, "b.0"): "1", (1, "b.1.c"): '"x"', (2, ""): "5", (3, "only"): "true"}
 
 
-def test_clumping_goes_on_to_the_end(spark):
-    n = 12
-    assoc = spark.createDataFrame([("l", f"v{k:02d}", 1e-9, float(k)) for k in range(n)], "locus string, v string, p double, o double")
-    edges = spark.createDataFrame([(f"v{k:02d}", f"v{k + 1:02d}", 0.5) for k in range(n - 1)], "a string, b string, r2 double")
-    got = sorted(r.v for r in ld.clump(assoc, edges, "locus", "v", F.col("o"), p="p").collect())
-    assert got == [f"v{k:02d}" for k in range(0, n, 2)]
-    with pytest.raises(ValueError, match="ties"):
-        ld.clump(assoc.withColumn("o", F.lit(1.0)), edges, "locus", "v", F.col("o"), p="p")
+@pytest.mark.parametrize("n, bound", [(12, 4), (10_000, ld.IN_ONE_GROUP)])
+def test_clumping_goes_on_to_the_end(spark, n, bound):
+    assoc = spark.createDataFrame([("l", f"v{k:05d}", 1e-9, float(k)) for k in range(n)] + [("l", "alone", 1e-9, 3.0), ("m", "v00003", 1e-9, 0.0)], "locus string, v string, p double, o double")
+    edges = spark.createDataFrame([(f"v{k:05d}", f"v{k + 1:05d}", 0.5) for k in range(n - 1)], "a string, b string, r2 double")
+    want = sorted([("l", "alone"), ("m", "v00003"), *(("l", f"v{k:05d}") for k in range(0, n, 2))])
+    assert sorted((r.locus, r.v) for r in ld.clump(assoc, edges, "locus", "v", F.col("o"), p="p", in_one_group=bound).collect()) == want
+    # Ties, and no order at all, go by name.
+    got = ld.clump(assoc.withColumn("o", F.when(F.col("o") < 5, 1.0)), edges, "locus", "v", F.col("o"), p="p", in_one_group=bound)
+    assert ("l", "v00005") in {(r.locus, r.v) for r in got.collect()}
 
 
 def test_one_class_fold_keeps_its_rows(spark):
