@@ -5,7 +5,10 @@ arrivals whose rate is its weight; each arrival falls into one of the registers,
 arrived first. Two texts agree in a register with the probability Jaccard similarity of their weighted shingles, which is
 the plain one where no shingle repeats. A text's processes are followed in windows of time and end once each register
 is taken, so a long text draws little more than one arrival for each shingle. Bands of registers give candidate
-buckets; candidates are verified by the exact Jaccard similarity of their shingle sets.
+buckets; candidates are verified by the exact Jaccard similarity of their shingle sets. Where texts repeat shingles that is
+another measure than the weighted one, and a pair can be far apart in it. A second signature of the same
+processes with all weights one estimates the verified measure itself; its bands are candidates too. Where no shingle repeats
+both signatures are the same and their bands are counted once.
 
 Edge cases: a null text counts as empty. Equal texts are always one class, also those without a word, and no other
 text is similar to one without a word. A text with one to four words is one shingle. Null and repeated doc_ids keep
@@ -27,16 +30,17 @@ from .spans import SPACE, Texts, blocks, mix, ragged, shingles
 
 WORDS, SIMILAR = 5, 0.8
 BANDS, IN_BAND = 16, 4
+ROWS = 1 << 16  # of a block, since a row's number is packed with a fingerprint
 
 
-def register_prints(prints: np.ndarray, row: np.ndarray, rows: int, registers: int) -> np.ndarray:
-    """Row by register: the fingerprint of the shingle that arrives there first (0 in rows without a shingle)."""
+def register_prints(prints: np.ndarray, row: np.ndarray, rows: int, registers: int, weighted: bool = True) -> np.ndarray:
+    """Row by register: the fingerprint of the shingle that arrives there first (0 in rows without a shingle). At most ROWS rows."""
     key = np.sort((row.astype(np.uint64) << np.uint64(48)) | (prints >> np.uint64(16)))
     new = np.flatnonzero(np.diff(key, prepend=~key[:1]))
     times = np.diff(new, append=len(key))
     key = key[new]
     of, element = (key >> np.uint64(48)).astype(np.int64), mix(key << np.uint64(16))
-    weight = 1 + np.log2(times)
+    weight = 1 + np.log2(times) if weighted else np.ones(len(times))
     total = np.bincount(of, weight, rows)
     window = np.divide(registers * (np.log(registers) + 4), total, out=np.zeros(rows), where=total > 0)
     until, taken = window.copy(), np.full(rows * registers, np.inf)
@@ -79,16 +83,17 @@ def band_keys(first: np.ndarray, bands: int, in_band: int) -> np.ndarray:
 
 def _signer(words: int, bands: int, in_band: int):
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in blocks(batches, "text"):
+        for part in (block.slice(lo, ROWS) for block in blocks(batches, "text") for lo in range(0, block.num_rows, ROWS)):
             texts = Texts(part.column("text"))
             begin, end, row = texts.words(~SPACE)
             prints, of = shingles(texts.prints(begin, end), row, texts.rows, words)
             counts = np.bincount(of, minlength=texts.rows)
             some = np.flatnonzero(counts)
-            keys = np.zeros((0, bands), np.int64)
+            keys = np.zeros((0, 2 * bands), np.int64)
             if len(some):
-                keys = band_keys(register_prints(prints, of, texts.rows, bands * in_band)[some], bands, in_band)
-            lists = ragged(keys.ravel(), np.where(counts > 0, bands, 0), pa.int64())
+                both = [register_prints(prints, of, texts.rows, bands * in_band, weighted)[some] for weighted in (True, False)]
+                keys = np.concatenate([band_keys(x, bands, in_band) for x in both], axis=1)
+            lists = ragged(keys.ravel(), np.where(counts > 0, 2 * bands, 0), pa.int64())
             yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("doc_id", "digest")), lists], ["doc_id", "digest", "bands"])
 
     return sign
@@ -122,7 +127,7 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     signed_rows = signed.withColumn("row", F.monotonically_increasing_id())
     nodes = signed.groupBy("digest").agg(F.first("bands").alias("bands"), F.min("doc_id").alias("doc_id"))
     nodes = scratch.table(nodes.withColumn("id", F.monotonically_increasing_id()), "nodes")
-    members = scratch.table(shared(nodes.select("id", F.explode("bands").alias("bucket"))), "members")
+    members = scratch.table(shared(nodes.select("id", F.explode(F.array_distinct("bands")).alias("bucket"))), "members")
     wanted = nodes.join(members.select("id").distinct(), "id", "left_semi").select("id", "digest", "doc_id")
     wanted = sized(scratch.table(wanted, "wanted"))
     texts = plain.join(wanted.withColumnsRenamed({"doc_id": "own", "digest": "print"}),

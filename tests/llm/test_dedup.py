@@ -1,5 +1,7 @@
 """Near-duplicate documents and lines against all pairs."""
 
+import random
+
 import brute
 from pyspark.sql import functions as F
 
@@ -150,3 +152,40 @@ def test_numbers_of_removed_lines_count_towards_a_broadcast(spark, monkeypatch):
     monkeypatch.setattr(lines, "sized", watched)
     before = {r.doc_id: r.text for r in dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert marked == [False] and before[2] == rows[1][1].split("\n")[0] and before[3] == rows[2][1].split("\n")[0]
+
+
+def families(pick):
+    """Pairs whose shingle sets are alike (at least 0.8) although one text repeats a passage and the other does not."""
+    word = lambda: f"w{pick.randrange(10**6)}"
+    run = lambda n: [word() for _ in range(n)]
+    for k in range(120):
+        base, passage = run(150), run(50)
+        yield "once against fifty times", base + passage, base + passage * 50
+        base, passage = run(100), run(100)
+        yield "ten words more", base + passage * 20, base + passage * 20 + run(10)
+        base = run(200)
+        at = pick.randrange(180)
+        yield "no repeats", base, base[:at] + run(4) + base[at + 4 :]
+
+
+def test_recall_of_near_copies_that_repeat_passages(spark):
+    rows, kinds = [], {}
+    for k, (kind, a, b) in enumerate(families(random.Random(8))):
+        if brute.jaccard(brute.runs(a, 5), brute.runs(b, 5)) >= 0.8:
+            rows += [(2 * k, " ".join(a)), (2 * k + 1, " ".join(b))]
+            kinds[2 * k] = kind
+    got = {r.doc_id: r.class_id for r in near_classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    for kind in set(kinds.values()):
+        own = [k for k, x in kinds.items() if x == kind]
+        assert len(own) > 100 and sum(got[k] == got[k + 1] for k in own) >= 0.99 * len(own), kind
+
+
+def test_many_rows_in_a_batch(spark):
+    """More rows than a row's number has room for: cut into several blocks."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "200000")
+    try:
+        table = spark.range(0, 70_000, 1, 1).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.col("id") % 69_000, *[F.lit(x) + (F.col("id") % 69_000).cast("string") for x in "abcdef"]).alias("text"))
+        got = near_classes(table).groupBy("copies").count().collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert {r.copies: r["count"] for r in got} == {1: 68_000, 2: 2_000}
