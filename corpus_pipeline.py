@@ -1,4 +1,16 @@
-"""A training corpus from raw documents: each stage takes what the one before it kept."""
+"""A training corpus from raw documents: each stage takes what the one before it kept.
+
+Every stage reads whole texts and takes nulls in any column, empty tables, extra columns of any name and repeated rows:
+
+* quality_rules: a null, empty or blank text has under 20 words and goes. Repeated rows are judged alike.
+* line_dedup: a null text and one of blank lines only pass. Of equal lines that of the least doc_id stays, null doc_ids last;
+  a document that loses all its full lines goes, and so do rows that repeat doc_id and text.
+* near_dedup: null and empty texts are one class. Of a class the row of the least doc_id stays; of rows that repeat doc_id and text one.
+* decontamination: a null or empty text has no benchmark words and stays.
+* packing: a null or empty text is its end id alone.
+
+No documents give no rows.
+"""
 
 from __future__ import annotations
 
@@ -20,8 +32,9 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without lines that are copies of a kept line; n_chars follows the text."""
-    return dedup_lines(docs).withColumn("n_chars", F.char_length("text").cast("long"))
+    """Documents without lines that are copies of a kept line; n_chars, where there is one, follows the text."""
+    out = dedup_lines(docs)
+    return out.withColumn("n_chars", F.char_length("text").cast("long")) if "n_chars" in docs.columns else out
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
