@@ -66,17 +66,24 @@ def posteriors(pairs: DataFrame, keys: list[str], sd_y: float = 1.0) -> DataFram
                     F.when(enough, w[4] / total).otherwise(0.0).alias("pp4"))
 
 
-def route_method(loci: DataFrame, n_signals: str, n_harmonised: str, n_panel: str) -> DataFrame:
+def route_method(loci: DataFrame, n_signals: str, n_harmonised: str, n_panel: str, n_usable: str | None = None,
+                 n_shared: str | None = None) -> DataFrame:
     """Method asked for, and the label the result must carry.
 
     More than one signal asks for the multi-signal method. Under five harmonised variants there is no
-    data; under ten in the reference panel it falls back. The suffix travels with the value.
+    data; under ten in the reference panel it falls back. With `n_usable` (variants with usable effects and errors), a locus that has
+    none is an error; with `n_shared` (variants that both traits' credible sets hold), the multi-signal method without
+    any has no credible set to compare. The suffix travels with the value.
     """
+    many = lambda c: F.coalesce(F.col(c), F.lit(0))
     asked = F.when(F.col(n_signals) > 1, "multi_signal").otherwise("abf")
-    label = (F.when(F.coalesce(n_harmonised, F.lit(0)) < MIN_HARMONISED, F.concat(asked, F.lit("_nodata")))
-             .when((asked == "multi_signal") & (F.coalesce(n_panel, F.lit(0)) < MIN_PANEL), F.lit("abf_fallback"))
-             .otherwise(asked))
-    return loci.withColumns({"method_asked": asked, "method_label": label})
+    used = F.when((asked == "multi_signal") & (many(n_panel) < MIN_PANEL), F.lit("abf_fallback")).otherwise(asked)
+    label = F.when(many(n_harmonised) < MIN_HARMONISED, F.concat(asked, F.lit("_nodata")))
+    if n_usable:
+        label = label.when(many(n_usable) == 0, F.concat(used, F.lit("_error")))
+    if n_shared:
+        label = label.when((used == "multi_signal") & (many(n_shared) == 0), F.lit("multi_signal_noCS"))
+    return loci.withColumns({"method_asked": asked, "method_label": label.otherwise(used)})
 
 
 def estimable(label: Column, pp4: Column) -> Column:

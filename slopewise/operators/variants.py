@@ -102,11 +102,12 @@ def add_flags(df: DataFrame, effect: str = "effectAllele", other: str = "otherAl
 
 
 def log_odds(odds_ratio: Column | str, or_se: Column | str) -> tuple[Column, Column]:
-    """ln(OR) with OR = 0 as NULL, and its standard error by the delta method."""
+    """ln(OR) with OR = 0 as NULL, and its standard error by the delta method; an odds ratio whose error is not positive stops the job."""
     o = F.col(odds_ratio) if isinstance(odds_ratio, str) else odds_ratio
     s = F.col(or_se) if isinstance(or_se, str) else or_se
     safe = F.when(o > 0, o)
-    return F.ln(safe), s / safe
+    bad = F.raise_error(F.lit("standard error of an odds ratio is missing or not positive")).cast("double")
+    return F.ln(safe), F.when(safe.isNotNull(), F.when(s / safe > 0, s / safe).otherwise(bad))
 
 
 def repair_n(df: DataFrame, raw: str, name: str = "n", default: int = N_EXPOSURE_DEFAULT) -> DataFrame:

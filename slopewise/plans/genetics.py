@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.probability import normal_two_sided_p, normal_two_sided_p_sql
 from ..operators import coloc, harmonise as hz, ld, mr, variants as vr
+from ..session import cut_lineage
 from . import derived as dv
 from .registry import hw, query
 
@@ -379,22 +380,42 @@ def _(t):
     return coloc.posteriors(_coloc_pairs(t), ["protein", "platform"])
 
 
-@query("coloc_routing", "protein:s platform:s n_signals:i method_asked:s method_label:s",
-       f"""WITH {dv.ALIGNED}, sg AS (SELECT protein, platform, count(*) AS n_signals FROM instruments WHERE pval < 1e-9 GROUP BY 1, 2), h AS (SELECT protein, platform, count(*) AS nh FROM aligned GROUP BY 1, 2),
-           pn AS (SELECT protein, platform, count(*) AS np FROM instruments WHERE chrom IN ('1', '2', '3') GROUP BY 1, 2)
-           SELECT protein, platform, n_signals, CASE WHEN n_signals > 1 THEN 'multi_signal' ELSE 'abf' END AS method_asked,
-             CASE WHEN coalesce(nh, 0) < 5 THEN CASE WHEN n_signals > 1 THEN 'multi_signal' ELSE 'abf' END || '_nodata' WHEN n_signals > 1 AND coalesce(np, 0) < 10 THEN 'abf_fallback'
-                  WHEN n_signals > 1 THEN 'multi_signal' ELSE 'abf' END AS method_label FROM sg LEFT JOIN h USING (protein, platform) LEFT JOIN pn USING (protein, platform)""")
+CREDIBLE = COLOC + """, sm AS (SELECT protein, platform, "Name", pos, exp(l1 - m1) / sum(exp(l1 - m1)) OVER (PARTITION BY protein, platform) AS pp, l1 FROM mx),
+  cc AS (SELECT *, sum(pp) OVER (PARTITION BY protein, platform ORDER BY l1 DESC, "Name" ROWS UNBOUNDED PRECEDING) AS cum_pp FROM sm), cs AS (SELECT * FROM cc WHERE cum_pp - pp < 0.95)"""
+
+
+_BOTH_SETS = CREDIBLE + """, sm2 AS (SELECT protein, platform, "Name", l2, exp(l2 - m2) / sum(exp(l2 - m2)) OVER (PARTITION BY protein, platform) AS pp FROM mx),
+  cc2 AS (SELECT *, sum(pp) OVER (PARTITION BY protein, platform ORDER BY l2 DESC, "Name" ROWS UNBOUNDED PRECEDING) AS cum_pp FROM sm2), cs2 AS (SELECT * FROM cc2 WHERE cum_pp - pp < 0.95)"""
+
+
+@query("coloc_routing", "protein:s platform:s n_signals:i method_asked:s method_label:s estimable:b",
+       f"""WITH {_BOTH_SETS}, sg AS (SELECT protein, platform, count(*) AS n_signals FROM instruments WHERE pval < 1e-9 GROUP BY 1, 2),
+           h AS (SELECT protein, platform, count(*) AS nh, count(*) FILTER (se > 0 AND se_out > 0 AND beta IS NOT NULL AND beta_out IS NOT NULL) AS nu FROM aligned GROUP BY 1, 2),
+           pn AS (SELECT protein, platform, count(*) AS np FROM instruments WHERE chrom IN ('1', '2', '3') GROUP BY 1, 2),
+           ns AS (SELECT cs.protein, cs.platform, count(*) AS ns FROM cs JOIN cs2 USING (protein, platform, "Name") GROUP BY 1, 2),
+           r AS (SELECT protein, platform, n_signals, CASE WHEN n_signals > 1 THEN 'multi_signal' ELSE 'abf' END AS method_asked, coalesce(nh, 0) AS nh, coalesce(nu, 0) AS nu, coalesce(ns, 0) AS ns,
+                   CASE WHEN n_signals > 1 AND coalesce(np, 0) < 10 THEN 'abf_fallback' WHEN n_signals > 1 THEN 'multi_signal' ELSE 'abf' END AS used
+                 FROM sg LEFT JOIN h USING (protein, platform) LEFT JOIN pn USING (protein, platform) LEFT JOIN ns USING (protein, platform)),
+           l AS (SELECT *, CASE WHEN nh < 5 THEN method_asked || '_nodata' WHEN nu = 0 THEN used || '_error' WHEN used = 'multi_signal' AND ns = 0 THEN 'multi_signal_noCS' ELSE used END AS method_label FROM r)
+           SELECT protein, platform, n_signals, method_asked, method_label, NOT regexp_matches(method_label, '_(nodata|error|noCS)$') AS estimable FROM l""")
 def _(t):
     keys, i = ["protein", "platform"], dv.instruments(t)
     sg = coloc.signal_counts(i.filter(F.col("pval") < 1e-9), keys)
-    h = hz.align_alleles(hz.join_with_fallback(*hz.prepared_sides(i, dv.outcomes(t)))).groupBy(*keys).agg(F.count(F.lit(1)).alias("nh"))
+    good = (F.col("se") > 0) & (F.col("se_out") > 0) & F.col("beta").isNotNull() & F.col("beta_out").isNotNull()
+    h = hz.align_alleles(hz.join_with_fallback(*hz.prepared_sides(i, dv.outcomes(t)))).groupBy(*keys).agg(F.count(F.lit(1)).alias("nh"), F.count_if(good).alias("nu"))
     pn = i.filter(F.col("chrom").isin("1", "2", "3")).groupBy(*keys).agg(F.count(F.lit(1)).alias("np"))
-    return coloc.route_method(sg.join(h, keys, "left").join(pn, keys, "left"), "n_signals", "nh", "np")
+    pairs = cut_lineage(_coloc_pairs(t).select(*keys, "Name", "beta_exp", "se_exp", "beta_out", "se_out"))
+    shared = coloc.set_overlap(coloc.credible_sets(pairs, keys, "Name", "beta_exp", "se_exp"),
+                               coloc.credible_sets(pairs, keys, "Name", "beta_out", "se_out", coloc.SD_BINARY), keys, "Name").withColumnRenamed("n_shared", "ns")
+    loci = sg.join(h, keys, "left").join(pn, keys, "left").join(shared, keys, "left")
+    return coloc.route_method(loci, "n_signals", "nh", "np", "nu", "ns").withColumn("estimable", coloc.estimable(F.col("method_label"), F.lit(0.0)))
 
 
-CREDIBLE = COLOC + """, sm AS (SELECT protein, platform, "Name", pos, exp(l1 - m1) / sum(exp(l1 - m1)) OVER (PARTITION BY protein, platform) AS pp, l1 FROM mx),
-  cc AS (SELECT *, sum(pp) OVER (PARTITION BY protein, platform ORDER BY l1 DESC, "Name" ROWS UNBOUNDED PRECEDING) AS cum_pp FROM sm), cs AS (SELECT * FROM cc WHERE cum_pp - pp < 0.95)"""
+@query("platform_union", "platform:s n:i n_proteins:i", f"""WITH {dv.INSTRUMENTS} SELECT platform, count(*) AS n, count(DISTINCT protein) AS n_proteins FROM instruments GROUP BY platform""")
+def _(t):
+    i = dv.instruments(t)
+    each = {p: i.filter(F.col("platform") == p).drop("platform") for p in ("a", "b")}
+    return hz.union_platforms(**each).groupBy("platform").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("protein").alias("n_proteins"))
 
 
 @query("credible_sets", "protein:s platform:s Name:s pp:d cum_pp:d", f"WITH {CREDIBLE} SELECT * FROM cs")

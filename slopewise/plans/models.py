@@ -290,19 +290,34 @@ def _(t):
 LABEL_COLUMNS = ["avg_price", "acctbal", "n_orders"]
 
 
+def _stratified(t, seeds):
+    """Customers with a stratified outer fold for each seed, and the columns that hold them."""
+    f = dv.customer_features(t)
+    for s in seeds:
+        f = folds.stratified_folds(f, "c_custkey", "label", 5, s).withColumnRenamed("fold", f"outer{s}")
+    return f, {s: f"outer{s}" for s in seeds}
+
+
+def _stratified_rows(columns: list[str], seeds: str = "[0]") -> str:
+    return f"""WITH RECURSIVE {dv.CUSTOMERS}, x AS (SELECT c_custkey AS id, label AS y, [{", ".join(columns)}]::DOUBLE[] AS x, seed,
+      (row_number() OVER (PARTITION BY seed, label ORDER BY {hu("c_custkey", "seed")}, c_custkey) - 1) % 5 AS o, {hw("c_custkey", "seed", "'inner'")} % 5 AS g FROM cust, (SELECT unnest({seeds}) AS seed))"""
+
+
 def _label_rows(columns: list[str], seeds: str = "[0]") -> str:
     return f"""WITH RECURSIVE {dv.CUSTOMERS}, x AS (SELECT c_custkey AS id, label AS y, [{", ".join(columns)}]::DOUBLE[] AS x, seed, {hw("c_custkey", "seed")} % 5 AS o,
       {hw("c_custkey", "seed", "'inner'")} % 5 AS g FROM cust, (SELECT unnest({seeds}) AS seed))"""
 
 
-@query("logistic_cv", "seed:i fold:i c_custkey:i y:i pred:d", logistic_cv_sql(_label_rows(LABEL_COLUMNS), 3) + " SELECT seed, fold, id AS c_custkey, y, pred FROM oof")
+@query("logistic_cv", "seed:i fold:i c_custkey:i y:i pred:d", logistic_cv_sql(_stratified_rows(LABEL_COLUMNS), 3) + " SELECT seed, fold, id AS c_custkey, y, pred FROM oof")
 def _(t):
-    return logistic.logistic_cv(dv.customer_features(t), "c_custkey", "label", LABEL_COLUMNS)
+    f, outer = _stratified(t, [0])
+    return logistic.logistic_cv(f, "c_custkey", "label", LABEL_COLUMNS, fold_cols=outer)
 
 
-@query("logistic_nested_auc", "auc:d auc_lo:d auc_hi:d", logistic_cv_sql(_label_rows(LABEL_COLUMNS, "[0, 1]"), 3, logistic.C_GRID) + " " + repeated_auc_sql("oof", ""))
+@query("logistic_nested_auc", "auc:d auc_lo:d auc_hi:d", logistic_cv_sql(_stratified_rows(LABEL_COLUMNS, "[0, 1]"), 3, logistic.C_GRID) + " " + repeated_auc_sql("oof", ""))
 def _(t):
-    oof = logistic.logistic_cv(dv.customer_features(t), "c_custkey", "label", LABEL_COLUMNS, seeds=[0, 1], grid=logistic.C_GRID)
+    f, outer = _stratified(t, [0, 1])
+    oof = logistic.logistic_cv(f, "c_custkey", "label", LABEL_COLUMNS, seeds=[0, 1], grid=logistic.C_GRID, fold_cols=outer)
     return logistic.repeated_auc(oof, [])
 
 

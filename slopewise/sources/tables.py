@@ -21,11 +21,17 @@ HARMONISED_SCHEMA = ("protein string, platform string, rsid string, chrom string
                      "se_out double, aligned boolean, palindromic boolean, strand_resolved boolean, outcome_source string")
 
 
-def read_sumstats_tsv(spark: SparkSession, path: str, schema: str = SUMSTATS_SCHEMA) -> DataFrame:
+def read_sumstats_tsv(spark: SparkSession, path: str, schema: str = SUMSTATS_SCHEMA, suffix: str | None = None,
+                      vouching: list[str] | None = None) -> DataFrame:
     """Tab-separated summary statistics with a header. 'NA' and '.' are missing.
 
+    The build can be asserted: `suffix` is what the file's name must end with, and one of the `vouching` columns must be in its header.
     A gzip file is one task: ingest it once with `ingest_sumstats` and read the result.
     """
+    if suffix:
+        require_suffix(path, suffix)
+    if vouching:
+        require_columns(spark.read.csv(path, sep="\t", header=True), vouching, any_of=True)
     df = spark.read.csv(path, sep="\t", header=True, schema=schema, nullValue="NA", enforceSchema=False)
     return df.select(*[nan_to_null(f.name).alias(f.name) if isinstance(f.dataType, T.DoubleType) else F.col(f.name)
                        for f in df.schema.fields])

@@ -192,3 +192,43 @@ def test_arms_are_resumed_and_csv_is_quoted(spark, tmp_path):
     src.write_quoted_csv(spark.createDataFrame([('say "hi", x', 1.5), (None, 2.0)], ["s", "v"]).coalesce(1), out)
     lines = next((tmp_path / "csv").glob("part*")).read_text().splitlines()
     assert lines == ['"s","v"', '"say ""hi"", x",1.5', '"",2.0']
+
+
+def test_every_label_of_a_locus(spark):
+    rows = [("few", 1, 4, 20, 4, 1), ("few2", 3, 0, 20, 0, 0), ("bad", 1, 9, 20, 0, 1), ("bad2", 2, 9, 20, 0, 0), ("panel", 2, 9, 3, 9, 0), ("none", 2, 9, 20, 9, 0), ("none2", 2, 9, 20, 9, None), ("one", 1, 9, 0, 9, 0), ("two", 2, 9, 20, 9, 5)]
+    loci = spark.createDataFrame(rows, "locus string, s int, h int, p int, u int, c int")
+    got = {r.locus: r.method_label for r in coloc.route_method(loci, "s", "h", "p", "u", "c").collect()}
+    assert got == {"few": "abf_nodata", "few2": "multi_signal_nodata", "bad": "abf_error", "bad2": "multi_signal_error", "panel": "abf_fallback", "none": "multi_signal_noCS",
+                   "none2": "multi_signal_noCS", "one": "abf", "two": "multi_signal"}
+
+
+def test_an_odds_ratio_needs_an_error(spark):
+    beta, se = vr.log_odds("o", "s")
+    df = spark.createDataFrame([(2.0, 0.1), (0.0, None)], "o double, s double")
+    assert [tuple(r) for r in df.select(beta, se).collect()] == [(np.log(2.0), 0.05), (None, None)]
+    for s in (0.0, -0.1, None):
+        with pytest.raises(Exception, match="not positive"):
+            spark.createDataFrame([(2.0, s)], "o double, s double").select(*vr.log_odds("o", "s")).collect()
+
+
+def test_readers_assert_the_build_and_freeze_schemas(spark, tmp_path):
+    file = tmp_path / "x.h.tsv"
+    file.write_text("rsid\thm_code\tbeta\nrs1\t10\t0.5\n")
+    schema = "rsid string, hm_code int, beta double"
+    assert src.read_sumstats_tsv(spark, str(file), schema, suffix=".h.tsv", vouching=["hm_code", "hm_coordinate_conversion"]).first().beta == 0.5
+    with pytest.raises(ValueError, match="does not end"):
+        src.read_sumstats_tsv(spark, str(file), schema, suffix=".h.tsv.gz")
+    with pytest.raises(ValueError, match="expected columns"):
+        src.read_sumstats_tsv(spark, str(file), schema, vouching=["hm_rsid"])
+    asked = tmp_path / "q.csv"
+    asked.write_text("id,item\n1,2.5\n2,\n")
+    frozen = src.frozen_schema(spark, str(asked))
+    assert frozen.simpleString() == "struct<id:int,item:double>"
+    asked.write_text("id,item\n3,4\n")  # a later file that would be read as whole numbers by itself
+    assert spark.read.csv(str(asked), header=True, schema=frozen).first().item == 4.0
+
+
+def test_union_of_platforms_is_labelled(spark):
+    df = spark.createDataFrame([("r1",), ("r2",)], "rsid string")
+    got = hz.union_platforms(a=df, b=df.limit(1)).groupBy("platform").count().collect()
+    assert {r.platform: r["count"] for r in got} == {"a": 2, "b": 1}
