@@ -18,38 +18,43 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .spans import SPACE, Texts, blocks, mix
+from .spans import SPACE, Texts, blocks, forget, mix
 from .suffix import SuffixArray, covered
 
 LEAST, SHARE, LONGEST = 5, 0.4, 50
 WINDOW, FEW_WORDS, BASE_PERCENT = 8, 20, 30
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
+PASSING_BYTES = 1 << 20  # of a block where whole documents pass through
 MEASURES = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, covered_words long, longest_repeat long, repeats array<struct<start:long,length:long>>"
 
 
+def _counts(column: pa.Array, least: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """The numbers of MEASURES for each text of a block, which words runs of `least` cover, and each word's row."""
+    texts = Texts(column)
+    rows, data = texts.rows, texts.data
+    begin, end, row = texts.words(~SPACE)
+    words = texts.prints(begin, end)
+    longest = SuffixArray(mix(words ^ mix(row.astype(np.uint64)))).longest(len(words)) if len(words) else np.zeros(0, np.int64)
+    per_row = lambda hit, of: np.bincount(of[hit], minlength=rows)
+    spread = {}
+    for k in {least, WINDOW}:
+        at = np.flatnonzero(longest >= k)
+        spread[k] = covered(at, longest[at], len(words))
+    upto = lambda hit: np.concatenate([[0], np.cumsum(hit, dtype=np.int32 if len(data) < 1 << 31 else np.int64)])
+    chars, symbols = upto((data & 0xC0) != 0x80), upto(SYMBOLS[data])
+    most = np.zeros(rows, np.int64)
+    np.maximum.at(most, row, longest)
+    numbers = [np.bincount(row, minlength=rows), np.bincount(row, chars[end] - chars[begin], rows), symbols[texts.ends] - symbols[texts.starts], _repeated_lines(texts, begin),
+               per_row(spread[WINDOW], row), per_row(spread[least], row), most]
+    return [x.astype(np.int64) for x in numbers], spread[least], row
+
+
 def _measure(least: int):
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in blocks(batches, "text"):
-            texts = Texts(part.column("text"))
-            rows, data = texts.rows, texts.data
-            begin, end, row = texts.words(~SPACE)
-            words = texts.prints(begin, end)
-            longest = SuffixArray(mix(words ^ mix(row.astype(np.uint64)))).longest(len(words)) if len(words) else np.zeros(0, np.int64)
-            per_row = lambda hit, of: np.bincount(of[hit], minlength=rows)
-            spread = {}
-            for k in {least, WINDOW}:
-                at = np.flatnonzero(longest >= k)
-                spread[k] = covered(at, longest[at], len(words))
-            chars = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
-            symbols = np.concatenate([[0], np.cumsum(SYMBOLS[data])])
-            most = np.zeros(rows, np.int64)
-            np.maximum.at(most, row, longest)
-            columns = [
-                np.bincount(row, minlength=rows), np.bincount(row, chars[end] - chars[begin], rows).astype(np.int64),
-                symbols[texts.ends] - symbols[texts.starts], _repeated_lines(texts, begin),
-                per_row(spread[WINDOW], row), per_row(spread[least], row), most]
-            arrays = [part.column("doc_id"), *(pa.array(x, pa.int64()) for x in columns), _merged(spread[least], row, rows)]
+            numbers, hit, row = _counts(part.column("text"), least)
+            arrays = [part.column("doc_id"), *map(pa.array, numbers), _merged(hit, row, part.num_rows)]
             yield pa.RecordBatch.from_arrays(arrays, [x.split()[0] for x in MEASURES.split(", ")])
 
     return measure
@@ -97,12 +102,11 @@ def passing(docs: DataFrame, text_col: str = "text", least: int = LEAST, share:
     """The documents that are kept, same columns, in one pass without a shuffle."""
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in blocks(batches, text_col):
-            plain = pa.RecordBatch.from_arrays([pa.array(range(part.num_rows), pa.int64()), part.column(text_col)], ["doc_id", "text"])
-            outs = list(_measure(least)(iter([plain])))  # blocks of blocks: one or more
-            m = {c: np.concatenate([x.column(c).to_numpy() for x in outs]) for c in outs[0].schema.names[1:-1]}
-            good = (m["n_words"] >= FEW_WORDS) & (100 * m["n_repeat_words"] <= BASE_PERCENT * m["n_words"])
-            good &= (m["covered_words"] <= share * m["n_words"]) & (m["longest_repeat"] <= longest)
+        for part in blocks(batches, text_col, PASSING_BYTES):
+            (n_words, _, _, _, repeated, spread, longest_run), _, _ = _counts(part.column(text_col), least)
+            good = (n_words >= FEW_WORDS) & (100 * repeated <= BASE_PERCENT * n_words)
+            good &= (spread <= share * n_words) & (longest_run <= longest)
             yield part.filter(pa.array(good))
+        forget()
 
     return docs.mapInArrow(keep, docs.schema)

@@ -6,6 +6,7 @@ its own). All texts of a block lie in one byte array, each followed by a line fe
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -83,6 +84,20 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0][:n], _powers[1][:n]
 
 
+def forget() -> None:
+    """Give up this module's tables; for the end of a task in a worker that goes on."""
+    _powers[:] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+    trim()
+
+
+def trim() -> None:
+    """Hand memory that was freed back to the system, which Arrow's pool and the C library would keep for the next task."""
+    pa.default_memory_pool().release_unused()
+    give_back = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if give_back:
+        give_back(0)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective scrambling of 64-bit numbers."""
     x = x ^ (x >> np.uint64(30))
