@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .scratch import Scratch, sized
 from .spans import BLOCK_BYTES, blocks, ragged
-from .tokens import KEPT_WORDS, word_ids
+from .tokens import KEPT_WORDS, forget, word_ids
 
 LENGTH, END = 2048, 1
 PER_SHARD = 100_000  # rests ranked by one task
@@ -117,6 +117,7 @@ def _cutter(path: str, length: int, end: int, with_ids: bool):
                 if with_ids:
                     arrays.append(ragged(own[at[0] : at[-1]].view(np.int32), size[some], pa.int32()))
                 yield pa.RecordBatch.from_arrays(arrays, [x.split()[0] for x in PIECE.split(", ")] + ["ids"] * with_ids)
+        forget()
 
     return cut
 
@@ -137,7 +138,8 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     shards = max(1, -(-(sum(sizes.values()) + full) // PER_SHARD))
 
     # The rank of a piece within its length: pieces before its shard, then the place in the shard.
-    pieces = pieces.withColumn("shard", F.pmod(F.xxhash64("row"), F.lit(max(shards, 8))))
+    wide = pieces
+    pieces = pieces.drop("ids").withColumn("shard", F.pmod(F.xxhash64("row"), F.lit(max(shards, 8))))
     before = pieces.groupBy("length", "shard").agg(F.count("*").alias("n"))
     earlier = F.sum("n").over(Window.partitionBy("length").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1))
     before = before.select("length", "shard", F.coalesce(earlier, F.lit(0).cast("long")).alias("before"))
@@ -150,5 +152,10 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     nth = F.col("rank") - F.col("first")
     rest = ranked.filter(F.col("length") < length).join(sized(lines), fits).withColumns({
         "sequence_id": F.expr("sequence + (rank - first) div each"), "offset": F.col("base") + F.pmod(nth, F.col("each")) * F.col("length")})
-    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] + ["ids"] * with_ids
-    return rest.select(*names).unionByName(whole.select(*names))
+    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+    if not with_ids:
+        return rest.select(*names).unionByName(whole.select(*names))
+    # The ids are shuffled once and never sorted: they stream past the places, which are short rows.
+    at = ["row", "start"]
+    placed = rest.select(*at, "sequence_id", "offset").unionByName(whole.select(*at, "sequence_id", "offset"))
+    return wide.join(placed.hint("shuffle_hash"), at).select(*names, "ids")

@@ -17,6 +17,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from .spans import trim
+
 KEPT_WORDS = 300_000
 #: What the file must state for the short way.
 NORMAL = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
@@ -92,3 +94,9 @@ def word_ids(path: str) -> WordIds:
     if path not in _open:
         _open[path] = WordIds(path)
     return _open[path]
+
+
+def forget() -> None:
+    """Give up the tokenizers and words of this worker process; for the end of a task."""
+    _open.clear()
+    trim()
