@@ -36,7 +36,7 @@ def shingle_hashes(octets: str, characters: int) -> Column:
 
 
 def signature_bands(lines: DataFrame, characters: int, bands: int) -> DataFrame:
-    """`lines` (with `line`) and `bands`: a key for each band that has a shingle, and more for lines of few shingles.
+    """`lines` (with `line`), `n` (distinct shingles) and `bands`: a key for each band that has a shingle, and more for lines of few shingles.
 
     The hash range is cut into sixteen bands, of which the lowest `bands` are in use (hashes are signed). The lower bounds
     of the bands are sorted in among the distinct hashes; the four least hashes of a band are what follows its bound.
@@ -49,7 +49,7 @@ def signature_bands(lines: DataFrame, characters: int, bands: int) -> DataFrame:
     out = out.withColumn("at", F.expr(f"array({', '.join(f'cast(array_position(sorted, {x}) as int)' for x in bounds[:-1])})"))
     some = "filter(at, p -> sorted[p] & (shiftleft(1L, 60) - 1L) <> 0)"
     keys = f"transform({some}, p -> xxhash64(slice(sorted, p + 1, {IN_BAND})))"
-    return out.select(*lines.columns, F.expr(f"if(size(hashes) > {FEW}, {keys}, concat({keys}, {_few_keys('hashes')}))").alias("bands"))
+    return out.select(*lines.columns, F.size("hashes").alias("n"), F.expr(f"if(size(hashes) > {FEW}, {keys}, concat({keys}, {_few_keys('hashes')}))").alias("bands"))
 
 
 def _few_keys(hashes: str) -> str:
@@ -88,13 +88,14 @@ def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     places = _split(docs, id_col, text_col)
     places = scratch.table(places.select("doc_id", "row", "digest", "line_no", F.when(full, _key()).alias("key")), "lines")
     texts = docs.select(F.explode(F.split(text_col, "\n", -1)).alias("line")).filter(full)
-    nodes = signature_bands(texts.distinct(), characters, bands).select(_key().alias("key"), "bands")
+    nodes = signature_bands(texts.distinct(), characters, bands).withColumn("key", _key())
     nodes = scratch.table(nodes.withColumn("id", F.monotonically_increasing_id()), "nodes")
     members = scratch.table(shared(nodes.select("id", F.explode("bands").alias("bucket"))), "members")
-    wanted = scratch.table(nodes.select("id", "key").join(members.select("id").distinct(), "id", "left_semi"), "wanted")
-    found = texts.withColumn("key", _key()).join(sized(wanted), "key").select("id", "line").dropDuplicates(["id"])
+    wanted = scratch.table(members.select("id").distinct(), "wanted")
+    found = scratch.table(nodes.select("id", "key", "line", "n").join(sized(wanted), "id"), "texts")
+    scratch.drop(wanted)
+    wanted = found.select("id", "key")
     wide = "encode(line, 'UTF-32')"
-    found = scratch.table(found.select("id", "line", F.size(F.array_distinct(shingle_hashes(wide, characters))).alias("n")), "texts")
 
     def verify(pairs: DataFrame) -> DataFrame:
         for k in "ab":
@@ -123,7 +124,7 @@ def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         (~F.coalesce(own, F.lit(False))).alias("kept"))
     blank = places.filter("key is null").select("doc_id", "row", "digest", "line_no", F.lit(None).cast("long").alias("class_doc"),
                                                 F.lit(None).cast("int").alias("class_line"), F.lit(1).cast("long").alias("copies"), F.lit(True).alias("kept"))
-    scratch.drop(nodes, members, wanted, found, roots)
+    scratch.drop(nodes, members, found, roots)
     return lines.unionByName(blank)
 
 

@@ -67,3 +67,16 @@ def test_pipeline_returns_the_ids_of_its_sequences(spark):
         assert len(r.ids) == r.length <= 2048
         by.setdefault(r.doc_id, []).extend(r.ids)
     assert by == {k: [*tokenizer.encode(t or "", add_special_tokens=False).ids, 1] for k, t in enumerate(texts)}
+
+
+@pytest.mark.parametrize("rows", [[], [(1, None), (2, ""), (None, None), (3, " \n "), (4, "word " * 3)], [(5, "some text here " * 30), (5, "some text here " * 30), (None, "x y z " * 40)]])
+def test_run_on_few_and_odd_rows(spark, tmp_path, rows):
+    """Nulls, empties, repeated rows and no rows at all; documents without n_chars and with columns of clashing names."""
+    spark.createDataFrame([(*r, 1, "x") for r in rows], "doc_id long, text string, row int, class string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([("i", None), ("j", "word word")], "item_id string, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, docs, str(tmp_path))
+        assert got.columns == docs.columns, name
+        assert got.count() <= len(rows)
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() <= len(rows)

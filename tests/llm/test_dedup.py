@@ -184,7 +184,7 @@ def test_many_rows_in_a_batch(spark):
     """More rows than a row's number has room for: cut into several blocks."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "200000")
     try:
-        table = spark.range(0, 70_000, 1, 1).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.col("id") % 69_000, *[F.lit(x) + (F.col("id") % 69_000).cast("string") for x in "abcdef"]).alias("text"))
+        table = spark.range(0, 70_000, 1, 1).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.col("id") % 69_000, *[F.concat(F.lit(x), F.col("id") % 69_000) for x in "abcdef"]).alias("text"))
         got = near_classes(table).groupBy("copies").count().collect()
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
