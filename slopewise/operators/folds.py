@@ -97,7 +97,9 @@ def permuted_blocks(df: DataFrame, subject: str, columns: list[str], reps: list[
     numbered = cut_lineage(number_rows(df, [], subject, [], "__pos").withColumn("__pos", F.col("__pos") - 1))
     n = numbered.count()
     donors = numbered.select(F.col("__pos").alias("__from"), *columns)
-    takers = numbered.drop(*columns).withColumn("rep", F.explode(F.array(*[F.lit(int(r)) for r in reps])))
+    # Each row becomes many: a small table is dealt over all cores first.
+    dealt = numbered.drop(*columns).repartition(df.sparkSession.sparkContext.defaultParallelism, "__pos")
+    takers = dealt.withColumn("rep", F.explode(F.array(*[F.lit(int(r)) for r in reps])))
     return takers.withColumn("__from", permuted(F.col("__pos"), n, F.col("rep"))).join(donors, "__from").drop("__from", "__pos")
 
 

@@ -161,7 +161,9 @@ def weighted_median_se(pairs: DataFrame, keys: list[str] | None = None, ident: s
     rows = cut_lineage(rows)
     sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_n)
     numbered = cut_lineage(number_rows(rows.join(sizes, keys), keys, "ratio", [ident], "d"))
-    drawn = numbered.select(*keys, "d", "n", F.explode(F.sequence(F.lit(1), F.lit(reps))).alias("rep"))
+    # Each row becomes many: a small table is dealt over all cores first.
+    dealt = numbered.select(*keys, "d", "n").repartition(pairs.sparkSession.sparkContext.defaultParallelism, *keys, "d")
+    drawn = dealt.select(*keys, "d", "n", F.explode(F.sequence(F.lit(1), F.lit(reps))).alias("rep"))
     drawn = drawn.select(*keys, "rep", (F.pmod(hash_word(*keys, F.col("rep"), F.col("d"), F.lit("wm")), F.col("n")) + 1).alias("d"))
     drawn = drawn.join(numbered.select(*keys, "d", "ratio", "w"), [*keys, "d"])
     bins = drawn.groupBy(*keys, "rep", F.floor(F.col("d") / DRAWS_PER_BIN).alias("bin")).agg(F.sum("w").alias("w"))
